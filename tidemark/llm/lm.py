@@ -276,7 +276,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = checkpoint(word_counts(train))
     uni = Unigrams(counts)
     spark = docs.sparkSession
-    buckets = max(4, -(-uni.tokens // BUCKET_TOKENS))
+    buckets = max(16, -(-uni.tokens // BUCKET_TOKENS))
     table = bigram_table(train, uni, buckets)
     back = Backoff(table, uni)
     model = spark.sparkContext.broadcast((uni, back))

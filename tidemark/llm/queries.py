@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, line_dedup, lm, packing, pii, secrets, topk
+from tidemark.llm import exact_dedup, langid, line_dedup, lm, ngram_join, packing, pii, secrets, sentencepiece_scan, topk
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encoded_summary(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -47,5 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pii, op4_exact_dedup, op7_topk, op8_lm_score, op9_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_pii, op4_exact_dedup, op5_ngram_join, op6_sentencepiece, op7_topk, op8_lm_score, op9_language_id, op10_packing, pipeline)}
