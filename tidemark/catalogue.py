@@ -1,5 +1,6 @@
 """Importing this module registers every operator."""
 
 from tidemark.functions import scalars  # noqa: F401
-from tidemark.operators import fairness, joins, scans, windows  # noqa: F401
-from tidemark.plans import scheduling  # noqa: F401
+from tidemark.operators import fairness, history, joins, scans, windows  # noqa: F401  # isort: skip
+from tidemark.plans import scheduling  # noqa: F401  # isort: skip
+from tidemark.operators import commands  # noqa: F401  # isort: skip

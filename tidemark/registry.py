@@ -11,6 +11,7 @@ from tidemark.sources.views import CTES, Tables
 
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}
+RAW: dict[str, str] = {}  # before the views are put in front
 
 
 def op(key: str, sql: str | None = None):
@@ -21,7 +22,7 @@ def op(key: str, sql: str | None = None):
             raise ValueError(f"{key} is registered twice")
         OPERATORS[key] = f
         if sql is not None:
-            SQL[key] = with_views(sql)
+            RAW[key], SQL[key] = sql, with_views(sql)
         return f
 
     return add
