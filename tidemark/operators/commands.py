@@ -413,27 +413,29 @@ def dedup(t: Tables, window_ms: int = _DEDUP_WINDOW) -> DataFrame:
 op("st_06", RAW["wf_08"])(durable_timers)
 
 
-def fold_tokens(times_ms: Iterable[int], rate: float, burst: float):
-    """Token bucket: whether each request passes. A rate of 0 or less is no limit; a burst is at least 1."""
-    burst = max(1.0, burst)
-    tokens, before = burst, None
-    for at in times_ms:
-        if rate <= 0:
-            yield True
-            continue
-        if before is not None:
-            tokens = min(burst, tokens + rate * (at - before) / 1000.0)
-        before = at
-        ok = tokens >= 1
-        tokens -= ok
-        yield ok
+class TokenBucket:
+    """A rate of 0 or less is no limit; a burst is at least 1. tokens and before are its whole state."""
+
+    def __init__(self, rate: float, burst: float, tokens: float | None = None, before: int | None = None):
+        self.rate, self.burst = rate, max(1.0, burst)
+        self.tokens, self.before = self.burst if tokens is None else tokens, before
+
+    def allow(self, at_ms: int) -> bool:
+        if self.rate <= 0:
+            return True
+        if self.before is not None:
+            self.tokens = min(self.burst, self.tokens + self.rate * (at_ms - self.before) / 1000.0)
+        self.before = at_ms
+        ok = self.tokens >= 1
+        self.tokens -= ok
+        return ok
 
 
 @op("st_08")
 def rate_limited(t: Tables, rate: float = 0.001, burst: float = 2.0) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["at", "event_id"])
-        return pd.DataFrame({"lane": rows["lane"], "event_id": rows["event_id"], "allowed": list(fold_tokens(rows["at"].tolist(), rate, burst))})
+        rows, bucket = pdf.sort_values(["at", "event_id"]), TokenBucket(rate, burst)
+        return pd.DataFrame({"lane": rows["lane"], "event_id": rows["event_id"], "allowed": [bucket.allow(x) for x in rows["at"].tolist()]})
 
     log = t.events.select(F.col("event_type").alias("lane"), "event_id", ms("ts").alias("at"))
     return log.groupBy("lane").applyInPandas(run, "lane string, event_id long, allowed boolean")
