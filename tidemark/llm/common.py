@@ -39,6 +39,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_or_shuffled(keys: DataFrame, most: int = 200_000) -> DataFrame:
+    """keys (a narrow, checkpointed table) to join with: broadcast up to `most` rows, else shuffled."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -22,19 +22,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NON_WS, WS, checkpoint, text_or_empty
+from tidemark.llm.common import WS, checkpoint, small_or_shuffled, text_or_empty
 
 MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY, CONSTANT = 5, 3, 5, 0.7, 0.5
+BROADCAST_LINES = 500_000  # dropped lines, by document and template; beyond it their join shuffles
 _FIELD = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and its digit-bearing tokens replaced by <*>."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), WS + "+", " "))
+def masked_lines(text: Column) -> Column:
+    """The text's lines with single spaces, trimmed, and their digit-bearing tokens replaced by <*>.
 
+    Works on whole texts, since most need neither regex; newlines stay where they are.
+    """
+    x = F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]++", " ")).otherwise(text)
+    x = F.when(text.rlike("[0-9]"), F.regexp_replace(x, _FIELD, "<*>")).otherwise(x)
+    return F.transform(F.split(x, "\n", -1), lambda v: F.trim(v))
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(masked(line))
+
+def tokens_in(line: Column) -> Column:
+    """Tokens of a masked line: its spaces and one."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _doc_key() -> Column:
@@ -43,23 +50,22 @@ def _doc_key() -> Column:
 
 
 def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """doc, n, leaf, template, tokens of each line that is long enough."""
-    line = F.explode(F.transform(F.split(text_or_empty(), "\n", -1), masked)).alias("line")
-    tokens = docs.select(_doc_key().alias("doc"), line).select("doc", "line", F.split("line", " ").alias("tokens"))
-    return tokens.where(F.size("tokens") >= min_tokens).select(
-        "doc",
-        F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
-        F.xxhash64("line").alias("template"),
-        "tokens",
-    )
+    """doc, leaf, template, line (masked) of each line that is long enough."""
+    lines = docs.select(_doc_key().alias("doc"), F.explode(masked_lines(text_or_empty())).alias("line"))
+    lines = lines.where(tokens_in(F.col("line")) >= min_tokens)
+    leaf = F.xxhash64(tokens_in(F.col("line")), F.substring_index("line", " ", depth))
+    return lines.select("doc", leaf.alias("leaf"), F.xxhash64("line").alias("template"), "line")
+
+
+def distinct_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """doc, leaf, template: the different lines of each document, by hash."""
+    return checkpoint(_lines(docs, min_tokens, depth).select("doc", "leaf", "template").distinct())
 
 
 def recurring_templates(
-    docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame, once: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """template: hashes of the masked lines that recur, directly or through their leaf's template."""
-    lines = _lines(docs, min_tokens, depth)
-    once = checkpoint(lines.select("doc", "leaf", "template").distinct())
     exact = once.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
     # a leaf generalises only where it holds several templates
     leaves = (
@@ -70,11 +76,14 @@ def recurring_templates(
         .where((F.col("n") >= min_docs) & (F.col("kinds") > 1))
         .select("leaf")
     )
+    leaves = small_or_shuffled(checkpoint(leaves))
     # one row for each different line of such a leaf, with the number of documents that hold it
     kinds = checkpoint(
-        lines.join(leaves, "leaf", "left_semi")
+        _lines(docs, min_tokens, depth)
+        .join(leaves, "leaf", "left_semi")
         .groupBy("leaf", "template")
-        .agg(F.approx_count_distinct("doc", 0.02).alias("docs"), F.first("tokens").alias("tokens"))
+        .agg(F.approx_count_distinct("doc", 0.02).alias("docs"), F.first("line").alias("line"))
+        .select("leaf", "template", "docs", F.split("line", " ").alias("tokens"))
     )
     counts = kinds.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
     constant = counts.groupBy("leaf", "pos").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("top"), F.sum("n").alias("all"))
@@ -102,12 +111,15 @@ def line_dedup(
 ) -> DataFrame:
     """One row per input row: doc_id, text without recurring lines, n_lines, n_dropped."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drop = checkpoint(recurring_templates(docs, min_tokens, depth, min_docs, similarity))
-    held = _lines(docs, min_tokens, depth).select("doc", "template").distinct().join(drop, "template", "left_semi")
-    held = held.groupBy("doc").agg(F.collect_set("template").alias("_drop"))
+    once = distinct_lines(docs, min_tokens, depth)
+    drop = checkpoint(recurring_templates(docs, once, min_tokens, depth, min_docs, similarity))
+    held = checkpoint(once.join(drop, "template", "left_semi").select("doc", "template"))
+    few = held.count() <= BROADCAST_LINES
+    held = held.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("template").alias("_drop"))
+    out = docs.withColumn("_doc", _doc_key()).join(F.broadcast(held) if few else held, "_doc", "left")
     lines = F.split(F.col("text"), "\n", -1)
-    out = docs.withColumn("_doc", _doc_key()).join(held.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    kept = F.filter(lines, lambda x: (F.size(F.split(masked(x), " ")) < min_tokens) | ~F.array_contains("_drop", line_key(x)))
+    both = F.arrays_zip(lines.alias("raw"), masked_lines(F.col("text")).alias("mask"))
+    kept = F.transform(F.filter(both, lambda x: ~F.array_contains("_drop", F.xxhash64(x["mask"]))), lambda x: x["raw"])
     out = out.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(lines))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("_kept")).cast("long")
