@@ -4,9 +4,10 @@ A text is a chain of code points; the vocabulary's pieces are weighted edges, an
 of greatest total score. Giant texts are cut into chunks at any place. The state at a cut is how far the
 piece that spans it reaches past it, so a chunk is a transfer matrix over (max, +): best score from an
 entry state to an exit state. Matrices combine associatively along the text, which fixes the state at
-every cut, and each chunk is then backtraced by itself between its two states. A short text is one chunk
-with states 0 and 0, and falls apart further at places no piece spans (before a space mark, around an
-unknown character), so its parts are memoised.
+every cut, and each chunk is then backtraced by itself between its two states. Where no piece can span a
+place (before a space mark, around a newline) the matrix of what lies between two such places is one
+number, which is memoised; only a chunk's ends need whole matrices. A short text is one chunk with
+states 0 and 0.
 
 Scores are read as unigram log-probabilities, whatever type the model file claims: with a unigram model
 the ids are the library's own. Conventions are SentencePiece's: a space mark U+2581 before the text and
@@ -57,10 +58,29 @@ class Pieces:
         self.unknown_id = sp.unk_id()
         self.unknown = min(self.score.values(), default=0) - 10_000
         self.longest = max(map(len, self.id), default=1)
-        self.ends = {}  # last character -> lengths of the pieces that end so
-        for p in self.id:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(x, reverse=True) for c, x in self.ends.items()}
+        self.chars = {p for p in self.id if len(p) == 1}
+        self.spell_literal = [self.bytes.get(b, self.unknown_id) for b in MARK.encode()]
+        # for decoding: what an id adds, except bytes over 127, which only make characters together
+        self.adds = [t.replace(MARK, " ") for t in self.text]
+        self.high = np.zeros(n, bool)
+        for i, b in self.byte_of.items():
+            self.adds[i] = chr(b)
+            self.high[i] = b > 127
+        self._matches = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_matches": None}
+
+    def matches(self, s: str):
+        """(last place, (length, score)) of every piece in s; by place, longest first."""
+        if self._matches is None:
+            import ahocorasick
+
+            self._matches = ahocorasick.Automaton()
+            for piece, w in self.score.items():
+                self._matches.add_word(piece, (len(piece), w))
+            self._matches.make_automaton()
+        return self._matches.iter(s)
 
     def spell(self, piece: str) -> list[int]:
         """Ids of a piece, or of the bytes of a character outside the vocabulary."""
@@ -76,74 +96,75 @@ def _prepared(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
 
-def best_path(p: Pieces, s: str) -> list[str]:
-    """Pieces of the best path through s; sequential, for short strings."""
+def best_path(p: Pieces, s: str) -> tuple[int, list[str]]:
+    """Score and pieces of the best path through s; of equal ones the last piece is the longest."""
     n = len(s)
     best, back = [0] + [LOW] * n, [0] * (n + 1)
-    for end in range(1, n + 1):
-        c = s[end - 1]
-        top, at = LOW, end - 1
-        for size in p.ends.get(c, ()):  # longest first; a later one must be better
-            if size <= end:
-                w = p.score.get(s[end - size : end])
-                if w is not None and best[end - size] + w > top:
-                    top, at = best[end - size] + w, end - size
-        if c not in p.id and best[end - 1] + p.unknown > top:
-            top, at = best[end - 1] + p.unknown, end - 1
-        best[end], back[end] = top, at
+    odd = [i for i, c in enumerate(s) if c not in p.chars] if not p.chars.issuperset(s) else []
+    at = 0
+    for last, (size, w) in p.matches(s):
+        while at < len(odd) and odd[at] < last:  # characters outside the vocabulary end no piece
+            k = odd[at]
+            best[k + 1], back[k + 1] = best[k] + p.unknown, k
+            at += 1
+        total = best[last + 1 - size] + w
+        if total > best[last + 1]:
+            best[last + 1], back[last + 1] = total, last + 1 - size
+    for k in odd[at:]:
+        best[k + 1], back[k + 1] = best[k] + p.unknown, k
     out, end = [], n
     while end:
         out.append(s[back[end] : end])
         end = back[end]
-    return out[::-1]
+    return best[n], out[::-1]
+
+
+class _Memo(dict):
+    """unit -> its ids; emptied at MEMO units, which bounds its memory."""
+
+    def __init__(self, p: Pieces):
+        self.p = p
+
+    def __missing__(self, unit: str) -> list[int]:
+        ids = self[unit] = [i for piece in best_path(self.p, unit)[1] for i in self.p.spell(piece)]
+        return ids
 
 
 class Encoder:
     def __init__(self, pieces: Pieces):
-        self.p, self.memo = pieces, {}
+        self.p, self.memo = pieces, _Memo(pieces)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if MARK in text:  # spelled in bytes, each by itself
             parts = text.split(MARK)
-            ids = self._units(_prepared(parts[0]))
+            ids = self.units(_prepared(parts[0]))
             for part in parts[1:]:
-                ids += self.p.spell_literal + self._units(part.replace(" ", MARK))
+                ids += self.p.spell_literal + self.units(part.replace(" ", MARK))
             return ids
-        return self._units(_prepared(text))
+        return self.units(_prepared(text))
 
-    def _units(self, s: str) -> list[int]:
+    def units(self, s: str) -> list[int]:
         if len(self.memo) > MEMO:
-            self.memo = {}
-        memo, units = self.memo, _UNITS.findall(s)
-        for u in set(units):
-            if u not in memo:
-                memo[u] = [i for piece in best_path(self.p, u) for i in self.p.spell(piece)]
-        return list(chain.from_iterable(map(memo.__getitem__, units)))
+            self.memo.clear()
+        return list(chain.from_iterable(map(self.memo.__getitem__, _UNITS.findall(s))))
 
 
-def load(path: str = MODEL) -> Pieces:
-    p = Pieces(path)
-    p.spell_literal = [p.bytes.get(b, p.unknown_id) for b in MARK.encode()]
-    return p
+load = Pieces
 
 
-def decode_ids(p: Pieces, ids) -> str:
+def decode_ids(p: Pieces, ids: np.ndarray) -> str:
     """The text of ids: exact for whatever encode() made."""
-    out, run = [], bytearray()
-    for i in ids:
-        b = p.byte_of.get(i)
-        if b is not None:
-            run.append(b)
-            continue
-        if run:
-            out.append(run.decode("utf-8", "surrogatepass"))
-            run = bytearray()
-        out.append(p.text[i].replace(MARK, " "))
-    if run:
-        out.append(run.decode("utf-8", "surrogatepass"))
-    return "".join(out)[1:]
+    ids = np.asarray(ids, np.int64)
+    adds = list(map(p.adds.__getitem__, ids.tolist()))
+    high = p.high[ids] if len(ids) else np.zeros(0, bool)
+    if high.any():
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], high.astype(np.int8), [0]])))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            adds[a] = bytes(map(ord, adds[a:b])).decode("utf-8", "surrogatepass")
+            adds[a + 1 : b] = [""] * (b - a - 1)
+    return "".join(adds)[1:]
 
 
 # ---------------------------------------------------------------- chunks of giant texts
@@ -164,19 +185,38 @@ def _edges(p: Pieces, s: str, start: int, n: int):
         yield start + 1, p.unknown
 
 
-def transfer(p: Pieces, s: str, n: int) -> np.ndarray:
-    """longest x longest matrix: best score from entry overhang to exit overhang."""
+def _cuts(s: str, n: int) -> list[int]:
+    """Places in 1..n that no piece spans, ascending: where units meet."""
+    return [m.end() for m in _UNITS.finditer(s.replace(STAND_IN, "\n")) if m.end() <= n and m.end() < len(s)] + ([n] if n == len(s) else [])
+
+
+def _spread(p: Pieces, s: str, start: int, n: int) -> np.ndarray:
+    """Row i: best scores of being at start, start + 1, ... from overhang i, by edges that begin before n."""
     size = p.longest
-    best = np.full((n + size, size), LOW, np.int64)
-    for i in range(size):
+    best = np.full((n + size - start, size), LOW, np.int64)
+    for i in range(min(size, len(best))):
         best[i, i] = 0
-    for at in range(n):
-        row = best[at]
-        if row.max() <= LOW // 2:
-            continue
-        for end, w in _edges(p, s, at, n):
-            np.maximum(best[end], row + w, out=best[end])
-    return best[n : n + size].T.copy()
+    for at in range(start, n):
+        row = best[at - start]
+        if row.max() > LOW // 2:
+            for end, w in _edges(p, s, at, n):
+                np.maximum(best[end - start], row + w, out=best[end - start])
+    return best.T
+
+
+def transfer(p: Pieces, s: str, n: int) -> np.ndarray:
+    """longest x longest matrix: best score from entry overhang to exit overhang."""
+    size, cuts = p.longest, _cuts(s, n)
+    if not cuts:
+        return _spread(p, s, 0, n)[:, n : n + size].clip(min=LOW)
+    head = _spread(p, s, 0, cuts[0])[:, cuts[0]]
+    middle = sum(best_path(p, u)[0] if u != STAND_IN else p.unknown for u in _between(s, cuts))
+    tail = _spread(p, s, cuts[-1], n)[0][n - cuts[-1] : n - cuts[-1] + size]
+    return (head[:, None] + middle + tail[None, :]).clip(min=LOW)
+
+
+def _between(s: str, cuts: list[int]):
+    return (s[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,22 +236,34 @@ def cut_states(matrices: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
-def backtrace(p: Pieces, s: str, n: int, entry: int, leave: int) -> list[int]:
-    """Ids of the pieces that begin in the chunk, between its entry and exit states."""
-    best, back = [LOW] * (n + p.longest), [0] * (n + p.longest)
-    best[entry] = 0
-    for at in range(entry, n):
-        if best[at] > LOW:
+def _trace(p: Pieces, s: str, start: int, n: int, stop: int) -> list[int]:
+    """Ids of the best pieces from start to stop that begin before n."""
+    size = stop - start
+    best, back = [LOW] * (size + 1), [0] * (size + 1)
+    best[0] = 0
+    for at in range(start, n):
+        if best[at - start] > LOW:
             for end, w in _edges(p, s, at, n):
-                if best[at] + w > best[end]:
-                    best[end], back[end] = best[at] + w, at
-    out, end = [], n + leave
-    while end > entry:
-        out.append(s[back[end] : end])
+                if end <= stop and best[at - start] + w > best[end - start]:
+                    best[end - start], back[end - start] = best[at - start] + w, at - start
+    out, end = [], size
+    while end > 0:
+        out.append(s[start + back[end] : start + end])
         end = back[end]
     return [i for piece in reversed(out) for i in (p.spell_literal if piece == STAND_IN else p.spell(piece))]
 
 
+def backtrace(encoder: Encoder, s: str, n: int, entry: int, leave: int) -> list[int]:
+    """Ids of the pieces that begin in the chunk, between its entry and exit states."""
+    p, cuts = encoder.p, _cuts(s, n)
+    if not cuts:
+        return _trace(p, s, entry, n, n + leave)
+    ids = _trace(p, s, entry, cuts[0], cuts[0])
+    for u in _between(s, cuts):
+        ids += p.spell_literal if u == STAND_IN else encoder.memo[u]
+    return ids + _trace(p, s, cuts[-1], n, n + leave)
+
+
 def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
     """row, doc_id, hash, ids of giant texts, chunk by chunk."""
     ahead = shared.value.longest - 1
@@ -238,8 +290,10 @@ def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
         return pd.DataFrame({"row": rows["row"], "k": rows["k"], "entry": at[:-1], "leave": at[1:]}).astype({"entry": "int32", "leave": "int32"})
 
     def traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(shared.value)
         for rows in batches:
-            ids = [backtrace(shared.value, *x) for x in zip(rows["s"], rows["n"], rows["entry"], rows["leave"], strict=True)]
+            encoder.memo.clear()
+            ids = [backtrace(encoder, *x) for x in zip(rows["s"], rows["n"], rows["entry"], rows["leave"], strict=True)]
             yield pd.DataFrame({"row": rows["row"], "k": rows["k"], "ids": ids})
 
     cuts = parts.mapInPandas(matrices, "row long, k int, m binary").groupBy("row").applyInPandas(states, "row long, k int, entry int, leave int")
@@ -278,7 +332,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: decode_ids(shared.value, x.tolist() if x is not None else []))
+        return ids.map(lambda x: decode_ids(shared.value, x if x is not None else []))
 
     return encoded.withColumn("decoded", text_of("ids"))
 
@@ -296,7 +350,7 @@ def encoded_summary(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 a = ids.values.to_numpy(zero_copy_only=False).astype("<i4")
                 n.append(len(a))
                 digest.append(hashlib.sha256(a.tobytes()).hexdigest())
-                same.append(decode_ids(shared.value, a.tolist()) == text.as_py())
+                same.append(decode_ids(shared.value, a) == text.as_py())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return encoded.mapInArrow(check, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
