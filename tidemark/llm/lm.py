@@ -2,8 +2,8 @@
 
 Tokens are words and one end per text. Level 0 is the share of unknown words, level 1 Good-Turing
 discounted word counts, level 2 Good-Turing discounted bigram counts whose backoff weights make each
-context's distribution sum to 1 exactly. Contexts and bigrams use a closed vocabulary, the HEAD most
-frequent training words; every other word is the class UNK there, and its share inside UNK is its own
+context's distribution sum to 1 exactly. Contexts and bigrams use a closed vocabulary, at most the
+HEAD most frequent training words; every other word is the class UNK there, and its share inside UNK is its own
 discounted count, for which all words of the corpus are counted. Counts up to K are discounted by
 Good-Turing (or by half a count where that estimate leaves (0, 1)), larger ones by DELTA counts, so each
 context keeps some backoff mass. Words never seen in training are one event.
@@ -138,7 +138,16 @@ class Unigrams:
         self.d = discounts(n)
         small = sum(r * n[r] for r in range(1, K + 1))
         total = sum(self.d[r] * r * n[r] for r in range(1, K + 1)) + (self.tokens - small) - DELTA * (self.types - sum(n[1 : K + 1]))
-        head = counts.where(F.col("h") != F.lit(END - (1 << 64) if END >> 63 else END)).orderBy(F.desc("c"), "h").limit(HEAD).collect()
+        # the least count that the head takes: words with one count are in or out together
+        step = F.when(F.col("c") < 4096, F.col("c")).otherwise(F.lit(4096) + F.floor(F.log2(F.col("c").cast("double") / 4096) * 64).cast("long"))
+        words = counts.where(F.col("h") != F.lit(END - (1 << 64) if END >> 63 else END)).withColumn("step", step)
+        least, room = 1 << 62, HEAD
+        for r in words.groupBy("step").count().orderBy(F.desc("step")).collect():  # some thousand rows at any size
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["step"]
+        head = words.where(F.col("step") >= least).select("h", "c").orderBy(F.desc("c"), "h").collect()
         ends = counts.where(F.col("h") == F.lit(END - (1 << 64) if END >> 63 else END)).agg(F.sum("c")).first()[0] or 0
         self.docs = ends
         h = np.array([r["h"] for r in head], np.int64).view(np.uint64)
