@@ -311,7 +311,7 @@ def lease_json(t: Tables) -> DataFrame:
 def metrics(t: Tables) -> DataFrame:
     """Counters over the command log by lane."""
     names = ("published", "delayed", "leased", "dead_lettered", "acked")
-    return t.messages.groupBy(F.element_at(F.array(*map(F.lit, names)), F.col("fate").cast("int")).alias("metric"), "lane").agg(F.count(F.lit(1)).alias("value"))
+    return t.fates.groupBy(F.element_at(F.array(*map(F.lit, names)), F.col("fate").cast("int")).alias("metric"), "lane").agg(F.count(F.lit(1)).alias("value"))
 
 
 @op("snk_08", "SELECT concat(lane, ': ', ready, ' ready, ', delayed, ' delayed, ', inflight, ' in flight in ', groups_n, ' groups') AS line FROM (SELECT lane, CAST(sum(ready) AS BIGINT) AS ready, CAST(sum(delayed_n) AS BIGINT) AS delayed, CAST(sum(inflight) AS BIGINT) AS inflight, count(*) AS groups_n FROM groups_t GROUP BY lane)")

@@ -118,7 +118,7 @@ op("cmd_11", f"SELECT lane, group_id FROM (SELECT lane, group_id, coalesce(max_b
 @op("cmd_12", "SELECT lane, group_id, CAST(count(*) FILTER (WHERE fate IN (1, 2)) AS BIGINT) AS affected, CAST(count(*) FILTER (WHERE fate = 3) AS BIGINT) AS total_after FROM messages WHERE group_id IN ('g1', 'g3') GROUP BY lane, group_id")
 def cancelled(t: Tables, groups: tuple[str, ...] = ("g1", "g3")) -> DataFrame:
     """Cancel drops ready and delayed messages and leaves leased ones."""
-    m = t.messages.where(F.col("group_id").isin(*groups)).groupBy("lane", "group_id")
+    m = t.fates.where(F.col("group_id").isin(*groups)).groupBy("lane", "group_id")
     return m.agg(F.count_if(F.col("fate").isin(1, 2)).alias("affected"), F.count_if(F.col("fate") == 3).alias("total_after"))
 
 
@@ -407,7 +407,7 @@ def dedup(t: Tables, window_ms: int = _DEDUP_WINDOW) -> DataFrame:
         rows = pdf.sort_values("event_id")
         return pd.DataFrame({"event_id": rows["event_id"], "accepted": list(fold_dedup(rows["enqueue_ms"].tolist(), window_ms))})
 
-    return t.messages.select("lane", "dedup_key", "event_id", "enqueue_ms").groupBy("lane", "dedup_key").applyInPandas(run, "event_id long, accepted boolean")
+    return t.fates.select("lane", "dedup_key", "event_id", "enqueue_ms").groupBy("lane", "dedup_key").applyInPandas(run, "event_id long, accepted boolean")
 
 
 op("st_06", RAW["wf_08"])(durable_timers)

@@ -198,7 +198,7 @@ def served_rates(t: Tables) -> DataFrame:
 @op("agg_15", "SELECT lane, group_id, CAST(count(*) AS BIGINT) AS affected FROM messages WHERE fate IN (1, 2) AND group_id = 'g4' GROUP BY lane, group_id")
 def cancel_affected(t: Tables, group: str = "g4") -> DataFrame:
     """What cancelling or purging a group drops: its ready and delayed rows; leased ones stay."""
-    return t.messages.where(F.col("fate").isin(1, 2) & (F.col("group_id") == group)).groupBy("lane", "group_id").agg(F.count(F.lit(1)).alias("affected"))
+    return t.fates.where(F.col("fate").isin(1, 2) & (F.col("group_id") == group)).groupBy("lane", "group_id").agg(F.count(F.lit(1)).alias("affected"))
 
 
 @op("agg_16", "SELECT string_agg(lane, ',' ORDER BY lane) AS lanes, CAST(sum(n) AS BIGINT) AS total FROM (SELECT lane, count(*) AS n FROM live WHERE group_id = 'g5' GROUP BY lane)")
@@ -414,6 +414,6 @@ def timer_index(t: Tables) -> DataFrame:
 @op("set_04", "SELECT coalesce(p.lane, s.lane) AS lane, CAST(coalesce(p.n, 0) AS BIGINT) AS published, CAST(coalesce(s.n, 0) AS BIGINT) AS served FROM (SELECT lane, count(*) AS n FROM messages WHERE lane <> 'view' GROUP BY lane) p FULL JOIN (SELECT lane, count(*) AS n FROM served WHERE lane <> 'error' GROUP BY lane) s ON s.lane = p.lane")
 def lanes_seen(t: Tables) -> DataFrame:
     """Lanes seen by either counter, with zero where one has not seen them."""
-    p = t.messages.where("lane <> 'view'").groupBy("lane").agg(F.count(F.lit(1)).alias("p"))
+    p = t.fates.where("lane <> 'view'").groupBy("lane").agg(F.count(F.lit(1)).alias("p"))
     s = t.served.where("lane <> 'error'").groupBy("lane").agg(F.count(F.lit(1)).alias("s"))
     return p.join(s, "lane", "full").select("lane", F.coalesce("p", F.lit(0)).alias("published"), F.coalesce("s", F.lit(0)).alias("served"))

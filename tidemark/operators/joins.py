@@ -109,7 +109,7 @@ def authorized_calls(t: Tables) -> DataFrame:
 @op("jn_10", "SELECT lane, group_id, msg_id FROM messages m WHERE fate = 1 AND NOT EXISTS (SELECT 1 FROM messages d WHERE d.fate = 5 AND d.lane = m.lane AND d.dedup_key = m.dedup_key)")
 def fresh_keys(t: Tables) -> DataFrame:
     """Messages whose dedup key no live window holds."""
-    held = t.messages.where("fate = 5").select("lane", "dedup_key")
+    held = t.fates.where("fate = 5").select("lane", "dedup_key")
     return t.messages.where("fate = 1").join(held, ["lane", "dedup_key"], "left_anti").select(*KEYS)
 
 

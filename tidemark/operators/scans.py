@@ -73,7 +73,7 @@ def publish(t: Tables) -> DataFrame:
 )
 def publish_batch(t: Tables, size: int = 50) -> DataFrame:
     """Atomic batches: one bad item aborts all; inside a batch a (lane, dedup key) repeats the first item."""
-    rows = t.messages.withColumn("batch", F.floor(F.col("event_id") / size)).withColumn("bad", F.col("event_id") % 1000 == 17)
+    rows = t.fates.withColumn("batch", F.floor(F.col("event_id") / size)).withColumn("bad", F.col("event_id") % 1000 == 17)
     first = Window.partitionBy("batch", "lane", "dedup_key")
     whole = Window.partitionBy("batch")
     rows = rows.withColumn("original", F.min("event_id").over(first)).withColumn("failed", F.max("bad").over(whole))
@@ -104,7 +104,7 @@ def cron_source(t: Tables) -> DataFrame:
 def work_frames(t: Tables) -> DataFrame:
     """Typed client frames of the work stream, counted by lane; streaming.served reads them as a stream."""
     kinds = ("lease_requests", "acks", "nacks", "extends", "completes")
-    return t.messages.groupBy("lane").agg(*[F.count_if(F.col("event_id") % 5 == i).alias(k) for i, k in enumerate(kinds)])
+    return t.fates.groupBy("lane").agg(*[F.count_if(F.col("event_id") % 5 == i).alias(k) for i, k in enumerate(kinds)])
 
 
 @op("src_12", "SELECT CAST(i AS BIGINT) AS i, concat('g-', CAST(i % 10 AS VARCHAR)) AS group_id, concat('lane-', CAST((i + 3) % 4 AS VARCHAR)) AS lane FROM (SELECT unnest(range(1000)) AS i)")

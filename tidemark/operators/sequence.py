@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 WIDTH = 65_536
 
 
-def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str) -> DataFrame:
-    """name: 1-based row number by order inside keys; bucket must not decrease along order."""
+def bucketed_counts(df: DataFrame, keys: list[str], bucket: Column, order: list, counters: dict[str, Column | None]) -> DataFrame:
+    """Running counts by order inside keys, this row included: of all rows (None) or of those with a condition.
+
+    bucket must not decrease along order. Keys and bucket must not be null (domain keys never are). The join
+    has the window's own partitioning, so rows are shuffled once.
+    """
     cut = df.withColumn("_b", bucket)
-    counts = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    count = {n: F.count(F.lit(1)) if c is None else F.count_if(c) for n, c in counters.items()}
+    sizes = cut.groupBy(*keys, "_b").agg(*[c.alias(f"_n_{n}") for n, c in count.items()])
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    at = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    numbered = cut.withColumn("_at", at).alias("x").join(shifts.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*keys, "_b"]])
-    return numbered.select("x.*", (F.col("y._shift") + F.col("x._at")).cast("long").alias(name)).drop("_b", "_at")
+    shifts = sizes.select(*keys, "_b", *[F.coalesce(F.sum(f"_n_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in count])
+    so_far = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cut.withColumns({n: c.over(so_far) for n, c in count.items()}).join(shifts, [*keys, "_b"])
+    return numbered.withColumns({n: (F.col(n) + F.col(f"_s_{n}")).cast("long") for n in count}).drop("_b", *[f"_s_{n}" for n in count])
+
+
+def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str) -> DataFrame:
+    """name: 1-based row number by order inside keys; see bucketed_counts."""
+    return bucketed_counts(df, keys, bucket, order, {name: None})
 
 
 def global_row_number(df: DataFrame, key: str, name: str, width: int = WIDTH) -> DataFrame:

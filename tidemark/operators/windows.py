@@ -138,7 +138,7 @@ def attempts_and_epochs(t: Tables) -> DataFrame:
 
 @op("win_14", "SELECT lane, dedup_key, min(event_id) AS event_id FROM messages GROUP BY lane, dedup_key")
 def first_wins(t: Tables) -> DataFrame:
-    return t.messages.groupBy("lane", "dedup_key").agg(F.min("event_id").alias("event_id"))
+    return t.fates.groupBy("lane", "dedup_key").agg(F.min("event_id").alias("event_id"))
 
 
 @op("win_15", "SELECT seq, lane, group_id FROM served WHERE seq > (SELECT max(seq) FROM served) - 40")

@@ -26,8 +26,8 @@ _K = """SELECT m.lane, m.group_id, m.msg_id, weight, CAST(row_number() OVER (PAR
 def ready_ranked(t: Tables) -> DataFrame:
     """Ready messages of unpaused groups with weight, place k in their group and its backlog n."""
     g = t.groups.where("NOT paused AND ready > 0").select("lane", "group_id", "weight", F.col("ready").alias("n"))
-    rows = t.messages.where(F.col("fate") == READY).select("lane", "group_id", "msg_id").join(F.broadcast(g), ["lane", "group_id"])
-    return grouped_row_number(rows, ["lane", "group_id"], "msg_id", "k")
+    rows = t.numbered.where(F.col("fate") == READY).select("lane", "group_id", "msg_id", F.col("ready_no").alias("k"))
+    return rows.join(F.broadcast(g), ["lane", "group_id"])
 
 
 def ordered(rows: DataFrame, bucket: Column, order: list) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import global_row_number, grouped_row_number
+from tidemark.operators.sequence import bucketed_counts, global_row_number, grouped_row_number
 
 ASOF_MS = 1706659200000
 READY, DELAYED, LEASED, DEAD, ACKED = 1, 2, 3, 4, 5
@@ -39,11 +39,11 @@ class Tables:
         return self.read("events")
 
     @cached_property
-    def messages(self) -> DataFrame:
-        """One row per published message; fate says what became of it."""
+    def fates(self) -> DataFrame:
+        """One row per published message, before numbering; fate says what became of it."""
         e, at = F.col("event_id"), ms("ts")
         r = e % 10
-        base = self.events.select(
+        return self.events.select(
             F.col("event_type").alias("lane"),
             F.concat(F.lit("g"), (F.col("user_id") % 8).cast("string")).alias("group_id"),
             "event_id",
@@ -54,7 +54,17 @@ class Tables:
             F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), (e % 3).cast("string")).alias("dedup_key"),
             F.when(r < 5, READY).when(r == 5, DELAYED).when(r < 8, LEASED).when(r == 8, ACKED).otherwise(DEAD).cast("long").alias("fate"),
         )
-        return grouped_row_number(base, ["lane", "group_id"], "event_id", "msg_id")
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """fates with msg_id, and ready_no: how many of the group's messages up to this one are ready."""
+        bucket = F.floor(F.col("event_id") / (1 << 22))
+        return bucketed_counts(self.fates, ["lane", "group_id"], bucket, ["event_id"], {"msg_id": None, "ready_no": F.col("fate") == READY})
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        """One row per published message, numbered inside its group."""
+        return self.numbered.drop("ready_no")
 
     @cached_property
     def live(self) -> DataFrame:
@@ -65,11 +75,11 @@ class Tables:
     def groups(self) -> DataFrame:
         """One row per group, with counters recomputed from its messages; weights are powers of two."""
         n = lambda k: F.count_if(F.col("fate") == k)
-        out = self.messages.groupBy("lane", "group_id").agg(
+        out = self.fates.groupBy("lane", "group_id").agg(
             n(READY).alias("ready"),
             n(DELAYED).alias("delayed_n"),
             n(LEASED).alias("inflight"),
-            (F.max("msg_id") + 1).alias("next_seq"),
+            (F.count(F.lit(1)) + 1).alias("next_seq"),  # ids have no gaps
             F.max("enqueue_ms").alias("last_activity_ms"),
         )
         weight = F.when(F.col("group_id").isin("g0", "g4"), 1.0).when(F.col("group_id").isin("g1", "g5"), 2.0)
