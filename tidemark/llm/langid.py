@@ -36,11 +36,16 @@ _DIGIT, _NUMBER = re.compile("[0-9]"), re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def has_letter(text: str) -> bool:
+    m = _LETTER.search(text)
+    return m is not None and (m.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def _words(text: str) -> list[str]:
     """Lower-case words; those that hold a digit (numbers, keys, addresses) say nothing about the language."""
     if _DIGIT.search(text):
         plain = _NUMBER.sub(" ", text)
-        if _LETTER.search(plain):
+        if has_letter(plain):
             text = plain
     return text.lower().split()
 
@@ -174,7 +179,7 @@ class KneserNey:
 
     def calibrate(self, held: dict[str, list[str]]) -> None:
         for j, lang in enumerate(self.langs):
-            texts = [t for t in held.get(lang, []) if _LETTER.search(t)]
+            texts = [t for t in held.get(lang, []) if has_letter(t)]
             if texts:
                 bits, size = self.text_bits(texts, Memo(len(self.langs)))
                 own = np.sort((bits[:, j] - MARGIN * 8 / np.sqrt(np.maximum(size, 1))))
@@ -182,7 +187,7 @@ class KneserNey:
 
     def predict(self, texts: list[str | None], memo: Memo) -> list[tuple[str, float, float | None, bool]]:
         """(label, score, bits per character, rejected) of each text."""
-        live = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        live = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         out = [("und", 0.0, None, True)] * len(texts)
         for a in range(0, len(live), 256):
             part = live[a : a + 256]
