@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,12 +34,34 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpoint
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-GIANT, CHUNK, MEMO = 50_000, 16_384, 400_000
+GIANT, CHUNK, MEMO = 50_000, 16_384, 500_000
 MARK = "\u2581"  # the space mark
 STAND_IN = "\ue000"  # holds the place of a literal mark in chunks of giant texts
 LOW = -(1 << 60)
 
 
+# Parts of a text that no piece crosses: always before a run of marks and around newlines ...
+_UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+# ... and between signs and other characters, where the vocabulary never joins the two: see _signs.
+_FINE = "{m}*[{s}]+|{m}*[^{s}{m}\n]+|{m}+|\n"
+
+
+def _signs(pieces: list[str]) -> set[str]:
+    """The characters that pieces join, over any number of steps, with a full stop but not with an a."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:], strict=False):
+            if MARK not in (a, b):
+                root[find(a)] = find(b)
+    return set() if find(".") == find("a") else {c for c in list(root) if find(c) == find(".") and c != "\n"}
+
+
 class Pieces:
     """A vocabulary with integer scores (the file's, in thousandths)."""
 
@@ -67,18 +88,20 @@ class Pieces:
             self.adds[i] = chr(b)
             self.high[i] = b > 127
         self._matches = None
+        signs = _signs(list(self.id))
+        self.units = re.compile(_FINE.format(m=MARK, s="".join(map(re.escape, sorted(signs))))) if signs else _UNITS
 
     def __getstate__(self):
         return self.__dict__ | {"_matches": None}
 
     def matches(self, s: str):
-        """(last place, (length, score)) of every piece in s; by place, longest first."""
+        """(last place, (length, score, id)) of every piece in s; by place, longest first."""
         if self._matches is None:
             import ahocorasick
 
             self._matches = ahocorasick.Automaton()
             for piece, w in self.score.items():
-                self._matches.add_word(piece, (len(piece), w))
+                self._matches.add_word(piece, (len(piece), w, self.id[piece]))
             self._matches.make_automaton()
         return self._matches.iter(s)
 
@@ -89,66 +112,63 @@ class Pieces:
         return [self.bytes.get(b, self.unknown_id) for b in piece.encode("utf-8", "surrogatepass")]
 
 
-_UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-
-
 def _prepared(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
 
-def best_path(p: Pieces, s: str) -> tuple[int, list[str]]:
-    """Score and pieces of the best path through s; of equal ones the last piece is the longest."""
+def best_path(p: Pieces, s: str) -> tuple[int, list[int]]:
+    """Score and ids of the best path through s; of equal ones the last piece is the longest."""
     n = len(s)
-    best, back = [0] + [LOW] * n, [0] * (n + 1)
+    best, back, ids = [0] + [LOW] * n, [0] * (n + 1), [-1] * (n + 1)
     odd = [i for i, c in enumerate(s) if c not in p.chars] if not p.chars.issuperset(s) else []
     at = 0
-    for last, (size, w) in p.matches(s):
+    for last, (size, w, i) in p.matches(s):
         while at < len(odd) and odd[at] < last:  # characters outside the vocabulary end no piece
             k = odd[at]
             best[k + 1], back[k + 1] = best[k] + p.unknown, k
             at += 1
-        total = best[last + 1 - size] + w
-        if total > best[last + 1]:
-            best[last + 1], back[last + 1] = total, last + 1 - size
+        end = last + 1
+        total = best[end - size] + w
+        if total > best[end]:
+            best[end], back[end], ids[end] = total, end - size, i
     for k in odd[at:]:
         best[k + 1], back[k + 1] = best[k] + p.unknown, k
     out, end = [], n
     while end:
-        out.append(s[back[end] : end])
+        out.extend((ids[end],) if ids[end] >= 0 else p.spell(s[end - 1])[::-1])
         end = back[end]
     return best[n], out[::-1]
 
 
 class _Memo(dict):
-    """unit -> its ids; emptied at MEMO units, which bounds its memory."""
+    """unit -> its ids as 32-bit numbers; emptied at MEMO units, which bounds its memory."""
 
     def __init__(self, p: Pieces):
         self.p = p
 
-    def __missing__(self, unit: str) -> list[int]:
-        ids = self[unit] = [i for piece in best_path(self.p, unit)[1] for i in self.p.spell(piece)]
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = np.array(best_path(self.p, unit)[1], "<i4").tobytes()
         return ids
 
 
 class Encoder:
     def __init__(self, pieces: Pieces):
         self.p, self.memo = pieces, _Memo(pieces)
+        self.literal = np.array(pieces.spell_literal, "<i4").tobytes()
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        if MARK in text:  # spelled in bytes, each by itself
-            parts = text.split(MARK)
-            ids = self.units(_prepared(parts[0]))
-            for part in parts[1:]:
-                ids += self.p.spell_literal + self.units(part.replace(" ", MARK))
-            return ids
-        return self.units(_prepared(text))
-
-    def units(self, s: str) -> list[int]:
+            return np.zeros(0, np.int32)
+        first, *rest = text.split(MARK)  # a literal mark is spelled in bytes, by itself
+        parts = [self.units(_prepared(first))]
+        for part in rest:
+            parts += [self.literal, self.units(part.replace(" ", MARK))]
+        return np.frombuffer(b"".join(parts), "<i4")
+
+    def units(self, s: str) -> bytes:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        return list(chain.from_iterable(map(self.memo.__getitem__, _UNITS.findall(s))))
+        return b"".join(map(self.memo.__getitem__, self.p.units.findall(s)))
 
 
 load = Pieces
@@ -185,9 +205,9 @@ def _edges(p: Pieces, s: str, start: int, n: int):
         yield start + 1, p.unknown
 
 
-def _cuts(s: str, n: int) -> list[int]:
+def _cuts(p: Pieces, s: str, n: int) -> list[int]:
     """Places in 1..n that no piece spans, ascending: where units meet."""
-    return [m.end() for m in _UNITS.finditer(s.replace(STAND_IN, "\n")) if m.end() <= n and m.end() < len(s)] + ([n] if n == len(s) else [])
+    return [m.end() for m in p.units.finditer(s.replace(STAND_IN, "\n")) if m.end() <= n and m.end() < len(s)] + ([n] if n == len(s) else [])
 
 
 def _spread(p: Pieces, s: str, start: int, n: int) -> np.ndarray:
@@ -206,7 +226,7 @@ def _spread(p: Pieces, s: str, start: int, n: int) -> np.ndarray:
 
 def transfer(p: Pieces, s: str, n: int) -> np.ndarray:
     """longest x longest matrix: best score from entry overhang to exit overhang."""
-    size, cuts = p.longest, _cuts(s, n)
+    size, cuts = p.longest, _cuts(p, s, n)
     if not cuts:
         return _spread(p, s, 0, n)[:, n : n + size].clip(min=LOW)
     head = _spread(p, s, 0, cuts[0])[:, cuts[0]]
@@ -255,13 +275,12 @@ def _trace(p: Pieces, s: str, start: int, n: int, stop: int) -> list[int]:
 
 def backtrace(encoder: Encoder, s: str, n: int, entry: int, leave: int) -> list[int]:
     """Ids of the pieces that begin in the chunk, between its entry and exit states."""
-    p, cuts = encoder.p, _cuts(s, n)
+    p = encoder.p
+    cuts = _cuts(p, s, n)
     if not cuts:
         return _trace(p, s, entry, n, n + leave)
-    ids = _trace(p, s, entry, cuts[0], cuts[0])
-    for u in _between(s, cuts):
-        ids += p.spell_literal if u == STAND_IN else encoder.memo[u]
-    return ids + _trace(p, s, cuts[-1], n, n + leave)
+    middle = b"".join(encoder.literal if u == STAND_IN else encoder.memo[u] for u in _between(s, cuts))
+    return _trace(p, s, entry, cuts[0], cuts[0]) + np.frombuffer(middle, "<i4").tolist() + _trace(p, s, cuts[-1], n, n + leave)
 
 
 def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
@@ -316,7 +335,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounds the ids held at a time
                 part = batch.slice(at, 500)
-                ids = [np.array(encoder.encode(t.as_py()), np.int32) for t in part.column(1)]
+                ids = [encoder.encode(t.as_py()) for t in part.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "text", "ids"])
