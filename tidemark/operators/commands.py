@@ -401,13 +401,26 @@ _DEDUP_WINDOW = 86_400_000
     SELECT m.event_id, a.event_id IS NOT NULL AS accepted FROM messages m LEFT JOIN acc a ON a.event_id = m.event_id""",
 )
 def dedup(t: Tables, window_ms: int = _DEDUP_WINDOW) -> DataFrame:
-    """Publishes accepted under the deduplication window (a day here, events being sparse)."""
+    """Publishes accepted under the deduplication window (a day here, events being sparse).
+
+    A publish that follows the one before it by a window or more is accepted whatever came earlier, so keys
+    fall into sessions. In a session shorter than the window only the first is accepted; the fold runs on
+    longer sessions alone.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("event_id")
         return pd.DataFrame({"event_id": rows["event_id"], "accepted": list(fold_dedup(rows["enqueue_ms"].tolist(), window_ms))})
 
-    return t.fates.select("lane", "dedup_key", "event_id", "enqueue_ms").groupBy("lane", "dedup_key").applyInPandas(run, "event_id long, accepted boolean")
+    key = ["lane", "dedup_key"]
+    w = Window.partitionBy(*key).orderBy("event_id")
+    gap = F.col("enqueue_ms") - F.lag("enqueue_ms").over(w)
+    m = t.fates.select(*key, "event_id", "enqueue_ms").withColumn("starts", gap.isNull() | (gap >= window_ms))
+    m = m.withColumn("session", F.count_if("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = Window.partitionBy(*key, "session")
+    m = m.withColumn("long", F.max("enqueue_ms").over(s) - F.min("enqueue_ms").over(s) >= window_ms)
+    folded = m.where("long").groupBy(*key, "session").applyInPandas(run, "event_id long, accepted boolean")
+    return m.where("NOT long").select("event_id", F.col("starts").alias("accepted")).union(folded)
 
 
 op("st_06", RAW["wf_08"])(durable_timers)
