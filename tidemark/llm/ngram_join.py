@@ -2,16 +2,20 @@
 
 A document is its set of distinct word shingles, as 64-bit hashes. Equal sets form one class, and the
 join runs over classes. Shingles have a global order, common ones last (commonness from a count sketch
-of fixed size; the order affects cost, never results). Two sets at or above the threshold share a
-shingle among the first n - ceil(t * n) + 1 of each, so only those prefixes are dealt by shingle.
-
-Round 1 forms groups of similar documents: in each shingle's list, in bands of compatible size, every
-class is compared with the band's first one, and linked classes become a group. Round 2 is the
-token-group matrix: each group that shares a prefix shingle with a class outside it is stored as its
-members' token union; |query & union| bounds the overlap with any member, and only groups whose bound
-reaches t * |query| are opened, until one link is found. Every pair that shares a prefix shingle is
-thus compared or already connected: no link between components is lost, and no list emits all its
-pairs. Groups are stored in blocks of BLOCK members and a leader's followers are dealt in blocks too.
+of fixed size; the order affects cost, never results). Of the first n - ceil(t * n) + l shingles of each,
+with l = 1 + n // 10, two linked sets share at least the smaller l, so only these prefixes are dealt by
+shingle.
+
+Round 1 forms groups of similar documents. A shingle's list of at most SHORT classes counts every pair;
+a pair is compared when its count reaches l. In a longer list, in bands of compatible size, every class
+is compared with the band's first one only. Linked classes become a group. Round 2 is for pairs with a
+longer list in common: classes that such lists connect are partitioned into blocks of about BLOCK, by
+group where a group is large and by size where the partition is, and the token-group matrix of two
+blocks is their token unions: |query & union| bounds the overlap with any member of the other block, and
+only what reaches t * |query| is opened. Opened sets meet through postings, and a task keeps the links
+that join groups, not all. Pairs of blocks within one group, or of incompatible size, never meet. Every
+pair that may link is thus compared or already connected: no link between components is lost, and no
+list emits all its pairs. A leader's followers are dealt in blocks too.
 
 Edge cases: null text and texts without words have n_shingles 0, link with nothing and are their own
 component; fewer words than the shingle length make one shingle; equal sets always link; rows without
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, small_or_shuffled
 from tidemark.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
-SLOT_BITS, BLOCK, CHUNK_TOKENS, BUCKET_TOKENS = 20, 256, 1_000_000, 3_000_000
+SLOT_BITS, BLOCK, SHORT, CHUNK_TOKENS, BUCKET_TOKENS = 22, 1024, 32, 1_000_000, 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +54,7 @@ def shingles(text: str | None, words: _Words, width: int = WIDTH) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    if len(words) > 600_000:
+    if len(words) > 150_000:
         words.clear()
     h = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
     n = min(width, len(h))
@@ -76,6 +80,11 @@ def least_overlap(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def common_least(n):
+    """How many shingles two linked sets of at least n share among their prefixes."""
+    return 1 + n // 10
+
+
 def linked(n: int, m: int, shared: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
@@ -134,7 +143,7 @@ def _key():
 
 
 def _common(sets: DataFrame) -> np.ndarray:
-    """Bit per sketch slot: whether its shingles count as common. 128 KB at any input size."""
+    """Bit per sketch slot: whether its shingles count as common. 512 KB at any input size."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SLOT_BITS) // 16, np.uint64)
@@ -149,20 +158,20 @@ def _common(sets: DataFrame) -> np.ndarray:
     for r in merged.collect():
         total[r["row"]] = _get(r["sketch"])
     total = total.reshape(-1)
-    return total > 3 * total.mean() + 32
+    return total > total.mean() + 6 * np.sqrt(total.mean()) + 16
 
 
 def prefix(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The first shingles in the global order (common last, then by hash), enough to meet every link."""
-    k = len(s) - least_overlap(len(s), percent) + 1
+    k = len(s) - least_overlap(len(s), percent) + common_least(len(s))
     late = common[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-    return np.concatenate([s[~late], s[late]])[:k]
+    return np.concatenate([s[~late], s[late]])[:k].copy()  # not a view that keeps the whole set
 
 
 # ---------------------------------------------------------------- candidates
 
 LISTS = "bucket int, tokens binary, docs binary, n binary, s1 binary, s2 binary"
-PAIRS = "kind int, a1 long, a2 long, b1 long, b2 long, list long, n int"
+PAIRS = "kind int, a1 long, a2 long, b1 long, b2 long, list long, times long, least int"
 
 
 def _dealt(docs: DataFrame, common: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
@@ -208,42 +217,54 @@ def _dealt(docs: DataFrame, common: np.ndarray, buckets: int, width: int, percen
     return docs.select("text").mapInArrow(scan, LISTS)
 
 
-def candidates_of(tokens: np.ndarray, node: np.ndarray, n: np.ndarray, name: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """From (token, node) entries: pairs (leader, follower), and (list, node) of lists of three or more.
-
-    Lists are cut where sizes stop being compatible with the leader's; bands overlap by restarting at
-    the first node too large, and the list itself goes to round 2 whole. Equal lists are kept once.
+def candidates_of(tokens: np.ndarray, node: np.ndarray, n: np.ndarray, name: np.ndarray, percent: int, limit: int = SHORT):
+    """From distinct (token, node) entries: counted pairs of short lists (a, b, count), pairs of longer
+    lists (leader, follower, count), members of longer lists (list, node, count), and nodes' entries in
+    short lists that they share (node, count). n and name are by node; a pair's first node is the smaller
+    by (size, name).
     """
     order = np.lexsort((name[node], n[node], tokens))
     tokens, node = tokens[order], node[order]
     start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(tokens)))
-    start, size = start[size > 1], size[size > 1]
-    pairs, lists, seen = [], [], set()
-    for a, k in zip(start, size, strict=True):
+    # short lists, all at once: entries k apart in one list
+    left = np.repeat(start + size, size) - np.arange(len(tokens))  # entries from here to the list's end
+    short = np.repeat(size <= limit, size)
+    found = []
+    for k in range(1, limit):
+        at = np.flatnonzero(short & (left > k))
+        if not len(at):
+            break
+        a, b = node[at], node[at + k]
+        fit = 100 * n[a] >= percent * n[b]
+        found.append(a[fit].astype(np.uint64) << np.uint64(32) | b[fit].astype(np.uint64))
+    pairs = _counted(np.concatenate(found) if found else np.zeros(0, np.uint64))
+    few = np.stack(np.unique(node[short & np.repeat(size > 1, size)], return_counts=True))
+    # longer lists: bands of compatible size, each with a leader; equal lists are one, with a count
+    lists: dict[int, list] = {}
+    for a, k in zip(start[size > limit], size[size > limit], strict=True):
         own = node[a : a + k]
-        stamp = own.tobytes() if k < 64 else xxh64_intdigest(own.tobytes())
-        if stamp in seen:
-            continue
-        seen.add(stamp)
-        sizes = n[own]
-        i = 0
+        lists.setdefault(xxh64_intdigest(np.sort(name[own]).tobytes()), [own, 0])[1] += 1
+    leads, held = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
+    for stamp, (own, times) in lists.items():
+        sizes, i, k = n[own], 0, len(own)
         while i < k - 1:
             last = int(np.searchsorted(sizes, 100 * int(sizes[i]) // percent, "right"))
-            if last - i > 1:
-                pairs.append(np.stack([np.full(last - i - 1, own[i]), own[i + 1 : last]]))
-            i = max(last, i + 1)
-        if k > 2:
-            lists.append(own)
-    found = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    if lists:
-        ids = np.concatenate([np.full(len(x), xxh64_intdigest(np.sort(name[x]).tobytes()), np.uint64) for x in lists])
-        return found, np.stack([ids.view(np.int64), np.concatenate(lists)])
-    return found, np.zeros((2, 0), np.int64)
+            band = np.uint64(own[i]) << np.uint64(32) | own[i + 1 : last].astype(np.uint64)
+            leads.append(np.repeat(band, times))
+            i = last
+        held.append(np.stack([np.full(k, stamp, np.uint64).view(np.int64), own, np.full(k, times)]))
+    return pairs, _counted(np.concatenate(leads)), np.concatenate(held, 1), few
 
 
-def _candidates(dealt: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pairs of classes to compare first; kind 1: members of lists for round 2."""
+def _counted(keys: np.ndarray) -> np.ndarray:
+    """(a, b, count) of keys a << 32 | b."""
+    u, c = np.unique(keys, return_counts=True)
+    return np.stack([(u >> np.uint64(32)).astype(np.int64), (u & np.uint64(0xFFFFFFFF)).astype(np.int64), c])
+
+
+def _candidates(dealt: DataFrame, percent: int, limit: int) -> DataFrame:
+    """kind 0: counted pairs; 1: leaders and followers; 2: members of lists for round 2; 3: entries in short lists."""
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         s1, s2 = np.concatenate([_get(x) for x in rows["s1"]]), np.concatenate([_get(x) for x in rows["s2"]])
@@ -261,27 +282,26 @@ def _candidates(dealt: DataFrame, percent: int) -> DataFrame:
         once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])])
         tokens, node = tokens[once], node[once]
         u1, u2, n = u["a"].view(np.int64), u["b"].view(np.int64), n[first]
-        pairs, lists = candidates_of(tokens, node, n, u["a"], percent)
-        k, m = pairs.shape[1], lists.shape[1]
-        zeros = np.zeros(m, np.int64)
-        return pd.DataFrame(
-            {
-                "kind": np.repeat([0, 1], [k, m]).astype(np.int32),
-                "a1": np.concatenate([u1[pairs[0]], u1[lists[1]]]),
-                "a2": np.concatenate([u2[pairs[0]], u2[lists[1]]]),
-                "b1": np.concatenate([u1[pairs[1]], zeros]),
-                "b2": np.concatenate([u2[pairs[1]], zeros]),
-                "list": np.concatenate([np.zeros(k, np.int64), lists[0]]),
-                "n": np.concatenate([np.zeros(k, np.int32), n[lists[1]].astype(np.int32)]),
-            }
-        )
+        pairs, led, held, few = candidates_of(tokens, node, n, u["a"], percent, limit)
+        kinds = [pairs.shape[1], led.shape[1], held.shape[1], few.shape[1]]
+        a = np.concatenate([pairs[0], led[0], held[1], few[0]])
+        b = np.concatenate([pairs[1], led[1], held[1], few[0]])
+        # what two linked sets share at least; a class may link with one a little smaller than itself
+        least = common_least(np.minimum(n[a], np.where(a == b, least_overlap(n[a], percent), n[b])))
+        times = np.concatenate([pairs[2], led[2], held[2], few[1]])
+        stamp = np.concatenate([np.zeros(kinds[0] + kinds[1], np.int64), held[0], np.zeros(kinds[3], np.int64)])
+        return pd.DataFrame({"kind": np.repeat(np.arange(4, dtype=np.int32), kinds), "a1": u1[a], "a2": u2[a], "b1": u1[b], "b2": u2[b], "list": stamp, "times": times, "least": least.astype(np.int32)})
 
     return dealt.groupBy("bucket").applyInPandas(find, PAIRS)
 
 
 # ---------------------------------------------------------------- comparing
 
-SIDES = "grp long, blk int, ask boolean, node long, text string"
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 1) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "text"])
 
 
 def _compare_leader(width: int, percent: int):
@@ -290,9 +310,9 @@ def _compare_leader(width: int, percent: int):
         lead = rows[~rows["ask"]]
         out = []
         if len(lead):
-            a = shingles(lead["text"].iloc[0], words, width)
+            a = shingles(zlib.decompress(lead["text"].iloc[0]).decode("utf-8", "surrogatepass"), words, width)
             for node, text in zip(rows["node"][rows["ask"]], rows["text"][rows["ask"]], strict=True):
-                b = shingles(text, words, width)
+                b = shingles(zlib.decompress(text).decode("utf-8", "surrogatepass"), words, width)
                 if linked(len(a), len(b), len(np.intersect1d(a, b, True)), percent):
                     out.append((int(lead["node"].iloc[0]), int(node)))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -300,37 +320,92 @@ def _compare_leader(width: int, percent: int):
     return compare
 
 
-def _open_groups(width: int, percent: int):
-    """Queries against one block of a group: its token union bounds the overlap before it is opened."""
+def joining_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels, at most one per join, between the sides (or within, if there is one).
 
+    The other side's token union bounds a set's overlap; sets that it rules out are not opened.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    alive = np.ones(len(sets), bool)
+    two = bool(side.any())
+    if two:
+        for a in (0, 1):
+            others = [s for s, b in zip(sets, side, strict=True) if b != a]
+            union = np.unique(np.concatenate(others)) if others else np.zeros(0, np.uint64)
+            for i in np.flatnonzero(side == a):
+                alive[i] = len(np.intersect1d(sets[i], union, True)) >= least_overlap(size[i], percent)
+    left = np.flatnonzero(alive & (side == 0))
+    right = np.flatnonzero(alive & (side == 1)) if two else left
+    if not len(left) or not len(right):
+        return []
+    # postings of the right side
+    tokens = np.concatenate([sets[i] for i in right])
+    who = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(tokens, kind="stable")
+    tokens, who = tokens[order], who[order]
+    root = {x: x for x in set(label.tolist())}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, i in enumerate(left):
+        lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        spans = hi - lo
+        total = int(spans.sum())
+        if not total:
+            continue
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(total)
+        shared = np.bincount(who[at], minlength=len(right))
+        fits = np.flatnonzero(100 * shared >= percent * (size[i] + size[right] - shared))
+        for m in fits if two else fits[fits > k]:
+            a, b = find(int(label[i])), find(int(label[right[m]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(i), int(right[m])))
+    return out
+
+
+def _open_blocks(width: int, percent: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         words = _Words()
-        sets = [(int(g), int(x), shingles(t, words, width)) for g, x, t in zip(rows["grp"], rows["node"], rows["text"], strict=True)]
-        ask = rows["ask"].to_numpy()
-        members = [s for s, q in zip(sets, ask, strict=True) if not q]
-        out = []
-        if members:
-            union = np.unique(np.concatenate([s for _, _, s in members]))
-            for (g, x, s), q in zip(sets, ask, strict=True):
-                if not q or len(np.intersect1d(s, union, True)) < least_overlap(len(s), percent):
-                    continue
-                for _, y, t in members:
-                    small, large = sorted((len(s), len(t)))
-                    if 100 * small >= percent * large and linked(len(s), len(t), len(np.intersect1d(s, t, True)), percent):
-                        out.append((x, y))
-                        break
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        sets = [shingles(zlib.decompress(t).decode("utf-8", "surrogatepass"), words, width) for t in rows["text"]]
+        node = rows["node"].to_numpy()
+        found = joining_links(sets, rows["label"].to_numpy(), rows["side"].to_numpy(), percent)
+        return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"]).astype("int64")
 
     return compare
 
 
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """placed (node, label, n, part) with blk: its block inside its part.
+
+    A part of up to BLOCK classes is one block. Of a larger one, a label with over BLOCK classes has its own
+    blocks; the others are cut by size, in steps of 4 percent, and by hash where still too many.
+    """
+    many = placed.groupBy("part").agg((F.count(F.lit(1)) > block).alias("many"))
+    big = placed.groupBy("label").agg((F.count(F.lit(1)) > block).alias("big"))
+    cut = placed.join(many, "part").join(big, "label")
+    own = F.when(F.col("big"), F.col("label"))
+    band = F.when(F.col("many"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.04))).cast("int")).otherwise(0)
+    cut = cut.withColumn("own", F.coalesce(own, F.lit(-1).cast("long"))).withColumn("band", band)
+    pieces = cut.groupBy("part", "own", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))
+    cut = cut.join(pieces, ["part", "own", "band"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    return cut.withColumn("blk", F.xxhash64("part", "own", "band", "piece"))
+
+
 def _block(of: DataFrame, key: str) -> DataFrame:
-    """of with blks: in how many blocks of about BLOCK rows its key's rows are dealt."""
-    sizes = of.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blks"))
+    """of with blks: in how many blocks of about 256 rows its key's rows are dealt."""
+    sizes = of.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("blks"))
     return of.join(sizes, key)
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def ngram_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK
+) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sets = checkpoint(_sets(docs, width))
@@ -338,21 +413,32 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     live = own.where("n > 0")
     classes = live.groupBy("s1", "s2").agg(
         F.min("doc_id").alias("least_id"),
+        F.first("n").alias("n"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "key")).alias("f"),
     )
-    classes = checkpoint(classes.select("s1", "s2", "least_id", F.col("f.row").alias("node"), F.col("f.key").alias("key")))
+    classes = checkpoint(classes.select("s1", "s2", "n", "least_id", F.col("f.row").alias("node"), F.col("f.key").alias("key")))
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, -(-total * (100 - percent) // (100 * BUCKET_TOKENS)))
-    found = checkpoint(_candidates(_dealt(docs, _common(sets), buckets, width, percent), percent))
+    found = checkpoint(_candidates(_dealt(docs, _common(sets), buckets, width, percent), percent, short))
     named = classes.select("s1", "s2", "node")
     left, right = named.toDF("a1", "a2", "a"), named.toDF("b1", "b2", "b")
-    pairs = found.where("kind = 0").select("a1", "a2", "b1", "b2").distinct().join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b")
-    pairs = checkpoint(pairs)
-    lists = found.where("kind = 1").select("list", "a1", "a2").distinct().join(left, ["a1", "a2"]).select("list", F.col("a").alias("node"))
-    lists = checkpoint(lists)
+    ids = ["a1", "a2", "b1", "b2"]
+    summed = found.where("kind < 2").groupBy("kind", *ids).agg(F.sum("times").alias("times"), F.first("least").alias("least"))
+    # leaders only form groups, so weak ones may go; round 2 covers what they would have found
+    enough = F.when(F.col("kind") == 0, F.col("times") >= F.col("least")).otherwise(2 * F.col("times") >= F.col("least"))
+    pairs = summed.where(enough).select(*ids).distinct()
+    pairs = checkpoint(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b"))
+    # classes whose lists hold enough shingles for any link; times counts shingles that have the same list
+    sums = found.where("kind > 1").groupBy("a1", "a2").agg(
+        F.sum("times").alias("most"), F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("times"))), F.lit(0)).alias("few"), F.first("least").alias("least")
+    )
+    lists = found.where("kind = 2").groupBy("list", "a1", "a2").agg(F.sum("times").alias("times"))
+    lists = lists.join(sums.where("most >= least"), ["a1", "a2"]).join(left, ["a1", "a2"])
+    lists = checkpoint(lists.select("list", F.col("a").alias("node"), "times", "few", "least"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(lists.select("node")).distinct()
-    wanted = needed.join(classes.select("node", "key"), "node")
-    texts = checkpoint(docs.withColumn("key", _key()).join(wanted, "key").select("node", "text").dropDuplicates(["node"]))
+    wanted = small_or_shuffled(checkpoint(needed.join(classes.select("node", "key"), "node")))
+    texts = docs.withColumn("key", _key()).join(wanted, "key").select("node", "text").mapInArrow(_squeezed, "node long, text binary")
+    texts = checkpoint(texts.dropDuplicates(["node"]))
 
     # round 1: followers against their leaders
     dealt = _block(pairs, "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("blks")).cast("int"))
@@ -362,22 +448,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = checkpoint(sides.groupBy("grp", "blk").applyInPandas(_compare_leader(width, percent), "a long, b long"))
     label = components(links)
 
-    # round 2: classes against the groups, other than their own, that share a list with them
+    # round 2: blocks of classes that longer lists connect, each pair of blocks in one task
     def of(df: DataFrame) -> DataFrame:
         return df.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    placed = checkpoint(of(lists))
-    mixed = placed.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
-    placed = placed.join(mixed, "list", "left_semi")
-    groups = placed.select("list", F.col("label").alias("grp")).distinct()
-    asks = placed.join(groups, "list").where("label < grp").select("grp", "node").distinct()
-    members = placed.select(F.col("label").alias("grp"), "node").distinct().join(asks.select("grp").distinct(), "grp", "left_semi")
-    members = checkpoint(_block(members, "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")))
-    sizes = members.select("grp", "blks").distinct()
-    asked = asks.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("blk"), F.lit(True).alias("ask"), "node")
-    sides = asked.union(members.select("grp", "blk", F.lit(False).alias("ask"), "node")).join(texts, "node").select("grp", "blk", "ask", "node", "text")
-    more = sides.groupBy("grp", "blk").applyInPandas(_open_groups(width, percent), "a long, b long")
-    label = checkpoint(components(links.union(more)))
+    placed = of(lists.select("list", "node"))
+    mixed = placed.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo < hi")
+    placed = checkpoint(placed.join(mixed.select("list", "first"), "list"))
+    part = components(placed.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("label", "part")
+    placed = placed.select("node", "label").distinct().join(part, "node").join(classes.select("node", "n"), "node")
+    placed = checkpoint(_blocks(placed, block).select("node", "label", "n", "part", "blk"))
+    blocks = placed.groupBy("part", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    sized = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+    one_group = (F.col("x.l0") == F.col("x.l1")) & (F.col("y.l0") == F.col("y.l1")) & (F.col("x.l0") == F.col("y.l0"))
+    meet = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.blk") <= F.col("y.blk")) & sized & ~one_group)
+    meet = checkpoint(meet.select(F.col("x.blk").alias("p"), F.col("y.blk").alias("q")))
+    sides = meet.select("p", "q", F.col("p").alias("blk"), F.lit(0).alias("side")).union(meet.where("p <> q").select("p", "q", F.col("q"), F.lit(1)))
+    sides = sides.join(placed.select("blk", "node", "label"), "blk").join(texts, "node").select("p", "q", "side", "node", "label", "text")
+    more = checkpoint(sides.groupBy("p", "q").applyInPandas(_open_blocks(width, percent), "a long, b long"))
+    label = components(links.union(more))
 
     classes = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
