@@ -82,7 +82,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     bounds = optimal_boundaries(np.array([r["n"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
     total = sum(r["count"] for r in histogram)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.aggregate(edges, F.lit(0), lambda acc, b: acc + (b < F.col("n_tokens")).cast("int"))
+    # plain sums, for a lambda in a join key's definition breaks filter inference
+    bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds), F.lit(0))
     shards = max(1, -(-total // SHARD_ROWS))
     placed = rows.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
     counts = placed.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))  # buckets * shards rows
