@@ -8,7 +8,7 @@ that reach ACCEPT count as known in the next round. What the final patterns disc
 kind ctx_<seed kind>; base spans stay.
 
 Everything is DataFrame functions. Positions come from split() and regexp_extract_all(), whose pieces
-and matches alternate, so no regex needs to report offsets. Quantifiers are possessive and starts are
+and matches alternate: running sums over one text's matches give the offsets that no regex reports. Quantifiers are possessive and starts are
 anchored, so a run of any length costs linear time and no stack. Texts without a digit or @ hold no
 span and are passed over. Texts are never shuffled; the graph is, with partial sums.
 
@@ -18,10 +18,10 @@ included; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NON_WS, checkpoint, text_or_empty
+from tidemark.llm.common import checkpoint, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, CONFIDENCE, ACCEPT = 2, 3, 0.6, 0.8
@@ -63,69 +63,75 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<gap, hit>>: each match with the text between it and the one before."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
+TAIL = 80  # characters of left context that can hold two words of a lexical pattern
+WORDS = len(KINDS)  # rank of the words that hold a digit or @, beside the kinds
+PARTS = "array<struct<skip:int,left:string,hit:string>>"
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<start, end, kind>> of one base kind, by code points, end exclusive."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>").alias("found"))
+def _parts(text: Column, pattern: str) -> Column:
+    """Matches in order, each with the length and the end of the text between it and the one before."""
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    cut = F.transform(both, lambda x: F.struct(F.length(x["gap"]).alias("skip"), F.right(x["gap"], F.lit(TAIL)).alias("left"), x["hit"].alias("hit")))
+    return F.filter(cut, lambda x: x["hit"].isNotNull())
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"))
-        found = F.when(_valid(kind, x["hit"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["hit"].isNull(), acc["found"]).otherwise(found).alias("found"))
 
-    return F.aggregate(_located(text, PATTERNS[kind]), zero, step, lambda acc: acc["found"])
-
-
-def all_base_spans(text: Column) -> Column:
-    """All base spans by start, then kind as listed. Cheap tests come first: most texts hold none."""
-    none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row, doc_id, rank, pos, part: the matches of every pattern, and one row without any where there is none."""
+    text = text_or_empty(text_col)
     digit = text.rlike("[0-9]")
-    tests = {"email": F.contains(text, F.lit("@")), "ip": digit & text.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": F.contains(text, F.lit("+"))}
-    return F.array_sort(F.concat(*(F.when(tests[k], base_spans(text, k)).otherwise(none) for k in KINDS)))
-
-
-def _occurrences(text: Column) -> Column:
-    """array<struct<word, start, end, left1, left2>> of words that hold a digit or @."""
-    kind = "array<struct<word:string,start:int,end:int,left1:string,left2:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(kind).alias("found"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        left = F.lower(F.concat(acc["before"], F.right(x["gap"], F.lit(80))))
-        words = F.filter(F.split(left, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        one = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("^"))
-        two = F.concat_ws(" ", F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("^")), one)
-        item = F.struct(x["hit"].alias("word"), start.alias("start"), end.alias("end"), one.alias("left1"), two.alias("left2"))
-        return F.struct(
-            F.coalesce(end, acc["at"]).alias("at"),
-            F.lit(" <id>").alias("before"),
-            F.when(x["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(item))).alias("found"),
-        )
-
-    return F.aggregate(_located(text, _WORD), zero, step, lambda acc: acc["found"])
-
-
-def _edges(found: DataFrame) -> DataFrame:
-    """row, start, end, instance, pattern, kind (of the base span that the word meets, or null)."""
-    words = found.select("_row", "spans", F.explode("words").alias("w"))
-    meets = F.filter("spans", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start")))
-    lead = F.length(F.regexp_extract("w.word", r"^[^A-Za-z0-9+]*", 0))
-    core = F.regexp_extract("w.word", r"^[^A-Za-z0-9+]*([A-Za-z0-9+].*?)[^A-Za-z0-9]*$", 1)
-    return words.select(
+    tests = [F.contains(text, F.lit("@")), digit & text.rlike(r"[0-9]\.[0-9]"), digit, F.contains(text, F.lit("+")), F.lit(True)]
+    patterns = [*(PATTERNS[k] for k in KINDS), _WORD]
+    none = F.array().cast(PARTS)
+    kinds = [F.struct(F.lit(r).alias("rank"), F.when(t, _parts(text, p)).otherwise(none).alias("parts")) for r, (t, p) in enumerate(zip(tests, patterns, strict=True))]
+    some = F.filter(F.array(*kinds), lambda k: F.size(k["parts"]) > 0)
+    busy = F.when(text.rlike("[0-9@]"), some).otherwise(F.array().cast(f"array<struct<rank:int,parts:{PARTS}>>"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), busy.alias("k"))
+    rows = rows.select("_row", "doc_id", F.explode_outer("k").alias("k"))
+    return rows.select("_row", "doc_id", "k.rank", F.posexplode_outer("k.parts").alias("pos", "part"))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """found with start and end of each match: running sums over one text's matches of one kind."""
+    before = Window.partitionBy("_row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    hits = found.where("part IS NOT NULL").select("_row", "rank", "pos", "part.*")
+    at = F.coalesce(F.sum(F.col("skip") + F.length("hit")).over(before), F.lit(0)).cast("int") + F.col("skip")
+    return hits.withColumn("start", at).withColumn("end", F.col("start") + F.length("hit"))
+
+
+def _base(placed: DataFrame) -> DataFrame:
+    """_row, start, rank, end, kind of the base spans."""
+    ok = F.lit(False)
+    for r, kind in enumerate(KINDS):
+        ok = F.when(F.col("rank") == r, _valid(kind, F.col("hit"))).otherwise(ok)
+    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    return placed.where((F.col("rank") < WORDS) & ok).select("_row", "start", "rank", "end", name.alias("kind"))
+
+
+def _edges(placed: DataFrame, base: DataFrame) -> DataFrame:
+    """_row, start, instance, pattern, kind (of a base span that the word meets, or null).
+
+    A word meets a span if, of the spans that begin before its end, the farthest end lies past its start.
+    """
+    w = placed.where(F.col("rank") == WORDS)
+    left = F.lower(F.concat(F.when(F.col("pos") > 0, "<id>").otherwise(""), F.lit(" "), "left"))
+    before = F.filter(F.split(left, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    one = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("^"))
+    two = F.concat_ws(" ", F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit("^")), one)
+    words = w.select("_row", F.col("end").alias("at"), F.lit(0).alias("t"), F.lit(None).cast("struct<end:int,kind:string>").alias("s"), "start", "hit", one.alias("left1"), two.alias("left2"))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("hit", "string"), ("left1", "string"), ("left2", "string"))]
+    spans = base.select("_row", F.col("start").alias("at"), F.lit(1).alias("t"), F.struct("end", "kind").alias("s"), *nothing)
+    so_far = Window.partitionBy("_row").orderBy("at", "t").rowsBetween(Window.unboundedPreceding, 0)
+    both = words.union(spans).withColumn("far", F.max("s").over(so_far)).where("t = 0")
+    lead = F.length(F.regexp_extract("hit", r"^[^A-Za-z0-9+]*", 0))
+    core = F.regexp_extract("hit", r"^[^A-Za-z0-9+]*+([A-Za-z0-9+](?:.*[A-Za-z0-9])?)", 1)
+    out = both.select(
         "_row",
-        (F.col("w.start") + lead).alias("start"),
+        (F.col("start") + lead).alias("start"),
         core.alias("instance"),
-        F.try_element_at(meets, F.lit(1))["kind"].alias("kind"),
-        F.explode(F.array(F.concat(F.lit("1:"), "w.left1"), F.concat(F.lit("2:"), "w.left2"))).alias("pattern"),
-    ).where(F.length("instance") >= 4)
+        F.when(F.col("far.end") > F.col("start"), F.col("far.kind")).alias("kind"),
+        F.explode(F.array(F.concat(F.lit("1:"), "left1"), F.concat(F.lit("2:"), "left2"))).alias("pattern"),
+    )
+    return out.where(F.length("instance") >= 4)
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
@@ -146,43 +152,47 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
     return out.join(known.select("instance"), "instance", "left_anti")
 
 
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and spans, an array of (start, end, rank, kind) by start.
+    """One row per input row: _row, doc_id and spans, an array of (start, rank, end, kind), sorted.
 
     Base kinds have ranks 0 to 3; discovered ones follow as ctx_<kind>.
     """
-    text = text_or_empty(text_col)
-    busy = text.rlike("[0-9@]")
-    spans = "array<struct<start:int,end:int,rank:int,kind:string>>"
-    words = "array<struct<word:string,start:int,end:int,left1:string,left2:string>>"
-    found = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        F.col(id_col).alias("doc_id"),
-        F.when(busy, all_base_spans(text)).otherwise(F.array().cast(spans)).alias("spans"),
-        F.when(busy, _occurrences(text)).otherwise(F.array().cast(words)).alias("words"),
-    )
-    found = checkpoint(found)
-    edges = _edges(found.where(F.size("words") > 0))
+    found = checkpoint(_found(docs, id_col, text_col))
+    placed = checkpoint(_placed(found))
+    base = _base(placed)
+    edges = checkpoint(_edges(placed, base))
     fresh = bootstrap(edges)
-    rank = F.lit(len(KINDS)) + F.array_position(F.array(*map(F.lit, KINDS)), F.col("known")).cast("int") - 1
+    rank = F.lit(WORDS) + F.array_position(F.array(*map(F.lit, KINDS)), F.col("known")).cast("int") - 1
     at = edges.where("kind IS NULL").select("_row", "start", "instance").distinct()
     more = at.join(fresh.select("instance", F.col("kind").alias("known")), "instance")
-    more = more.select("_row", F.struct("start", (F.col("start") + F.length("instance")).alias("end"), rank.alias("rank"), F.concat(F.lit("ctx_"), "known").alias("kind")).alias("_s"))
-    more = more.groupBy("_row").agg(F.collect_set("_s").cast(spans).alias("_more"))  # bounded by one text's words
-    out = found.select("_row", "doc_id", "spans").join(more, "_row", "left")
-    return out.select("_row", "doc_id", F.when(F.col("_more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.coalesce("_more", F.array().cast(spans))))).alias("spans"))
+    more = more.select("_row", "start", rank.alias("rank"), (F.col("start") + F.length("instance")).alias("end"), F.concat(F.lit("ctx_"), "known").alias("kind"))
+    spans = base.union(more).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))  # bounded by one text
+    rows = found.groupBy("_row").agg(F.first("doc_id").alias("doc_id"))
+    return rows.join(spans, "_row", "left").select("_row", "doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its mask; of overlapping spans the first is widened."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span replaced by its mask; spans must be sorted and apart."""
+    mask = lambda s: F.concat(F.lit("["), F.upper(F.regexp_replace(s["kind"], "^ctx_", "")), F.lit("]"))
+    last = lambda i: F.when(i == 0, 0).otherwise(spans[F.greatest(i - 1, F.lit(0))]["end"])
+    parts = F.transform(spans, lambda s, i: F.concat(F.substr(text, last(i) + 1, s["start"] - last(i)), mask(s)))
+    return F.concat(F.array_join(parts, ""), F.substr(text, spans[F.size(spans) - 1]["end"] + 1, F.length(text)))
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted spans without those that begin inside an earlier one. An overlap is rare, so the test comes first."""
+    begins = lambda s, i: (i == 0) | (s["start"] >= spans[F.greatest(i - 1, F.lit(0))]["end"])
+    kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
     def step(acc, s):
-        mask = F.concat(F.lit("["), F.upper(F.regexp_replace(s["kind"], "^ctx_", "")), F.lit("]"))
-        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), mask)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        fits = (F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"])
+        return F.when(fits, F.concat(acc, F.array(s))).otherwise(acc)
 
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    met = F.exists(F.transform(spans, begins), lambda ok: ~ok)
+    return F.when(met, F.aggregate(spans, F.array().cast(kind), step)).otherwise(spans)
 
 
 def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,6 +202,6 @@ def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     held = find_pii(docs.withColumn("_key", key), "_key", text_col).where(F.size("spans") > 0)
-    held = held.groupBy(F.col("doc_id").alias("_key")).agg(F.first("spans").alias("_spans"))
+    held = held.groupBy(F.col("doc_id").alias("_key")).agg(_apart(F.first("spans")).alias("_spans"))
     out = docs.withColumn("_key", key).join(held, "_key", "left")
     return out.withColumn(text_col, F.when(F.col("_spans").isNotNull(), redact(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))).drop("_key", "_spans")

@@ -22,7 +22,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,12 +109,13 @@ def train(texts: list[str]) -> MarkovPair:
 
 
 def all_spans(text: str, model: MarkovPair, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    more = []
+    more, starts, far = [], [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in WORD.finditer(text):
         word = m.group().rstrip("=")
         # without a digit, or a capital after a small letter, a word is prose
         if re.search(r"[0-9]|[a-z][A-Z]", word) and model.score(word) > model.threshold:
-            if not any(s < m.end() and m.start() < e for s, _, e in base):
+            k = bisect_left(starts, m.end())  # of the spans that begin before its end, how far do they reach?
+            if not k or far[k - 1] <= m.start():
                 more.append((m.start(), 3, m.end()))
     return sorted(base + more)
 
