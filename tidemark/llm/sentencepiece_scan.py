@@ -321,14 +321,13 @@ def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
     return giants.join(ids, "row").select("doc_id", "text", "ids")
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: doc_id, text, ids."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load(model_path))
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, giant: int, chunk: int, make, schema: str) -> DataFrame:
+    """make(doc ids, texts, lists of ids) -> Arrow columns of schema, in the worker that encodes."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     # the stand-in for a literal mark may itself occur; such a text is encoded in one piece
     is_giant = (F.length("text") > giant) & ~F.contains("text", F.lit(STAND_IN))
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -336,13 +335,39 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
             for at in range(0, batch.num_rows, 500):  # bounds the ids held at a time
                 part = batch.slice(at, 500)
                 ids = [encoder.encode(t.as_py()) for t in part.column(1)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays(make(shared.value, part.column(0), part.column(1), ids), names=names)
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [x.values.to_numpy(zero_copy_only=False) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(make(shared.value, batch.column(0), batch.column(1), ids), names=names)
 
-    done = rows.where(~is_giant).mapInArrow(short, f"doc_id {kind}, text string, ids array<int>")
     giants = checkpoint(rows.where(is_giant).withColumn("row", F.monotonically_increasing_id()))
-    return done.unionByName(_encode_giants(giants, shared, chunk))
+    return rows.where(~is_giant).mapInArrow(short, schema).unionByName(_encode_giants(giants, shared, chunk).mapInArrow(long, schema))
+
+
+def _whole(p: Pieces, docs: pa.Array, texts: pa.Array, ids: list[np.ndarray]) -> list[pa.Array]:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+    return [docs, texts, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+
+
+def _digests(p: Pieces, docs: pa.Array, texts: pa.Array, ids: list[np.ndarray]) -> list[pa.Array]:
+    digest = [hashlib.sha256(np.ascontiguousarray(x, "<i4").tobytes()).hexdigest() for x in ids]
+    same = [decode_ids(p, x) == t.as_py() for x, t in zip(ids, texts, strict=True)]
+    return [docs, pa.array([len(x) for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
+
+
+def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """One row per input row: doc_id, text, ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _encoded(docs, model_path, id_col, text_col, giant, chunk, _whole, f"doc_id {kind}, text string, ids array<int>")
+
+
+def encoded_summary(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (they decode to the text)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _encoded(docs, model_path, id_col, text_col, giant, chunk, _digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -354,22 +379,3 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         return ids.map(lambda x: decode_ids(shared.value, x if x is not None else []))
 
     return encoded.withColumn("decoded", text_of("ids"))
-
-
-def encoded_summary(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
-    encoded = encode(docs, model_path)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, digest, same = [], [], []
-            for text, ids in zip(batch.column(1), batch.column(2), strict=True):
-                a = ids.values.to_numpy(zero_copy_only=False).astype("<i4")
-                n.append(len(a))
-                digest.append(hashlib.sha256(a.tobytes()).hexdigest())
-                same.append(decode_ids(shared.value, a) == text.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
-
-    return encoded.mapInArrow(check, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
