@@ -1,11 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language, over the characters of space-bounded lower-case words, up to ORDER characters
+One model per language, over the characters of lower-case words, up to ORDER characters
 deep. Continuation counts below the highest order, absolute discounts estimated from each order's
 counts of counts. All languages share one pair of sorted hash arrays per order: n-gram hash ->
 discounted probability per language, and context hash -> interpolation weight per language; a lookup
 is a binary search. A text's score is its cross-entropy in bits per character, whole text; the lowest
-wins. Words that hold a digit are left out where others remain. Rejection is calibrated: a text is rejected where its cross-entropy exceeds what MAX_REJECT of
+wins. Words are runs of letters. Rejection is calibrated: a text is rejected where its cross-entropy exceeds what MAX_REJECT of
 the calibration documents of its language exceed, plus a margin that shrinks with the text's length.
 
 Training takes a sample of at most DOCS_PER_LANG documents per language, by hash of id, of which one
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 ORDER, DOCS_PER_LANG, CHARS_PER_LANG, LANGS, MEMO = 5, 250, 1_500_000, 64, 300_000
 MAX_REJECT, MARGIN = 0.001, 1.2
 _LETTER = re.compile(r"[^\W\d_]")
-_DIGIT, _NUMBER = re.compile("[0-9]"), re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*")
+_RUN = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,12 +42,8 @@ def has_letter(text: str) -> bool:
 
 
 def _words(text: str) -> list[str]:
-    """Lower-case words; those that hold a digit (numbers, keys, addresses) say nothing about the language."""
-    if _DIGIT.search(text):
-        plain = _NUMBER.sub(" ", text)
-        if has_letter(plain):
-            text = plain
-    return text.lower().split()
+    """Runs of letters, in lower case: numbers, keys and signs say nothing about the language."""
+    return _RUN.findall(text.lower())
 
 
 def _encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
