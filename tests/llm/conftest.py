@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names operators use inside.
-CLASH = "kind string, row long, _row long, token string, key long, n int, bucket int, label long, node long, spans string, h long, c long, _first string, s1 long, _doc long, line string"
+CLASH = "kind string, row long, _row long, token string, key long, n int, bucket int, label long, node long, spans string, h long, c long, _first string, s1 long, _doc long, line string, _key string, _kept string, _spans string"
 
 
 @pytest.fixture(scope="session")

@@ -59,8 +59,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that exact_dedup keeps, with all their columns."""
     decided = checkpoint(exact_dedup(docs, id_col, text_col, support).select("doc_id", "keep_id", "kept", "text_sha256"))
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text_sha256"))
-    kept = decided.where("kept").select(key.alias("_kept"))
-    out = docs.withColumn("_kept", F.xxhash64(F.col(id_col).cast("string"), digest(text_col))).join(kept, "_kept", "left_semi")
+    kept = decided.where("kept").select(key.alias("__kept_key"))
+    out = docs.withColumn("__kept_key", F.xxhash64(F.col(id_col).cast("string"), digest(text_col))).join(kept, "__kept_key", "left_semi")
     if not decided.where("NOT kept AND doc_id <=> keep_id").isEmpty():  # whole rows repeat
-        out = out.dropDuplicates(["_kept"])
-    return out.drop("_kept")
+        out = out.dropDuplicates(["__kept_key"])
+    return out.drop("__kept_key")

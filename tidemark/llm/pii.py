@@ -201,7 +201,7 @@ def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Spans join on the id and a hash of the text, so repeated ids are safe.
     """
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    held = find_pii(docs.withColumn("_key", key), "_key", text_col).where(F.size("spans") > 0)
-    held = held.groupBy(F.col("doc_id").alias("_key")).agg(_apart(F.first("spans")).alias("_spans"))
-    out = docs.withColumn("_key", key).join(held, "_key", "left")
-    return out.withColumn(text_col, F.when(F.col("_spans").isNotNull(), redact(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))).drop("_key", "_spans")
+    held = find_pii(docs.withColumn("__pii_key", key), "__pii_key", text_col).where(F.size("spans") > 0)
+    held = held.groupBy(F.col("doc_id").alias("__pii_key")).agg(_apart(F.first("spans")).alias("__pii_spans"))
+    out = docs.withColumn("__pii_key", key).join(held, "__pii_key", "left")
+    return out.withColumn(text_col, F.when(F.col("__pii_spans").isNotNull(), redact(F.col(text_col), F.col("__pii_spans"))).otherwise(F.col(text_col))).drop("__pii_key", "__pii_spans")
