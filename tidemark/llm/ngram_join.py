@@ -39,7 +39,7 @@ from tidemark.llm.common import checkpoint, small_or_shuffled
 from tidemark.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
-SLOT_BITS, BLOCK, SHORT, CHUNK_TOKENS, BUCKET_TOKENS = 22, 1024, 32, 1_000_000, 3_000_000
+SLOT_BITS, BLOCK, SHORT, CHUNK_TOKENS, BUCKET_TOKENS = 22, 1024, 32, 600_000, 1_200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -418,7 +418,7 @@ def ngram_components(
     )
     classes = checkpoint(classes.select("s1", "s2", "n", "least_id", F.col("f.row").alias("node"), F.col("f.key").alias("key")))
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(16, -(-total * (100 - percent) // (100 * BUCKET_TOKENS)))
+    buckets = max(32, -(-total * (110 - percent) // (100 * BUCKET_TOKENS)))
     found = checkpoint(_candidates(_dealt(docs, _common(sets), buckets, width, percent), percent, short))
     named = classes.select("s1", "s2", "node")
     left, right = named.toDF("a1", "a2", "a"), named.toDF("b1", "b2", "b")
