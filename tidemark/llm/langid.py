@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER, DOCS_PER_LANG, CHARS_PER_LANG, LANGS, MEMO = 5, 250, 1_500_000, 64, 300_000
-MAX_REJECT, MARGIN = 0.001, 1.2
+MAX_REJECT, MARGIN = 0.001, 2.0
 _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
