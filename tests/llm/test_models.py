@@ -112,6 +112,17 @@ def test_scores_equal_plain_dictionaries(docs, rows):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-6)
 
 
+@pytest.mark.parametrize("head", [0, 40])
+def test_words_outside_the_head_keep_their_own_bigrams(docs, rows, monkeypatch, head):
+    """However few words are broadcast, every word of the training texts is a word and a context of its own."""
+    want = reference_scores([(r["doc_id"], r["text"]) for r in rows])[0]
+    monkeypatch.setattr(lm, "HEAD", head)
+    for r in lm.score(docs).collect():
+        h, n, k, t, base, score = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n, k, t)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-6)
+
+
 def test_backoff_weights_normalise_exactly(rows):
     _, pairs, weight, p, d2, total = reference_scores([(r["doc_id"], r["text"]) for r in rows[:60]])
     assert sum(p.values()) == pytest.approx(1)

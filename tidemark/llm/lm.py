@@ -2,16 +2,17 @@
 
 Tokens are words and one end per text. Level 0 is the share of unknown words, level 1 Good-Turing
 discounted word counts, level 2 Good-Turing discounted bigram counts whose backoff weights make each
-context's distribution sum to 1 exactly. Contexts and bigrams use a closed vocabulary, at most the
-HEAD most frequent training words; every other word is the class UNK there, and its share inside UNK is its own
-discounted count, for which all words of the corpus are counted. Counts up to K are discounted by
-Good-Turing (or by half a count where that estimate leaves (0, 1)), larger ones by DELTA counts, so each
-context keeps some backoff mass. Words never seen in training are one event.
-
-Tables, all partitioned by hash: word counts, and bigram counts keyed by two 16-bit ids. A context's
-backoff weight is one of at most HEAD + 2 numbers, so that table is broadcast whole. Rows travel as
-blobs of sorted delta-coded arrays, one for each chunk of texts and bucket. A frequent word never
-meets in one task: bigrams are dealt by both words, and only words outside the head by themselves.
+context's distribution sum to 1 exactly. Every word of the training texts is a word and a context of its
+own; words never seen in training are one event. Counts up to K are discounted by Good-Turing (or by half
+a count where that estimate leaves (0, 1)), larger ones by DELTA counts, so each context keeps some
+backoff mass.
+
+A word's code is its id if it is among the HEAD most frequent ones, else its 64-bit hash. The head decides
+only how a number travels, never a result: counts and backoff weights of the head are broadcast, those of
+all other words lie in tables partitioned by hash. Bigrams of two head words are dealt by both; a bigram that
+ends in another word is dealt by that word, so its count is at hand there, and no frequent word meets in
+one task. What depends on a context outside the head follows in a second round, dealt by the context.
+Rows travel as blobs of sorted delta-coded arrays, one for each chunk of texts and bucket.
 
 Edge cases: null text counts as empty and scores its end; rows without an id are training rows; one
 output row for each input row, repeated rows included; with no training token, base_score and score are
@@ -33,8 +34,9 @@ from xxhash import xxh64_intdigest
 from tidemark.llm.common import checkpoint
 
 HEAD, K, DELTA = 65_534, 5, 0.05
-CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 8_000_000
-UNK, EDGE = 0, 1  # EDGE is the start as a context and the end as a word
+CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 6_000_000
+OUT, EDGE = 0, 1  # OUT is any word outside the head; EDGE is the start as a context and the end as a word
+IDS = 1 << 16  # codes below are ids
 END = xxh64_intdigest(b"", 1)
 
 
@@ -60,7 +62,7 @@ def _pack(a: np.ndarray) -> bytes:
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(d) or int(d.max()) <= np.iinfo(k).max)
     raw = d.astype(kind)
     # planes of bytes compress better than whole numbers
-    return bytes([np.dtype(kind).itemsize]) + zlib.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T).tobytes(), 1)
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -78,6 +80,38 @@ def _get(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), kind)
 
 
+def _wide(a: np.ndarray) -> bytes:
+    """Any 64-bit numbers, as planes of bytes."""
+    return zlib.compress(np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(len(a), 8).T).tobytes(), 1)
+
+
+def _narrow(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of a bigram, from its codes."""
+    x = (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = ((x ^ (x >> np.uint64(29))) + b) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def _at(sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Values of keys, 0 where there is none."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), values.dtype)
+    found = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[found] == keys, values[found], 0)
+
+
+def _joined(blobs, get, kind) -> np.ndarray:
+    return np.concatenate([get(x) for x in blobs]) if len(blobs) else np.zeros(0, kind)
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1e-300))
+
+
 def _mix(a: np.ndarray) -> np.ndarray:
     a = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return a ^ (a >> np.uint64(32))
@@ -156,16 +190,18 @@ class Unigrams:
         c = np.array([r["c"] for r in head], np.int64)
         self.counts = np.concatenate([[0, ends], c])  # by id
         size = max(1, self.tokens)
-        self.p = discounted(self.counts, self.d) / size  # by id; UNK gets the rest
+        self.p = discounted(self.counts, self.d) / size  # by id
         self.p_new = max(1e-300, 1 - total / size)
-        self.p[UNK] = max(self.p_new, 1 - self.p[1:].sum())
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Ids of words by hash; UNK outside the head."""
-        if not len(self.hashes):
-            return np.full(len(h), UNK, np.uint16)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], np.uint16(UNK)).astype(np.uint16)
+        """Ids of words by hash; OUT outside the head."""
+        return _at(self.hashes, self.ids, h).astype(np.uint16)
+
+    def shares(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Level 1 of words by code; count is read outside the head only."""
+        inside = code < IDS
+        rare = np.where(count > 0, discounted(count, self.d) / max(1, self.tokens), self.p_new)
+        return np.where(inside, self.p[np.where(inside, code, 0).astype(np.int64)], rare)
 
 
 # ---------------------------------------------------------------- chunks of texts
@@ -189,7 +225,7 @@ class _Chunks:
         self.n += len(w) + 1
 
     def take(self):
-        """(index of text, word hash, id, id before) of all tokens, ends included."""
+        """(index of text, code, code before) of all tokens, ends included."""
         lengths = np.array([len(h) for h in self.hashes], np.int64)
         total = int(lengths.sum()) + len(lengths)
         last = np.cumsum(lengths + 1) - 1
@@ -199,13 +235,14 @@ class _Chunks:
         h[inner] = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
         ids = self.uni.lookup(h)
         ids[last] = EDGE
-        before = np.empty(total, np.uint16)
-        before[1:] = ids[:-1]
+        code = np.where(ids != OUT, ids.astype(np.uint64), np.maximum(h, np.uint64(IDS)))
+        before = np.empty(total, np.uint64)
+        before[1:] = code[:-1]
         if total:
             before[0] = EDGE
         doc = np.repeat(np.arange(len(lengths)), lengths + 1)
         self.clear()
-        return doc, h, ids, before
+        return doc, code, before
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -218,18 +255,39 @@ PARTS = "row long, log double, n double, known double, base double, doc_id long,
 BLOBS = "bucket int, kind int, a binary, b binary, c binary"
 
 
-def bigram_table(train: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
-    """Blobs by bucket: kind 0, sorted keys (id before << 16 | id) and their training counts."""
+def _buckets_of(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    """Of bigrams with a word outside the head: by the second if it is outside, else by both."""
+    return (_mix(np.where(b >= IDS, b, _pair(a, b))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _slices(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its entries, in order."""
+    order = np.argsort(where, kind="stable")
+    used, start = np.unique(where[order], return_index=True)
+    yield from zip(used.tolist(), np.split(order, start[1:]) if len(used) else [], strict=True)
+
+
+def bigram_table(train: DataFrame, counts: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
+    """Blobs by bucket. Kind 0: sorted keys (id before << 16 | id) of two head words, training counts.
+    Kind 4: hashes of words outside the head, counts. Kind 5: the other bigrams in the order of _pair: codes
+    before, codes, and counts of the bigram and of its second word."""
     shared = train.sparkSession.sparkContext.broadcast(uni)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks(shared.value)
 
         def flush():
-            _, _, ids, before = chunks.take()
-            keys, times = np.unique(before.astype(np.uint32) << np.uint32(16) | ids, return_counts=True)
+            _, code, before = chunks.take()
+            both = (code < IDS) & (before < IDS)
+            keys, times = np.unique(before[both].astype(np.uint32) << np.uint32(16) | code[both].astype(np.uint32), return_counts=True)
             where = (_mix(keys) % np.uint64(buckets)).astype(np.int64)
-            return _rows([(int(b), 0, _pack(keys[where == b]), _plain(times[where == b], "<i8"), b"") for b in np.unique(where)])
+            out = [(b, 0, _pack(keys[mine]), _plain(times[mine], "<i8"), b"") for b, mine in _slices(where)]
+            x, y = before[~both], code[~both]
+            _, first, times = np.unique(_pair(x, y), return_index=True, return_counts=True)
+            x, y = x[first], y[first]
+            order = np.argsort(y)
+            x, y, times = x[order], y[order], times[order]
+            return _rows(out + [(b, 5, _wide(x[mine]), _pack(y[mine]), _plain(times[mine], "<i8")) for b, mine in _slices(_buckets_of(x, y, buckets))])
 
         for batch in batches:
             for text in batch.column(0):
@@ -239,43 +297,75 @@ def bigram_table(train: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
         if chunks.n:
             yield flush()
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            rare = (shared.value.lookup(h) == OUT) & (h != np.uint64(END))
+            h, c = np.maximum(h[rare], np.uint64(IDS)), c[rare]
+            yield _rows([(b, 4, _pack(h[mine]), _plain(c[mine], "<i8"), b"") for b, mine in _slices((_mix(h) % np.uint64(buckets)).astype(np.int64))])
+
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([_unpack(a) for a in rows["a"]])
-        times = np.concatenate([_get(b, "<i8") for b in rows["b"]])
-        u, back = np.unique(keys, return_inverse=True)
-        c = np.bincount(back, times, len(u)).astype(np.int64)
-        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "kind": [0], "a": [_pack(u)], "b": [_plain(c, "<i8")], "c": [b""]}).astype({"bucket": "int32", "kind": "int32"})
+        heads, rare, mixed = (rows[rows["kind"] == k] for k in (0, 4, 5))
+        counted = lambda blobs: _joined(blobs, lambda x: _get(x, "<i8"), np.int64)
+        u, back = np.unique(_joined(heads["a"], _unpack, np.uint64), return_inverse=True)
+        out = [(0, _pack(u), _plain(np.bincount(back, counted(heads["b"]), len(u)), "<i8"), b"")]
+        h, c = _joined(rare["a"], _unpack, np.uint64), counted(rare["b"])
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        out.append((4, _pack(h), _plain(c, "<i8"), b""))
+        x, y = _joined(mixed["a"], _narrow, np.uint64), _joined(mixed["b"], _unpack, np.uint64)
+        u, first, back = np.unique(_pair(x, y), return_index=True, return_inverse=True)
+        x, y = x[first], y[first]
+        times = np.bincount(back, counted(mixed["c"]), len(u))
+        out.append((5, _wide(x), _wide(y), _plain(np.concatenate([times, _at(h, c, y)]), "<i8")))
+        kinds, *blobs = zip(*out, strict=True)
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "kind": kinds, **dict(zip("abc", blobs, strict=True))}).astype({"bucket": "int32", "kind": "int32"})
 
-    return checkpoint(train.mapInArrow(count, BLOBS).groupBy("bucket").applyInPandas(total, BLOBS))
+    both = train.mapInArrow(count, BLOBS).unionByName(counts.mapInArrow(words, BLOBS))
+    return checkpoint(both.groupBy("bucket").applyInPandas(total, BLOBS))
+
+
+def _bigrams(kind: int, a: bytes, b: bytes, c: bytes, uni: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code before, count, level 1 of the second word) of a table row of kind 0 or 5."""
+    if kind == 0:
+        keys = _unpack(a)
+        return keys >> np.uint64(16), _get(b, "<i8"), uni.p[(keys & np.uint64(0xFFFF)).astype(np.int64)]
+    times, ends = _get(c, "<i8").reshape(2, -1)
+    return _narrow(a), times, uni.shares(_narrow(b), ends)
 
 
 class Backoff:
-    """Level 2, bounded: by context, its training count and its exactly normalising backoff weight."""
+    """Level 2, bounded: by head context, its training count and its exactly normalising backoff weight."""
 
     def __init__(self, table: DataFrame, uni: Unigrams):
-        p = table.sparkSession.sparkContext.broadcast(uni.p)
+        shared = table.sparkSession.sparkContext.broadcast(uni)
         cols = [f"m{r}" for r in range(K + 2)]  # m0: contexts' counts over K; mr: bigrams seen r times
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                for a, b in zip(rows["a"], rows["b"], strict=True):
-                    keys, c = _unpack(a), _get(b, "<i8")
-                    ctx, at = np.unique(keys >> np.uint64(16), return_inverse=True)
-                    part = {"ctx": ctx.astype(np.int64), "mass": np.bincount(at, p.value[(keys & np.uint64(0xFFFF)).astype(np.int64)], len(ctx))}
+                for row in zip(rows["kind"], rows["a"], rows["b"], rows["c"], strict=True):
+                    before, c, share = _bigrams(*row, shared.value)
+                    # contexts outside the head are one line here, for the counts of counts
+                    ctx, at = np.unique(np.where(before < IDS, before, np.uint64(IDS)), return_inverse=True)
+                    part = {"ctx": ctx.astype(np.int64), "mass": np.bincount(at, share, len(ctx))}
                     part |= {f"m{r}": np.bincount(at, c == r, len(ctx)).astype(np.int64) for r in range(1, K + 2)}
                     part |= {"m0": np.bincount(at, np.where(c > K, c, 0), len(ctx)).astype(np.int64), "big": np.bincount(at, c > K, len(ctx)).astype(np.int64)}
                     yield pd.DataFrame(part)
 
         schema = "ctx long, mass double, big long, " + ", ".join(f"{c} long" for c in cols)
-        got = table.mapInPandas(lambda it: (x[["ctx", "mass", "big", *cols]] for x in sums(it)), schema).groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("mass", "big", *cols)]).collect()
+        bigrams = table.where("kind IN (0, 5)")
+        got = bigrams.mapInPandas(lambda it: (x[["ctx", "mass", "big", *cols]] for x in sums(it)), schema).groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("mass", "big", *cols)]).collect()
         self.d = discounts([0, *(sum(r[f"m{k}"] for r in got) for k in range(1, K + 2))])
         size = len(uni.p)
         self.total, self.weight = np.zeros(size), np.ones(size)
         for r in got:
-            n = sum(k * r[f"m{k}"] for k in range(1, K + 1)) + r["m0"]
-            kept = sum(self.d[k] * k * r[f"m{k}"] for k in range(1, K + 1)) + r["m0"] - DELTA * r["big"]
-            self.total[r["ctx"]] = n
-            self.weight[r["ctx"]] = (1 - kept / n) / max(1e-300, 1 - r["mass"])
+            if r["ctx"] < IDS:
+                n = sum(k * r[f"m{k}"] for k in range(1, K + 1)) + r["m0"]
+                kept = sum(self.d[k] * k * r[f"m{k}"] for k in range(1, K + 1)) + r["m0"] - DELTA * r["big"]
+                self.total[r["ctx"]] = n
+                self.weight[r["ctx"]] = (1 - kept / n) / max(1e-300, 1 - r["mass"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,45 +376,43 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     uni = Unigrams(counts)
     spark = docs.sparkSession
     buckets = max(16, -(-uni.tokens // BUCKET_TOKENS))
-    table = bigram_table(train, uni, buckets)
+    table = bigram_table(train, counts, uni, buckets)
     back = Backoff(table, uni)
     model = spark.sparkContext.broadcast((uni, back))
     small = float(np.log10(max(1, uni.tokens) + 0.1 * (uni.types + 1)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 1: bigrams (keys; index of text). Kind 2: words outside the head (hashes; index). c: rows' numbers."""
+        """Kind 1: bigrams of the head (keys; index of text). Kind 2: others (codes; codes before; index). c ends in the rows' numbers."""
         chunks = _Chunks(model.value[0])
         numbers: list[int] = []
         docs_of: list[tuple] = []
 
         def flush():
             nonlocal numbers, docs_of
-            doc, h, ids, before = chunks.take()
+            doc, code, before = chunks.take()
             uni = model.value[0]
             out = []
             at = np.array(numbers, np.uint64)
             # what the head settles here: known tokens, and their part of the base
-            c = uni.counts[ids]
-            settled = ids != UNK
+            settled = code < IDS
+            c = uni.counts[np.where(settled, code, OUT).astype(np.int64)]
             n = np.bincount(doc, minlength=len(at))
             known = np.bincount(doc, settled & (c > 0), len(at))
             base = np.bincount(doc, np.where(settled, np.log10(c + 0.1), 0.0), len(at))
             facts = np.concatenate([n, known, base]).astype("<f8").tobytes()
             ids_of = np.array([d or 0 for d, _ in docs_of], "<i8").tobytes() + np.array([(1 if d is None else 2) + 4 * held for d, held in docs_of], "<i8").tobytes()
             out.append((int(_mix(at[:1])[0] % np.uint64(buckets)), 3, facts, ids_of, _pack(at)))
-            keys = before.astype(np.uint64) << np.uint64(48) | ids.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64)
+            both = settled & (before < IDS)
+            keys = before[both] << np.uint64(48) | code[both] << np.uint64(32) | doc[both].astype(np.uint64)
             keys, times = np.unique(keys, return_counts=True)
-            where = (_mix(keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(where):
-                mine = where == b
-                out.append((int(b), 1, _pack(keys[mine] >> np.uint64(32)), _plain(keys[mine] & np.uint64(0xFFFFFFFF), "<u4"), _plain(times[mine], "<u4") + b"|" + _pack(at)))
-            rare, who = h[~settled], doc[~settled]
-            order = np.lexsort((who, rare))
-            rare, who = rare[order], who[order]
-            where = (_mix(rare) % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(where):
-                mine = where == b
-                out.append((int(b), 2, _pack(rare[mine]), _plain(who[mine], "<u4"), _pack(at)))
+            rows_of = _pack(at)
+            for b, mine in _slices((_mix(keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)):
+                out.append((b, 1, _pack(keys[mine] >> np.uint64(32)), _plain(keys[mine] & np.uint64(0xFFFFFFFF), "<u4"), _plain(times[mine], "<u4") + b"|" + rows_of))
+            x, y, who = before[~both], code[~both], doc[~both]
+            order = np.argsort(y, kind="stable")
+            x, y, who = x[order], y[order], who[order]
+            for b, mine in _slices(_buckets_of(x, y, buckets)):
+                out.append((b, 2, _pack(y[mine]), _wide(x[mine]), _plain(who[mine], "<u4") + b"|" + rows_of))
             numbers, docs_of = [], []
             return _rows(out)
 
@@ -338,66 +426,101 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if numbers:
             yield flush()
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 4: the word table, dealt like the words outside the head."""
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 7, by context outside the head: training counts, what discounts leave of them, mass of the words seen."""
+        uni, back = model.value
         for batch in batches:
-            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            order = np.argsort(h)
-            h, c = h[order], c[order]
-            out_of_head = model.value[0].lookup(h) == UNK
-            h, c = h[out_of_head], c[out_of_head]
-            where = (_mix(h) % np.uint64(buckets)).astype(np.int64)
-            yield _rows([(int(b), 4, _pack(h[where == b]), _plain(c[where == b], "<i8"), b"") for b in np.unique(where)])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                before, c, share = _bigrams(*row, uni)
+                rare = before >= IDS
+                ctx, at = np.unique(before[rare], return_inverse=True)
+                c, share = c[rare], share[rare]
+                n, kept, mass = (np.bincount(at, x, len(ctx)) for x in (c, discounted(c, back.d), share))
+                yield _rows([(b, 7, _pack(ctx[mine]), _plain(n[mine], "<i8"), _plain(np.concatenate([kept[mine], mass[mine]]), "<f8")) for b, mine in _slices((_mix(ctx) % np.uint64(buckets)).astype(np.int64))])
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        """Partial sums by row number for one bucket."""
+        """Round 1, one bucket. Kind 8: partial sums by row number. Kind 9: contexts outside the head, whether the bigram was seen, row number."""
         uni, back = model.value
-        own = rows[rows["kind"] == 0]
-        keys, c = (_unpack(own["a"].iloc[0]), _get(own["b"].iloc[0], "<i8")) if len(own) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        own = rows[rows["kind"] == 4]
-        wh = np.concatenate([_unpack(a) for a in own["a"]]) if len(own) else np.zeros(0, np.uint64)
-        wc = np.concatenate([_get(b, "<i8") for b in own["b"]]) if len(own) else np.zeros(0, np.int64)
-        order = np.argsort(wh)
-        wh, wc = wh[order], wc[order]
-        parts, facts_of = [], []
-        size = max(1, uni.tokens)
+        own = {k: rows[rows["kind"] == k] for k in (0, 4, 5)}
+        counted = lambda blobs: _joined(blobs, lambda x: _get(x, "<i8"), np.int64)
+        keys, c = _joined(own[0]["a"], _unpack, np.uint64), counted(own[0]["b"])
+        wh, wc = _joined(own[4]["a"], _unpack, np.uint64), counted(own[4]["b"])
+        pairs = _pair(_joined(own[5]["a"], _narrow, np.uint64), _joined(own[5]["b"], _narrow, np.uint64))
+        pc = counted(own[5]["c"])[: len(pairs)]
+        parts, facts_of, asked = [], [], []
         for kind, a, b, cc in zip(rows["kind"], rows["a"], rows["b"], rows["c"], strict=True):
             if kind == 1:
                 split = _split(cc)
                 times, at = _get(split[0], "<u4"), _unpack(split[1])
                 k, doc = _unpack(a), _get(b, "<u4").astype(np.int64)
-                found = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                n = np.where(keys[found] == k, c[found], 0) if len(keys) else np.zeros(len(k), np.int64)
+                n = _at(keys, c, k)
                 ctx, word = (k >> np.uint64(16)).astype(np.int64), (k & np.uint64(0xFFFF)).astype(np.int64)
-                seen = np.log10(np.maximum(discounted(n, back.d), 1e-300)) - np.log10(np.maximum(back.total[ctx], 1))
-                log = np.where(n > 0, seen, np.log10(np.maximum(back.weight[ctx], 1e-300)) + np.log10(np.maximum(uni.p[word], 1e-300)))
+                log = np.where(n > 0, _log(discounted(n, back.d)) - np.log10(np.maximum(back.total[ctx], 1)), _log(back.weight[ctx]) + _log(uni.p[word]))
                 parts.append((at, np.bincount(doc, log * times, len(at)), None, None, None))
             elif kind == 2:
-                h, doc, at = _unpack(a), _get(b, "<u4").astype(np.int64), _unpack(cc)
-                found = np.minimum(np.searchsorted(wh, h), max(0, len(wh) - 1))
-                n = np.where(wh[found] == h, wc[found], 0) if len(wh) else np.zeros(len(h), np.int64)
-                share = np.where(n > 0, discounted(n, uni.d) / size, uni.p_new) / uni.p[UNK]
-                parts.append((at, np.bincount(doc, np.log10(np.maximum(share, 1e-300)), len(at)), None, np.bincount(doc, n > 0, len(at)), np.bincount(doc, np.log10(n + 0.1), len(at))))
+                split = _split(cc)
+                doc, at = _get(split[0], "<u4").astype(np.int64), _unpack(split[1])
+                word, before = _unpack(a), _narrow(b)
+                n, ends = _at(pairs, pc, _pair(before, word)), _at(wh, wc, word)
+                seen, inside, rare = n > 0, before < IDS, word >= IDS
+                ctx = np.where(inside, before, 0).astype(np.int64)
+                of_ctx = np.where(seen, -np.log10(np.maximum(back.total[ctx], 1)), _log(back.weight[ctx]))
+                log = np.where(seen, _log(discounted(n, back.d)), _log(uni.shares(word, ends))) + np.where(inside, of_ctx, 0)
+                parts.append((at, np.bincount(doc, log, len(at)), None, np.bincount(doc, rare & (ends > 0), len(at)), np.bincount(doc, np.where(rare, np.log10(ends + 0.1), 0), len(at))))
+                asked.append((before[~inside], seen[~inside], at[doc[~inside]]))
             elif kind == 3:
                 at = _unpack(cc)
                 n, known, base = np.frombuffer(a, "<f8").reshape(3, -1)
                 parts.append((at, np.zeros(len(at)), n, known, base))
                 facts_of.append((at, *np.frombuffer(b, "<i8").reshape(2, -1)))
-        if not parts:
-            return pd.DataFrame({x.split()[0]: np.zeros(0, "int64" if "long" in x else "float64") for x in PARTS.split(", ")})
-        at, back_at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        cols = {"row": at.astype(np.int64)}
-        for j, name in enumerate(("log", "n", "known", "base"), 1):
-            cols[name] = np.bincount(back_at, np.concatenate([np.zeros(len(x[0])) if x[j] is None else x[j] for x in parts]), len(at)).astype(np.float64)
-        cols["doc_id"], cols["facts"] = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for where, doc, facts in facts_of:
-            place = np.searchsorted(at, where)
-            cols["doc_id"][place], cols["facts"][place] = doc, facts
+        out = []
+        if parts:
+            at, back_at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            sums = [np.bincount(back_at, np.concatenate([np.zeros(len(x[0])) if x[j] is None else x[j] for x in parts]), len(at)) for j in range(1, 5)]
+            told = np.zeros((2, len(at)), np.int64)
+            for where, doc, facts in facts_of:
+                place = np.searchsorted(at, where)
+                told[0, place], told[1, place] = doc, facts
+            out.append((int(rows["bucket"].iloc[0]), 8, _pack(at), _plain(np.concatenate(sums), "<f8"), _plain(told, "<i8")))
+        if asked:
+            ctx, seen, row = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.argsort(ctx)
+            ctx, seen, row = ctx[order], seen[order], row[order]
+            out += [(b, 9, _pack(ctx[mine]), _plain(seen[mine], "u1"), _wide(row[mine])) for b, mine in _slices((_mix(ctx) % np.uint64(buckets)).astype(np.int64))]
+        return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c"]).astype({"bucket": "int32", "kind": "int32"})
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        """Round 2, one bucket: partial sums by row number, with what contexts outside the head add."""
+        own = rows[rows["kind"] == 7]
+        ctx, at = np.unique(_joined(own["a"], _unpack, np.uint64), return_inverse=True)
+        kept, mass = np.concatenate([_get(x, "<f8").reshape(2, -1) for x in own["c"]], 1) if len(own) else np.zeros((2, 0))
+        n, kept, mass = (np.bincount(at, x, len(ctx)) for x in (_joined(own["b"], lambda x: _get(x, "<i8"), np.int64), kept, mass))
+        weight = (1 - kept / np.maximum(n, 1)) / np.maximum(1e-300, 1 - mass)
+        # logarithms; a context without any bigram has weight 1
+        total, weight = -np.log10(np.maximum(n, 1)), _log(weight)
+        parts = [(np.zeros(0, np.uint64), np.zeros((4, 0)), np.zeros((2, 0), np.int64))]
+        for kind, a, b, c in zip(rows["kind"], rows["a"], rows["b"], rows["c"], strict=True):
+            if kind == 8:
+                parts.append((_unpack(a), _get(b, "<f8").reshape(4, -1), _get(c, "<i8").reshape(2, -1)))
+            elif kind == 9:
+                asked = _unpack(a)
+                row, back_at = np.unique(_narrow(c), return_inverse=True)
+                log = np.where(_get(b, "u1") > 0, _at(ctx, total, asked), _at(ctx, weight, asked))
+                sums = np.zeros((4, len(row)))
+                sums[0] = np.bincount(back_at, log, len(row))
+                parts.append((row, sums, np.zeros((2, len(row)), np.int64)))
+        row, back_at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        sums, told = np.concatenate([x[1] for x in parts], 1), np.concatenate([x[2] for x in parts], 1)
+        cols = {"row": row.astype(np.int64)} | {name: np.bincount(back_at, x, len(row)).astype(np.float64) for name, x in zip(("log", "n", "known", "base"), sums, strict=True)}
+        for name, x in zip(("doc_id", "facts"), told, strict=True):
+            cols[name] = np.zeros(len(row), np.int64)
+            np.add.at(cols[name], back_at, x)  # whole numbers past what a double holds
         return pd.DataFrame(cols)
 
     sent = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(send, BLOBS)
-    both = sent.unionByName(table).unionByName(counts.mapInArrow(words, BLOBS))
-    parts = both.groupBy("bucket").applyInPandas(settle, PARTS)
+    first = sent.unionByName(table).groupBy("bucket").applyInPandas(settle, BLOBS)
+    both = first.unionByName(table.where("kind = 5").mapInArrow(contexts, BLOBS))
+    parts = both.groupBy("bucket").applyInPandas(finish, PARTS)
     sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("log", "n", "known", "base", "doc_id", "facts")])
     trained = F.lit(uni.tokens > 0)
     return sums.select(
