@@ -196,6 +196,19 @@ def test_ids_are_the_librarys(library, rows):
     assert len(lines) > 200 and all(e.encode(x).tolist() == lib.encode(x) for x in lines)
 
 
+def test_ids_of_a_bpe_model_are_the_librarys(pieces, docs, rows):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    assert pieces.bpe and all(len(pieces.units.findall(x)) == 1 for x in pieces.id)
+    e = sentencepiece_scan.Encoder(pieces)
+    odd = ["", " ", "  a  b ", "\n\n\t x", "日本語 \U0001f600‍", "a" * 300, "é" * 50, "no-spaces" * 40, "-=" * 99, "x" * 61 + " 1,000.00!!!"]
+    assert all(e.encode(x).tolist() == lib.encode(x) for x in [*odd, *(r["text"] for r in rows)])
+    want = {r["doc_id"]: lib.encode(r["text"]) for r in rows if r["doc_id"] < 40}
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_scan.encode(docs.where("doc_id < 40"), giant=300, chunk=90).collect()}
+    assert got == want
+
+
 def test_round_trip(pieces, rows):
     e = sentencepiece_scan.Encoder(pieces)
     odd = ["", " ", "  a  b ", "▁", "a▁b ▁", "日本語 \U0001f600‍", "\n\n\t", "a" * 300, " x", "é" * 50]

@@ -1,6 +1,9 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: merges for BPE models, a max-plus parallel scan for unigram models.
 
-A text is a chain of code points; the vocabulary's pieces are weighted edges, and encoding is the path
+With a BPE model a text is cut into units that no piece, so no merge, can cross. Each unit merges by itself, best
+score first and leftmost of equal ones, which gives the library's ids; giant texts are cut between units only.
+
+With a unigram model a text is a chain of code points; the vocabulary's pieces are weighted edges, and encoding is the path
 of greatest total score. Giant texts are cut into chunks at any place. The state at a cut is how far the
 piece that spans it reaches past it, so a chunk is a transfer matrix over (max, +): best score from an
 entry state to an exit state. Matrices combine associatively along the text, which fixes the state at
@@ -9,8 +12,8 @@ place (before a space mark, around a newline) the matrix of what lies between tw
 number, which is memoised; only a chunk's ends need whole matrices. A short text is one chunk with
 states 0 and 0.
 
-Scores are read as unigram log-probabilities, whatever type the model file claims: with a unigram model
-the ids are the library's own. Conventions are SentencePiece's: a space mark U+2581 before the text and
+Either way the ids are the library's own for texts without a literal U+2581. Models of other types, and BPE
+models with user-defined or unused pieces, are refused. Conventions are SentencePiece's: a space mark U+2581 before the text and
 for each space, byte pieces for characters outside the vocabulary, and of equal paths the one whose
 pieces, from the end, reach farthest back (within a chunk). A literal U+2581 is spelled in bytes, so that
 decoding always returns the text exactly.
@@ -22,6 +25,7 @@ ids and repeated rows are kept; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -38,6 +42,8 @@ GIANT, CHUNK, MEMO = 50_000, 16_384, 500_000
 MARK = "\u2581"  # the space mark
 STAND_IN = "\ue000"  # holds the place of a literal mark in chunks of giant texts
 LOW = -(1 << 60)
+UNIGRAM, BPE, USER_DEFINED, UNUSED = 1, 2, 4, 5  # the model file's numbers
+SHORT = 60  # units up to here look for the next merge in a list, longer ones in a heap
 
 
 # Parts of a text that no piece crosses: always before a run of marks and around newlines ...
@@ -67,10 +73,16 @@ class Pieces:
 
     def __init__(self, path: str = MODEL):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
+        m = sentencepiece_model_pb2.ModelProto()
+        m.ParseFromString(sp.serialized_model_proto())
+        self.bpe = m.trainer_spec.model_type == BPE
+        if m.trainer_spec.model_type not in (UNIGRAM, BPE) or self.bpe and any(q.type in (USER_DEFINED, UNUSED) for q in m.pieces):
+            raise ValueError(f"{path}: neither a unigram model nor a BPE model of plain pieces")
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -140,6 +152,43 @@ def best_path(p: Pieces, s: str) -> tuple[int, list[int]]:
     return best[n], out[::-1]
 
 
+def merged(p: Pieces, s: str) -> list[int]:
+    """Ids of s by merges: the pair of best score first, the leftmost of equal ones."""
+    parts, score = list(s), p.score
+    if len(parts) > SHORT:
+        parts = _merged_by_heap(parts, score)
+    else:
+        gain = [score.get(a + b, LOW) for a, b in zip(parts, parts[1:], strict=False)]
+        while gain and (best := max(gain)) > LOW:
+            i = gain.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gain[i]
+            if i:
+                gain[i - 1] = score.get(parts[i - 1] + parts[i], LOW)
+            if i < len(gain):
+                gain[i] = score.get(parts[i] + parts[i + 1], LOW)
+    return [i for piece in parts for i in p.spell(piece)]
+
+
+def _merged_by_heap(parts: list[str], score: dict[str, int]) -> list[str]:
+    n = len(parts)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(-w, i, i + 1, 2) for i in range(n - 1) if (w := score.get(parts[i] + parts[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, size = heapq.heappop(heap)
+        if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != size:
+            continue  # one of them has merged since
+        parts[i], parts[j] = parts[i] + parts[j], ""
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (w := score.get(parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (-w, a, b, len(parts[a]) + len(parts[b])))
+    return [x for x in parts if x]
+
+
 class _Memo(dict):
     """unit -> its ids as 32-bit numbers; emptied at MEMO units, which bounds its memory."""
 
@@ -147,7 +196,7 @@ class _Memo(dict):
         self.p = p
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = np.array(best_path(self.p, unit)[1], "<i4").tobytes()
+        ids = self[unit] = np.array(merged(self.p, unit) if self.p.bpe else best_path(self.p, unit)[1], "<i4").tobytes()
         return ids
 
 
@@ -165,6 +214,10 @@ class Encoder:
             parts += [self.literal, self.units(part.replace(" ", MARK))]
         return np.frombuffer(b"".join(parts), "<i4")
 
+    def chunk(self, s: str) -> np.ndarray:
+        """Ids of whole units, with stand-ins for literal marks."""
+        return np.frombuffer(self.literal.join(map(self.units, s.split(STAND_IN))), "<i4")
+
     def units(self, s: str) -> bytes:
         if len(self.memo) > MEMO:
             self.memo.clear()
@@ -283,6 +336,30 @@ def backtrace(encoder: Encoder, s: str, n: int, entry: int, leave: int) -> list[
     return _trace(p, s, entry, cuts[0], cuts[0]) + np.frombuffer(middle, "<i4").tolist() + _trace(p, s, cuts[-1], n, n + leave)
 
 
+def _giants_by_units(giants: DataFrame, shared, chunk: int) -> DataFrame:
+    """doc_id, text, ids of giant texts under a BPE model: runs of units of about chunk characters, each by itself."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row, text in zip(rows["row"], rows["text"], strict=True):
+                s = _prepared(text.replace(MARK, STAND_IN))
+                ends = [0]
+                for m in shared.value.units.finditer(s.replace(STAND_IN, "\n")):
+                    if m.end() - ends[-1] >= chunk or m.end() == len(s):
+                        ends.append(m.end())
+                yield pd.DataFrame({"row": row, "k": range(len(ends) - 1), "s": [s[a:b] for a, b in zip(ends, ends[1:], strict=False)]}).astype({"k": "int32"})
+
+    def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(shared.value)
+        for rows in batches:
+            yield pd.DataFrame({"row": rows["row"], "k": rows["k"], "ids": [encoder.chunk(s) for s in rows["s"]]})
+
+    parts = giants.select("row", "text").mapInPandas(cut, "row long, k int, s string").repartition("row", "k")
+    made = parts.mapInPandas(ids_of, "row long, k int, ids array<int>")
+    ids = made.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return giants.join(ids, "row").select("doc_id", "text", "ids")
+
+
 def _encode_giants(giants: DataFrame, shared, chunk: int) -> DataFrame:
     """row, doc_id, hash, ids of giant texts, chunk by chunk."""
     ahead = shared.value.longest - 1
@@ -343,7 +420,8 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, giant
             yield pa.RecordBatch.from_arrays(make(shared.value, batch.column(0), batch.column(1), ids), names=names)
 
     giants = checkpoint(rows.where(is_giant).withColumn("row", F.monotonically_increasing_id()))
-    return rows.where(~is_giant).mapInArrow(short, schema).unionByName(_encode_giants(giants, shared, chunk).mapInArrow(long, schema))
+    by = _giants_by_units if shared.value.bpe else _encode_giants
+    return rows.where(~is_giant).mapInArrow(short, schema).unionByName(by(giants, shared, chunk).mapInArrow(long, schema))
 
 
 def _whole(p: Pieces, docs: pa.Array, texts: pa.Array, ids: list[np.ndarray]) -> list[pa.Array]:
