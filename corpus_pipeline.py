@@ -26,10 +26,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join (five words, 0.8), keep the smallest doc_id."""
-    found = ngram_join.ngram_components(docs, width=5, percent=80)
-    drop = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of the n-gram Jaccard join (five words, 0.8), keep one row, that of the smallest doc_id."""
+    return ngram_join.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

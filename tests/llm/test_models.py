@@ -290,6 +290,20 @@ def test_packing_fills_batches_once(docs, rows, awkward, nothing):
 
 
 # ---------------------------------------------------------------- pipeline
+def test_near_copies_go_by_row_not_by_id(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    near = lambda stem, k: " ".join([*(stem + w for w in words), f"end{k}"])
+    items = [(3, near("a", 1)), (7, near("a", 2)), (7, "a text of its own that no other row is like"), (9, near("b", 1)), (9, near("b", 2)), (None, near("c", 1)), (None, near("c", 2)),
+             (5, near("d", 1)), (5, near("d", 1)), (6, None), (6, None), (None, None)]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got[3, near("a", 1)] == 1 and got[7, near("a", 2)] == 0 and got[items[2]] == 1
+    assert got[9, near("b", 1)] + got[9, near("b", 2)] == 1 and got[None, near("c", 1)] + got[None, near("c", 2)] == 1
+    assert got[5, near("d", 1)] == 1 and got[6, None] == 2 and got[None, None] == 1
+
+
 def test_pipeline_stage_by_stage(spark, sf, docs, rows, tmp_path):
     import corpus_pipeline
 

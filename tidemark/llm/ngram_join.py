@@ -407,6 +407,28 @@ def ngram_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    return _components(docs, id_col, text_col, width, percent, short, block).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, that of the smallest id (any if none has one); texts without words all stay.
+
+    Rows are known by the hash of id and text, so repeated ids are safe.
+    """
+    rows = checkpoint(_components(docs, id_col, text_col, width, percent).where("label IS NOT NULL").select("doc_id", "key", "label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    groups = rows.groupBy("label").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", F.col("f.key").alias("first"))
+    met = rows.join(small_or_shuffled(checkpoint(groups)), "label").groupBy("key").agg(F.first(F.col("key") == F.col("first")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    met = checkpoint(met.where("NOT kept OR n > 1").select(F.col("key").alias("__near_key"), "kept"))
+    key = F.xxhash64(F.col(id_col).cast("long").cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    marked = docs.withColumn("__near_key", key)
+    once = marked.join(small_or_shuffled(met.select("__near_key")), "__near_key", "left_anti")
+    again = marked.join(small_or_shuffled(met.where("kept").select("__near_key")), "__near_key", "left_semi").dropDuplicates(["__near_key"])
+    return once.unionByName(again).select(docs.columns)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+    """One row per input row: doc_id, key, n_shingles, component_id, label (null for texts without words)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sets = checkpoint(_sets(docs, width))
     own = sets.where("kind = 0")
@@ -471,6 +493,6 @@ def ngram_components(
 
     classes = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(names, "label").select("s1", "s2", "component_id")
-    out = live.join(named, ["s1", "s2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.union(own.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
+    named = classes.join(names, "label").select("s1", "s2", "component_id", "label")
+    out = live.join(named, ["s1", "s2"]).select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    return out.union(own.where("n = 0").select("doc_id", "key", F.lit(0).cast("long"), F.col("doc_id"), F.lit(None).cast("long")))
