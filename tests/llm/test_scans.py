@@ -71,6 +71,17 @@ def test_redaction_masks_and_keeps_the_rest(spark, awkward, nothing):
     assert same.count() == 0 and pii.redact_pii(nothing).count() == 0
 
 
+def test_redaction_masks_overlapping_finds_whole(spark):
+    texts = ["(+1 555-123-4567.john@example.com)", "at 10.0.0.45 4539 1488 0343 646 end", "10.1.1.4539148803436467 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    for r in pii.redact_pii(df).collect():
+        t, covered = texts[r["doc_id"]], {i for s in spans[r["doc_id"]] for i in range(s["start"], s["end"])}
+        assert not base_pii(r["text"])
+        assert re.sub(r"\[[A-Z]+\]", "", r["text"]) == "".join(c for i, c in enumerate(t) if i not in covered)
+        assert r["doc_id"] or r["text"] == "([PHONE])"
+
+
 def test_pii_awkward(awkward, nothing):
     got = pii.find_pii(awkward).collect()
     assert len(got) == 16 and pii.find_pii(nothing).count() == 0

@@ -183,13 +183,15 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def _apart(spans: Column) -> Column:
-    """Sorted spans without those that begin inside an earlier one. An overlap is rare, so the test comes first."""
+    """Sorted spans, those that overlap as one, of the first one's kind. An overlap is rare, so the test comes first."""
     begins = lambda s, i: (i == 0) | (s["start"] >= spans[F.greatest(i - 1, F.lit(0))]["end"])
     kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
     def step(acc, s):
-        fits = (F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"])
-        return F.when(fits, F.concat(acc, F.array(s))).otherwise(acc)
+        last = F.try_element_at(acc, F.lit(-1))
+        fits = (F.size(acc) == 0) | (s["start"] >= last["end"])
+        wider = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(fits, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider)))
 
     met = F.exists(F.transform(spans, begins), lambda ok: ~ok)
     return F.when(met, F.aggregate(spans, F.array().cast(kind), step)).otherwise(spans)
