@@ -289,6 +289,13 @@ def test_packing_fills_batches_once(docs, rows, awkward, nothing):
     assert packing.pack(awkward).count() == 16 and packing.pack(nothing).count() == 0
 
 
+def test_boundaries_come_from_exact_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_LENGTHS", 8, raising=False)  # beyond so many lengths they were once rounded up
+    df = spark.createDataFrame([(100 * n + i, "w " * n) for n in range(1, 42) for i in range(n % 5 + 1)], "doc_id long, text string")
+    bounds = packing.optimal_boundaries(np.arange(1, 42), np.array([n % 5 + 1 for n in range(1, 42)]), 6)
+    assert sorted({r["padded_to"] for r in packing.pack(df, buckets=6).collect()}) == bounds
+
+
 # ---------------------------------------------------------------- pipeline
 def test_near_copies_go_by_row_not_by_id(spark):
     import corpus_pipeline

@@ -1,8 +1,7 @@
 """Packing by optimal length buckets.
 
 The global histogram of lengths (words per text) is exact and grows with the number of different
-lengths, not of rows; past MAX_LENGTHS different ones, lengths are rounded up to a power of two's
-multiples, so the driver's table stays bounded while every row still counts. Dynamic programming over
+lengths, not of rows: that is at most the square root of twice the words of all texts. Dynamic programming over
 the histogram picks the bucket boundaries that minimise total padding. Inside each bucket, rows form
 batches of floor(budget / padded length) rows, at least one.
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NON_WS, checkpoint, text_or_empty
 
-BUCKETS, TOKEN_BUDGET, MAX_LENGTHS, SHARD_ROWS = 12, 16_384, 16_384, 20_000
+BUCKETS, TOKEN_BUDGET, SHARD_ROWS = 12, 16_384, 20_000
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -73,12 +72,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     """One row per input row: doc_id, n_tokens, bucket, padded_to, batch, slot, padding."""
     text = text_or_empty(text_col)
     rows = checkpoint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(text, F.lit(NON_WS + "++")).cast("long").alias("n_tokens")))
-    longest, different = rows.agg(F.max("n_tokens"), F.approx_count_distinct("n_tokens")).first()
-    step = 1
-    while different and different * 1.1 > MAX_LENGTHS and longest // step > MAX_LENGTHS:
-        step *= 2
-    rounded = F.ceil(F.col("n_tokens") / step) * step
-    histogram = rows.groupBy(rounded.alias("n")).count().orderBy("n").collect()
+    histogram = rows.groupBy(F.col("n_tokens").alias("n")).count().orderBy("n").collect()
     bounds = optimal_boundaries(np.array([r["n"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
     total = sum(r["count"] for r in histogram)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
