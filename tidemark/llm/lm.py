@@ -9,10 +9,17 @@ backoff mass.
 
 A word's code is its id if it is among the HEAD most frequent ones, else its 64-bit hash. The head decides
 only how a number travels, never a result: counts and backoff weights of the head are broadcast, those of
-all other words lie in tables partitioned by hash. Bigrams of two head words are dealt by both; a bigram that
-ends in another word is dealt by that word, so its count is at hand there, and no frequent word meets in
-one task. What depends on a context outside the head follows in a second round, dealt by the context.
-Rows travel as blobs of sorted delta-coded arrays, one for each chunk of texts and bucket.
+all other words are settled in buckets of hashes.
+
+Texts form chunks of about CHUNK_TOKENS tokens. A chunk sends each different bigram once, with its training
+count, to the bigram's bucket: that of the second word if it is outside the head, else of the first if that is, else
+of both together, so no frequent word meets in one task. The bucket adds the counts up, which is the partitioned
+bigram table, and answers each chunk with the totals in the order it asked. Contexts outside the head gather
+their bigrams in a second round, for the backoff weights that unseen bigrams ask for. At last each chunk meets
+its answers and scores its texts by itself. All blobs are sorted, delta-coded arrays.
+
+The chunks are made twice, so docs must read the same both times, in the same order: a table, or a
+checkpointed result; a chunk that does not match its answers raises an error.
 
 Edge cases: null text counts as empty and scores its end; rows without an id are training rows; one
 output row for each input row, repeated rows included; with no training token, base_score and score are
@@ -34,7 +41,8 @@ from xxhash import xxh64_intdigest
 from tidemark.llm.common import checkpoint
 
 HEAD, K, DELTA = 65_534, 5, 0.05
-CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 6_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 3_000_000
+SLICES = 16  # of the head, for adding its contexts up
 OUT, EDGE = 0, 1  # OUT is any word outside the head; EDGE is the start as a context and the end as a word
 IDS = 1 << 16  # codes below are ids
 END = xxh64_intdigest(b"", 1)
@@ -208,56 +216,93 @@ class Unigrams:
 
 
 class _Chunks:
-    """Token ids of consecutive texts, cut every CHUNK_TOKENS tokens; a giant text spans chunks."""
+    """Token codes of consecutive texts."""
 
     def __init__(self, uni: Unigrams):
-        self.uni, self.words, self.ids = uni, _Words(), {}
+        self.uni, self.words = uni, _Words()
         self.clear()
 
     def clear(self) -> None:
-        self.doc, self.hashes, self.parts, self.n = [], [], [], 0
+        self.rows, self.hashes, self.n = [], [], 0
         if len(self.words) > 600_000:
             self.words = _Words()
 
-    def add(self, text: str | None) -> None:
+    def add(self, row: tuple, text: str | None) -> None:
         w = words_of(text)
+        self.rows.append(row)
         self.hashes.append(np.fromiter(map(self.words.__getitem__, w), np.uint64, len(w)))
         self.n += len(w) + 1
 
-    def take(self):
-        """(index of text, code, code before) of all tokens, ends included."""
-        lengths = np.array([len(h) for h in self.hashes], np.int64)
-        total = int(lengths.sum()) + len(lengths)
-        last = np.cumsum(lengths + 1) - 1
-        h = np.full(total, END, np.uint64)
-        inner = np.ones(total, bool)
+    def take(self) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """The rows, their numbers of tokens, and the codes of all tokens, ends included."""
+        lengths = np.array([len(h) + 1 for h in self.hashes], np.int64)
+        last = np.cumsum(lengths) - 1
+        h = np.full(int(lengths.sum()), END, np.uint64)
+        inner = np.ones(len(h), bool)
         inner[last] = False
-        h[inner] = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        h[inner] = np.concatenate(self.hashes)
         ids = self.uni.lookup(h)
         ids[last] = EDGE
-        code = np.where(ids != OUT, ids.astype(np.uint64), np.maximum(h, np.uint64(IDS)))
-        before = np.empty(total, np.uint64)
-        before[1:] = code[:-1]
-        if total:
-            before[0] = EDGE
-        doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        out = self.rows, lengths, np.where(ids != OUT, ids.astype(np.uint64), np.maximum(h, np.uint64(IDS)))
         self.clear()
-        return doc, code, before
+        return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], uni: Unigrams, most: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Chunks of rows (row number, doc_id, held_out, text), cut every `most` tokens."""
+    chunks = _Chunks(uni)
+    for batch in batches:
+        for *row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            chunks.add(tuple(row), text.as_py())
+            if chunks.n >= most:
+                yield chunks.take()
+    if chunks.n:
+        yield chunks.take()
+
+
+class _Bigrams:
+    """The different bigrams of a chunk, by class (0: two head words, 1: first word outside, 2: second word
+    outside), bucket, code that deals them, and the other code; back is each token's place among them."""
+
+    def __init__(self, lengths: np.ndarray, code: np.ndarray, buckets: int):
+        before = np.empty_like(code)
+        before[1:] = code[:-1]
+        before[np.cumsum(lengths) - lengths] = EDGE
+        _, first, back = np.unique(_pair(before, code), return_index=True, return_inverse=True)
+        x, y = before[first], code[first]
+        kind = np.where(y >= IDS, 2, np.where(x >= IDS, 1, 0))
+        dealt = np.where(kind == 2, y, np.where(kind == 1, x, x << np.uint64(16) | y))
+        bucket = (_mix(dealt) % np.uint64(buckets)).astype(np.int64)
+        place = kind * buckets + bucket
+        order = np.lexsort((np.where(kind == 2, x, y), dealt, place))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.x, self.y, self.kind, self.dealt, self.place, self.back = x[order], y[order], kind[order], dealt[order], place[order], rank[back]
+
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        """Class * buckets + bucket, and where its bigrams are."""
+        used, start = np.unique(self.place, return_index=True)
+        for p, a, b in zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(self.place)], strict=True):
+            yield p, slice(a, b)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) if out else [()] * 5
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "a", "b", "c"])
+BLOBS = "kind int, bucket int, chunk long, a binary, b binary, c binary"
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+_NAMES = ["kind", "bucket", "chunk", "a", "b", "c"]
+TEXTS, WEIGHTS, CONTEXTS, HEAD_SUMS, TIMES = 3, 4, 5, 6, 7  # kinds of blobs beside the classes of bigrams
 
 
-PARTS = "row long, log double, n double, known double, base double, doc_id long, facts long"
-BLOBS = "bucket int, kind int, a binary, b binary, c binary"
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
-def _buckets_of(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
-    """Of bigrams with a word outside the head: by the second if it is outside, else by both."""
-    return (_mix(np.where(b >= IDS, b, _pair(a, b))) % np.uint64(buckets)).astype(np.int64)
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=_NAMES).astype({"kind": "int32", "bucket": "int32", "chunk": "int64"})
+
+
+def _counts_of(blobs) -> np.ndarray:
+    return _joined(blobs, lambda x: _get(x, "<i8"), np.int64)
 
 
 def _slices(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -267,276 +312,203 @@ def _slices(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(used.tolist(), np.split(order, start[1:]) if len(used) else [], strict=True)
 
 
-def bigram_table(train: DataFrame, counts: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
-    """Blobs by bucket. Kind 0: sorted keys (id before << 16 | id) of two head words, training counts.
-    Kind 4: hashes of words outside the head, counts. Kind 5: the other bigrams in the order of _pair: codes
-    before, codes, and counts of the bigram and of its second word."""
-    shared = train.sparkSession.sparkContext.broadcast(uni)
+# ---------------------------------------------------------------- level 2: bigrams
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(shared.value)
 
-        def flush():
-            _, code, before = chunks.take()
-            both = (code < IDS) & (before < IDS)
-            keys, times = np.unique(before[both].astype(np.uint32) << np.uint32(16) | code[both].astype(np.uint32), return_counts=True)
-            where = (_mix(keys) % np.uint64(buckets)).astype(np.int64)
-            out = [(b, 0, _pack(keys[mine]), _plain(times[mine], "<i8"), b"") for b, mine in _slices(where)]
-            x, y = before[~both], code[~both]
-            _, first, times = np.unique(_pair(x, y), return_index=True, return_counts=True)
-            x, y = x[first], y[first]
-            order = np.argsort(y)
-            x, y, times = x[order], y[order], times[order]
-            return _rows(out + [(b, 5, _wide(x[mine]), _pack(y[mine]), _plain(times[mine], "<i8")) for b, mine in _slices(_buckets_of(x, y, buckets))])
+def _asked(rows: DataFrame, shared, buckets: int, most: int) -> DataFrame:
+    """Every chunk's different bigrams, with their training counts."""
 
-        for batch in batches:
-            for text in batch.column(0):
-                chunks.add(text.as_py())
-                if chunks.n >= CHUNK_TOKENS:
-                    yield flush()
-        if chunks.n:
-            yield flush()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_of, lengths, code in _chunks(batches, shared.value, most):
+            g = _Bigrams(lengths, code, buckets)
+            times = np.bincount(g.back, np.repeat([not held for _, _, held in rows_of], lengths), len(g.x)).astype(np.int64)
+            out = []
+            for place, at in g.parts():
+                kind, bucket = divmod(place, buckets)
+                other = b"" if kind == 0 else _plain(g.y[at], "<u2") if kind == 1 else _wide(g.x[at])
+                out.append((kind, bucket, rows_of[0][0], _pack(g.dealt[at]), other, _plain(times[at], "<u4")))
+            yield _batch(out)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            order = np.argsort(h)
-            h, c = h[order], c[order]
-            rare = (shared.value.lookup(h) == OUT) & (h != np.uint64(END))
-            h, c = np.maximum(h[rare], np.uint64(IDS)), c[rare]
-            yield _rows([(b, 4, _pack(h[mine]), _plain(c[mine], "<i8"), b"") for b, mine in _slices((_mix(h) % np.uint64(buckets)).astype(np.int64))])
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        heads, rare, mixed = (rows[rows["kind"] == k] for k in (0, 4, 5))
-        counted = lambda blobs: _joined(blobs, lambda x: _get(x, "<i8"), np.int64)
-        u, back = np.unique(_joined(heads["a"], _unpack, np.uint64), return_inverse=True)
-        out = [(0, _pack(u), _plain(np.bincount(back, counted(heads["b"]), len(u)), "<i8"), b"")]
-        h, c = _joined(rare["a"], _unpack, np.uint64), counted(rare["b"])
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        out.append((4, _pack(h), _plain(c, "<i8"), b""))
-        x, y = _joined(mixed["a"], _narrow, np.uint64), _joined(mixed["b"], _unpack, np.uint64)
-        u, first, back = np.unique(_pair(x, y), return_index=True, return_inverse=True)
-        x, y = x[first], y[first]
-        times = np.bincount(back, counted(mixed["c"]), len(u))
-        out.append((5, _wide(x), _wide(y), _plain(np.concatenate([times, _at(h, c, y)]), "<i8")))
-        kinds, *blobs = zip(*out, strict=True)
-        return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "kind": kinds, **dict(zip("abc", blobs, strict=True))}).astype({"bucket": "int32", "kind": "int32"})
+    return rows.mapInArrow(send, BLOBS)
 
-    both = train.mapInArrow(count, BLOBS).unionByName(counts.mapInArrow(words, BLOBS))
-    return checkpoint(both.groupBy("bucket").applyInPandas(total, BLOBS))
 
+def _settle(uni: Unigrams, buckets: int):
+    """One bucket of bigrams: answers to the chunks, what they ask of contexts, and sums by context."""
 
-def _bigrams(kind: int, a: bytes, b: bytes, c: bytes, uni: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code before, count, level 1 of the second word) of a table row of kind 0 or 5."""
-    if kind == 0:
-        keys = _unpack(a)
-        return keys >> np.uint64(16), _get(b, "<i8"), uni.p[(keys & np.uint64(0xFFFF)).astype(np.int64)]
-    times, ends = _get(c, "<i8").reshape(2, -1)
-    return _narrow(a), times, uni.shares(_narrow(b), ends)
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(rows["bucket"].iloc[0])
+        out: list[tuple] = []
+        mass = np.zeros(len(uni.p))
+        small = np.zeros((K + 2, len(uni.p)), np.int64)  # by times seen; in place 0 those over K
+        times_of = np.zeros(K + 2, np.int64)
+        rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for kind in range(3):
+            own = rows[rows["kind"] == kind]
+            if own.empty:
+                continue
+            parts = [_unpack(a) for a in own["a"]]
+            ends = np.cumsum([len(p) for p in parts])[:-1]
+            dealt = np.concatenate(parts)
+            if kind == 0:
+                x, y = dealt >> np.uint64(16), dealt & np.uint64(0xFFFF)
+            elif kind == 1:
+                x, y = dealt, _joined(own["b"], lambda b: _get(b, "<u2"), np.uint16).astype(np.uint64)
+            else:
+                x, y = _joined(own["b"], _narrow, np.uint64), dealt
+            _, first, back = np.unique(_pair(x, y), return_index=True, return_inverse=True)
+            n = np.bincount(back, _joined(own["c"], lambda c: _get(c, "<u4"), np.uint32), len(first)).astype(np.int64)
+            ux, uy = x[first], y[first]
+            if kind == 2:
+                words, at = np.unique(uy, return_inverse=True)
+                counted = np.bincount(at, n, len(words)).astype(np.int64)
+                count = counted[at]
+            else:
+                count = uni.counts[uy.astype(np.int64)]
+            answers = np.where(n > 0, n, -count)[back]
+            unseen = (n == 0)[back] & (x >= IDS)
+            for chunk, a, some, lost in zip(own["chunk"], np.split(answers, ends), parts, np.split(np.where(unseen, x, 0), ends), strict=True):
+                own_words = _plain(_at(words, counted, np.unique(some)), "<i8") if kind == 2 else b""
+                out.append((kind, bucket, chunk, _plain(a, "<i8"), own_words, b""))
+                lost = np.unique(lost[lost > 0])
+                out += [(WEIGHTS, b, chunk, _pack(lost[mine]), b"", b"") for b, mine in _slices((_mix(lost) % np.uint64(buckets)).astype(np.int64))]
+            seen = n > 0
+            ux, uy, n, count = ux[seen], uy[seen], n[seen], count[seen]
+            times_of += np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
+            inside = ux < IDS
+            ctx = ux[inside].astype(np.int64)
+            mass += np.bincount(ctx, uni.shares(uy[inside], count[inside]), len(mass))
+            for r in range(1, K + 1):
+                small[r] += np.bincount(ctx[n[inside] == r], minlength=len(mass))
+            small[0] += np.bincount(ctx[n[inside] > K], minlength=len(mass))
+            # the second word as its id, or as its count past the ids
+            rare.append((ux[~inside], n[~inside], np.where(uy < IDS, uy.astype(np.int64), IDS + count)[~inside]))
+        x, n, y = (np.concatenate(v) for v in zip(*rare, strict=True))
+        order = np.argsort(x, kind="stable")
+        x, n, y = x[order], n[order], y[order]
+        out += [(CONTEXTS, b, bucket, _pack(x[mine]), _plain(n[mine], "<i8"), _plain(y[mine], "<i8")) for b, mine in _slices((_mix(x) % np.uint64(buckets)).astype(np.int64))]
+        for i, (m, k) in enumerate(zip(np.array_split(mass, SLICES), np.array_split(small, SLICES, 1), strict=True)):
+            out.append((HEAD_SUMS, i, bucket, _plain(m, "<f8"), _plain(k, "<i8"), b""))
+        out += [(TIMES, r, int(times_of[r]), b"", b"", b"") for r in range(1, K + 2)]
+        return _frame(out)
+
+    return settle
 
 
 class Backoff:
-    """Level 2, bounded: by head context, its training count and its exactly normalising backoff weight."""
-
-    def __init__(self, table: DataFrame, uni: Unigrams):
-        shared = table.sparkSession.sparkContext.broadcast(uni)
-        cols = [f"m{r}" for r in range(K + 2)]  # m0: contexts' counts over K; mr: bigrams seen r times
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                for row in zip(rows["kind"], rows["a"], rows["b"], rows["c"], strict=True):
-                    before, c, share = _bigrams(*row, shared.value)
-                    # contexts outside the head are one line here, for the counts of counts
-                    ctx, at = np.unique(np.where(before < IDS, before, np.uint64(IDS)), return_inverse=True)
-                    part = {"ctx": ctx.astype(np.int64), "mass": np.bincount(at, share, len(ctx))}
-                    part |= {f"m{r}": np.bincount(at, c == r, len(ctx)).astype(np.int64) for r in range(1, K + 2)}
-                    part |= {"m0": np.bincount(at, np.where(c > K, c, 0), len(ctx)).astype(np.int64), "big": np.bincount(at, c > K, len(ctx)).astype(np.int64)}
-                    yield pd.DataFrame(part)
-
-        schema = "ctx long, mass double, big long, " + ", ".join(f"{c} long" for c in cols)
-        bigrams = table.where("kind IN (0, 5)")
-        got = bigrams.mapInPandas(lambda it: (x[["ctx", "mass", "big", *cols]] for x in sums(it)), schema).groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("mass", "big", *cols)]).collect()
-        self.d = discounts([0, *(sum(r[f"m{k}"] for r in got) for k in range(1, K + 2))])
-        size = len(uni.p)
-        self.total, self.weight = np.zeros(size), np.ones(size)
-        for r in got:
-            if r["ctx"] < IDS:
-                n = sum(k * r[f"m{k}"] for k in range(1, K + 1)) + r["m0"]
-                kept = sum(self.d[k] * k * r[f"m{k}"] for k in range(1, K + 1)) + r["m0"] - DELTA * r["big"]
-                self.total[r["ctx"]] = n
-                self.weight[r["ctx"]] = (1 - kept / n) / max(1e-300, 1 - r["mass"])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    train = rows.where("NOT held_out").select("text")
-    counts = checkpoint(word_counts(train))
-    uni = Unigrams(counts)
-    spark = docs.sparkSession
-    buckets = max(16, -(-uni.tokens // BUCKET_TOKENS))
-    table = bigram_table(train, counts, uni, buckets)
-    back = Backoff(table, uni)
-    model = spark.sparkContext.broadcast((uni, back))
-    small = float(np.log10(max(1, uni.tokens) + 0.1 * (uni.types + 1)))
+    """Level 2, bounded: discounts, and by head context its training count and its exactly normalising backoff weight."""
+
+    def __init__(self, settled: DataFrame, uni: Unigrams):
+        n = {r["bucket"]: r["n"] for r in settled.where(F.col("kind") == TIMES).groupBy("bucket").agg(F.sum("chunk").alias("n")).collect()}
+        self.d = discounts([0, *(n.get(r, 0) for r in range(1, K + 2))])
+
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            mass = sum(_get(a, "<f8") for a in rows["a"])
+            return _frame([(HEAD_SUMS, int(rows["bucket"].iloc[0]), 0, _plain(mass, "<f8"), _plain(sum(_get(b, "<i8") for b in rows["b"]), "<i8"), b"")])
+
+        sums = settled.where(F.col("kind") == HEAD_SUMS).withColumn("sub", F.pmod("chunk", F.lit(256)))
+        sums = sums.groupBy("bucket", "sub").applyInPandas(lambda rows: add(rows.drop(columns="sub")), BLOBS).groupBy("bucket").applyInPandas(add, BLOBS)
+        got = sorted(sums.collect(), key=lambda r: r["bucket"])  # SLICES rows, some MB at any input size
+        mass = np.concatenate([np.zeros(0), *(_get(r["a"], "<f8") for r in got)])
+        small = np.concatenate([np.zeros((K + 2, 0), np.int64), *(_get(r["b"], "<i8").reshape(K + 2, -1) for r in got)], 1)
+        if not len(mass):
+            mass, small = np.zeros(len(uni.p)), np.zeros((K + 2, len(uni.p)), np.int64)
+        self.total = uni.counts.astype(np.float64)
+        lost = sum((1 - self.d[r]) * r * small[r] for r in range(1, K + 1)) + DELTA * small[0]
+        self.weight = np.where(self.total > 0, lost / np.maximum(self.total, 1) / np.maximum(1e-300, 1 - mass), 1.0)
+
+
+def _weigh(shared):
+    """One bucket of contexts outside the head: logarithms of the weights asked for."""
+
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        uni, back = shared.value
+        own = rows[rows["kind"] == CONTEXTS]
+        asks = rows[rows["kind"] == WEIGHTS]
+        if asks.empty:
+            return _frame([])
+        ctx, at = np.unique(_joined(own["a"], _unpack, np.uint64), return_inverse=True)
+        n, y = _counts_of(own["b"]), _counts_of(own["c"])
+        share = uni.shares(np.minimum(y, IDS).astype(np.uint64), np.maximum(y - IDS, 0))
+        total, lost, mass = (np.bincount(at, v, len(ctx)) for v in (n, n - discounted(n, back.d), share))
+        log = _log(lost / np.maximum(total, 1)) - _log(1 - mass)  # a context never seen has weight 1
+        return _frame([(WEIGHTS, 0, chunk, a, _plain(_at(ctx, log, _unpack(a)), "<f8"), b"") for chunk, a in zip(asks["chunk"], asks["a"], strict=True)])
+
+    return weigh
+
+
+def _texts(rows: DataFrame, shared, most: int) -> DataFrame:
+    """Every chunk's tokens, as places among its different words, and what is known of its rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 1: bigrams of the head (keys; index of text). Kind 2: others (codes; codes before; index). c ends in the rows' numbers."""
-        chunks = _Chunks(model.value[0])
-        numbers: list[int] = []
-        docs_of: list[tuple] = []
+        for rows_of, lengths, code in _chunks(batches, shared.value[0], most):
+            words, at = np.unique(code, return_inverse=True)
+            ids = np.array([[d or 0, (d is None) + 2 * held] for _, d, held in rows_of], np.int64)
+            facts = np.concatenate([lengths, ids[:, 0], ids[:, 1]]).astype("<i8")
+            yield _batch([(TEXTS, 0, rows_of[0][0], _pack(words), zlib.compress(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1), zlib.compress(facts.tobytes(), 1))])
 
-        def flush():
-            nonlocal numbers, docs_of
-            doc, code, before = chunks.take()
-            uni = model.value[0]
-            out = []
-            at = np.array(numbers, np.uint64)
-            # what the head settles here: known tokens, and their part of the base
-            settled = code < IDS
-            c = uni.counts[np.where(settled, code, OUT).astype(np.int64)]
-            n = np.bincount(doc, minlength=len(at))
-            known = np.bincount(doc, settled & (c > 0), len(at))
-            base = np.bincount(doc, np.where(settled, np.log10(c + 0.1), 0.0), len(at))
-            facts = np.concatenate([n, known, base]).astype("<f8").tobytes()
-            ids_of = np.array([d or 0 for d, _ in docs_of], "<i8").tobytes() + np.array([(1 if d is None else 2) + 4 * held for d, held in docs_of], "<i8").tobytes()
-            out.append((int(_mix(at[:1])[0] % np.uint64(buckets)), 3, facts, ids_of, _pack(at)))
-            both = settled & (before < IDS)
-            keys = before[both] << np.uint64(48) | code[both] << np.uint64(32) | doc[both].astype(np.uint64)
-            keys, times = np.unique(keys, return_counts=True)
-            rows_of = _pack(at)
-            for b, mine in _slices((_mix(keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)):
-                out.append((b, 1, _pack(keys[mine] >> np.uint64(32)), _plain(keys[mine] & np.uint64(0xFFFFFFFF), "<u4"), _plain(times[mine], "<u4") + b"|" + rows_of))
-            x, y, who = before[~both], code[~both], doc[~both]
-            order = np.argsort(y, kind="stable")
-            x, y, who = x[order], y[order], who[order]
-            for b, mine in _slices(_buckets_of(x, y, buckets)):
-                out.append((b, 2, _pack(y[mine]), _wide(x[mine]), _plain(who[mine], "<u4") + b"|" + rows_of))
-            numbers, docs_of = [], []
-            return _rows(out)
+    return rows.mapInArrow(send, BLOBS)
 
-        for batch in batches:
-            for number, doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                chunks.add(text.as_py())
-                numbers.append(number)
-                docs_of.append((doc, held))
-                if chunks.n >= CHUNK_TOKENS:
-                    yield flush()
-        if numbers:
-            yield flush()
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 7, by context outside the head: training counts, what discounts leave of them, mass of the words seen."""
-        uni, back = model.value
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                before, c, share = _bigrams(*row, uni)
-                rare = before >= IDS
-                ctx, at = np.unique(before[rare], return_inverse=True)
-                c, share = c[rare], share[rare]
-                n, kept, mass = (np.bincount(at, x, len(ctx)) for x in (c, discounted(c, back.d), share))
-                yield _rows([(b, 7, _pack(ctx[mine]), _plain(n[mine], "<i8"), _plain(np.concatenate([kept[mine], mass[mine]]), "<f8")) for b, mine in _slices((_mix(ctx) % np.uint64(buckets)).astype(np.int64))])
+OUT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        """Round 1, one bucket. Kind 8: partial sums by row number. Kind 9: contexts outside the head, whether the bigram was seen, row number."""
-        uni, back = model.value
-        own = {k: rows[rows["kind"] == k] for k in (0, 4, 5)}
-        counted = lambda blobs: _joined(blobs, lambda x: _get(x, "<i8"), np.int64)
-        keys, c = _joined(own[0]["a"], _unpack, np.uint64), counted(own[0]["b"])
-        wh, wc = _joined(own[4]["a"], _unpack, np.uint64), counted(own[4]["b"])
-        pairs = _pair(_joined(own[5]["a"], _narrow, np.uint64), _joined(own[5]["b"], _narrow, np.uint64))
-        pc = counted(own[5]["c"])[: len(pairs)]
-        parts, facts_of, asked = [], [], []
-        for kind, a, b, cc in zip(rows["kind"], rows["a"], rows["b"], rows["c"], strict=True):
-            if kind == 1:
-                split = _split(cc)
-                times, at = _get(split[0], "<u4"), _unpack(split[1])
-                k, doc = _unpack(a), _get(b, "<u4").astype(np.int64)
-                n = _at(keys, c, k)
-                ctx, word = (k >> np.uint64(16)).astype(np.int64), (k & np.uint64(0xFFFF)).astype(np.int64)
-                log = np.where(n > 0, _log(discounted(n, back.d)) - np.log10(np.maximum(back.total[ctx], 1)), _log(back.weight[ctx]) + _log(uni.p[word]))
-                parts.append((at, np.bincount(doc, log * times, len(at)), None, None, None))
-            elif kind == 2:
-                split = _split(cc)
-                doc, at = _get(split[0], "<u4").astype(np.int64), _unpack(split[1])
-                word, before = _unpack(a), _narrow(b)
-                n, ends = _at(pairs, pc, _pair(before, word)), _at(wh, wc, word)
-                seen, inside, rare = n > 0, before < IDS, word >= IDS
-                ctx = np.where(inside, before, 0).astype(np.int64)
-                of_ctx = np.where(seen, -np.log10(np.maximum(back.total[ctx], 1)), _log(back.weight[ctx]))
-                log = np.where(seen, _log(discounted(n, back.d)), _log(uni.shares(word, ends))) + np.where(inside, of_ctx, 0)
-                parts.append((at, np.bincount(doc, log, len(at)), None, np.bincount(doc, rare & (ends > 0), len(at)), np.bincount(doc, np.where(rare, np.log10(ends + 0.1), 0), len(at))))
-                asked.append((before[~inside], seen[~inside], at[doc[~inside]]))
-            elif kind == 3:
-                at = _unpack(cc)
-                n, known, base = np.frombuffer(a, "<f8").reshape(3, -1)
-                parts.append((at, np.zeros(len(at)), n, known, base))
-                facts_of.append((at, *np.frombuffer(b, "<i8").reshape(2, -1)))
-        out = []
-        if parts:
-            at, back_at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            sums = [np.bincount(back_at, np.concatenate([np.zeros(len(x[0])) if x[j] is None else x[j] for x in parts]), len(at)) for j in range(1, 5)]
-            told = np.zeros((2, len(at)), np.int64)
-            for where, doc, facts in facts_of:
-                place = np.searchsorted(at, where)
-                told[0, place], told[1, place] = doc, facts
-            out.append((int(rows["bucket"].iloc[0]), 8, _pack(at), _plain(np.concatenate(sums), "<f8"), _plain(told, "<i8")))
-        if asked:
-            ctx, seen, row = (np.concatenate(x) for x in zip(*asked, strict=True))
-            order = np.argsort(ctx)
-            ctx, seen, row = ctx[order], seen[order], row[order]
-            out += [(b, 9, _pack(ctx[mine]), _plain(seen[mine], "u1"), _wide(row[mine])) for b, mine in _slices((_mix(ctx) % np.uint64(buckets)).astype(np.int64))]
-        return pd.DataFrame(out, columns=["bucket", "kind", "a", "b", "c"]).astype({"bucket": "int32", "kind": "int32"})
+
+def _finish(shared, buckets: int):
+    """One chunk: its texts and the answers to its bigrams."""
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        """Round 2, one bucket: partial sums by row number, with what contexts outside the head add."""
-        own = rows[rows["kind"] == 7]
-        ctx, at = np.unique(_joined(own["a"], _unpack, np.uint64), return_inverse=True)
-        kept, mass = np.concatenate([_get(x, "<f8").reshape(2, -1) for x in own["c"]], 1) if len(own) else np.zeros((2, 0))
-        n, kept, mass = (np.bincount(at, x, len(ctx)) for x in (_joined(own["b"], lambda x: _get(x, "<i8"), np.int64), kept, mass))
-        weight = (1 - kept / np.maximum(n, 1)) / np.maximum(1e-300, 1 - mass)
-        # logarithms; a context without any bigram has weight 1
-        total, weight = -np.log10(np.maximum(n, 1)), _log(weight)
-        parts = [(np.zeros(0, np.uint64), np.zeros((4, 0)), np.zeros((2, 0), np.int64))]
-        for kind, a, b, c in zip(rows["kind"], rows["a"], rows["b"], rows["c"], strict=True):
-            if kind == 8:
-                parts.append((_unpack(a), _get(b, "<f8").reshape(4, -1), _get(c, "<i8").reshape(2, -1)))
-            elif kind == 9:
-                asked = _unpack(a)
-                row, back_at = np.unique(_narrow(c), return_inverse=True)
-                log = np.where(_get(b, "u1") > 0, _at(ctx, total, asked), _at(ctx, weight, asked))
-                sums = np.zeros((4, len(row)))
-                sums[0] = np.bincount(back_at, log, len(row))
-                parts.append((row, sums, np.zeros((2, len(row)), np.int64)))
-        row, back_at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        sums, told = np.concatenate([x[1] for x in parts], 1), np.concatenate([x[2] for x in parts], 1)
-        cols = {"row": row.astype(np.int64)} | {name: np.bincount(back_at, x, len(row)).astype(np.float64) for name, x in zip(("log", "n", "known", "base"), sums, strict=True)}
-        for name, x in zip(("doc_id", "facts"), told, strict=True):
-            cols[name] = np.zeros(len(row), np.int64)
-            np.add.at(cols[name], back_at, x)  # whole numbers past what a double holds
-        return pd.DataFrame(cols)
-
-    sent = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(send, BLOBS)
-    first = sent.unionByName(table).groupBy("bucket").applyInPandas(settle, BLOBS)
-    both = first.unionByName(table.where("kind = 5").mapInArrow(contexts, BLOBS))
-    parts = both.groupBy("bucket").applyInPandas(finish, PARTS)
-    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("log", "n", "known", "base", "doc_id", "facts")])
-    trained = F.lit(uni.tokens > 0)
-    return sums.select(
-        F.when(F.col("facts") % 4 == 2, F.col("doc_id")).alias("doc_id"),
-        (F.col("facts") >= 4).alias("held_out"),
-        F.col("n").cast("long").alias("n_tokens"),
-        F.col("known").cast("long").alias("n_known"),
-        F.lit(uni.tokens).cast("long").alias("train_tokens"),
-        F.when(trained, F.col("base") - F.col("n") * small).alias("base_score"),
-        F.when(trained, F.col("log")).alias("score"),
-    )
-
-
-def _split(blob: bytes) -> tuple[bytes, bytes]:
-    """Times and row numbers, which travel in one column: the times end where zlib's stream ends."""
-    d = zlib.decompressobj()
-    d.decompress(blob)
-    rest = d.unused_data
-    return blob[: len(blob) - len(rest)], rest[1:]
+        uni, back = shared.value
+        own = rows[rows["kind"] == TEXTS].iloc[0]
+        at = np.ascontiguousarray(np.frombuffer(zlib.decompress(own["b"]), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+        lengths, doc_id, flags = _get(own["c"], "<i8").reshape(3, -1)
+        words = _unpack(own["a"])
+        code = words[at]
+        g = _Bigrams(lengths, code, buckets)
+        told = rows[rows["kind"] < TEXTS].sort_values(["kind", "bucket"])
+        answer = _counts_of(told["a"])
+        # counts of the words outside the head, in the order of their buckets
+        rare = words[words >= IDS]
+        rare = rare[np.lexsort((rare, (_mix(rare) % np.uint64(buckets)).astype(np.int64)))]
+        count = _counts_of(told["b"][told["kind"] == 2])
+        if len(answer) != len(g.x) or len(count) != len(rare):
+            raise RuntimeError("the documents did not read the same twice; checkpoint them first")
+        order = np.argsort(rare)
+        rare, count = rare[order], count[order]
+        counted = lambda c: np.where(c < IDS, uni.counts[np.where(c < IDS, c, OUT).astype(np.int64)], _at(rare, count, c))
+        asked = rows[rows["kind"] == WEIGHTS]
+        ctx, log_weight = _joined(asked["a"], _unpack, np.uint64), _joined(asked["b"], lambda b: _get(b, "<f8"), np.float64)
+        order = np.argsort(ctx)
+        ctx, log_weight = ctx[order], log_weight[order]
+        seen, inside = answer > 0, g.x < IDS
+        weight = np.where(inside, _log(back.weight[np.where(inside, g.x, OUT).astype(np.int64)]), _at(ctx, log_weight, g.x))
+        log = np.where(seen, _log(discounted(np.maximum(answer, 0), back.d)) - np.log10(np.maximum(counted(g.x), 1)), weight + _log(uni.shares(g.y, np.maximum(-answer, 0))))
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        c = counted(words)[at]
+        small = np.log10(max(1, uni.tokens) + 0.1 * (uni.types + 1))
+        none = np.zeros(len(lengths), bool) if uni.tokens else np.ones(len(lengths), bool)
+        real = lambda v: pa.array(v, pa.float64(), mask=none).to_pandas(types_mapper=pd.ArrowDtype)
+        return pd.DataFrame({
+            "doc_id": pd.arrays.IntegerArray(doc_id.copy(), (flags & 1) == 1),
+            "held_out": flags >= 2,
+            "n_tokens": lengths,
+            "n_known": np.bincount(doc, c > 0, len(lengths)).astype(np.int64),
+            "train_tokens": np.full(len(lengths), uni.tokens, np.int64),
+            "base_score": real(np.bincount(doc, np.log10(c + 0.1), len(lengths)) - lengths * small),
+            "score": real(np.bincount(doc, log[g.back], len(lengths))),
+        })
+
+    return finish
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession.sparkContext
+    uni = Unigrams(checkpoint(word_counts(rows.where("NOT held_out").select("text"))))
+    buckets = max(32, -(-uni.tokens // BUCKET_TOKENS))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    first = spark.broadcast(uni)
+    settled = checkpoint(_asked(rows, first, buckets, chunk_tokens).groupBy("bucket").applyInPandas(lambda r: _settle(first.value, buckets)(r), BLOBS))
+    model = spark.broadcast((uni, Backoff(settled, uni)))
+    weights = settled.where(F.col("kind").isin(WEIGHTS, CONTEXTS)).groupBy("bucket").applyInPandas(_weigh(model), BLOBS)
+    met = _texts(rows, model, chunk_tokens).unionByName(settled.where(F.col("kind") < TEXTS)).unionByName(weights)
+    return met.groupBy("chunk").applyInPandas(_finish(model, buckets), OUT_SCHEMA)
