@@ -29,6 +29,7 @@ null (0 * log 0 is not defined); an empty table gives an empty result; other col
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,12 +53,6 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
     """bytes.lower and bytes.split know ASCII only, which is what the contract says."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -135,16 +130,15 @@ def word_counts(train: DataFrame) -> DataFrame:
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(np.fromiter((xxh64_intdigest(w) for w in seen), np.uint64, len(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["h", "c"])
 
-        seen: dict[bytes, int] = {}
+        seen: Counter[bytes] = Counter()
         ends = 0
         for batch in batches:
             for text in batch.column(0):
-                for w in words_of(text.as_py()):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(words_of(text.as_py()))
                 ends += 1
                 if len(seen) > 400_000:
                     yield flush()
-                    seen = {}
+                    seen = Counter()
         yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.uint64()).cast(pa.int64(), safe=False), pa.array([ends], pa.int64())], names=["h", "c"])
 
@@ -201,10 +195,6 @@ class Unigrams:
         self.p = discounted(self.counts, self.d) / size  # by id
         self.p_new = max(1e-300, 1 - total / size)
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Ids of words by hash; OUT outside the head."""
-        return _at(self.hashes, self.ids, h).astype(np.uint16)
-
     def shares(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Level 1 of words by code; count is read outside the head only."""
         inside = code < IDS
@@ -216,39 +206,48 @@ class Unigrams:
 
 
 class _Chunks:
-    """Token codes of consecutive texts."""
+    """Words of consecutive texts as numbers, by a memo of words."""
 
     def __init__(self, uni: Unigrams):
-        self.uni, self.words = uni, _Words()
+        self.head = dict(zip(uni.hashes.tolist(), uni.ids.tolist(), strict=True))
+        self.numbers: dict[bytes, int] = {}
+        self.codes: list[int] = []
         self.clear()
 
     def clear(self) -> None:
-        self.rows, self.hashes, self.n = [], [], 0
-        if len(self.words) > 600_000:
-            self.words = _Words()
+        self.rows, self.parts, self.n = [], [], 0
+        if len(self.codes) > 600_000 or not self.codes:
+            self.numbers, self.codes = {}, [EDGE]  # 0 is the end
 
     def add(self, row: tuple, text: str | None) -> None:
         w = words_of(text)
+        try:
+            part = np.fromiter(map(self.numbers.__getitem__, w), np.uint32, len(w))
+        except KeyError:
+            for x in w:
+                if x not in self.numbers:
+                    h = xxh64_intdigest(x)
+                    self.numbers[x] = len(self.codes)
+                    self.codes.append(self.head.get(h) or max(h, IDS))
+            part = np.fromiter(map(self.numbers.__getitem__, w), np.uint32, len(w))
         self.rows.append(row)
-        self.hashes.append(np.fromiter(map(self.words.__getitem__, w), np.uint64, len(w)))
+        self.parts += [part, np.zeros(1, np.uint32)]
         self.n += len(w) + 1
 
-    def take(self) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-        """The rows, their numbers of tokens, and the codes of all tokens, ends included."""
-        lengths = np.array([len(h) + 1 for h in self.hashes], np.int64)
-        last = np.cumsum(lengths) - 1
-        h = np.full(int(lengths.sum()), END, np.uint64)
-        inner = np.ones(len(h), bool)
-        inner[last] = False
-        h[inner] = np.concatenate(self.hashes)
-        ids = self.uni.lookup(h)
-        ids[last] = EDGE
-        out = self.rows, lengths, np.where(ids != OUT, ids.astype(np.uint64), np.maximum(h, np.uint64(IDS)))
+    def take(self) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """The rows, their numbers of tokens, the sorted codes that occur, and every token's place among them."""
+        at = np.concatenate(self.parts)
+        used = np.zeros(len(self.codes), bool)
+        used[at] = True
+        words, back = np.unique(np.array(self.codes, np.uint64)[used], return_inverse=True)
+        rank = np.zeros(len(used), np.uint32)
+        rank[used] = back
+        out = self.rows, np.fromiter((len(p) + 1 for p in self.parts[::2]), np.int64, len(self.rows)), words, rank[at]
         self.clear()
         return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], uni: Unigrams, most: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], uni: Unigrams, most: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks of rows (row number, doc_id, held_out, text), cut every `most` tokens."""
     chunks = _Chunks(uni)
     for batch in batches:
@@ -264,20 +263,25 @@ class _Bigrams:
     """The different bigrams of a chunk, by class (0: two head words, 1: first word outside, 2: second word
     outside), bucket, code that deals them, and the other code; back is each token's place among them."""
 
-    def __init__(self, lengths: np.ndarray, code: np.ndarray, buckets: int):
-        before = np.empty_like(code)
-        before[1:] = code[:-1]
-        before[np.cumsum(lengths) - lengths] = EDGE
-        _, first, back = np.unique(_pair(before, code), return_index=True, return_inverse=True)
-        x, y = before[first], code[first]
-        kind = np.where(y >= IDS, 2, np.where(x >= IDS, 1, 0))
-        dealt = np.where(kind == 2, y, np.where(kind == 1, x, x << np.uint64(16) | y))
-        bucket = (_mix(dealt) % np.uint64(buckets)).astype(np.int64)
-        place = kind * buckets + bucket
-        order = np.lexsort((np.where(kind == 2, x, y), dealt, place))
+    def __init__(self, lengths: np.ndarray, words: np.ndarray, at: np.ndarray, buckets: int):
+        size = np.uint64(len(words))
+        y = at.astype(np.uint64)
+        x = np.empty_like(y)
+        x[1:] = y[:-1]
+        x[np.cumsum(lengths) - lengths] = np.searchsorted(words, np.uint64(EDGE))
+        # one number per bigram, which sorts as its class wants
+        late = (words >= IDS)[at]
+        keys, back = np.unique(np.where(late, size * size + y * size + x, x * size + y), return_inverse=True)
+        late = keys >= size * size
+        a, b = np.divmod(np.where(late, keys - size * size, keys), size)
+        x, y = words[np.where(late, b, a)], words[np.where(late, a, b)]
+        kind = np.where(late, 2, np.where(x >= IDS, 1, 0))
+        dealt = np.where(late, y, np.where(kind == 1, x, x << np.uint64(16) | y))
+        place = kind * buckets + (_mix(dealt) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(place.astype(np.uint16) if 3 * buckets < 1 << 16 else place, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.x, self.y, self.kind, self.dealt, self.place, self.back = x[order], y[order], kind[order], dealt[order], place[order], rank[back]
+        self.x, self.y, self.dealt, self.place, self.back = x[order], y[order], dealt[order], place[order], rank[back]
 
     def parts(self) -> Iterator[tuple[int, slice]]:
         """Class * buckets + bucket, and where its bigrams are."""
@@ -319,8 +323,8 @@ def _asked(rows: DataFrame, shared, buckets: int, most: int) -> DataFrame:
     """Every chunk's different bigrams, with their training counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_of, lengths, code in _chunks(batches, shared.value, most):
-            g = _Bigrams(lengths, code, buckets)
+        for rows_of, lengths, words, at in _chunks(batches, shared.value, most):
+            g = _Bigrams(lengths, words, at, buckets)
             times = np.bincount(g.back, np.repeat([not held for _, _, held in rows_of], lengths), len(g.x)).astype(np.int64)
             out = []
             for place, at in g.parts():
@@ -355,7 +359,9 @@ def _settle(uni: Unigrams, buckets: int):
                 x, y = dealt, _joined(own["b"], lambda b: _get(b, "<u2"), np.uint16).astype(np.uint64)
             else:
                 x, y = _joined(own["b"], _narrow, np.uint64), dealt
-            _, first, back = np.unique(_pair(x, y), return_index=True, return_inverse=True)
+            _, back = np.unique(dealt if kind == 0 else _pair(x, y), return_inverse=True)
+            first = np.zeros(back.max() + 1, np.int64)
+            first[back] = np.arange(len(back))  # any of its places
             n = np.bincount(back, _joined(own["c"], lambda c: _get(c, "<u4"), np.uint32), len(first)).astype(np.int64)
             ux, uy = x[first], y[first]
             if kind == 2:
@@ -440,8 +446,7 @@ def _texts(rows: DataFrame, shared, most: int) -> DataFrame:
     """Every chunk's tokens, as places among its different words, and what is known of its rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_of, lengths, code in _chunks(batches, shared.value[0], most):
-            words, at = np.unique(code, return_inverse=True)
+        for rows_of, lengths, words, at in _chunks(batches, shared.value[0], most):
             ids = np.array([[d or 0, (d is None) + 2 * held] for _, d, held in rows_of], np.int64)
             facts = np.concatenate([lengths, ids[:, 0], ids[:, 1]]).astype("<i8")
             yield _batch([(TEXTS, 0, rows_of[0][0], _pack(words), zlib.compress(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1), zlib.compress(facts.tobytes(), 1))])
@@ -461,8 +466,7 @@ def _finish(shared, buckets: int):
         at = np.ascontiguousarray(np.frombuffer(zlib.decompress(own["b"]), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
         lengths, doc_id, flags = _get(own["c"], "<i8").reshape(3, -1)
         words = _unpack(own["a"])
-        code = words[at]
-        g = _Bigrams(lengths, code, buckets)
+        g = _Bigrams(lengths, words, at, buckets)
         told = rows[rows["kind"] < TEXTS].sort_values(["kind", "bucket"])
         answer = _counts_of(told["a"])
         # counts of the words outside the head, in the order of their buckets
