@@ -25,32 +25,70 @@ def test_languages_of_held_out_documents(docs, rows):
     assert all(0 <= r["score"] <= 1 for r in got) and sum(r["rejected"] for r in got) <= 0.01 * len(got)
 
 
-def test_kneser_ney_sums_to_one():
-    m = langid.KneserNey({"x": ["banana bandana cabana"], "y": ["kiwi wiki kiwi"]})
-    alphabet = sorted(set("banana bandana cabana kiwi wiki"))
-    for stem in ("", "b", "ban", "cab"):
-        # what may follow stem, as differences of whole-word bits with a final space counted in the word
-        total = 0.0
-        for c in alphabet:
-            with_c = m.word_bits([stem + c] if c != " " else [stem or "b"])
-            total += 0 if c == " " else 2 ** -(with_c[0, 0] - _tail(m, stem + c))
-        assert 0 < total <= 1.001
-
-
-def _tail(m, word):
-    """Bits of the end of word and of all before its last character."""
-    grams, contexts = langid._grams([word])
-    p = np.full(len(word) + 1, m.floor)
-    for n in range(langid.ORDER):
-        (keys, share), (ckeys, weight) = m.tables[n]
-        for i in range(len(word) + 1):
-            w = np.flatnonzero(ckeys == contexts[n][i])
-            if len(w):
-                p[i] *= weight[w[0], 0]
-            g = np.flatnonzero(keys == grams[n][i])
-            if len(g):
-                p[i] += share[g[0], 0]
-    return float(-np.log2(p[-1]) - np.log2(p[:-2]).sum())
+def dictionary_kneser_ney(texts):
+    """Interpolated Kneser-Ney over the letters of padded words by plain dictionaries: p(character | what stands before in its word)."""
+    words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
+    grams = [defaultdict(float) for _ in range(langid.ORDER)]
+    for w, times in words.items():
+        padded = "\0" * (langid.ORDER - 1) + w + " "
+        for i in range(langid.ORDER - 1, len(padded)):
+            grams[-1][padded[i - langid.ORDER + 1 : i + 1]] += times
+    for n in range(langid.ORDER - 1, 0, -1):  # how many different characters stand before
+        for g in grams[n]:
+            grams[n - 1][g[1:]] += 1
+    total, kinds, d = [], [], []
+    for g in grams:
+        n1, n2 = sum(c == 1 for c in g.values()), sum(c == 2 for c in g.values())
+        d.append(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+        total.append(Counter()), kinds.append(Counter())
+        for x, c in g.items():
+            total[-1][x[:-1]] += c
+            kinds[-1][x[:-1]] += 1
+
+    def p(c, before):
+        out = 1 / 50_000
+        for n in range(langid.ORDER):
+            ctx = before[len(before) - n :] if n else ""
+            if total[n][ctx]:
+                out = max(grams[n].get(ctx + c, 0) - d[n], 0) / total[n][ctx] + d[n] * kinds[n][ctx] / total[n][ctx] * out
+        return out
+
+    return p, {c for g in grams[0] for c in g}
+
+
+@pytest.mark.parametrize("slices", [1, 32])
+def test_kneser_ney_equals_plain_dictionaries(rows, monkeypatch, slices):
+    monkeypatch.setattr(langid, "SLICE", slices)
+    texts = {lang: [r["text"] for r in rows if r["lang"] == lang][:3] for lang in ("de", "en", "fr")}
+    m = langid.KneserNey.of(texts)
+    words = ["banana", "straße", "the", "q", "élève", "日本", *(w for t in texts.values() for w in langid._words(t[0])[:40])]
+    got = m.word_bits(words)
+    for j, lang in enumerate(m.langs):
+        p, alphabet = dictionary_kneser_ney(texts[lang])
+        pad = "\0" * (langid.ORDER - 1)
+        for w, bits in zip(words, got[:, j]):
+            assert bits == pytest.approx(sum(-math.log2(p(c, (pad + w)[: i + langid.ORDER - 1])) for i, c in enumerate(w + " ")), rel=1e-4)
+        for before in (pad, pad[:3] + "t", "\0the", "xqzj"):
+            assert sum(p(c, before) for c in alphabet) + p("\x01", before) * (50_000 - len(alphabet)) == pytest.approx(1)
+
+
+def test_every_label_is_learned_and_repeated_rows_take_no_place(spark, docs):
+    """Rows without an id, or with one and the same, don't crowd the others out; labels beyond a slice count too."""
+    import string
+
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("immer derselbe Satz ohne Nummer").alias("text"), F.lit("de").alias("lang"))
+    same = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("la même phrase encore une fois").alias("text"), F.lit("fr").alias("lang"))
+    odd = [(10_000 + 40 * k + i, " ".join(f"{a}{b}{a}{a}{b}" for b in "xyzw"[: 2 + i % 3]), f"l{k:02}") for k, a in enumerate(string.ascii_lowercase + "àáâãäåæçèéêë") for i in range(8)]
+    all_docs = docs.select("doc_id", "text", "lang").union(hot).union(same).union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    m = langid.train(all_docs, docs_per_lang=60)
+    assert {"de", "en", "es", "fr"} < set(m.langs) and len(m.langs) == 42
+    some = langid.sampled(all_docs, "doc_id", "text", "lang", 60)
+    n = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    whole = Counter(r["lang"] for r in {(r["doc_id"], r["text"], r["lang"]): r for r in all_docs.where(~langid.held_out()).collect()}.values())
+    assert n == {lang: min(60, k) for lang, k in whole.items()}
+    held = docs.where(langid.held_out())
+    right = langid.identify(held, model=m).join(held.select("doc_id", "lang"), "doc_id").where("lang_pred = lang").count()
+    assert right > 0.95 * held.count()
 
 
 def test_unlabelled_and_letterless_text(awkward, nothing):

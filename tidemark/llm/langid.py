@@ -2,15 +2,16 @@
 
 One model per language, over the characters of lower-case words, up to ORDER characters
 deep. Continuation counts below the highest order, absolute discounts estimated from each order's
-counts of counts. All languages share one pair of sorted hash arrays per order: n-gram hash ->
+counts of counts. SLICE languages at a time share one pair of sorted hash arrays per order: n-gram hash ->
 discounted probability per language, and context hash -> interpolation weight per language; a lookup
 is a binary search. A text's score is its cross-entropy in bits per character, whole text; the lowest
 wins. Words are runs of letters. Rejection is calibrated: a text is rejected where its cross-entropy exceeds what MAX_REJECT of
 the calibration documents of its language exceed, plus a margin that shrinks with the text's length.
 
-Training takes a sample of at most DOCS_PER_LANG documents per language, by hash of id, of which one
-in five calibrates; languages are the LANGS most frequent labels. So the broadcast model is bounded at
-any input size. Prediction is one pass of Arrow batches over whole texts, without a shuffle, with a
+Every label is learned. Training takes a sample of at most DOCS_PER_LANG documents per label, those with the
+smallest hash of id and text (rows that repeat both count once), and stops after the document that reaches
+CHARS_PER_LANG characters; one in five calibrates. Each label is fitted in a task of its own, and the arrays are
+collected, never texts. So the broadcast model grows with the number of labels only, by some MB each. Prediction is one pass of Arrow batches over whole texts, without a shuffle, with a
 bounded memo of word scores.
 
 Edge cases: text that is null or has no letter is 'und' with score 0, and rejected; with nothing
@@ -25,11 +26,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER, DOCS_PER_LANG, CHARS_PER_LANG, LANGS, MEMO = 5, 250, 1_500_000, 64, 300_000
+from tidemark.llm.common import checkpoint, small_or_shuffled
+
+ORDER, DOCS_PER_LANG, CHARS_PER_LANG, SLICE, MEMO = 5, 250, 1_500_000, 32, 300_000
 MAX_REJECT, MARGIN = 0.001, 2.0
 _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"[^\W\d_]+")
@@ -102,26 +106,34 @@ class Memo:
 class KneserNey:
     """Sorted hash arrays of all languages' interpolated models."""
 
-    def __init__(self, texts: dict[str, list[str]]):
-        self.langs = sorted(texts)
-        k = len(self.langs)
-        per_lang = [self._fit(Counter(w for t in texts[lang] for w in _words(t))) for lang in self.langs]
+    def __init__(self, fitted: dict[str, list], limits: dict[str, float] | None = None):
+        """fitted: by language and order, what fit() gives; limits: bits per character that calibration allows."""
+        self.langs = sorted(fitted)
         self.floor = 1.0 / 50_000  # share of a character that no language has shown
-        self.tables = []
-        for n in range(ORDER):
-            pair = []
-            for what in (0, 1):
-                keys = np.unique(np.concatenate([p[n][what][0] for p in per_lang])) if k else np.zeros(0, np.uint64)
-                values = np.full((len(keys), k), 0.0 if what == 0 else 1.0, np.float32)
-                for j, p in enumerate(per_lang):
-                    values[np.searchsorted(keys, p[n][what][0]), j] = p[n][what][1]
-                pair.append((keys, values))
-            self.tables.append(pair)
-        self.limits = np.full(k, np.inf)
+        self.slices = []
+        for first in range(0, len(self.langs), SLICE):
+            some = [fitted[lang] for lang in self.langs[first : first + SLICE]]
+            tables = []
+            for n in range(ORDER):
+                pair = []
+                for what in (0, 1):
+                    keys = np.unique(np.concatenate([p[n][what][0] for p in some]))
+                    values = np.full((len(keys), len(some)), 0.0 if what == 0 else 1.0, np.float32)
+                    for j, p in enumerate(some):
+                        values[np.searchsorted(keys, p[n][what][0]), j] = p[n][what][1]
+                    pair.append((keys, values))
+                tables.append(pair)
+            self.slices.append((first, len(some), tables))
+        self.limits = np.array([(limits or {}).get(lang, np.inf) for lang in self.langs])
+
+    @classmethod
+    def of(cls, texts: dict[str, list[str]]) -> KneserNey:
+        return cls({lang: cls.fit(t) for lang, t in texts.items()})
 
     @staticmethod
-    def _fit(words: Counter) -> list:
+    def fit(texts: list[str]) -> list:
         """By order: (n-gram hashes, discounted shares), (context hashes, weights)."""
+        words = Counter(w for t in texts for w in _words(t))
         names = list(words)
         times = np.fromiter(words.values(), np.float64, len(names))
         _, lengths = _encode(names)
@@ -148,17 +160,21 @@ class KneserNey:
         """Bits of each word (with its end) under each language."""
         _, lengths = _encode(words)
         grams, contexts = _grams(words)
-        p = np.full((len(grams[0]), len(self.langs)), self.floor)
-        for (keys, share), (ckeys, weight), g, c in ((*self.tables[n], grams[n], contexts[n]) for n in range(ORDER)):
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(ckeys, c), len(ckeys) - 1)
-            hit = ckeys[at] == c
-            p[hit] *= weight[at[hit]]
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            hit = keys[at] == g
-            p[hit] += share[at[hit]]
-        return np.add.reduceat(-np.log2(p), np.cumsum(lengths) - lengths, axis=0)
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros((len(words), len(self.langs)))
+        for first, k, tables in self.slices:
+            p = np.full((len(grams[0]), k), self.floor)
+            for (keys, share), (ckeys, weight), g, c in ((*tables[n], grams[n], contexts[n]) for n in range(ORDER)):
+                if not len(keys):
+                    continue
+                at = np.minimum(np.searchsorted(ckeys, c), len(ckeys) - 1)
+                hit = ckeys[at] == c
+                p[hit] *= weight[at[hit]]
+                at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+                hit = keys[at] == g
+                p[hit] += share[at[hit]]
+            out[:, first : first + k] = np.add.reduceat(-np.log2(p), starts, axis=0)
+        return out
 
     def text_bits(self, texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text under each language, and its characters."""
@@ -173,13 +189,14 @@ class KneserNey:
                 out[i] = times @ memo.bits[at] / size[i]
         return out, size
 
-    def calibrate(self, held: dict[str, list[str]]) -> None:
-        for j, lang in enumerate(self.langs):
-            texts = [t for t in held.get(lang, []) if has_letter(t)]
-            if texts:
-                bits, size = self.text_bits(texts, Memo(len(self.langs)))
-                own = np.sort((bits[:, j] - MARGIN * 8 / np.sqrt(np.maximum(size, 1))))
-                self.limits[j] = own[min(len(own) - 1, int(len(own) * (1 - MAX_REJECT)))] + MARGIN
+    def limit(self, held: list[str]) -> float:
+        """Of a model of one language: what its calibration documents allow."""
+        texts = [t for t in held if has_letter(t)]
+        if not texts:
+            return np.inf
+        bits, size = self.text_bits(texts, Memo(1))
+        own = np.sort(bits[:, 0] - MARGIN * 8 / np.sqrt(np.maximum(size, 1)))
+        return float(own[min(len(own) - 1, int(len(own) * (1 - MAX_REJECT)))] + MARGIN)
 
     def predict(self, texts: list[str | None], memo: Memo) -> list[tuple[str, float, float | None, bool]]:
         """(label, score, bits per character, rejected) of each text."""
@@ -201,28 +218,45 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> KneserNey:
-    """Fit on a bounded sample of the labelled documents that are not held out."""
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int) -> DataFrame:
+    """lang, place, text: the labelled documents that train, at most docs_per_lang different ones of each label."""
     base = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    base = base.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40)).alias("place"))
-    counts = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    if not counts:
-        return KneserNey({})
-    # a hash range that holds half as many again as wanted, then the first of them
-    share = {r["lang"]: min(1 << 40, int((1 << 40) * (1.5 * docs_per_lang + 20) / r["count"])) for r in counts}
-    limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    rows = base.where(F.col("place") < limit).orderBy("place").limit(len(share) * (3 * docs_per_lang + 60)).collect()
-    texts: dict[str, list[str]] = {}
-    held: dict[str, list[str]] = {}
-    chars: Counter = Counter()
-    for r in rows:
-        mine = texts.setdefault(r["lang"], [])
-        if len(mine) + len(held.get(r["lang"], [])) < docs_per_lang and chars[r["lang"]] < CHARS_PER_LANG:
-            chars[r["lang"]] += len(r["text"])
-            (held.setdefault(r["lang"], []) if len(mine) % 5 == 4 and len(held.get(r["lang"], [])) < len(mine) / 4 else mine).append(r["text"])
-    model = KneserNey({k: v for k, v in texts.items() if v})
-    model.calibrate(held)
-    return model
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 50))
+    base = base.select(F.col(lang_col).cast("string").alias("lang"), place.alias("place"), F.col(text_col).cast("string").alias("text"))
+    # a hash range that holds about half as many again as wanted, then the first of them
+    counts = base.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n"))
+    counts = checkpoint(counts.select("lang", (F.lit(float(1 << 50)) * (1.5 * docs_per_lang + 20) / F.col("n")).alias("below")))
+    near = base.select("lang", "place").join(small_or_shuffled(counts), "lang").where("place < below").select("lang", "place").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = checkpoint(near.withColumn("k", first).where(F.col("k") <= docs_per_lang).select("lang", "place"))
+    return base.join(small_or_shuffled(chosen), ["lang", "place"]).dropDuplicates(["lang", "place"])
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG
+) -> KneserNey:
+    """Fit on a bounded sample of the labelled documents that are not held out."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        mine, held, chars = [], [], 0
+        for text in rows.sort_values("place")["text"]:
+            if chars >= chars_per_lang:
+                break
+            chars += len(text)
+            (held if len(mine) % 5 == 4 and len(held) < len(mine) / 4 else mine).append(text)
+        tables = KneserNey.fit(mine)
+        limit = KneserNey({"": tables}).limit(held)
+        blobs = [[a.astype(kind).tobytes() for pair in order for a, kind in zip(pair, ("<u8", "<f4"), strict=True)] for order in tables]
+        return pd.DataFrame([(rows["lang"].iloc[0], n, *b, limit) for n, b in enumerate(blobs)], columns=["lang", "n", "g", "share", "c", "weight", "most"]).astype({"n": "int32"})
+
+    fitted: dict[str, list] = {}
+    limits: dict[str, float] = {}
+    made = sampled(docs, id_col, text_col, lang_col, docs_per_lang).groupBy("lang").applyInPandas(fit, "lang string, n int, g binary, share binary, c binary, weight binary, most double")
+    for r in sorted(made.collect(), key=lambda r: (r["lang"], r["n"])):  # some MB per label
+        pairs = [(np.frombuffer(r[k], "<u8"), np.frombuffer(r[v], "<f4")) for k, v in (("g", "share"), ("c", "weight"))]
+        fitted.setdefault(r["lang"], []).append(pairs)
+        limits[r["lang"]] = r["most"]
+    return KneserNey({lang: tables for lang, tables in fitted.items() if len(tables[0][0][0])}, limits)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_char double, rejected boolean"
