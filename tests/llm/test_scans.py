@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import string
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -63,6 +67,60 @@ def test_context_discovers_what_no_pattern_matches(spark):
     assert all(got[50 + i] == ["ctx_email"] for i in range(3)) and all(got[i] == ["email"] for i in range(12)) and not any(got[80 + i] for i in range(12))
 
 
+def reference_contexts(texts):
+    """ctx spans by plain loops: seeds, left contexts, two rounds of scores."""
+    words, seeds = [], {}
+    for i, text in enumerate(texts):
+        base, before = base_pii(text), []
+        for m in re.finditer("[^\x20\x09-\x0d]+", text or ""):
+            if re.search("[0-9@]", m[0]):
+                core = re.match("[^A-Za-z0-9+]*([A-Za-z0-9+](?:.*[A-Za-z0-9])?)", m[0], re.S)
+                met = [s for s in base if s[0] < m.end()]
+                far = max(met, key=lambda s: (s[2], s[3])) if met else None
+                kind = far[3] if far and far[2] > m.start() else None
+                if core and len(core[1]) >= 4:
+                    left = [*"^^", *before][-2:]
+                    words.append((i, m.start() + core.start(1), core[1], {f"1:{left[1]}", f"2:{left[0]} {left[1]}"}, kind))
+            before.append("<id>" if re.search("[0-9@]", m[0]) else m[0].lower())
+    links = defaultdict(dict)
+    for _, _, x, patterns, kind in words:
+        for p in patterns:
+            links[p][x] = max(filter(None, (links[p].get(x), kind)), default=None)
+    for x in [y for of in links.values() for y in of.items() if y[1]]:
+        seeds[x[0]] = max(x[1], seeds.get(x[0], ""))
+    known = {x: (k, 1.0) for x, k in seeds.items()}
+    for _ in range(2):
+        trust = {}
+        for p, of in links.items():
+            for kind in {known[x][0] for x in of if x in known}:
+                mass = [known[x][1] for x in of if x in known and known[x][0] == kind]
+                if len(mass) >= 3 and sum(mass) / len(of) >= 0.6:
+                    trust[p, kind] = sum(mass) / len(of)
+        doubt = defaultdict(lambda: 1.0)
+        for (p, kind), t in trust.items():
+            for x, k in links[p].items():
+                if k is None:
+                    doubt[x, kind] *= max(1 - t, 1e-6)
+        best = {}
+        for (x, kind), d in doubt.items():
+            best[x] = max(best.get(x, (0, "")), (1 - d, kind))
+        known = {x: (k, 1.0) for x, k in seeds.items()} | {x: (k, s) for x, (s, k) in best.items() if s >= 0.8 and x not in seeds}
+    return [sorted({(s, "ctx_" + known[x][0], s + len(x)) for d, s, x, _, kind in words if d == i and kind is None and x in known and x not in seeds}) for i in range(len(texts))]
+
+
+def test_contexts_equal_brute_force(spark, rows):
+    long = "w" * 90
+    more = [f"account of member {long} me id-{i}@{i} and {long} me id{i}x{i}" for i in range(9)] + [f"mail {long} me u{i}@x.org" for i in range(40)] + [f"see {'v' * 95} me page{i}0" for i in range(5)]
+    more += [f"please reach me user{i}@mail.example.org soon" for i in range(24)] + [f"please reach me user{i}(at)mail now" for i in range(4)] + [f"call me at +1 555 010 {1000 + i} or x{i}(at)y{i}" for i in range(6)]
+    more += [f"or x{i}(at)y{i} call" for i in range(6)] + ["", "  9  ", f"{long}{long}1 a2b3c4"]
+    texts = [r["text"] for r in rows] + more
+    want = reference_contexts(texts)
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert sorted((s["start"], s["kind"], s["end"]) for s in r["spans"] if s["rank"] >= 4) == want[r["doc_id"]]
+    assert sum(map(len, want)) >= 4
+
+
 def test_redaction_masks_and_keeps_the_rest(spark, awkward, nothing):
     out = pii.redact_pii(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
@@ -121,6 +179,51 @@ def test_markov_models_tell_keys_from_names(rows):
     assert sum(model.score(x) > model.threshold for x in fresh) > 270
 
 
+def test_random_letters_alone_are_found(rows):
+    model, rng = secrets.train([r["text"] for r in rows[::2]]), random.Random(3)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        words = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
+        assert sum(bool(secrets.all_spans(f"see {w} there", model, [])) for w in words) >= 195
+    names = secrets.synthetic_names(re.findall("[A-Za-z]{6,}", " ".join(r["text"] for r in rows[1::2])), 1000, seed=5)
+    assert sum(bool(secrets.all_spans(w, model, [])) for w in names) <= 10
+
+
+def test_markov_spans_equal_brute_force(spark, docs, rows):
+    """Training, ratio, threshold and overlap, all by plain loops over one sample of all documents."""
+    alphabet = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_-"
+    steps = lambda w: list(zip("^" + w, w + "^"))
+    extra = ["key k9Qz7Lm2Xc4Vb8Nf1Pd6Rt3Ws5 here", "token=abcdefghijklmnopqrst qzxvkjwqpzxkvjqwzxkv==", "x" * 40, "qwjxzkvbpqwjxzkv,ZXQJWKVPBZXQJWKV"]
+    texts = {r["doc_id"]: r["text"] for r in rows} | {-1 - i: t for i, t in enumerate(extra)}
+    good, bad = secrets.synthetic_strings(), []
+    for text in texts.values():
+        base = base_secrets(text)
+        good += [re.match(ASSIGN, text[s:])[2] if k == "assign" else text[s:e] for s, _, e, k in base]
+        bad += [m[0] for m in re.finditer("[A-Za-z0-9+/_-]{6,}", text) if all(e <= m.start() or s >= m.end() for s, _, e, _ in base)]
+    bad += secrets.synthetic_names(bad)
+    known = lambda w: "".join(c if c in alphabet else "^" for c in w)
+
+    def model(words):
+        n = Counter(x for w in words for x in steps(known(w)))
+        rows_of = Counter()
+        for (a, _), k in n.items():
+            rows_of[a] += k
+        return lambda a, b: math.log((n[a, b] + 0.5) / (rows_of[a] + 0.5 * (len(alphabet) + 1)))
+
+    p, q = model(good), model(bad)
+    score = lambda w: sum(p(a, b) - q(a, b) for a, b in steps(known(w))) / max(1, len(w))
+    scores = sorted((score(w) for w in bad if len(w) >= 16), reverse=True)
+    least = max(0.25, scores[int(0.001 * len(scores))] + 1e-9 if scores else 0.25)
+    some = docs.select("doc_id", "text").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    found = 0
+    assert len(texts) <= secrets.SAMPLE_DOCS  # so that all of them train
+    for r in secrets.find_secrets(some).collect():
+        text, base = texts[r["doc_id"]], base_secrets(texts[r["doc_id"]])
+        want = [(m.start(), 3, m.end(), "markov") for m in re.finditer("[A-Za-z0-9+/_-]{16,}={0,2}", text) if score(m[0].rstrip("=")) > least and all(e <= m.start() or s >= m.end() for s, _, e, _ in base)]
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + want))
+        found += len(want)
+    assert found >= 2
+
+
 def test_secrets_awkward(awkward, nothing):
     assert secrets.find_secrets(awkward).count() == 16 and secrets.find_secrets(nothing).count() == 0
     assert secrets.find_secrets(awkward).where(F.col("doc_id").isNull()).count() == 2

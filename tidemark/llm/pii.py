@@ -5,7 +5,8 @@ patterns: the one or two words left of a seed. Pattern-instance edges (a word th
 and what stands before it) form a bipartite graph. Each round scores patterns by the share of their
 instances that are known, then instances by a noisy-or over the good patterns they occur in; instances
 that reach ACCEPT count as known in the next round. What the final patterns discover is added as
-kind ctx_<seed kind>; base spans stay.
+kind ctx_<seed kind>; base spans stay. An unseen identifier must hold a digit or @ as all seeds do: names and
+handles without either are not found, and words without either do not count against a pattern.
 
 Everything is DataFrame functions. Positions come from split() and regexp_extract_all(), whose pieces
 and matches alternate: running sums over one text's matches give the offsets that no regex reports. Quantifiers are possessive and starts are
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, text_or_empty
+from tidemark.llm.common import checkpoint, small_or_shuffled, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, CONFIDENCE, ACCEPT = 2, 3, 0.6, 0.8
@@ -63,7 +64,8 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-TAIL = 80  # characters of left context that can hold two words of a lexical pattern
+TAIL = 80  # characters of left context that nearly always hold the two words of a lexical pattern; else all of it is kept
+_TWO_WORDS = r"[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
 WORDS = len(KINDS)  # rank of the words that hold a digit or @, beside the kinds
 PARTS = "array<struct<skip:int,left:string,hit:string>>"
 
@@ -71,7 +73,8 @@ PARTS = "array<struct<skip:int,left:string,hit:string>>"
 def _parts(text: Column, pattern: str) -> Column:
     """Matches in order, each with the length and the end of the text between it and the one before."""
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    cut = F.transform(both, lambda x: F.struct(F.length(x["gap"]).alias("skip"), F.right(x["gap"], F.lit(TAIL)).alias("left"), x["hit"].alias("hit")))
+    left = lambda gap: F.when(F.right(gap, F.lit(TAIL)).rlike(_TWO_WORDS), F.right(gap, F.lit(TAIL))).otherwise(gap)
+    cut = F.transform(both, lambda x: F.struct(F.length(x["gap"]).alias("skip"), left(x["gap"]).alias("left"), x["hit"].alias("hit")))
     return F.filter(cut, lambda x: x["hit"].isNotNull())
 
 
@@ -136,12 +139,12 @@ def _edges(placed: DataFrame, base: DataFrame) -> DataFrame:
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
     """instance, kind, score of unseen identifiers, after iterative scoring of the graph."""
-    links = checkpoint(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
+    links = checkpoint(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))  # copies count once, and no side of a join is text
     known = links.where("seed IS NOT NULL").groupBy("instance").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score"))
     sizes = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    out = known
+    out = checkpoint(known)
     for _ in range(rounds):
-        patterns = links.join(out, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("k"))
+        patterns = links.join(small_or_shuffled(out), "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("k"))
         patterns = patterns.join(sizes, "pattern").where(F.col("k") >= min_seeds).withColumn("trust", F.col("mass") / F.col("n"))
         good = patterns.where(F.col("trust") >= confidence).select("pattern", "kind", "trust")
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6))))
@@ -167,7 +170,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fresh = bootstrap(edges)
     rank = F.lit(WORDS) + F.array_position(F.array(*map(F.lit, KINDS)), F.col("known")).cast("int") - 1
     at = edges.where("kind IS NULL").select("_row", "start", "instance").distinct()
-    more = at.join(fresh.select("instance", F.col("kind").alias("known")), "instance")
+    more = at.join(small_or_shuffled(checkpoint(fresh.select("instance", F.col("kind").alias("known")))), "instance")
     more = more.select("_row", "start", rank.alias("rank"), (F.col("start") + F.length("instance")).alias("end"), F.concat(F.lit("ctx_"), "known").alias("kind"))
     spans = base.union(more).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))  # bounded by one text
     rows = found.groupBy("_row").agg(F.first("doc_id").alias("doc_id"))

@@ -3,7 +3,8 @@
 Two first-order character models, of random strings and of ordinary identifiers, are trained from
 labelled samples. Positive labels are the values that the fixed patterns find in a sample of at most
 SAMPLE_DOCS documents (by hash of id) and SYNTHETIC strings drawn with a fixed seed from the usual key
-alphabets; negative labels are all other identifier-like words of the sample. A word of 16 characters
+alphabets; negative labels are all other identifier-like words of the sample, and as many SYNTHETIC names put
+together from its words as programs spell them. A word of 16 characters
 or more becomes a span of kind markov where the log-likelihood ratio per character exceeds a
 threshold that MAX_FALSE of the negative labels exceed. Base spans stay, and markov spans do not
 overlap them.
@@ -96,6 +97,14 @@ def synthetic_strings(n: int = SYNTHETIC, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(16, 64))) for i in range(n)]
 
 
+def synthetic_names(words: list[str], n: int = SYNTHETIC, seed: int = 11) -> list[str]:
+    """Names of two to five words in the spellings of programs; the order of words does not matter."""
+    words = sorted({w for w in words if w.isalpha() and len(w) <= 12})
+    rng = random.Random(seed)
+    spell = ("_".join, lambda x: "_".join(x).upper(), "-".join, "/".join, lambda x: "".join(map(str.capitalize, x)), lambda x: x[0].lower() + "".join(map(str.capitalize, x[1:])))
+    return [spell[i % len(spell)](rng.choices(words, k=rng.randint(2, 5))) for i in range(n)] if words else []
+
+
 def train(texts: list[str]) -> MarkovPair:
     positive, negative = synthetic_strings(), []
     for text in texts:
@@ -105,15 +114,14 @@ def train(texts: list[str]) -> MarkovPair:
         for m in re.finditer(r"[A-Za-z0-9+/_-]{6,}", text):
             if not any(s < m.end() and m.start() < e for s, _, e in spans):
                 negative.append(m.group())
-    return MarkovPair(positive, negative)
+    return MarkovPair(positive, negative + synthetic_names(negative))
 
 
 def all_spans(text: str, model: MarkovPair, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     more, starts, far = [], [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in WORD.finditer(text):
         word = m.group().rstrip("=")
-        # without a digit, or a capital after a small letter, a word is prose
-        if re.search(r"[0-9]|[a-z][A-Z]", word) and model.score(word) > model.threshold:
+        if model.score(word) > model.threshold:
             k = bisect_left(starts, m.end())  # of the spans that begin before its end, how far do they reach?
             if not k or far[k - 1] <= m.start():
                 more.append((m.start(), 3, m.end()))
