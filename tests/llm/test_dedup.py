@@ -120,30 +120,65 @@ def test_components(spark, small):
 
 def test_recurring_lines_go_and_others_stay(spark):
     notice = "Copyright notice number {} of the example project"
-    items = [(i, f"{chr(97 + i) * 6} begins a line of its own that stays\n{notice.format(i)}\nshort line") for i in range(8)]
+    items = [(i, f"{chr(97 + i) * 6} begins a line of its own that stays\n{notice.format(i)}\n{i}") for i in range(8)]
     items.append((8, "User alice logged in from the office\nshort line"))
     items += [(9 + i, f"User {n} logged in from the office") for i, n in enumerate(("bob", "carol", "dave", "erin"))]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(items, "doc_id long, text string"), similarity=0.7, depth=1).collect()}
-    assert all(got[i]["n_dropped"] == 1 and "Copyright" not in got[i]["text"] and "short line" in got[i]["text"] for i in range(8))
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(items, "doc_id long, text string"), depth=1).collect()}
+    assert all(got[i]["n_dropped"] == 1 and "Copyright" not in got[i]["text"] and got[i]["text"].endswith(f"stays\n{i}") for i in range(8))
     assert all("logged" not in got[i]["text"] for i in range(8, 13)) and got[8]["text"] == "short line"
 
 
-def test_line_dedup_drops_exactly_the_recurring_masked_lines(docs, rows):
+def reference_line_dedup(items, depth=3):
+    """text, lines and dropped lines of each document by plain loops."""
+
     def masked(line):
         w = re.split("[\x20\x09-\x0d]+", line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
-        return " ".join("<*>" if re.search("[0-9]", x) else x for x in w)
-
-    seen = defaultdict(set)
-    for r in rows:
-        for line in (r["text"] or "").split("\n"):
-            if len(masked(line).split(" ")) >= 5:
-                seen[masked(line)].add(r["doc_id"])
-    always = {m for m, d in seen.items() if len(d) >= 5}
-    for r, got in zip(sorted(rows, key=lambda r: r["doc_id"]), sorted(line_dedup.line_dedup(docs).collect(), key=lambda r: r["doc_id"]), strict=True):
-        lines, left = r["text"].split("\n"), got["text"].split("\n") if got["text"] else []
-        assert got["n_lines"] == len(lines) and not any(masked(x) in always for x in left)
-        gone = [x for x in lines if x not in left and x]
-        assert all(len(masked(x).split(" ")) >= 5 for x in gone)
+        return tuple("<*>" if re.search("[0-9]", x) else x for x in w)
+
+    holds = defaultdict(set)
+    for d, text in items:
+        for line in (text or "").split("\n"):
+            if any(x not in ("", "<*>") for x in masked(line)):
+                holds[masked(line)].add(d)
+    long = lambda m: len(m) >= 20 or len(" ".join(m)) >= 120
+    drop = {m for m, d in holds.items() if len(d) >= (2 if long(m) else 5)}
+    leaves = defaultdict(list)
+    for m in holds:
+        leaves[len(m), m[:depth]].append(m)
+    for lines in leaves.values():
+        while len(lines) > 1:
+            total = sum(len(holds[m]) for m in lines)
+            n = Counter((i, x) for m in lines for i, x in enumerate(m) for _ in holds[m] if x != "<*>")
+            fixed = {k for k, c in n.items() if c >= 5 and c >= 0.1 * total}
+            groups = defaultdict(list)
+            for m in lines:
+                own = [(i, x) for i, x in enumerate(m) if (i, x) in fixed]
+                if len(own) > depth and len(own) >= 0.7 * sum(x != "<*>" for x in m):
+                    groups[tuple(own)].append(m)
+            found = {m for g in groups.values() if len(set().union(*(holds[m] for m in g))) >= 5 for m in g}
+            drop |= found
+            lines = [m for m in lines if m not in found] if found else []
+    out = {}
+    for d, text in items:
+        lines = [] if text is None else text.split("\n")
+        left = [x for x in lines if masked(x) not in drop]
+        out[d] = (None if text is None else "\n".join(left), len(lines), len(lines) - len(left))
+    return out, drop
+
+
+def test_line_dedup_equals_brute_force(spark, rows):
+    names = [a + b for b in "na bert la ra mil fritz gerd".split() for a in "an el im on ul ar es".split()]
+    extra = [f"User session was opened for {names[i % 49]} from the main office" for i in range(30)]
+    extra += [f"User session was refused after {names[i % 49]} entered a wrong code" for i in range(20)]
+    extra += [f"User session was {x} by {names[i % 49]} at the {x} desk" for x in ("begun", "ended", "moved") for i in range(6)]  # three equally common ones
+    extra += [f"User session was closed by {names[i % 49]} {names[-i]} at night" for i in range(7)]  # rarer than a tenth until the others are gone
+    extra += ["All rights reserved."] * 6 + ["12 34"] * 9 + ["Seite 4 von 10"] * 3 + [" ".join(f"word{chr(97 + i)}" for i in range(26))] * 2
+    items = [(r["doc_id"], r["text"]) for r in rows] + [(100_000 + i, f"{x}\n\na line of number {i} alone {names[i % 49]}{i}") for i, x in enumerate(extra)]
+    want, drop = reference_line_dedup(items)
+    got = line_dedup.line_dedup(spark.createDataFrame(items, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got} == want
+    assert ("All", "rights", "reserved.") in drop and ("<*>", "<*>") not in drop
+    assert all(tuple(x.split()) in drop for x in extra if x.startswith("User") or x.startswith("worda"))
 
 
 def test_line_dedup_awkward(awkward, nothing):

@@ -1,17 +1,24 @@
 """Line deduplication by a fixed-depth log-template tree.
 
-Each line of at least MIN_TOKENS tokens descends the tree: first by its token count, then by its
-leading DEPTH tokens; tokens that hold a digit are variable fields and count as <*>. Lines that agree
-in all masked tokens share a template. Inside a leaf that several documents reach, the tree
-generalises further: a position whose most common token covers less than half the leaf's lines
-becomes <*>, and lines that match at least SIMILARITY of the leaf's constant positions share the
-leaf's template. A template that occurs in MIN_DOCS or more documents recurs, and all lines that
-carry it are dropped.
-
-Everything is DataFrame functions. Only line hashes are shuffled, with counts combined map-side; token
-rows exist for leaves that MIN_DOCS documents reach, and a hot leaf meets only as per-token counts.
-
-Edge cases: null text stays null, with 0 lines; empty lines and lines under MIN_TOKENS tokens are kept
+Each non-empty line descends the tree: first by its token count, then by its leading DEPTH tokens; tokens that
+hold a digit are variable fields and count as <*>. Lines that agree in all masked tokens share a
+template, which recurs if it has a constant token and occurs in MIN_DOCS documents, or in LONG_DOCS if it is long
+(LONG_TOKENS tokens or LONG_CHARS characters: a passage, not a phrase).
+
+Inside a leaf the tree generalises further, to as many templates as the leaf holds. A token is constant at its
+position if lines of at least MIN_DOCS documents, and SHARE of the leaf's lines, have it there; the others become <*>.
+Lines whose constants are the same at the same positions share a general template, which recurs if it occurs in
+MIN_DOCS documents and its constants are more than the leading DEPTH and SIMILARITY of the tokens without a digit. Lines
+of recurring templates leave the leaf, and the rest is looked at again, with its own shares, until a leaf yields none.
+So names that vary must stand after the leading DEPTH tokens to be generalised, as in any tree of this kind.
+
+All lines of a recurring template are dropped.
+
+Everything is DataFrame functions and all counts are exact. Only line hashes (128 bits) are shuffled, with counts combined
+map-side; token rows exist for leaves that MIN_DOCS documents reach with different lines, and a hot leaf meets only as
+per-token counts, of which at most 1 / SHARE a position are constants.
+
+Edge cases: null text stays null, with 0 lines; empty lines, and lines of fields alone, are kept
 as they are; a text whose lines all go becomes ''; repeated rows give repeated rows but count as one
 document by id; rows without an id count each text as a document; an empty table gives an empty result;
 the output has doc_id, text, n_lines, n_dropped and ignores other input columns.
@@ -24,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WS, checkpoint, small_or_shuffled, text_or_empty
 
-MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY, CONSTANT = 5, 3, 5, 0.7, 0.5
+DEPTH, MIN_DOCS, SIMILARITY, SHARE = 3, 5, 0.7, 0.1
+LONG_TOKENS, LONG_CHARS, LONG_DOCS = 20, 120, 2
 BROADCAST_LINES = 500_000  # dropped lines, by document and template; beyond it their join shuffles
 _FIELD = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
@@ -49,77 +57,87 @@ def _doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()))
 
 
-def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """doc, leaf, template, line (masked) of each line that is long enough."""
+def _hash(*columns: Column) -> Column:
+    """128 bits."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
+def _lines(docs: DataFrame, depth: int) -> DataFrame:
+    """doc, leaf, template, line (masked) of each line that holds a constant token."""
     lines = docs.select(_doc_key().alias("doc"), F.explode(masked_lines(text_or_empty())).alias("line"))
-    lines = lines.where(tokens_in(F.col("line")) >= min_tokens)
+    lines = lines.where(F.translate(F.replace("line", F.lit("<*>"), F.lit("")), " ", "") != "")
     leaf = F.xxhash64(tokens_in(F.col("line")), F.substring_index("line", " ", depth))
-    return lines.select("doc", leaf.alias("leaf"), F.xxhash64("line").alias("template"), "line")
+    return lines.select("doc", leaf.alias("leaf"), _hash(F.col("line")).alias("template"), "line")
+
+
+def distinct_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """doc, leaf, template, long: the different lines of each document, by hash."""
+    long = (tokens_in(F.col("line")) >= LONG_TOKENS) | (F.length("line") >= LONG_CHARS)
+    return checkpoint(_lines(docs, depth).select("doc", "leaf", "template", long.alias("long")).distinct())
+
+
+def _leaf_lines(docs: DataFrame, once: DataFrame, depth: int, min_docs: int) -> DataFrame:
+    """leaf, template, docs, tokens: the lines of leaves that hold several templates and min_docs lines."""
+    sizes = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
+    leaves = sizes.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("kinds"))
+    leaves = small_or_shuffled(checkpoint(leaves.where((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select("leaf")))
+    lines = _lines(docs, depth).join(leaves, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("line").alias("line"))
+    sizes = sizes.join(leaves, "leaf", "left_semi")
+    return checkpoint(lines.join(sizes, ["leaf", "template"]).select("leaf", "template", "docs", F.split("line", " ").alias("tokens")))
 
 
-def distinct_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """doc, leaf, template: the different lines of each document, by hash."""
-    return checkpoint(_lines(docs, min_tokens, depth).select("doc", "leaf", "template").distinct())
+def _general(kinds: DataFrame, once: DataFrame, depth: int, min_docs: int, similarity: float, share: float) -> DataFrame:
+    """leaf, template of the lines whose general template recurs, by one look at each leaf."""
+    all_ = kinds.groupBy("leaf").agg(F.sum("docs").alias("all"))
+    fields = F.size(F.filter("tokens", lambda t: t == "<*>"))
+    spread = kinds.select("leaf", "template", "docs", (F.size("tokens") - fields).alias("_words"), F.posexplode("tokens").alias("pos", "token")).where("token <> '<*>'")
+    counts = spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    constant = counts.join(small_or_shuffled(checkpoint(all_)), "leaf").where(F.col("n") >= share * F.col("all")).select("leaf", "pos", "token")
+    # positions differ within a line, so that xor stands for the set of its constants
+    marks = [F.bit_xor(F.xxhash64(*seed, "pos", "token")).alias(name) for name, seed in (("m1", ()), ("m2", (F.lit(1),)))]
+    made = spread.join(small_or_shuffled(checkpoint(constant)), ["leaf", "pos", "token"]).groupBy("leaf", "template")
+    made = made.agg(F.first("_words").alias("_words"), F.count(F.lit(1)).alias("fixed"), *marks)
+    members = checkpoint(made.where((F.col("fixed") > depth) & (F.col("fixed") >= similarity * F.col("_words"))).select("leaf", "template", "m1", "m2"))
+    reached = once.join(small_or_shuffled(members), ["leaf", "template"]).groupBy("leaf", "m1", "m2").agg(F.count_distinct("doc").alias("n"))
+    return members.join(reached.where(F.col("n") >= min_docs), ["leaf", "m1", "m2"], "left_semi").select("leaf", "template")
 
 
 def recurring_templates(
-    docs: DataFrame, once: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame, once: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, share: float = SHARE
 ) -> DataFrame:
-    """template: hashes of the masked lines that recur, directly or through their leaf's template."""
-    exact = once.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
-    # a leaf generalises only where it holds several templates
-    leaves = (
-        once.groupBy("leaf", "template")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("leaf")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        .where((F.col("n") >= min_docs) & (F.col("kinds") > 1))
-        .select("leaf")
-    )
-    leaves = small_or_shuffled(checkpoint(leaves))
-    # one row for each different line of such a leaf, with the number of documents that hold it
-    kinds = checkpoint(
-        _lines(docs, min_tokens, depth)
-        .join(leaves, "leaf", "left_semi")
-        .groupBy("leaf", "template")
-        .agg(F.approx_count_distinct("doc", 0.02).alias("docs"), F.first("line").alias("line"))
-        .select("leaf", "template", "docs", F.split("line", " ").alias("tokens"))
-    )
-    counts = kinds.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
-    constant = counts.groupBy("leaf", "pos").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("top"), F.sum("n").alias("all"))
-    constant = constant.where(F.col("top") >= CONSTANT * F.col("all"))
-    tree = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
-    hits = F.size(F.filter(F.map_keys("fixed"), lambda p: F.col("tokens")[p] == F.col("fixed")[p]))
-    members = (
-        kinds.join(tree, "leaf")
-        .where((hits >= similarity * F.size("fixed")) & (F.size("fixed") >= CONSTANT * F.size("tokens")) & (F.size("fixed") > depth))
-        .select("leaf", "template")
-    )
-    reached = once.join(members, ["leaf", "template"], "left_semi").groupBy("leaf").agg(F.count_distinct("doc").alias("n"))
-    general = members.join(reached.where(F.col("n") >= min_docs), "leaf", "left_semi").select("template")
-    return exact.union(general).distinct()
+    """template: hashes of the masked lines that recur, directly or through a general template of their leaf."""
+    least = F.when(F.first("long"), F.least(F.lit(LONG_DOCS), F.lit(min_docs))).otherwise(F.lit(min_docs))
+    out = once.groupBy("template").agg(F.count(F.lit(1)).alias("n"), least.alias("least")).where("n >= least").select("template")
+    kinds = _leaf_lines(docs, once, depth, min_docs)
+    while not kinds.isEmpty():
+        found = checkpoint(_general(kinds, once, depth, min_docs, similarity, share))
+        out = out.union(found.select("template"))
+        # a leaf that yielded nothing will not yield anything later
+        kinds = kinds.join(small_or_shuffled(checkpoint(found.select("leaf").distinct())), "leaf", "left_semi")
+        kinds = checkpoint(kinds.join(small_or_shuffled(found.select("template")), "template", "left_anti"))
+    return out.distinct()
 
 
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_tokens: int = MIN_TOKENS,
     depth: int = DEPTH,
     min_docs: int = MIN_DOCS,
     similarity: float = SIMILARITY,
+    share: float = SHARE,
 ) -> DataFrame:
     """One row per input row: doc_id, text without recurring lines, n_lines, n_dropped."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    once = distinct_lines(docs, min_tokens, depth)
-    drop = checkpoint(recurring_templates(docs, once, min_tokens, depth, min_docs, similarity))
+    once = distinct_lines(docs, depth)
+    drop = checkpoint(recurring_templates(docs, once, depth, min_docs, similarity, share))
     held = checkpoint(once.join(drop, "template", "left_semi").select("doc", "template"))
     few = held.count() <= BROADCAST_LINES
     held = held.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("template").alias("_drop"))
     out = docs.withColumn("_doc", _doc_key()).join(F.broadcast(held) if few else held, "_doc", "left")
     lines = F.split(F.col("text"), "\n", -1)
     both = F.arrays_zip(lines.alias("raw"), masked_lines(F.col("text")).alias("mask"))
-    kept = F.transform(F.filter(both, lambda x: ~F.array_contains("_drop", F.xxhash64(x["mask"]))), lambda x: x["raw"])
+    kept = F.transform(F.filter(both, lambda x: ~F.array_contains("_drop", _hash(x["mask"]))), lambda x: x["raw"])
     out = out.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(lines))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("_kept")).cast("long")
