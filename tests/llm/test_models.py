@@ -209,6 +209,17 @@ def test_top_k_in_blocks_and_odd_vectors(spark):
     assert sorted(r["vec_id"] for r in few) == [5, 7] and topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_every_row_is_a_query_of_its_own(spark):
+    vecs = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (7, [2.0, 0.5]), (7, [2.0, 0.5]), (8, [0.25, 3.0]), (9, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
+    x = {v: [int(1024 * c) for c in e] for v, e in vecs if v}
+    want = []
+    for q in ([1024, 0], [0, 1024]):
+        scored = sorted((-sum(a * b for a, b in zip(q, x[v])), v) for v, _ in vecs if v)[:3]
+        want += [(0, r, v, -s) for r, (s, v) in enumerate(scored, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 # ---------------------------------------------------------------- SentencePiece
 @pytest.fixture(scope="module")
 def pieces():
@@ -246,8 +257,9 @@ def test_ids_of_a_bpe_model_are_the_librarys(pieces, docs, rows):
     e = sentencepiece_scan.Encoder(pieces)
     odd = ["", " ", "  a  b ", "\n\n\t x", "日本語 \U0001f600‍", "a" * 300, "é" * 50, "no-spaces" * 40, "-=" * 99, "x" * 61 + " 1,000.00!!!"]
     assert all(e.encode(x).tolist() == lib.encode(x) for x in [*odd, *(r["text"] for r in rows)])
-    want = {r["doc_id"]: lib.encode(r["text"]) for r in rows if r["doc_id"] < 40}
-    got = {r["doc_id"]: r["ids"] for r in sentencepiece_scan.encode(docs.where("doc_id < 40"), giant=300, chunk=90).collect()}
+    some = docs.where("doc_id < 40").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\ue000 a\ue000b "), "text", F.lit("\ue001"))).otherwise(F.col("text")))
+    want = {r["doc_id"]: lib.encode(r["text"]) for r in some.collect()}
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_scan.encode(some, giant=300, chunk=90).collect()}
     assert got == want
 
 

@@ -12,10 +12,9 @@ MIN_DOCS documents and its constants are more than the leading DEPTH and SIMILAR
 of recurring templates leave the leaf, and the rest is looked at again, with its own shares, until a leaf yields none.
 So names that vary must stand after the leading DEPTH tokens to be generalised, as in any tree of this kind.
 
-All lines of a recurring template are dropped.
+All lines of a recurring template are dropped. Texts are shuffled once, to meet their dropped lines, at every size.
 
-Everything is DataFrame functions and all counts are exact. Only line hashes (128 bits) are shuffled, with counts combined
-map-side; token rows exist for leaves that MIN_DOCS documents reach with different lines, and a hot leaf meets only as
+Everything is DataFrame functions and all counts are exact. Counting shuffles line hashes (128 bits) only, combined map-side; token rows exist for leaves that MIN_DOCS documents reach with different lines, and a hot leaf meets only as
 per-token counts, of which at most 1 / SHARE a position are constants.
 
 Edge cases: null text stays null, with 0 lines; empty lines, and lines of fields alone, are kept
@@ -33,23 +32,24 @@ from tidemark.llm.common import WS, checkpoint, small_or_shuffled, text_or_empty
 
 DEPTH, MIN_DOCS, SIMILARITY, SHARE = 3, 5, 0.7, 0.1
 LONG_TOKENS, LONG_CHARS, LONG_DOCS = 20, 120, 2
-BROADCAST_LINES = 500_000  # dropped lines, by document and template; beyond it their join shuffles
 _FIELD = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked_lines(text: Column) -> Column:
-    """The text's lines with single spaces, trimmed, and their digit-bearing tokens replaced by <*>.
+def _spaced(text: Column) -> Column:
+    """The text with each run of white space but newlines as one space. Few texts need the regex."""
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]++", " ")).otherwise(text)
+
 
-    Works on whole texts, since most need neither regex; newlines stay where they are.
-    """
-    x = F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]++", " ")).otherwise(text)
-    x = F.when(text.rlike("[0-9]"), F.regexp_replace(x, _FIELD, "<*>")).otherwise(x)
-    return F.transform(F.split(x, "\n", -1), lambda v: F.trim(v))
+def _masked(line: Column) -> Column:
+    """A single-spaced line, trimmed, with its digit-bearing tokens replaced by <*>."""
+    return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line))
 
 
-def tokens_in(line: Column) -> Column:
-    """Tokens of a masked line: its spaces and one."""
-    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+def masked_lines(text: Column) -> Column:
+    return F.transform(F.split(_spaced(text), "\n", -1), _masked)
 
 
 def _doc_key() -> Column:
@@ -63,54 +63,59 @@ def _hash(*columns: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc, leaf, template, line (masked) of each line that holds a constant token."""
-    lines = docs.select(_doc_key().alias("doc"), F.explode(masked_lines(text_or_empty())).alias("line"))
-    lines = lines.where(F.translate(F.replace("line", F.lit("<*>"), F.lit("")), " ", "") != "")
-    leaf = F.xxhash64(tokens_in(F.col("line")), F.substring_index("line", " ", depth))
-    return lines.select("doc", leaf.alias("leaf"), _hash(F.col("line")).alias("template"), "line")
+    """doc, leaf, n (tokens), line (masked) of each line that holds a constant token."""
+    lines = docs.select(_doc_key().alias("doc"), F.explode(masked_lines(text_or_empty())).alias("line")).where("line <> ''")
+    size = F.octet_length("line")
+    lines = lines.withColumn("n", size - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    constant = F.when(size == 4 * F.col("n") - 1, F.translate(F.replace("line", F.lit("<*>"), F.lit("")), " ", "") != "").otherwise(True)
+    return lines.where(constant).select("doc", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), "n", "line")
 
 
 def distinct_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc, leaf, template, long: the different lines of each document, by hash."""
-    long = (tokens_in(F.col("line")) >= LONG_TOKENS) | (F.length("line") >= LONG_CHARS)
-    return checkpoint(_lines(docs, depth).select("doc", "leaf", "template", long.alias("long")).distinct())
+    long = (F.col("n") >= LONG_TOKENS) | (F.length("line") >= LONG_CHARS)
+    return checkpoint(_lines(docs, depth).select("doc", "leaf", _hash(F.col("line")).alias("template"), long.alias("long")).distinct())
 
 
-def _leaf_lines(docs: DataFrame, once: DataFrame, depth: int, min_docs: int) -> DataFrame:
-    """leaf, template, docs, tokens: the lines of leaves that hold several templates and min_docs lines."""
-    sizes = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
-    leaves = sizes.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    leaves = small_or_shuffled(checkpoint(leaves.where((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select("leaf")))
-    lines = _lines(docs, depth).join(leaves, "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("line").alias("line"))
-    sizes = sizes.join(leaves, "leaf", "left_semi")
-    return checkpoint(lines.join(sizes, ["leaf", "template"]).select("leaf", "template", "docs", F.split("line", " ").alias("tokens")))
+def _leaf_lines(docs: DataFrame, once: DataFrame, depth: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Of leaves that hold several templates and min_docs lines: the rows of once, and the different lines with
+    leaf, template, docs, tokens (hashes, null for fields)."""
+    leaves = once.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("template.a").alias("lo"), F.max("template.a").alias("hi"))
+    leaves = small_or_shuffled(checkpoint(leaves.where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi"))).select("leaf")))
+    held = checkpoint(once.join(leaves, "leaf", "left_semi").select("doc", "leaf", "template"))
+    lines = _lines(docs, depth).where(F.col("n") > depth).join(leaves, "leaf", "left_semi").select("leaf", _hash(F.col("line")).alias("template"), "line")
+    lines = lines.groupBy("leaf", "template").agg(F.first("line").alias("line"))
+    tokens = F.transform(F.split("line", " "), lambda t: F.when(t != "<*>", F.xxhash64(t)))
+    sizes = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
+    return held, checkpoint(lines.join(sizes, ["leaf", "template"]).select("leaf", "template", "docs", tokens.alias("tokens")))
 
 
-def _general(kinds: DataFrame, once: DataFrame, depth: int, min_docs: int, similarity: float, share: float) -> DataFrame:
+def _general(kinds: DataFrame, held: DataFrame, depth: int, min_docs: int, similarity: float, share: float) -> DataFrame:
     """leaf, template of the lines whose general template recurs, by one look at each leaf."""
-    all_ = kinds.groupBy("leaf").agg(F.sum("docs").alias("all"))
-    fields = F.size(F.filter("tokens", lambda t: t == "<*>"))
-    spread = kinds.select("leaf", "template", "docs", (F.size("tokens") - fields).alias("_words"), F.posexplode("tokens").alias("pos", "token")).where("token <> '<*>'")
-    counts = spread.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
-    constant = counts.join(small_or_shuffled(checkpoint(all_)), "leaf").where(F.col("n") >= share * F.col("all")).select("leaf", "pos", "token")
-    # positions differ within a line, so that xor stands for the set of its constants
-    marks = [F.bit_xor(F.xxhash64(*seed, "pos", "token")).alias(name) for name, seed in (("m1", ()), ("m2", (F.lit(1),)))]
-    made = spread.join(small_or_shuffled(checkpoint(constant)), ["leaf", "pos", "token"]).groupBy("leaf", "template")
-    made = made.agg(F.first("_words").alias("_words"), F.count(F.lit(1)).alias("fixed"), *marks)
-    members = checkpoint(made.where((F.col("fixed") > depth) & (F.col("fixed") >= similarity * F.col("_words"))).select("leaf", "template", "m1", "m2"))
-    reached = once.join(small_or_shuffled(members), ["leaf", "template"]).groupBy("leaf", "m1", "m2").agg(F.count_distinct("doc").alias("n"))
-    return members.join(reached.where(F.col("n") >= min_docs), ["leaf", "m1", "m2"], "left_semi").select("leaf", "template")
+    whole = small_or_shuffled(checkpoint(kinds.groupBy("leaf").agg(F.sum("docs").alias("all"))))
+    counts = kinds.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
+    often = (F.col("n") >= min_docs) & (F.col("n") >= share * F.col("all"))
+    places = counts.join(whole, "leaf").groupBy("leaf", "pos").agg(F.collect_list(F.when(often, F.col("token"))).alias("some"))  # at most 1 / share
+    places = places.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "some"))).alias("places"))  # every position of the leaf's lines
+    fixed = small_or_shuffled(checkpoint(places.select("leaf", F.transform("places", lambda x: x["some"]).alias("fixed"))))
+    mask = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.get("fixed", i), t), t).otherwise(0))
+    made = kinds.join(fixed, "leaf").select("leaf", "template", mask.alias("mask"), F.size(F.filter("tokens", lambda t: t.isNotNull())).alias("words"))
+    n = F.size(F.filter("mask", lambda t: t != 0))
+    members = made.where((n > depth) & (n >= similarity * F.col("words"))).select("leaf", "template", _hash(F.col("mask")).alias("mask"))
+    members = checkpoint(members)
+    reached = held.join(small_or_shuffled(members), ["leaf", "template"]).groupBy("leaf", "mask").agg(F.count_distinct("doc").alias("n"))
+    return members.join(reached.where(F.col("n") >= min_docs), ["leaf", "mask"], "left_semi").select("leaf", "template")
 
 
 def recurring_templates(
     docs: DataFrame, once: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, share: float = SHARE
 ) -> DataFrame:
     """template: hashes of the masked lines that recur, directly or through a general template of their leaf."""
-    least = F.when(F.first("long"), F.least(F.lit(LONG_DOCS), F.lit(min_docs))).otherwise(F.lit(min_docs))
+    least = F.when(F.max("long"), F.least(F.lit(LONG_DOCS), F.lit(min_docs))).otherwise(F.lit(min_docs))
     out = once.groupBy("template").agg(F.count(F.lit(1)).alias("n"), least.alias("least")).where("n >= least").select("template")
-    kinds = _leaf_lines(docs, once, depth, min_docs)
+    held, kinds = _leaf_lines(docs, once, depth, min_docs)
     while not kinds.isEmpty():
-        found = checkpoint(_general(kinds, once, depth, min_docs, similarity, share))
+        found = checkpoint(_general(kinds, held, depth, min_docs, similarity, share))
         out = out.union(found.select("template"))
         # a leaf that yielded nothing will not yield anything later
         kinds = kinds.join(small_or_shuffled(checkpoint(found.select("leaf").distinct())), "leaf", "left_semi")
@@ -131,10 +136,9 @@ def line_dedup(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     once = distinct_lines(docs, depth)
     drop = checkpoint(recurring_templates(docs, once, depth, min_docs, similarity, share))
-    held = checkpoint(once.join(drop, "template", "left_semi").select("doc", "template"))
-    few = held.count() <= BROADCAST_LINES
-    held = held.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("template").alias("_drop"))
-    out = docs.withColumn("_doc", _doc_key()).join(F.broadcast(held) if few else held, "_doc", "left")
+    held = once.join(drop, "template", "left_semi").select("doc", "template")
+    held = held.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("template").alias("_drop"))  # bounded by one document's lines
+    out = docs.withColumn("_doc", _doc_key()).join(held.hint("shuffle_merge"), "_doc", "left")
     lines = F.split(F.col("text"), "\n", -1)
     both = F.arrays_zip(lines.alias("raw"), masked_lines(F.col("text")).alias("mask"))
     kept = F.transform(F.filter(both, lambda x: ~F.array_contains("_drop", _hash(x["mask"]))), lambda x: x["raw"])

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -214,9 +215,9 @@ class Encoder:
             parts += [self.literal, self.units(part.replace(" ", MARK))]
         return np.frombuffer(b"".join(parts), "<i4")
 
-    def chunk(self, s: str) -> np.ndarray:
+    def chunk(self, s: str, stand_in: str) -> np.ndarray:
         """Ids of whole units, with stand-ins for literal marks."""
-        return np.frombuffer(self.literal.join(map(self.units, s.split(STAND_IN))), "<i4")
+        return np.frombuffer(self.literal.join(map(self.units, s.split(stand_in))), "<i4")
 
     def units(self, s: str) -> bytes:
         if len(self.memo) > MEMO:
@@ -342,19 +343,20 @@ def _giants_by_units(giants: DataFrame, shared, chunk: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row, text in zip(rows["row"], rows["text"], strict=True):
-                s = _prepared(text.replace(MARK, STAND_IN))
+                stand_in = next(c for c in map(chr, itertools.chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in text)
+                s = _prepared(text.replace(MARK, stand_in))
                 ends = [0]
-                for m in shared.value.units.finditer(s.replace(STAND_IN, "\n")):
+                for m in shared.value.units.finditer(s.replace(stand_in, "\n")):
                     if m.end() - ends[-1] >= chunk or m.end() == len(s):
                         ends.append(m.end())
-                yield pd.DataFrame({"row": row, "k": range(len(ends) - 1), "s": [s[a:b] for a, b in zip(ends, ends[1:], strict=False)]}).astype({"k": "int32"})
+                yield pd.DataFrame({"row": row, "k": range(len(ends) - 1), "s": [s[a:b] for a, b in zip(ends, ends[1:], strict=False)], "mark": stand_in}).astype({"k": "int32"})
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
         for rows in batches:
-            yield pd.DataFrame({"row": rows["row"], "k": rows["k"], "ids": [encoder.chunk(s) for s in rows["s"]]})
+            yield pd.DataFrame({"row": rows["row"], "k": rows["k"], "ids": [encoder.chunk(s, c) for s, c in zip(rows["s"], rows["mark"], strict=True)]})
 
-    parts = giants.select("row", "text").mapInPandas(cut, "row long, k int, s string").repartition("row", "k")
+    parts = giants.select("row", "text").mapInPandas(cut, "row long, k int, s string, mark string").repartition("row", "k")
     made = parts.mapInPandas(ids_of, "row long, k int, ids array<int>")
     ids = made.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return giants.join(ids, "row").select("doc_id", "text", "ids")
@@ -402,8 +404,8 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, giant
     """make(doc ids, texts, lists of ids) -> Arrow columns of schema, in the worker that encodes."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # the stand-in for a literal mark may itself occur; such a text is encoded in one piece
-    is_giant = (F.length("text") > giant) & ~F.contains("text", F.lit(STAND_IN))
+    # under a unigram model, a text that holds the stand-in for a literal mark is encoded in one piece
+    is_giant = (F.length("text") > giant) & (F.lit(shared.value.bpe) | ~F.contains("text", F.lit(STAND_IN)))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

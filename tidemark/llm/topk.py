@@ -9,7 +9,8 @@ query; a window keeps the best k.
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component, and rows without an
 id, take no part; vectors of different length count missing components as 0; rows that repeat a query's
-id are never its candidates, other repeated rows each count; ties go to the smaller id; fewer than k
+id are never its candidates, other repeated rows each count; rows with one id and different vectors are queries of their
+own, each with ranks from 1, and rows that repeat id and vector are one query; ties go to the smaller id; fewer than k
 candidates give fewer rows; an empty table gives an empty result; other columns are ignored. Scores
 must fit 64 bits.
 """
@@ -71,12 +72,12 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 def _search(k: int):
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if candidates.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype("int64")
         width = max(candidates["v"].map(len).max(), queries["v"].map(len).max())
         m, q, ids = _matrix(candidates["v"], width), _matrix(queries["v"], width), candidates["vec_id"].to_numpy(np.int64)
         orders = np.argsort(m, axis=0, kind="stable").T.copy()
-        out = [(own, v, s) for own, x in zip(queries["vec_id"], q, strict=True) for s, v in threshold_top_k(m, ids, orders, x, own, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        out = [(own, no, v, s) for own, no, x in zip(queries["vec_id"], queries["query"], q, strict=True) for s, v in threshold_top_k(m, ids, orders, x, own, k)]
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"]).astype("int64")
 
     return search
 
@@ -93,9 +94,10 @@ def top_k(
     blocks, ask_blocks = max(1, -(-n // block)), max(1, -(-asked // query_block))
     spread = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     candidates = rows.select("vec_id", "v", spread(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("qb"))
-    # hashed apart from the candidates' blocks; a query's id counts once
-    queries = rows.where("ask").dropDuplicates(["vec_id"])
-    queries = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), spread(ask_blocks).alias("qb"))
-    found = candidates.groupBy("b", "qb").cogroup(queries.groupBy("b", "qb")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # hashed apart from the candidates' blocks; rows that repeat both id and vector are one query
+    queries = rows.where("ask").dropDuplicates(["vec_id", "v"]).withColumn("query", F.monotonically_increasing_id())
+    queries = checkpoint(queries)
+    queries = queries.select("vec_id", "query", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), spread(ask_blocks).alias("qb"))
+    found = candidates.groupBy("b", "qb").cogroup(queries.groupBy("b", "qb")).applyInPandas(_search(k), "query_id long, query long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
