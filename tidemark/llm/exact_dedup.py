@@ -58,9 +58,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     decided = checkpoint(exact_dedup(docs, id_col, text_col, support).select("doc_id", "keep_id", "kept", "text_sha256"))
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text_sha256"))
-    kept = decided.where("kept").select(key.alias("__kept_key"))
-    out = docs.withColumn("__kept_key", F.xxhash64(F.col(id_col).cast("string"), digest(text_col))).join(kept, "__kept_key", "left_semi")
+    key = lambda id_, text: F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), text).alias("__kept_key")
+    kept = decided.where("kept").select(key(F.col("doc_id"), F.col("text_sha256")))
+    out = docs.withColumn("__kept_key", key(F.col(id_col), digest(text_col))).join(kept, "__kept_key", "left_semi")
     if not decided.where("NOT kept AND doc_id <=> keep_id").isEmpty():  # whole rows repeat
         out = out.dropDuplicates(["__kept_key"])
     return out.drop("__kept_key")

@@ -203,9 +203,9 @@ def _apart(spans: Column) -> Column:
 def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with personal data masked in text, and all their columns.
 
-    Spans join on the id and a hash of the text, so repeated ids are safe.
+    Spans join on a digest of id and text, so repeated ids are safe.
     """
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    key = F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text_or_empty(text_col)), 256)
     held = find_pii(docs.withColumn("__pii_key", key), "__pii_key", text_col).where(F.size("spans") > 0)
     held = held.groupBy(F.col("doc_id").alias("__pii_key")).agg(_apart(F.first("spans")).alias("__pii_spans"))
     out = docs.withColumn("__pii_key", key).join(held, "__pii_key", "left")
