@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cron_field, fnv64, history_checksum, retry_delay
 from tidemark.operators.commands import TokenBucket, fold_appends, fold_dedup, fold_singleton
-from tidemark.operators.sequence import bucketed_row_number
+from tidemark.operators.sequence import by_cuts, by_ranges, cut_points, keyed_row_number, ranged_row_number
 from tidemark.plans.scheduling import fnv64a
 from tidemark.sources.views import Tables
 from tidemark.streaming.live import idempotent, safe_member
@@ -56,10 +56,35 @@ def test_checksum_is_sha256_up_to_the_gap(spark):
 
 def test_row_numbers_in_buckets_equal_one_long_window(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 1000).alias("x"))
-    out = bucketed_row_number(df, ["k"], F.floor(F.col("x") / 64), ["x"], "n").collect()
-    for k in range(3):
-        mine = sorted((r["x"], r["n"]) for r in out if r["k"] == k)
-        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+    cuts = cut_points(df, "x", width=100)
+    assert len(cuts) == 3 and cut_points(df, "x") == []
+    for out in (keyed_row_number(df, ["k"], "x", "n", cuts), keyed_row_number(df, ["k"], "x", "n", []), ranged_row_number(df, ["k"], ["x"], "n")):
+        rows = out.collect()
+        for k in range(3):
+            mine = sorted((r["x"], r["n"]) for r in rows if r["k"] == k)
+            assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_a_hot_lane_of_equal_keys_splits_evenly(spark):
+    """A hundred thousand tenants with one message each, all with the same virtual time; sparse and huge ids."""
+    df = spark.range(100_000).select(F.lit("hot").alias("lane"), F.lit(0.0).alias("vt"), F.format_string("g%06d", F.pmod(F.xxhash64("id"), F.lit(1_000_000))).alias("g"), "id")
+    cut = by_ranges(df, ["lane"], ["vt", "g", "id"])
+    sizes = [r["count"] for r in cut.groupBy("_b").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 25_000
+    out = ranged_row_number(df, ["lane"], ["vt", "g", "id"], "n")
+    assert out.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 100_000, 100_000)
+    sparse = spark.range(1000).select((F.col("id") * F.col("id") * 1_000_003).alias("x"))
+    sizes = [r["count"] for r in by_cuts(sparse, "x", cut_points(sparse, "x", width=10)).groupBy("_b").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 300
+
+
+def test_numbered_views_cross_buckets(spark, sf, monkeypatch):
+    """The views' numbers are the same in one bucket and in several."""
+    one, many = Tables(spark, sf), Tables(spark, sf)
+    many.event_cuts = cut_points(many.events, "event_id", width=50)
+    assert many.event_cuts and not one.event_cuts
+    for name in ("numbered", "leases", "served"):
+        assert getattr(one, name).exceptAll(getattr(many, name)).isEmpty() and getattr(many, name).count() == getattr(one, name).count()
 
 
 def test_batches_are_applied_once():

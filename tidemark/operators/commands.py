@@ -148,7 +148,7 @@ def cron_state(t: Tables) -> DataFrame:
     """Crons after their log: what came before the last delete is gone; a new schedule unpauses."""
     log = cron_log(t)
     gone = log.where("cmd = 'delete'").groupBy("cron_id").agg(F.max("event_id").alias("gone"))
-    rest = log.join(F.broadcast(gone), "cron_id", "left").where("gone IS NULL OR event_id > gone")
+    rest = log.join(gone, "cron_id", "left").where("gone IS NULL OR event_id > gone")
     at = lambda *k: F.when(F.col("cmd").isin(*k), F.col("event_id"))
     out = rest.groupBy("cron_id").agg(
         F.max_by("every_ms", at("schedule")).alias("every_ms"), F.max(at("schedule")).alias("scheduled_by"),
@@ -255,7 +255,7 @@ op("cmd_26", RAW["agg_16"])(teardown)
 def redriven(t: Tables, reason: str = "ttl") -> DataFrame:
     """Dead letters back in their queue under fresh ids, oldest death first, attempt 0."""
     o = [F.col(f"original.{c}").alias(c) for c in ("lane", "group_id", "msg_id")]
-    d = t.dead_letters.where(F.col("reason") == reason).select(*o, "dead_at_ms").join(F.broadcast(t.groups.select("lane", "group_id", "next_seq")), ["lane", "group_id"])
+    d = t.dead_letters.where(F.col("reason") == reason).select(*o, "dead_at_ms").join(t.groups.select("lane", "group_id", "next_seq"), ["lane", "group_id"])
     n = F.row_number().over(Window.partitionBy("lane", "group_id").orderBy("dead_at_ms", "msg_id"))
     return d.select("lane", "group_id", F.col("msg_id").alias("old_id"), (F.col("next_seq") - 1 + n).alias("new_id"), F.lit(0).cast("long").alias("attempt"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import bucketed_row_number
+from tidemark.operators.sequence import ranged_row_number
 from tidemark.registry import op
 from tidemark.sources.views import ASOF_MS, LEASED, READY, REASONS, Tables
 
@@ -299,14 +299,14 @@ def timer_sweep(t: Tables, batch: int = 256) -> DataFrame:
 
 @op("ord_06", "SELECT lane, group_id, CAST(row_number() OVER (ORDER BY length(lane), lane, length(group_id), group_id) AS BIGINT) AS pos FROM groups_t")
 def group_order(t: Tables) -> DataFrame:
-    """Position of each group in key order; one row per group, so the list is configuration-sized."""
-    return t.groups.select("lane", "group_id", F.row_number().over(Window.orderBy(*by_key("lane", "group_id"))).cast("long").alias("pos"))
+    """Position of each group in key order."""
+    return ranged_row_number(t.groups.select("lane", "group_id"), [], by_key("lane", "group_id"), "pos")
 
 
 @op("ord_07", "SELECT lane, group_id, dead_at_ms, msg_id, CAST(row_number() OVER (PARTITION BY lane, group_id ORDER BY dead_at_ms, msg_id) AS BIGINT) AS pos FROM dead_letters")
 def dlq_order(t: Tables) -> DataFrame:
     d = t.dead_letters.select("original.lane", "original.group_id", "dead_at_ms", "original.msg_id")
-    return bucketed_row_number(d, ["lane", "group_id"], F.floor(F.col("dead_at_ms") / 86_400_000), ["dead_at_ms", "msg_id"], "pos")
+    return ranged_row_number(d, ["lane", "group_id"], ["dead_at_ms", "msg_id"], "pos")
 
 
 @op("ord_08", "SELECT lease_id, deadline_ms FROM leases ORDER BY deadline_ms, lease_id LIMIT 50")
@@ -382,7 +382,10 @@ def pages_union(t: Tables, size: int = 20, pages: int = 3) -> DataFrame:
     rows, out, after = t.leases.select("lease_id", "lane"), [], None
     for _ in range(pages):
         out.append(page(rows, ["lease_id"], size, after).drop("last_page"))
-        after = ((after or (0,))[0] + size,)  # ids have no gaps here
+        last = out[-1].agg(F.max("lease_id")).first()[0]  # the page's token: its last key
+        if last is None:
+            break
+        after = (last,)
     return reduce(DataFrame.unionByName, out)
 
 

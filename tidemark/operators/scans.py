@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import grouped_row_number
+from tidemark.operators.sequence import keyed_row_number
 from tidemark.registry import op
 from tidemark.sources.views import ACKED, ASOF_MS, DELAYED, LEASED, READY, Tables
 
@@ -60,7 +60,7 @@ def publish(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("event_type").alias("lane"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("group_id"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("enqueue_ms"))
     delay = F.col("event_id") % 3 == 0
     rows = rows.withColumn("not_before_ms", F.when(delay, F.col("enqueue_ms") + 5000).otherwise(0)).withColumn("state", F.when(delay, DELAYED).otherwise(READY))
-    return grouped_row_number(rows, ["lane", "group_id"], "event_id", "msg_id")
+    return keyed_row_number(rows, ["lane", "group_id"], "event_id", "msg_id", t.event_cuts)
 
 
 @op(
@@ -102,7 +102,7 @@ def cron_source(t: Tables) -> DataFrame:
     CAST(count(*) FILTER (WHERE event_id % 5 = 4) AS BIGINT) AS completes FROM messages GROUP BY lane""",
 )
 def work_frames(t: Tables) -> DataFrame:
-    """Typed client frames of the work stream, counted by lane; streaming.served reads them as a stream."""
+    """Typed client frames of the work stream, counted by lane."""
     kinds = ("lease_requests", "acks", "nacks", "extends", "completes")
     return t.fates.groupBy("lane").agg(*[F.count_if(F.col("event_id") % 5 == i).alias(k) for i, k in enumerate(kinds)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.fairness import RIBBON, ring, starvation
+from tidemark.operators.fairness import _SCORED, RIBBON, ring, starvation
 from tidemark.registry import op
 from tidemark.sources.views import Tables
 
@@ -112,7 +112,7 @@ def sparkline(t: Tables, points: int = 28) -> DataFrame:
     return s.select("lane", "tick", F.greatest(F.lit(0.06), F.col("n") / peak).alias("bar"))
 
 
-@op("win_12", "SELECT lane, TRUE AS shares_sum_to_one, CAST(1 AS BIGINT) AS top_scores FROM groups_t GROUP BY lane")
+@op("win_12", f"SELECT lane, abs(sum(expected) - 1) < 1e-9 AND abs(sum(actual) - 1) < 1e-9 AS shares_sum_to_one, CAST(CASE WHEN max(score) = 1 THEN 1 ELSE 0 END AS BIGINT) AS top_scores FROM ({_SCORED}) GROUP BY lane")
 def normalised(t: Tables) -> DataFrame:
     """Expected and actual shares sum to 1 in each lane, and its largest score is 1."""
     one = lambda c: F.abs(F.sum(c) - 1) < 1e-9

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import bucketed_row_number, grouped_row_number
+from tidemark.operators.sequence import keyed_row_number, ranged_row_number
 from tidemark.registry import op
 from tidemark.sources.views import READY, Tables
 
@@ -27,11 +27,14 @@ def ready_ranked(t: Tables) -> DataFrame:
     """Ready messages of unpaused groups with weight, place k in their group and its backlog n."""
     g = t.groups.where("NOT paused AND ready > 0").select("lane", "group_id", "weight", F.col("ready").alias("n"))
     rows = t.numbered.where(F.col("fate") == READY).select("lane", "group_id", "msg_id", F.col("ready_no").alias("k"))
-    return rows.join(F.broadcast(g), ["lane", "group_id"])
+    return rows.join(g, ["lane", "group_id"])  # groups are tenants and may be many; a small side is broadcast at run time
 
 
-def ordered(rows: DataFrame, bucket: Column, order: list) -> DataFrame:
-    out = bucketed_row_number(rows, ["lane"], bucket, order, "turn")
+def ordered(rows: DataFrame, order: list) -> DataFrame:
+    """Numbered by ranges of the whole order, so that neither a hot lane nor many equal keys are one task."""
+    key = [f"_o{i}" for i in range(len(order))]
+    named = rows.withColumns({k: F.expr(o) if isinstance(o, str) else o for k, o in zip(key, order, strict=True)})
+    out = ranged_row_number(named.select("lane", "group_id", "msg_id", *key), ["lane"], key, "turn")
     return out.select("lane", "turn", "group_id", "msg_id")
 
 
@@ -46,12 +49,12 @@ def vt_key() -> Column:
 @op("sch_01", _by("CAST(k - 1 AS DOUBLE) / weight, group_id"))
 def wfq(t: Tables) -> DataFrame:
     """Weighted fair queueing."""
-    return ordered(ready_ranked(t), F.floor(vt_key() / 1024), [vt_key(), "group_id"])
+    return ordered(ready_ranked(t), [vt_key(), "group_id"])
 
 
 @op("sch_02", _by("weight DESC, CAST(k - 1 AS DOUBLE) / weight, group_id"))
 def strict_priority(t: Tables) -> DataFrame:
-    return ordered(ready_ranked(t), F.struct(-F.col("weight"), F.floor(vt_key() / 1024)), [F.desc("weight"), vt_key(), "group_id"])
+    return ordered(ready_ranked(t), [-F.col("weight"), vt_key(), "group_id"])
 
 
 @op("sch_04", _by("CAST(k - 1 AS DOUBLE) / weight, group_id"))
@@ -64,18 +67,18 @@ def completion_aware_acked(t: Tables) -> DataFrame:
 def completion_aware_held(t: Tables) -> DataFrame:
     """Completion-aware with every lease held: the k-th serve costs k / weight."""
     key = (F.col("k") * (F.col("k") - 1)).cast("double") / (2.0 * F.col("weight"))
-    return ordered(ready_ranked(t), F.floor(F.sqrt(key) / 64), [key, "group_id"])
+    return ordered(ready_ranked(t), [key, "group_id"])
 
 
 @op("sch_06", _by("n, group_id, k"))
 def shortest_queue(t: Tables) -> DataFrame:
-    return ordered(ready_ranked(t), F.struct("n", "group_id", F.floor(F.col("k") / 65536)), ["n", "group_id", "k"])
+    return ordered(ready_ranked(t), ["n", "group_id", "k"])
 
 
 @op("sch_07", _by("-(n - k + 1), group_id"))
 def longest_queue(t: Tables) -> DataFrame:
     left = F.col("k") - F.col("n") - 1
-    return ordered(ready_ranked(t), F.floor(left / 4096), [left, "group_id"])
+    return ordered(ready_ranked(t), [left, "group_id"])
 
 
 # ---------------------------------------------------------------- expressions
@@ -111,7 +114,7 @@ def by_expression(t: Tables, text: str, cost: str | None = None) -> DataFrame:
     """Greedy order under any own-state score: by the running minimum of the score, largest first."""
     w = Window.partitionBy("lane", "group_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     rows = scored(t, text, cost).withColumn("key", F.min("score").over(w))
-    return ordered(rows, F.floor(-F.col("key") / 1024), [F.desc("key"), "group_id", "k"])
+    return ordered(rows, [-F.col("key"), "group_id", "k"])
 
 
 _EXPR = f"""SELECT lane, CAST(row_number() OVER (PARTITION BY lane ORDER BY key DESC, group_id, k) AS BIGINT) AS turn, group_id, msg_id FROM
@@ -133,7 +136,7 @@ def serve_cost_policy(t: Tables) -> DataFrame:
     w = Window.partitionBy("lane", "group_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     vt = F.coalesce(F.sum(F.col("k").cast("double") / F.col("weight")).over(w), F.lit(0.0))
     rows = rows.withColumn("vt", vt)
-    return ordered(rows, F.floor(F.sqrt("vt") / 64), ["vt", "group_id"])
+    return ordered(rows, ["vt", "group_id"])
 
 
 # ---------------------------------------------------------------- simulator
@@ -269,7 +272,7 @@ _SET = "SELECT event_type AS lane, event_id, concat('score-', CAST(event_id % 9
 def policy_versions(t: Tables) -> DataFrame:
     """Each set-policy command gets its lane's next version and the hash of its source."""
     s = t.events.where("event_id % 50 = 0").select(F.col("event_type").alias("lane"), "event_id", F.concat(F.lit("score-"), (F.col("event_id") % 9).cast("string")).alias("source"))
-    return grouped_row_number(s, ["lane"], "event_id", "version").select("lane", "event_id", "version", F.sha2("source", 256).alias("hash"))
+    return keyed_row_number(s, ["lane"], "event_id", "version", t.event_cuts).select("lane", "event_id", "version", F.sha2("source", 256).alias("hash"))
 
 
 @op(
@@ -292,7 +295,7 @@ def lease_one(t: Tables, paused_lanes: tuple[str, ...] = ("view",)) -> DataFrame
     g = t.groups.where((F.col("ready") > 0) & ~F.col("paused") & ~F.col("lane").isin(*paused_lanes))
     pick = g.groupBy("lane").agg(F.min("group_id").alias("group_id"))  # all virtual times are equal before turn 1
     head = t.messages.where(F.col("fate") == READY).groupBy("lane", "group_id").agg(F.min("msg_id").alias("msg_id"))
-    return head.join(F.broadcast(pick), ["lane", "group_id"]).select("lane", "group_id", "msg_id")
+    return head.join(pick, ["lane", "group_id"]).select("lane", "group_id", "msg_id")
 
 
 @op("udf_02", "SELECT lane, group_id, weight * 2.0E0 - CAST(ready AS DOUBLE) AS score FROM groups_t")

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import bucketed_counts, global_row_number, grouped_row_number
+from tidemark.operators.sequence import bucketed_counts, by_cuts, cut_points, grouped_row_number, keyed_row_number
 
 ASOF_MS = 1706659200000
 READY, DELAYED, LEASED, DEAD, ACKED = 1, 2, 3, 4, 5
@@ -38,6 +38,11 @@ class Tables:
     def events(self) -> DataFrame:
         return self.read("events")
 
+    @cached_property
+    def event_cuts(self) -> list[float]:
+        """Quantiles of the event ids, for numbering; one narrow scan."""
+        return cut_points(self.events, "event_id")
+
     @cached_property
     def fates(self) -> DataFrame:
         """One row per published message, before numbering; fate says what became of it."""
@@ -58,8 +63,8 @@ class Tables:
     @cached_property
     def numbered(self) -> DataFrame:
         """fates with msg_id, and ready_no: how many of the group's messages up to this one are ready."""
-        bucket = F.floor(F.col("event_id") / (1 << 22))
-        return bucketed_counts(self.fates, ["lane", "group_id"], bucket, ["event_id"], {"msg_id": None, "ready_no": F.col("fate") == READY})
+        cut = by_cuts(self.fates, "event_id", self.event_cuts)
+        return bucketed_counts(cut, ["lane", "group_id"], ["event_id"], {"msg_id": None, "ready_no": F.col("fate") == READY})
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -101,7 +106,7 @@ class Tables:
             (e % 3).alias("attempt_at_lease"),
             (e % 4).alias("extend_count"),
         )
-        out = global_row_number(rows, "event_id", "lease_id")
+        out = keyed_row_number(rows, [], "event_id", "lease_id", self.event_cuts)
         token = F.when(F.col("lease_id") % 4 == 0, F.sha2(F.concat(F.lit("tok"), F.col("lease_id").cast("string")), 256)).otherwise("")
         return out.withColumn("token_hash", token)
 
@@ -118,7 +123,7 @@ class Tables:
     def served(self) -> DataFrame:
         """Delivered messages in delivery order: seq, lane, group_id, served_ms."""
         rows = self.messages.where(F.col("fate").isin(LEASED, ACKED)).select("event_id", "lane", "group_id", "msg_id", F.col("enqueue_ms").alias("served_ms"))
-        return global_row_number(rows, "event_id", "seq")
+        return keyed_row_number(rows, [], "event_id", "seq", self.event_cuts)
 
     @cached_property
     def orders(self) -> DataFrame:
