@@ -50,7 +50,17 @@ def retry_bases(t: Tables) -> DataFrame:
     return t.spark.range(1, 25).select(F.col("id").alias("attempt"), retry_base(F.col("id")).alias("base_ms"))
 
 
-@op("sc_02")
+#: FNV-1a 64 in SQL: a hex string's bytes folded in 128-bit integers.
+_FNV64 = """list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(range(0, length({0}) // 2), lambda i: CAST(CAST(concat('0x', substring({0}, 2 * i + 1, 2)) AS INTEGER) AS HUGEINT))),
+    lambda a, c: (CAST(xor(CAST(a AS UBIGINT), CAST(c AS UBIGINT)) AS HUGEINT) * 1099511628211) % 18446744073709551616)"""
+_LE8 = "concat(" + ", ".join(f"substring(lpad(hex({{0}}), 16, '0'), {15 - 2 * i}, 2)" for i in range(8)) + ")"
+
+
+@op(
+    "sc_02",
+    f"""SELECT lane, group_id, CAST({_FNV64.format("g")} AS VARCHAR) AS fnv, CAST(least(4000 + {_FNV64.format("m")} % 1001, 30000) AS BIGINT) AS delay_ms FROM
+    (SELECT lane, group_id, hex(encode(group_id)) AS g, concat({_LE8.format("next_seq")}, '03000000') AS m FROM groups_t)""",
+)
 def fnv_hashes(t: Tables) -> DataFrame:
     """FNV-1a of group names and the jittered delay of a third attempt."""
     return t.groups.select("lane", "group_id", fnv64(F.encode("group_id", "utf-8")).cast("string").alias("fnv"), retry_delay(F.col("next_seq"), F.lit(3).cast("long")).alias("delay_ms"))

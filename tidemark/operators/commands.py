@@ -7,22 +7,42 @@ whose step needs the state before it run as a pure Python function per key, shar
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import retry_base
 from tidemark.operators.fairness import teardown
-from tidemark.operators.history import activity_terminals, durable_timers
-from tidemark.operators.joins import completions
-from tidemark.operators.scans import idle_groups, publish, publish_batch
-from tidemark.plans.scheduling import lease_one, policy_versions
+from tidemark.operators.history import SIGNALLED, STARTED, WF_CANCELLED, activity_terminals, appended_at, durable_timers
+from tidemark.operators.scans import idle_groups, publish_batch
+from tidemark.operators.sequence import cut_points, keyed_row_number
+from tidemark.plans.scheduling import next_leases, policy_versions
 from tidemark.registry import RAW, op
 from tidemark.sources.views import Tables, ms
 
-op("cmd_01", RAW["src_06"])(publish)
 op("cmd_02", RAW["src_07"])(publish_batch)
-op("cmd_03", RAW["sch_14"])(lease_one)
+
+
+@op(
+    "cmd_03",
+    f"""SELECT x.lane, x.group_id, x.msg_id, last + CAST(row_number() OVER (ORDER BY x.lane) AS BIGINT) AS lease_id, CAST(1 AS BIGINT) AS epoch, 1706659230000 AS deadline_ms,
+    CASE WHEN length(x.lane) % 2 = 0 THEN 1706659260000 END AS max_life_ms, g.ready - 1 AS ready, g.inflight + 1 AS inflight FROM ({RAW["sch_14"]}) x
+    JOIN groups_t g ON g.lane = x.lane AND g.group_id = x.group_id, (SELECT max(lease_id) AS last FROM leases)""",
+)
+def leased(t: Tables, visibility_ms: int = 30_000, max_life_ms: int = 60_000) -> DataFrame:
+    """One lease command per open lane and all it changes: the head message of the picked group gets a fresh lease id,
+    its epoch rises, a deadline timer and (in lanes that ask for it) a lifetime cap are set, and the group's counters move."""
+    g = t.groups.select("lane", "group_id", "ready", "inflight")
+    last = t.leases.agg(F.coalesce(F.max("lease_id"), F.lit(0)).alias("last"))
+    picked = next_leases(t).select("lane", "group_id", "msg_id").join(g, ["lane", "group_id"])
+    n = F.row_number().over(Window.orderBy("lane"))  # one row per lane
+    cap = F.when(F.length("lane") % 2 == 0, F.lit(t.asof_ms + max_life_ms))
+    return picked.join(F.broadcast(last)).select(
+        "lane", "group_id", "msg_id", (F.col("last") + n).alias("lease_id"), F.lit(1).cast("long").alias("epoch"), F.lit(t.asof_ms + visibility_ms).alias("deadline_ms"),
+        cap.alias("max_life_ms"), (F.col("ready") - 1).alias("ready"), (F.col("inflight") + 1).alias("inflight"),
+    )
 
 
 @op("cmd_04", "SELECT l.lease_id, l.lane, l.msg_id FROM leases l WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(1, 100000, 3)) AS id) a WHERE a.id = l.lease_id)")
@@ -35,18 +55,33 @@ def after_acks(t: Tables) -> DataFrame:
 DEFAULT_ATTEMPTS, REQUEUE, RETRY, DEAD = 3, 0, 1, 2
 
 
+_NACK = """SELECT *, CASE WHEN stale THEN 'stale' WHEN mode = 0 THEN 'requeued' WHEN mode = 2 THEN 'terminal_nack' WHEN attempt + 1 >= most THEN 'max_attempts' ELSE 'retry' END AS outcome"""
+
+
 @op(
     "cmd_05",
-    """SELECT lease_id, CASE WHEN lease_id % 10 = 9 THEN 'stale' WHEN mode = 0 THEN 'requeued' WHEN mode = 2 THEN 'terminal_nack' WHEN attempt_at_lease + 1 >= most THEN 'max_attempts' ELSE 'retry' END AS outcome,
-    CASE WHEN lease_id % 10 = 9 OR mode = 2 THEN attempt_at_lease WHEN mode = 1 THEN attempt_at_lease + 1 ELSE attempt_at_lease END AS attempt FROM
-    (SELECT lease_id, lease_id % 3 AS mode, attempt_at_lease, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 3 END AS most FROM leases)""",
+    f"""SELECT grant_id, outcome, CASE WHEN stale OR mode <> 1 THEN attempt ELSE attempt + 1 END AS attempt, CASE outcome WHEN 'requeued' THEN 'READY' WHEN 'retry' THEN 'DELAYED' WHEN 'stale' THEN NULL ELSE 'DEAD' END AS state,
+    CASE outcome WHEN 'retry' THEN 1706659200000 + CASE WHEN grant_id % 7 = 0 THEN 5000 ELSE least(500 * CAST(power(2, least(attempt + 1, 16)) AS BIGINT), 30000) END END AS not_before_ms FROM
+    ({_NACK} FROM (SELECT g.grant_id, g.grant_id <> g.cur_lease AS stale, g.attempt, g.grant_id % 3 AS mode, CASE WHEN m.max_attempts = 0 THEN 3 ELSE m.max_attempts END AS most
+      FROM grants g JOIN messages m ON m.lane = g.lane AND m.group_id = g.group_id AND m.msg_id = g.msg_id))""",
 )
 def nacks(t: Tables) -> DataFrame:
-    """A nack of each lease: requeue, retry with one attempt more, or dead; a stale one only drops the lease."""
-    mode, most = F.col("lease_id") % 3, F.when(F.col("event_id") % 5 == 0, 1).otherwise(DEFAULT_ATTEMPTS)
-    stale, a = F.col("lease_id") % 10 == 9, F.col("attempt_at_lease")
+    """A nack of each grant, and what becomes of its message.
+
+    The lease goes in any case; a stale one changes nothing else. Requeue makes the message ready with no attempt
+    used. Retry uses one and delays it by the backoff, or by the delay that the command names (each seventh does), until
+    the message's own limit of attempts makes it dead, as a terminal nack does at once.
+    """
+    mode, a, stale = F.col("grant_id") % 3, F.col("attempt"), F.col("grant_id") != F.col("cur_lease")
+    most = F.when(F.col("max_attempts") == 0, DEFAULT_ATTEMPTS).otherwise(F.col("max_attempts"))
+    m = t.messages.select("lane", "group_id", "msg_id", "max_attempts")
+    x = t.grants.join(m, ["lane", "group_id", "msg_id"])
     outcome = F.when(stale, "stale").when(mode == REQUEUE, "requeued").when(mode == DEAD, "terminal_nack").when(a + 1 >= most, "max_attempts").otherwise("retry")
-    return t.leases.select("lease_id", outcome.alias("outcome"), F.when(~stale & (mode == RETRY), a + 1).otherwise(a).alias("attempt"))
+    x = x.select("grant_id", outcome.alias("outcome"), F.when(~stale & (mode == RETRY), a + 1).otherwise(a).alias("attempt"))
+    o = F.col("outcome")
+    state = F.when(o == "requeued", "READY").when(o == "retry", "DELAYED").when(o != "stale", "DEAD")
+    delay = F.when(F.col("grant_id") % 7 == 0, F.lit(5000).cast("long")).otherwise(retry_base(F.col("attempt")))
+    return x.withColumn("state", state).withColumn("not_before_ms", F.when(o == "retry", F.lit(t.asof_ms) + delay))
 
 
 @op("cmd_06", "SELECT lease_id, deadline_ms + 1000 * extend_count AS deadline_ms, extend_count, 1 + extend_count AS epoch FROM leases")
@@ -59,22 +94,6 @@ def extended(t: Tables) -> DataFrame:
     return x.select("lease_id", F.coalesce("d", "deadline_ms").alias("deadline_ms"), n.alias("extend_count"), (1 + n).alias("epoch"))
 
 
-_FIRES = """SELECT 'ready_at' AS kind, CAST(count(*) AS BIGINT) AS fired FROM messages WHERE fate = 2 AND not_before_ms > 0 AND not_before_ms <= 1706659200000
-    UNION ALL SELECT 'ttl', CAST(count(*) AS BIGINT) FROM messages WHERE fate IN (1, 2) AND ttl_ms > 0 AND enqueue_ms + ttl_ms <= 1706659200000
-    UNION ALL SELECT 'lease_timeout', CAST(count(*) AS BIGINT) FROM leases WHERE deadline_ms <= 1706659200000
-    UNION ALL SELECT 'max_life', CAST(count(*) AS BIGINT) FROM leases WHERE deadline_ms - visibility_ms + 60000 <= 1706659200000
-    UNION ALL SELECT 'dedup', CAST(count(*) AS BIGINT) FROM messages WHERE fate = 1 AND enqueue_ms + 300000 <= 1706659200000"""
-
-
-@op("cmd_07", _FIRES)
-def fired_by_kind(t: Tables) -> DataFrame:
-    from tidemark.operators.fairness import timer_index
-
-    kinds = t.values("kind string", [(k,) for k in ("ready_at", "ttl", "lease_timeout", "max_life", "dedup")])
-    due = timer_index(t).where(F.col("due_ms") <= t.asof_ms).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.join(due, "kind", "left").select("kind", F.coalesce("n", F.lit(0).cast("long")).alias("fired"))
-
-
 op("cmd_08", RAW["sch_12"])(policy_versions)
 
 
@@ -188,7 +207,71 @@ def issued_tokens(t: Tables) -> DataFrame:
     return j.select("lease_id", F.col("known").isNotNull().alias("ok"), F.when(F.col("known"), F.sha2(F.concat(F.lit("new"), F.col("lease_id").cast("string")), 256)).alias("token_hash"))
 
 
-op("cmd_20", RAW["jn_03"])(completions)
+@op(
+    "cmd_20",
+    """SELECT k.token_no, l.lease_id, CASE WHEN l.lease_id IS NULL THEN 'unknown' WHEN k.token_no % 2 = 1 THEN 'acked' WHEN attempt_at_lease + 1 >= most THEN 'max_attempts' ELSE 'retry' END AS outcome,
+    CASE WHEN l.lease_id IS NOT NULL AND k.token_no % 2 = 0 AND attempt_at_lease + 1 < most THEN 1706659205000 END AS not_before_ms FROM (SELECT CAST(unnest(range(1, 401)) AS BIGINT) AS token_no) k
+    LEFT JOIN (SELECT l.*, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 3 END AS most FROM leases l) l ON l.token_hash = sha256(concat('tok', CAST(token_no AS VARCHAR)))""",
+)
+def completed_by_token(t: Tables, n: int = 400, delay_ms: int = 5000) -> DataFrame:
+    """Complete by token: an unknown one is benign, success (odd tokens) acks, failure is a retry nack with its own delay."""
+    token = F.sha2(F.concat(F.lit("tok"), F.col("id").cast("string")), 256)
+    k = t.spark.range(1, n + 1).select(F.col("id").alias("token_no"), token.alias("token_hash"))
+    m = t.messages.select("lane", "group_id", "msg_id", F.when(F.col("max_attempts") == 0, DEFAULT_ATTEMPTS).otherwise(F.col("max_attempts")).alias("most"))
+    held = t.leases.where("token_hash <> ''").select("token_hash", "lease_id", "attempt_at_lease", "lane", "group_id", "msg_id").join(m, ["lane", "group_id", "msg_id"])
+    again = F.col("attempt_at_lease") + 1 < F.col("most")
+    outcome = F.when(F.col("lease_id").isNull(), "unknown").when(F.col("token_no") % 2 == 1, "acked").when(again, "retry").otherwise("max_attempts")
+    out = k.join(held, "token_hash", "left").select("token_no", "lease_id", outcome.alias("outcome"))
+    return out.withColumn("not_before_ms", F.when(F.col("outcome") == "retry", F.lit(t.asof_ms + delay_ms)))
+
+
+# ---------------------------------------------------------------- timers
+_TIMER_SQL = """SELECT 'ready_at' AS kind, lane, group_id, msg_id, CAST(0 AS BIGINT) AS epoch, not_before_ms AS due_ms, fate = 2 AS live FROM messages WHERE not_before_ms > 0 AND fate IN (1, 2)
+    UNION ALL SELECT 'ttl', lane, group_id, msg_id, 0, enqueue_ms + ttl_ms, fate IN (1, 2) FROM messages WHERE ttl_ms > 0
+    UNION ALL SELECT 'lease_timeout', lane, group_id, msg_id, epoch, due_ms, epoch = extend_count FROM lease_timers
+    UNION ALL SELECT 'max_life', lane, group_id, msg_id, 0, deadline_ms - visibility_ms + 60000, TRUE FROM leases
+    UNION ALL SELECT 'dedup', lane, dedup_key, CAST(0 AS BIGINT), 0, max(enqueue_ms) + 300000, TRUE FROM messages WHERE fate = 1 GROUP BY lane, dedup_key
+    UNION ALL SELECT 'cron_due', '__cron', cron_id, CAST(0 AS BIGINT), 0, from_ms + every_ms, NOT paused FROM ({0})
+    UNION ALL SELECT 'wf_fired', '__wf', CAST(s.run_id AS VARCHAR), event_id, 0, event_time_ms + 1000 * (s.run_id % 3600), r.status = 1 FROM history s JOIN runs r ON r.run_id = s.run_id WHERE event_type = 4 AND activity_no <= 2"""
+
+
+def timers(t: Tables) -> DataFrame:
+    """The timer index: kind, lane, group_id, msg_id, epoch, due_ms, and live: whether the row it was set for still
+    stands in the state and epoch of then. Seven kinds in one table; crons and runs stand in the group's place."""
+    m, x, k = t.messages, t.leases, ["lane", "group_id", "msg_id"]
+    fate, yes, zero = F.col("fate"), F.lit(True), F.lit(0).cast("long")
+
+    def one(df: DataFrame, kind: str, due, live=yes, epoch=zero) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), *k, epoch.alias("epoch"), due.cast("long").alias("due_ms"), live.alias("live"))
+
+    keys = t.fates.where(fate == 1).groupBy("lane", F.col("dedup_key").alias("group_id")).agg(F.max("enqueue_ms").alias("at")).withColumn("msg_id", zero)
+    crons = cron_state(t).withColumns({"lane": F.lit("__cron"), "group_id": F.col("cron_id"), "msg_id": zero})
+    runs = durable_timers(t).join(t.runs.select("run_id", "status"), "run_id").withColumns({"lane": F.lit("__wf"), "group_id": F.col("run_id").cast("string"), "msg_id": F.col("started_event_id").cast("long")})
+    parts = [
+        one(m.where((F.col("not_before_ms") > 0) & fate.isin(1, 2)), "ready_at", F.col("not_before_ms"), fate == 2),
+        one(m.where(F.col("ttl_ms") > 0), "ttl", F.col("enqueue_ms") + F.col("ttl_ms"), fate.isin(1, 2)),
+        one(t.lease_timers, "lease_timeout", F.col("due_ms"), F.col("epoch") == F.col("extend_count"), F.col("epoch")),
+        one(x, "max_life", F.col("deadline_ms") - F.col("visibility_ms") + 60000),
+        one(keys, "dedup", F.col("at") + 300000),
+        one(crons, "cron_due", F.col("from_ms") + F.col("every_ms"), ~F.col("paused")),
+        one(runs, "wf_fired", F.col("fire_at_ms"), F.col("status") == 1),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_TIMERS = _TIMER_SQL.format(_CRON_STATE)
+
+
+@op("set_03", f"SELECT due_ms, kind, lane, group_id, msg_id, CAST(epoch AS BIGINT) AS epoch FROM ({_TIMERS})")
+def timer_index(t: Tables) -> DataFrame:
+    """All timers of seven kinds in one index, stale ones included."""
+    return timers(t).select("due_ms", "kind", "lane", "group_id", "msg_id", "epoch")
+
+
+@op("cmd_07", f"SELECT kind, CAST(count(*) AS BIGINT) AS due, CAST(count(*) FILTER (WHERE live) AS BIGINT) AS fired FROM ({_TIMERS}) WHERE due_ms <= 1706659200000 GROUP BY kind")
+def fired_by_kind(t: Tables) -> DataFrame:
+    """Due timers by kind, and how many act: one whose row is gone, or has moved to another state or epoch, does nothing."""
+    return timers(t).where(F.col("due_ms") <= t.asof_ms).groupBy("kind").agg(F.count(F.lit(1)).alias("due"), F.count_if("live").alias("fired"))
 
 
 # ---------------------------------------------------------------- singletons
@@ -217,7 +300,17 @@ def singleton_log(t: Tables) -> DataFrame:
     return t.events.select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("name"), "event_id", ms("ts").alias("now"), what.alias("what"), F.concat(F.lit("h"), (e % 4).cast("string")).alias("who"))
 
 
-@op("cmd_21")
+_SINGLETON = """WITH RECURSIVE log AS MATERIALIZED (SELECT concat('s', CAST(user_id % 10 AS VARCHAR)) AS name, event_id, epoch_us(ts) // 1000 AS now, event_id % 5 AS what, CAST(event_id % 4 AS INTEGER) + 1 AS who,
+      row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS k FROM events),
+    run(name, event_id, k, ok, holder, fence, deadline, known) AS (SELECT DISTINCT name, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(-1 AS BIGINT), -1, -1, -1] FROM log
+    UNION ALL SELECT name, event_id, k, ok, CASE WHEN ok AND what < 3 THEN who WHEN ok AND what = 4 THEN 0 ELSE holder END, CASE WHEN ok AND what < 3 THEN fence + 1 ELSE fence END,
+      CASE WHEN ok AND what < 4 THEN now + 3600000 WHEN ok THEN 0 ELSE deadline END, CASE WHEN ok AND what < 3 THEN list_transform(known, lambda f, i: CASE WHEN i = who THEN fence + 1 ELSE f END) ELSE known END FROM
+      (SELECT l.name, l.event_id, l.k, l.what, l.who, l.now, r.holder, r.fence, r.deadline, r.known, CASE WHEN l.what < 3 THEN r.holder = 0 OR r.deadline <= l.now OR r.holder = l.who ELSE r.holder = l.who AND r.known[l.who] = r.fence END AS ok
+      FROM run r JOIN log l ON l.name = r.name AND l.k = r.k + 1))
+    SELECT name, event_id, ok, fence FROM run WHERE k > 0"""
+
+
+@op("cmd_21", _SINGLETON)
 def singletons(t: Tables) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fences: dict[str, int] = {}
@@ -237,8 +330,8 @@ def singletons(t: Tables) -> DataFrame:
     return singleton_log(t).groupBy("name").applyInPandas(run, "name string, event_id long, ok boolean, fence long")
 
 
-op("cmd_22")(lambda t: singletons(t).join(singleton_log(t).where("what = 'renew'").select("event_id"), "event_id", "left_semi"))
-op("cmd_23")(lambda t: singletons(t).join(singleton_log(t).where("what = 'release'").select("event_id"), "event_id", "left_semi"))
+op("cmd_22", f"{_SINGLETON} AND event_id % 5 = 3")(lambda t: singletons(t).join(singleton_log(t).where("what = 'renew'").select("event_id"), "event_id", "left_semi"))
+op("cmd_23", f"{_SINGLETON} AND event_id % 5 = 4")(lambda t: singletons(t).join(singleton_log(t).where("what = 'release'").select("event_id"), "event_id", "left_semi"))
 
 
 @op("cmd_24", "SELECT event_type AS lane, max_by(CAST(event_id % 100 AS DOUBLE), event_id) AS rate, max_by(1 + event_id % 10, event_id) AS burst FROM events WHERE event_id % 20 = 0 GROUP BY event_type")
@@ -260,10 +353,16 @@ def redriven(t: Tables, reason: str = "ttl") -> DataFrame:
     return d.select("lane", "group_id", F.col("msg_id").alias("old_id"), (F.col("next_seq") - 1 + n).alias("new_id"), F.lit(0).cast("long").alias("attempt"))
 
 
-@op("cmd_28", "SELECT run_id, CAST(1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS epoch, concat('__wf/', workflow_type) AS lane, started_ms FROM runs")
+@op(
+    "cmd_28",
+    """SELECT run_id, CAST(1 AS BIGINT) AS event_id, CAST(1 AS BIGINT) AS event_type, started_ms AS event_time_ms, CAST(2 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS epoch, concat('__wf/', workflow_type) AS lane,
+    CAST(row_number() OVER (PARTITION BY workflow_type ORDER BY run_id) AS BIGINT) AS task_no FROM runs""",
+)
 def started_runs(t: Tables) -> DataFrame:
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return t.runs.select("run_id", one.alias("seq"), zero.alias("epoch"), F.concat(F.lit("__wf/"), "workflow_type").alias("lane"), "started_ms")
+    """A start appends STARTED as event 1, leaves the run at epoch 0, and dispatches its first task into the type's lane."""
+    n = lambda x: F.lit(x).cast("long")
+    rows = t.runs.select("run_id", n(1).alias("event_id"), n(STARTED).alias("event_type"), F.col("started_ms").alias("event_time_ms"), n(2).alias("seq"), n(0).alias("epoch"), F.concat(F.lit("__wf/"), "workflow_type").alias("lane"))
+    return keyed_row_number(rows, ["lane"], "run_id", "task_no", cut_points(t.orders, "o_orderkey"))
 
 
 def fold_appends(requests: Iterable[tuple[int, int, int, int]]):
@@ -276,7 +375,14 @@ def fold_appends(requests: Iterable[tuple[int, int, int, int]]):
         yield ident, "applied" if ok else "stale", epoch, seq
 
 
-@op("cmd_29")
+@op(
+    "cmd_29",
+    """WITH RECURSIVE log AS MATERIALIZED (SELECT user_id % 50 AS run_id, event_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS k FROM events),
+    run(run_id, event_id, k, outcome, epoch, seq, epoch0, seq0) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM log
+    UNION ALL SELECT run_id, event_id, k, CASE WHEN ok THEN 'applied' ELSE 'stale' END, epoch + CAST(ok AS BIGINT), seq + 2 * CAST(ok AS BIGINT), epoch, seq FROM
+      (SELECT l.run_id, l.event_id, l.k, r.epoch, r.seq, l.k % 3 <> 0 OR (r.epoch0 = r.epoch AND r.seq0 = r.seq) AS ok FROM run r JOIN log l ON l.run_id = r.run_id AND l.k = r.k + 1))
+    SELECT run_id, event_id, outcome, epoch, seq FROM run WHERE k > 0""",
+)
 def appended(t: Tables) -> DataFrame:
     """Appends of two events each, as deciders send them: every third one has missed the append before it."""
 
@@ -304,15 +410,22 @@ def appended(t: Tables) -> DataFrame:
 op("cmd_30", RAW["wf_05"])(activity_terminals)
 
 
-@op("cmd_31", "SELECT r.run_id, r.status = 1 AS appended, TRUE AS applied FROM runs r WHERE run_id % 4 = 0")
-def signalled(t: Tables) -> DataFrame:
-    """A signal to a closed run changes nothing, and still counts as applied."""
-    return t.runs.where("run_id % 4 = 0").select("run_id", (F.col("status") == 1).alias("appended"), F.lit(True).alias("applied"))
+_LAST = "runs r JOIN (SELECT run_id, max(event_id) AS n FROM history GROUP BY run_id) h ON h.run_id = r.run_id"
+
 
+@op("cmd_31", f"SELECT r.run_id, TRUE AS applied, CASE WHEN status = 1 THEN n + s.k END AS event_id, CASE WHEN status = 1 THEN CAST(9 AS BIGINT) END AS event_type FROM {_LAST}, (SELECT CAST(unnest(range(1, 3)) AS BIGINT) AS k) s WHERE r.run_id % 4 = 0")
+def signalled(t: Tables, signals: int = 2) -> DataFrame:
+    """Signals append SIGNAL_RECEIVED events one after the other; to a closed run they change nothing, and still count as applied."""
+    x = appended_at(t).where("run_id % 4 = 0").select("run_id", "status", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(signals).cast("long"))).alias("k"))
+    live = F.col("status") == 1
+    return x.select("run_id", F.lit(True).alias("applied"), F.when(live, F.col("n") + F.col("k")).alias("event_id"), F.when(live, F.lit(SIGNALLED).cast("long")).alias("event_type"))
 
-@op("cmd_32", "SELECT run_id, CASE WHEN status = 1 AND run_id % 6 = 0 THEN 4 ELSE status END AS status FROM runs")
+
+@op("cmd_32", f"SELECT r.run_id, CASE WHEN c THEN 4 ELSE status END AS status, CASE WHEN c THEN n + 1 END AS event_id, CASE WHEN c THEN CAST(13 AS BIGINT) END AS event_type FROM (SELECT r.*, n, status = 1 AND r.run_id % 6 = 0 AS c FROM {_LAST}) r")
 def cancelled_runs(t: Tables) -> DataFrame:
-    return t.runs.select("run_id", F.when((F.col("status") == 1) & (F.col("run_id") % 6 == 0), 4).otherwise(F.col("status")).alias("status"))
+    """Cancelling (each sixth run here) appends a terminal event to an open run and closes it as cancelled."""
+    hit = (F.col("status") == 1) & (F.col("run_id") % 6 == 0)
+    return appended_at(t).select("run_id", F.when(hit, 4).otherwise(F.col("status")).alias("status"), F.when(hit, F.col("n") + 1).alias("event_id"), F.when(hit, F.lit(WF_CANCELLED).cast("long")).alias("event_type"))
 
 
 # ---------------------------------------------------------------- principals
@@ -423,6 +536,42 @@ def dedup(t: Tables, window_ms: int = _DEDUP_WINDOW) -> DataFrame:
     return m.where("NOT long").select("event_id", F.col("starts").alias("accepted")).union(folded)
 
 
+_WEIGHT = "CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 3 AS DOUBLE) END"
+
+
+@op(
+    "cmd_01",
+    f"""SELECT event_id, NOT accepted AS duplicate, last_value(mid IGNORE NULLS) OVER (PARTITION BY lane, dedup_key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS msg_id,
+    CASE WHEN accepted THEN CAST(CASE WHEN not_before_ms > enqueue_ms THEN 2 ELSE 1 END AS BIGINT) END AS state, CASE WHEN accepted AND ttl_ms > 0 THEN enqueue_ms + ttl_ms END AS ttl_due_ms,
+    coalesce(nullif(last_value(hint IGNORE NULLS) OVER (PARTITION BY lane, group_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 1.0E0) AS weight FROM
+    (SELECT m.lane, m.group_id, m.dedup_key, m.event_id, m.enqueue_ms, m.not_before_ms, m.ttl_ms, a.accepted, CASE WHEN a.accepted THEN {_WEIGHT.replace("event_id", "m.event_id")} END AS hint,
+      CASE WHEN a.accepted THEN CAST(count(*) FILTER (WHERE a.accepted) OVER (PARTITION BY m.lane, m.group_id ORDER BY m.event_id) AS BIGINT) END AS mid FROM messages m JOIN ({RAW["st_05"]}) a ON a.event_id = m.event_id)""",
+)
+def published(t: Tables, window_ms: int = _DEDUP_WINDOW) -> DataFrame:
+    """Publish commands with all their effects.
+
+    A key inside its window answers with the original's id and changes nothing. Otherwise the group's next id is taken,
+    a weight hint (each fourth command has one) becomes the group's weight, 0 meaning 1, the message is ready or, with
+    not_before ahead, delayed, and a time to live sets its timer.
+    """
+    accepted = dedup(t, window_ms)
+    m = t.fates.join(accepted, "event_id")
+    ids = keyed_row_number(m.where("accepted").select("lane", "group_id", "event_id"), ["lane", "group_id"], "event_id", "mid", t.event_cuts)
+    m = m.join(ids.select("event_id", "mid"), "event_id", "left")
+    so_far = lambda *by: Window.partitionBy(*by).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    hint = F.when(F.col("accepted"), F.expr("CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 3 AS DOUBLE) END"))
+    weight = F.last(hint, ignorenulls=True).over(so_far("lane", "group_id"))
+    ok = F.col("accepted")
+    return m.select(
+        "event_id",
+        (~ok).alias("duplicate"),
+        F.last("mid", ignorenulls=True).over(so_far("lane", "dedup_key")).alias("msg_id"),
+        F.when(ok, F.when(F.col("not_before_ms") > F.col("enqueue_ms"), 2).otherwise(1)).cast("long").alias("state"),
+        F.when(ok & (F.col("ttl_ms") > 0), F.col("enqueue_ms") + F.col("ttl_ms")).alias("ttl_due_ms"),
+        F.when(F.coalesce(weight, F.lit(0.0)) == 0, 1.0).otherwise(weight).alias("weight"),
+    )
+
+
 op("st_06", RAW["wf_08"])(durable_timers)
 
 
@@ -444,7 +593,14 @@ class TokenBucket:
         return ok
 
 
-@op("st_08")
+_BUCKET = """WITH RECURSIVE log AS MATERIALIZED (SELECT event_type AS lane, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+    run(lane, event_id, k, allowed, tokens, before) AS (SELECT lane, event_id, k, TRUE, CAST(1 AS DOUBLE), ms FROM log WHERE k = 1
+    UNION ALL SELECT lane, event_id, k, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END, ms FROM
+      (SELECT l.lane, l.event_id, l.k, l.ms, least(CAST(2 AS DOUBLE), r.tokens + CAST(0.001 AS DOUBLE) * (l.ms - r.before) / CAST(1000 AS DOUBLE)) AS have FROM run r JOIN log l ON l.lane = r.lane AND l.k = r.k + 1))
+    SELECT lane, event_id, allowed FROM run"""
+
+
+@op("st_08", _BUCKET)
 def rate_limited(t: Tables, rate: float = 0.001, burst: float = 2.0) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, bucket = pdf.sort_values(["at", "event_id"]), TokenBucket(rate, burst)
@@ -479,11 +635,12 @@ def alerts(t: Tables, threshold: int = 3, hold: int = 3) -> DataFrame:
     return over.withColumn("island", island).groupBy("lane", "island").agg(F.min("tick").alias("since"), F.count(F.lit(1)).alias("hours"), (F.count(F.lit(1)) >= hold).alias("firing")).drop("island")
 
 
-@op("st_14", "SELECT lease_id, CASE WHEN lease_id % 9 = 0 THEN 'stale_lease' WHEN lease_id % 7 = 0 THEN 'stale_epoch' ELSE 'applied' END AS outcome FROM leases")
+@op("st_14", "SELECT g.grant_id, e.epoch, CASE WHEN g.grant_id <> g.cur_lease THEN 'stale_lease' WHEN e.epoch <> g.extend_count THEN 'stale_epoch' ELSE 'applied' END AS outcome FROM grants g JOIN (SELECT CAST(unnest(range(0, 4)) AS BIGINT) AS epoch) e ON e.epoch <= g.extend_count")
 def fenced(t: Tables) -> DataFrame:
-    """Operations on a message whose lease or epoch has moved on change nothing."""
-    x = t.leases.select("lease_id", F.when(F.col("lease_id") % 9 == 0, F.col("lease_id") + 1).otherwise(F.col("lease_id")).alias("cur_lease"), F.when(F.col("lease_id") % 7 == 0, 2).otherwise(1).alias("epoch"))
-    return x.select("lease_id", F.when(F.col("cur_lease") != F.col("lease_id"), "stale_lease").when(F.col("epoch") != 1, "stale_epoch").otherwise("applied").alias("outcome"))
+    """Operations that quote a grant and each epoch it has seen: only the present lease under the present epoch changes anything."""
+    x = t.grants.select("grant_id", "cur_lease", "extend_count", F.explode(F.sequence(F.lit(0).cast("long"), "extend_count")).alias("epoch"))
+    outcome = F.when(F.col("grant_id") != F.col("cur_lease"), "stale_lease").when(F.col("epoch") != F.col("extend_count"), "stale_epoch").otherwise("applied")
+    return x.select("grant_id", "epoch", outcome.alias("outcome"))
 
 
 op("st_15", RAW["flt_08"])(idle_groups)

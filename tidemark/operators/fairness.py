@@ -392,28 +392,6 @@ def pages_union(t: Tables, size: int = 20, pages: int = 3) -> DataFrame:
 op("set_02", _FINDINGS)(findings)
 
 
-@op(
-    "set_03",
-    """SELECT not_before_ms AS due_ms, 'ready_at' AS kind, lane, group_id, msg_id FROM messages WHERE fate = 2 AND not_before_ms > 0
-    UNION ALL SELECT enqueue_ms + ttl_ms, 'ttl', lane, group_id, msg_id FROM messages WHERE fate IN (1, 2) AND ttl_ms > 0
-    UNION ALL SELECT deadline_ms, 'lease_timeout', lane, group_id, msg_id FROM leases
-    UNION ALL SELECT deadline_ms - visibility_ms + 60000, 'max_life', lane, group_id, msg_id FROM leases
-    UNION ALL SELECT enqueue_ms + 300000, 'dedup', lane, group_id, msg_id FROM messages WHERE fate = 1""",
-)
-def timer_index(t: Tables) -> DataFrame:
-    """All timers in one table."""
-    m, x, k = t.messages, t.leases, ["lane", "group_id", "msg_id"]
-    one = lambda df, due, kind: df.select(due.alias("due_ms"), F.lit(kind).alias("kind"), *k)
-    parts = [
-        one(m.where((F.col("fate") == 2) & (F.col("not_before_ms") > 0)), F.col("not_before_ms"), "ready_at"),
-        one(m.where(F.col("fate").isin(1, 2) & (F.col("ttl_ms") > 0)), F.col("enqueue_ms") + F.col("ttl_ms"), "ttl"),
-        one(x, F.col("deadline_ms"), "lease_timeout"),
-        one(x, F.col("deadline_ms") - F.col("visibility_ms") + 60000, "max_life"),
-        one(m.where(F.col("fate") == 1), F.col("enqueue_ms") + 300000, "dedup"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @op("set_04", "SELECT coalesce(p.lane, s.lane) AS lane, CAST(coalesce(p.n, 0) AS BIGINT) AS published, CAST(coalesce(s.n, 0) AS BIGINT) AS served FROM (SELECT lane, count(*) AS n FROM messages WHERE lane <> 'view' GROUP BY lane) p FULL JOIN (SELECT lane, count(*) AS n FROM served WHERE lane <> 'error' GROUP BY lane) s ON s.lane = p.lane")
 def lanes_seen(t: Tables) -> DataFrame:
     """Lanes seen by either counter, with zero where one has not seen them."""

@@ -11,7 +11,8 @@ from tidemark.operators.joins import _FIFO, paired_activities, run_chains, stuck
 from tidemark.registry import RAW, op
 from tidemark.sources.views import Tables
 
-STARTED, TASK_COMPLETED, SCHEDULED, COMPLETED, FAILED, WF_COMPLETED, WF_FAILED = 1, 3, 4, 5, 6, 10, 11
+# event types of a run's history: fixed values
+STARTED, TASK_COMPLETED, SCHEDULED, COMPLETED, FAILED, SIGNALLED, WF_COMPLETED, WF_FAILED, WF_CANCELLED = 1, 3, 4, 5, 6, 9, 10, 11, 13
 
 
 @op("wf_01", "SELECT event_id, event_type, event_time_ms, activity_no FROM history WHERE run_id = 7 ORDER BY event_id")
@@ -27,15 +28,38 @@ def status_of_history(t: Tables) -> DataFrame:
     return h.select("run_id", F.when(F.col("x") == 10, 2).when(F.col("x") == 11, 3).otherwise(1).cast("long").alias("status"))
 
 
-def gated(t: Tables) -> DataFrame:
-    """One decision per run against the gate; every field of the request is derived from the run id."""
+def requests(t: Tables) -> DataFrame:
+    """A decision per run, as its decider sends it: epoch, the next event id it has seen and the checksum of that history.
+
+    Each third decider has missed the last event, each seventh replays the first activity as another event type, and
+    each fifth sends no checksum.
+    """
     r = F.col("run_id")
-    stale = (r % 11 == 0) | (r % 13 == 0)
-    reason = F.when(F.col("status") != 1, "closed").when(stale, "stale").when(r % 17 == 0, "checksum_required").when(r % 19 == 0, "non_determinism").otherwise("applied")
-    return t.runs.select("run_id", reason.alias("outcome"))
+    last = t.history.groupBy("run_id").agg(F.max("event_id").alias("n"))
+    h = t.history.join(last, "run_id").where((r % 3 != 0) | (F.col("event_id") < F.col("n")))
+    replayed = F.when((r % 7 == 0) & (F.col("event_id") == 2), F.col("event_type") + 1).otherwise(F.col("event_type"))
+    sums = history_checksum(h.select("run_id", "event_id", replayed.alias("event_type"), attrs().alias("attrs")))
+    return sums.select("run_id", F.lit(0).cast("long").alias("epoch"), (F.col("events") + 1).alias("seq"), F.when(r % 5 != 0, F.col("checksum")).alias("checksum"))
+
+
+def attrs():
+    return F.concat(F.lit("a"), F.col("activity_no").cast("string"))
 
 
-_GATE = "SELECT run_id, CASE WHEN status <> 1 THEN 'closed' WHEN run_id % 11 = 0 OR run_id % 13 = 0 THEN 'stale' WHEN run_id % 17 = 0 THEN 'checksum_required' WHEN run_id % 19 = 0 THEN 'non_determinism' ELSE 'applied' END AS outcome FROM runs"
+def gated(t: Tables) -> DataFrame:
+    """The gate: an open run, the same epoch and sequence, and the checksum of the history that stands."""
+    now = history_checksum(t.history.withColumn("attrs", attrs())).select("run_id", (F.col("events") + 1).alias("cur_seq"), F.col("checksum").alias("stands"))
+    x = t.runs.select("run_id", "status", F.lit(0).cast("long").alias("run_epoch")).join(now, "run_id").join(requests(t), "run_id", "left")
+    stale = F.col("epoch").isNull() | (F.col("epoch") != F.col("run_epoch")) | (F.col("seq") != F.col("cur_seq"))
+    reason = F.when(F.col("status") != 1, "closed").when(stale, "stale").when(F.col("checksum").isNull(), "checksum_required").when(F.col("checksum") != F.col("stands"), "non_determinism").otherwise("applied")
+    return x.select("run_id", reason.alias("outcome"))
+
+
+_SUM = "sha256(unhex(string_agg(concat(lpad(hex(event_id), 16, '0'), lpad(hex({0}), 8, '0'), hex(concat('a', CAST(activity_no AS VARCHAR)))), '' ORDER BY event_id)))"
+_GATE = f"""SELECT r.run_id, CASE WHEN r.status <> 1 THEN 'closed' WHEN q.n IS NULL OR q.n <> c.n THEN 'stale' WHEN r.run_id % 5 = 0 THEN 'checksum_required' WHEN q.checksum <> c.checksum THEN 'non_determinism' ELSE 'applied' END AS outcome FROM runs r
+    JOIN (SELECT run_id, count(*) AS n, {_SUM.format("event_type")} AS checksum FROM history GROUP BY run_id) c ON c.run_id = r.run_id
+    LEFT JOIN (SELECT run_id, count(*) AS n, {_SUM.format("CASE WHEN run_id % 7 = 0 AND event_id = 2 THEN event_type + 1 ELSE event_type END")} AS checksum
+      FROM (SELECT *, max(event_id) OVER (PARTITION BY run_id) AS last FROM history) WHERE run_id % 3 <> 0 OR event_id < last GROUP BY run_id) q ON q.run_id = r.run_id"""
 op("wf_03", _GATE)(gated)
 
 COMMAND_EVENTS = {"schedule_activity": 4, "start_timer": 7, "complete": 10, "fail": 11, "continue_as_new": 12}
@@ -58,33 +82,46 @@ def translated_commands(t: Tables) -> DataFrame:
 
 @op(
     "wf_05",
-    """SELECT x.run_id, x.activity_no, x.event_id, CASE WHEN r.status <> 1 AND x.event_id % 5 = 0 THEN 'closed' WHEN x.k > 1 THEN 'duplicate_completion' WHEN s.event_id IS NULL THEN 'invalid_completion' ELSE 'applied' END AS outcome FROM
-    (SELECT run_id, activity_no, event_id, row_number() OVER (PARTITION BY run_id, activity_no ORDER BY event_id) AS k FROM (SELECT run_id, CASE WHEN event_id % 7 = 0 THEN activity_no + 100 ELSE activity_no END AS activity_no, event_id FROM history WHERE event_type IN (5, 6)
+    """SELECT x.run_id, x.activity_no, x.event_id, CASE WHEN r.status <> 1 AND x.event_id % 5 = 0 THEN 'closed' WHEN s.event_id IS NULL THEN 'invalid_completion'
+      WHEN row_number() OVER (PARTITION BY x.run_id, x.activity_no, r.status <> 1 AND x.event_id % 5 = 0 ORDER BY x.event_id) > 1 THEN 'duplicate_completion' ELSE 'applied' END AS outcome FROM
+    (SELECT run_id, activity_no, event_id FROM (SELECT run_id, CASE WHEN event_id % 7 = 0 THEN activity_no + 100 ELSE activity_no END AS activity_no, event_id FROM history WHERE event_type IN (5, 6)
      UNION ALL SELECT run_id, activity_no, event_id + 100 FROM history WHERE event_type = 5 AND run_id % 3 = 0)) x
     JOIN runs r ON r.run_id = x.run_id LEFT JOIN history s ON s.run_id = x.run_id AND s.activity_no = x.activity_no AND s.event_type = 4""",
 )
 def activity_terminals(t: Tables) -> DataFrame:
-    """Completions, each with what becomes of it: the first one of a scheduled activity applies."""
+    """Completions, each with what becomes of it: the first that applies marks its activity done, so what was closed
+    or invalid leaves no mark, and a repeat of an invalid one is invalid again."""
     h = t.history.where("event_type IN (5, 6)")
     wrong = F.when(F.col("event_id") % 7 == 0, F.col("activity_no") + 100).otherwise(F.col("activity_no")).alias("activity_no")
     again = h.where("event_type = 5 AND run_id % 3 = 0").select("run_id", "activity_no", (F.col("event_id") + 100).alias("event_id"))
     x = h.select("run_id", wrong, "event_id").union(again)
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("run_id", "activity_no").orderBy("event_id")))
     s = t.history.where("event_type = 4").select("run_id", "activity_no", F.lit(True).alias("known"))
     j = x.join(t.runs.select("run_id", "status"), "run_id").join(s, ["run_id", "activity_no"], "left")
-    o = F.when((F.col("status") != 1) & (F.col("event_id") % 5 == 0), "closed").when(F.col("k") > 1, "duplicate_completion").when(F.col("known").isNull(), "invalid_completion").otherwise("applied")
-    return j.select("run_id", "activity_no", "event_id", o.alias("outcome"))
+    closed = (F.col("status") != 1) & (F.col("event_id") % 5 == 0)
+    valid = j.withColumn("valid", ~closed & F.col("known").isNotNull())
+    k = F.row_number().over(Window.partitionBy("run_id", "activity_no", "valid").orderBy("event_id"))
+    o = F.when(closed, "closed").when(F.col("known").isNull(), "invalid_completion").when(k > 1, "duplicate_completion").otherwise("applied")
+    return valid.select("run_id", "activity_no", "event_id", o.alias("outcome"))
 
 
 @op(
     "wf_06",
-    """SELECT run_id, event_id, coalesce(lag(event_type) OVER w, 0) IN (0, 3) OR coalesce(lag(event_type) OVER w, 0) = 1 AS dispatches FROM history WHERE event_type IN (1, 5, 6) WINDOW w AS (PARTITION BY run_id ORDER BY event_id)""",
+    """SELECT run_id, event_id, what, what <> 'decided' AND (r.status = 1 OR NOT ends) AND coalesce(lag(what) OVER w = 'decided', TRUE) AS dispatches FROM
+    (SELECT run_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'decided' ELSE 'trigger' END AS what, event_id = max(event_id) OVER (PARTITION BY run_id) AS ends FROM history WHERE event_type IN (1, 4, 5, 6)) h JOIN runs r USING (run_id)
+    WINDOW w AS (PARTITION BY run_id ORDER BY event_id)""",
 )
 def dispatches(t: Tables) -> DataFrame:
-    """A task is dispatched only where none is pending: after the start, and after each finished decision."""
+    """A trigger dispatches a task where none is pending: the flag is set by a dispatch and cleared by a decision.
+
+    Each third event stands for a finished decision. So a trigger dispatches exactly if a decision, or nothing, is the
+    last thing before it; the last event of a closed run dispatches nothing.
+    """
     w = Window.partitionBy("run_id").orderBy("event_id")
-    before = F.coalesce(F.lag("event_type").over(w), F.lit(0))
-    return t.history.where("event_type IN (1, 5, 6)").select("run_id", "event_id", before.isin(0, 1, 3).alias("dispatches"))
+    what = F.when(F.col("event_id") % 3 == 0, "decided").otherwise("trigger")
+    h = t.history.where("event_type IN (1, 4, 5, 6)").select("run_id", "event_id", what.alias("what"))
+    h = h.withColumn("ends", F.col("event_id") == F.max("event_id").over(Window.partitionBy("run_id"))).join(t.runs.select("run_id", "status"), "run_id")
+    free = F.coalesce(F.lag("what").over(w) == "decided", F.lit(True))
+    return h.select("run_id", "event_id", "what", ((F.col("what") != "decided") & ((F.col("status") == 1) | ~F.col("ends")) & free).alias("dispatches"))
 
 
 op("wf_07", RAW["jn_15"])(run_chains)
@@ -92,22 +129,37 @@ op("wf_07", RAW["jn_15"])(run_chains)
 
 @op(
     "wf_08",
-    """SELECT run_id, event_id AS started_event_id, event_time_ms + 1000 * (run_id % 3600) AS fire_at_ms, event_time_ms + 1000 * (run_id % 3600) <= 1704100000000 AS fired FROM history WHERE event_type = 4 AND activity_no = 1""",
+    """SELECT s.run_id, s.event_id AS started_event_id, fire_at_ms, CASE WHEN fire_at_ms <= 1704100000000 AND r.status = 1 THEN n + row_number() OVER (PARTITION BY s.run_id, fire_at_ms <= 1704100000000 ORDER BY fire_at_ms, s.event_id) END AS fired_event_id FROM
+    (SELECT run_id, event_id, event_time_ms + 1000 * (run_id % 3600) AS fire_at_ms FROM history WHERE event_type = 4 AND activity_no <= 2) s
+    JOIN runs r ON r.run_id = s.run_id JOIN (SELECT run_id, max(event_id) AS n FROM history GROUP BY run_id) e ON e.run_id = s.run_id""",
 )
 def durable_timers(t: Tables, until_ms: int = 1704100000000) -> DataFrame:
+    """Timers started by a run, and the id of the TIMER_FIRED event that a due one appends to an open run's history."""
     at = F.col("event_time_ms") + 1000 * (F.col("run_id") % 3600)
-    return t.history.where("event_type = 4 AND activity_no = 1").select("run_id", F.col("event_id").alias("started_event_id"), at.alias("fire_at_ms"), (at <= until_ms).alias("fired"))
+    s = t.history.where("event_type = 4 AND activity_no <= 2").select("run_id", F.col("event_id").alias("started_event_id"), at.alias("fire_at_ms"))
+    due = F.col("fire_at_ms") <= until_ms
+    k = F.row_number().over(Window.partitionBy("run_id", due).orderBy("fire_at_ms", "started_event_id"))
+    s = s.withColumn("k", k).join(appended_at(t), "run_id")
+    return s.select("run_id", "started_event_id", "fire_at_ms", F.when(due & (F.col("status") == 1), F.col("n") + F.col("k")).alias("fired_event_id"))
+
+
+def appended_at(t: Tables) -> DataFrame:
+    """run_id, status, n: the last event id of each run, after which new events are appended."""
+    return t.history.groupBy("run_id").agg(F.max("event_id").alias("n")).join(t.runs.select("run_id", "status"), "run_id")
 
 
 @op(
     "wf_09",
-    """SELECT r.run_id, d.event_id, concat('activity_dead_lettered: ', d.reason) AS result FROM (SELECT *, 1 + event_id % 5000 AS rid FROM dead_letters WHERE event_id % 2 = 1) d JOIN runs r ON r.run_id = d.rid WHERE r.status = 1""",
+    """SELECT r.run_id, d.event_id AS dead_letter, n + row_number() OVER (PARTITION BY r.run_id ORDER BY d.event_id) AS event_id, CAST(6 AS BIGINT) AS event_type, concat('activity_dead_lettered: ', d.reason) AS result FROM
+    (SELECT *, 1 + event_id % 5000 AS rid FROM dead_letters WHERE event_id % 2 = 1) d JOIN runs r ON r.run_id = d.rid JOIN (SELECT run_id, max(event_id) AS n FROM history GROUP BY run_id) e ON e.run_id = r.run_id WHERE r.status = 1""",
 )
 def dead_letter_bridge(t: Tables) -> DataFrame:
-    """A dead activity message fails its activity in the run's history."""
+    """A dead activity message appends ACTIVITY_FAILED to its open run's history, under the next event id."""
     from tidemark.operators.joins import dead_activity_runs
 
-    return dead_activity_runs(t).select("run_id", "event_id", F.concat(F.lit("activity_dead_lettered: "), "reason").alias("result"))
+    d = dead_activity_runs(t).withColumnRenamed("event_id", "dead_letter").join(appended_at(t).select("run_id", "n"), "run_id")
+    k = F.row_number().over(Window.partitionBy("run_id").orderBy("dead_letter"))
+    return d.select("run_id", "dead_letter", (F.col("n") + k).alias("event_id"), F.lit(FAILED).cast("long").alias("event_type"), F.concat(F.lit("activity_dead_lettered: "), "reason").alias("result"))
 
 
 _TIMELINE = """SELECT run_id, min(event_time_ms) AS start_ms, max(event_time_ms) AS end_ms, CAST(count(*) FILTER (WHERE event_type = 4) AS BIGINT) AS activities,

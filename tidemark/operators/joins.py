@@ -14,25 +14,32 @@ from tidemark.sources.views import LEASED, Tables
 KEYS = ["lane", "group_id", "msg_id"]
 
 
-@op("jn_01", "SELECT l.lease_id, m.lane, m.group_id, m.msg_id, m.enqueue_ms FROM leases l JOIN live m ON m.lane = l.lane AND m.group_id = l.group_id AND m.msg_id = l.msg_id WHERE m.fate = 3 AND l.lease_id % 9 <> 0")
+@op("jn_01", "SELECT g.grant_id, m.lane, m.group_id, m.msg_id, m.enqueue_ms FROM grants g JOIN live m ON m.lane = g.lane AND m.group_id = g.group_id AND m.msg_id = g.msg_id WHERE m.fate = 3 AND g.grant_id = 4 * g.lease_id + g.attempt_at_lease")
 def current_leases(t: Tables) -> DataFrame:
-    """Leases with their message, without stale ones (here each ninth message has moved to a later lease)."""
-    x = t.leases.select("lease_id", *KEYS)
-    return x.join(t.live.select(*KEYS, "fate", "enqueue_ms"), KEYS).where((F.col("fate") == LEASED) & (F.col("lease_id") % 9 != 0)).select("lease_id", *KEYS, "enqueue_ms")
+    """Grants with their message, without stale ones: the message must be leased, and by this grant."""
+    x = t.grants.where("grant_id = cur_lease").select("grant_id", *KEYS)
+    return x.join(t.live.where(F.col("fate") == LEASED).select(*KEYS, "enqueue_ms"), KEYS).select("grant_id", *KEYS, "enqueue_ms")
 
 
 @op(
     "jn_02",
     """SELECT 'ready_at' AS kind, lane, group_id, msg_id, not_before_ms AS due_ms FROM messages WHERE fate = 2 AND not_before_ms > 0 AND not_before_ms <= 1706659200000
     UNION ALL SELECT 'lease_timeout', m.lane, m.group_id, m.msg_id, l.deadline_ms FROM leases l JOIN messages m ON m.lane = l.lane AND m.group_id = l.group_id AND m.msg_id = l.msg_id
-      WHERE l.deadline_ms <= 1706659200000 AND l.extend_count = l.event_id % 4 AND m.fate = 3""",
+      WHERE l.deadline_ms <= 1706659200000 AND m.fate = 3
+    UNION ALL SELECT 'ttl', lane, group_id, msg_id, enqueue_ms + ttl_ms FROM messages WHERE fate IN (1, 2) AND ttl_ms > 0 AND enqueue_ms + ttl_ms <= 1706659200000
+    UNION ALL SELECT 'max_life', lane, group_id, msg_id, deadline_ms - visibility_ms + 25000 FROM leases WHERE deadline_ms - visibility_ms + 25000 <= 1706659200000""",
 )
 def fired_timers(t: Tables) -> DataFrame:
     """Due timers whose row is still in the state and epoch the timer was set for."""
     ready = t.messages.where((F.col("fate") == 2) & (F.col("not_before_ms") > 0) & (F.col("not_before_ms") <= t.asof_ms)).select(F.lit("ready_at").alias("kind"), *KEYS, F.col("not_before_ms").alias("due_ms"))
-    x = t.leases.where((F.col("deadline_ms") <= t.asof_ms) & (F.col("extend_count") == F.col("event_id") % 4))
-    late = x.select(*KEYS, "deadline_ms").join(t.messages.where(F.col("fate") == LEASED).select(*KEYS), KEYS)
-    return ready.union(late.select(F.lit("lease_timeout"), *KEYS, "deadline_ms"))
+    # of a lease's timers, those that an extend has replaced carry an older epoch
+    x = t.lease_timers.where((F.col("due_ms") <= t.asof_ms) & (F.col("epoch") == F.col("extend_count")))
+    late = x.select(*KEYS, "due_ms").join(t.messages.where(F.col("fate") == LEASED).select(*KEYS), KEYS)
+    at = F.col("enqueue_ms") + F.col("ttl_ms")
+    old = t.messages.where(F.col("fate").isin(1, 2) & (F.col("ttl_ms") > 0) & (at <= t.asof_ms)).select(F.lit("ttl"), *KEYS, at)
+    cap = F.col("deadline_ms") - F.col("visibility_ms") + 25000  # from the grant; no extend moves it
+    held = t.leases.where(cap <= t.asof_ms).select(F.lit("max_life"), *KEYS, cap)
+    return ready.union(late.select(F.lit("lease_timeout"), *KEYS, "due_ms")).union(old).union(held)
 
 
 @op("jn_03", "SELECT k.token_no, l.lease_id, l.lease_id IS NULL AS unknown FROM (SELECT CAST(unnest(range(1, 41)) AS BIGINT) AS token_no) k LEFT JOIN leases l ON l.token_hash = sha256(concat('tok', CAST(token_no AS VARCHAR)))")
@@ -86,7 +93,8 @@ def dead_activity_runs(t: Tables) -> DataFrame:
 
 @op(
     "jn_08",
-    """SELECT x.run_id, x.event_id, s.event_id AS scheduled_event_id FROM history x JOIN history s ON s.run_id = x.run_id AND s.activity_no = x.activity_no AND s.event_type = 4 WHERE x.event_type IN (5, 6)""",
+    """SELECT run_id, max(event_id) FILTER (WHERE event_type <> 4) AS event_id, max(event_id) FILTER (WHERE event_type = 4) AS scheduled_event_id FROM history WHERE event_type IN (4, 5, 6)
+    GROUP BY run_id, activity_no HAVING count(*) FILTER (WHERE event_type <> 4) > 0 AND count(*) FILTER (WHERE event_type = 4) > 0""",
 )
 def terminal_of_scheduled(t: Tables) -> DataFrame:
     h = t.history
@@ -106,11 +114,13 @@ def authorized_calls(t: Tables) -> DataFrame:
     return both.groupBy("name", "call").agg(F.every(allowed()).alias("allowed"))
 
 
-@op("jn_10", "SELECT lane, group_id, msg_id FROM messages m WHERE fate = 1 AND NOT EXISTS (SELECT 1 FROM messages d WHERE d.fate = 5 AND d.lane = m.lane AND d.dedup_key = m.dedup_key)")
-def fresh_keys(t: Tables) -> DataFrame:
-    """Messages whose dedup key no live window holds."""
-    held = t.fates.where("fate = 5").select("lane", "dedup_key")
-    return t.messages.where("fate = 1").join(held, ["lane", "dedup_key"], "left_anti").select(*KEYS)
+@op("jn_10", "SELECT lane, group_id, msg_id FROM messages m WHERE fate = 1 AND NOT EXISTS (SELECT 1 FROM messages d WHERE d.fate = 5 AND d.lane = m.lane AND d.dedup_key = m.dedup_key AND d.enqueue_ms <= m.enqueue_ms AND m.enqueue_ms < d.enqueue_ms + 86400000)")
+def fresh_keys(t: Tables, window_ms: int = 86_400_000) -> DataFrame:
+    """Messages whose dedup key no window (a day from the publish that opened it) holds when they come."""
+    at = F.col("enqueue_ms")
+    held = t.fates.where("fate = 5").select(F.col("lane").alias("l"), F.col("dedup_key").alias("d"), at.alias("opened"))
+    held_then = (F.col("l") == F.col("lane")) & (F.col("d") == F.col("dedup_key")) & (F.col("opened") <= at) & (at < F.col("opened") + window_ms)
+    return t.messages.where("fate = 1").join(held, held_then, "left_anti").select(*KEYS)
 
 
 _TERMINALS = """SELECT run_id, activity_no, event_id, event_type FROM history WHERE event_type IN (5, 6)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sequence import keyed_row_number, ranged_row_number
 from tidemark.registry import op
-from tidemark.sources.views import READY, Tables
+from tidemark.sources.views import ACKED, LEASED, READY, Tables
 
 _K = """SELECT m.lane, m.group_id, m.msg_id, weight, CAST(row_number() OVER (PARTITION BY m.lane, m.group_id ORDER BY msg_id) AS BIGINT) AS k, CAST(count(*) OVER (PARTITION BY m.lane, m.group_id) AS BIGINT) AS n
     FROM messages m JOIN groups_t g ON g.lane = m.lane AND g.group_id = m.group_id WHERE fate = 1 AND NOT paused"""
@@ -289,13 +289,22 @@ def policy_health(t: Tables, window_ms: int = 86_400_000) -> DataFrame:
     return p.join(f, "lane", "left").select("lane", F.lit("expression").alias("engine"), "version", n.alias("faults"), (n >= FAULT_LIMIT).alias("quarantined"))
 
 
-@op("sch_14", f"SELECT lane, group_id, msg_id FROM ({_by('CAST(k - 1 AS DOUBLE) / weight, group_id')}) WHERE turn = 1 AND lane <> 'view'")
-def lease_one(t: Tables, paused_lanes: tuple[str, ...] = ("view",)) -> DataFrame:
-    """The next lease of each open lane: gate, eligible groups, pick, head message. No order is built for one pick."""
-    g = t.groups.where((F.col("ready") > 0) & ~F.col("paused") & ~F.col("lane").isin(*paused_lanes))
-    pick = g.groupBy("lane").agg(F.min("group_id").alias("group_id"))  # all virtual times are equal before turn 1
+@op(
+    "sch_14",
+    """SELECT g.lane, g.group_id, h.msg_id, g.vt AS virtual_time FROM (SELECT g.lane, g.group_id, CAST(coalesce(s.n, 0) AS DOUBLE) / weight AS vt,
+      row_number() OVER (PARTITION BY g.lane ORDER BY CAST(coalesce(s.n, 0) AS DOUBLE) / weight, g.group_id) AS r FROM groups_t g
+      LEFT JOIN (SELECT lane, group_id, count(*) AS n FROM served GROUP BY lane, group_id) s ON s.lane = g.lane AND s.group_id = g.group_id WHERE ready > 0 AND NOT paused AND g.lane <> 'view') g
+    JOIN (SELECT lane, group_id, min(msg_id) AS msg_id FROM messages WHERE fate = 1 GROUP BY lane, group_id) h ON h.lane = g.lane AND h.group_id = g.group_id WHERE r = 1""",
+)
+def next_leases(t: Tables, paused_lanes: tuple[str, ...] = ("view",)) -> DataFrame:
+    """The next lease of each open lane: gate, eligible groups, the least virtual time after what has been served,
+    and the group's head message. No order is built for one pick."""
+    served = t.fates.where(F.col("fate").isin(LEASED, ACKED)).groupBy("lane", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    g = t.groups.where((F.col("ready") > 0) & ~F.col("paused") & ~F.col("lane").isin(*paused_lanes)).join(served, ["lane", "group_id"], "left")
+    vt = F.coalesce("n", F.lit(0)).cast("double") / F.col("weight")
+    pick = g.groupBy("lane").agg(F.min(F.struct(vt.alias("virtual_time"), "group_id")).alias("p")).select("lane", "p.group_id", "p.virtual_time")
     head = t.messages.where(F.col("fate") == READY).groupBy("lane", "group_id").agg(F.min("msg_id").alias("msg_id"))
-    return head.join(pick, ["lane", "group_id"]).select("lane", "group_id", "msg_id")
+    return head.join(pick, ["lane", "group_id"]).select("lane", "group_id", "msg_id", "virtual_time")
 
 
 @op("udf_02", "SELECT lane, group_id, weight * 2.0E0 - CAST(ready AS DOUBLE) AS score FROM groups_t")

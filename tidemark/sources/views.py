@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequence import bucketed_counts, by_cuts, cut_points, grouped_row_number, keyed_row_number
@@ -110,6 +110,20 @@ class Tables:
         token = F.when(F.col("lease_id") % 4 == 0, F.sha2(F.concat(F.lit("tok"), F.col("lease_id").cast("string")), 256)).otherwise("")
         return out.withColumn("token_hash", token)
 
+    @cached_property
+    def grants(self) -> DataFrame:
+        """Every lease a leased message has had: one per attempt. grant_id rises with the attempt, and cur_lease is
+        the message's present one, so that all others are stale."""
+        rows = self.leases.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "attempt_at_lease")).alias("attempt"))
+        rows = rows.withColumn("grant_id", 4 * F.col("lease_id") + F.col("attempt"))
+        return rows.withColumn("cur_lease", F.max("grant_id").over(Window.partitionBy("lane", "group_id", "msg_id")))
+
+    @cached_property
+    def lease_timers(self) -> DataFrame:
+        """The deadline timers of leases: one is set at the grant and at each extend, with the message's epoch then."""
+        rows = self.leases.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "extend_count")).alias("epoch"))
+        return rows.withColumn("due_ms", F.col("deadline_ms") - 1000 * (F.col("extend_count") - F.col("epoch")))
+
     @cached_property
     def dead_letters(self) -> DataFrame:
         reason = F.element_at(F.array(*map(F.lit, REASONS)), (F.col("event_id") % 4).cast("int") + 1)
@@ -227,6 +241,10 @@ CTES: dict[str, str] = {
         concat('c', CAST(event_id % 4 AS VARCHAR)) AS consumer_id, 1706659200000 + (event_id % 21 - 10) * 1000 AS deadline_ms,
         CAST(30000 AS BIGINT) AS visibility_ms, event_id % 3 AS attempt_at_lease, event_id % 4 AS extend_count FROM messages WHERE fate = 3""",
     "leases": "SELECT *, CASE WHEN lease_id % 4 = 0 THEN sha256(concat('tok', CAST(lease_id AS VARCHAR))) ELSE '' END AS token_hash FROM lease0",
+    "grants": """SELECT l.*, a.attempt, 4 * lease_id + a.attempt AS grant_id, max(4 * lease_id + a.attempt) OVER (PARTITION BY lane, group_id, msg_id) AS cur_lease
+        FROM leases l JOIN (SELECT CAST(unnest(range(0, 3)) AS BIGINT) AS attempt) a ON a.attempt <= l.attempt_at_lease""",
+    "lease_timers": """SELECT l.*, e.epoch, deadline_ms - 1000 * (extend_count - e.epoch) AS due_ms
+        FROM leases l JOIN (SELECT CAST(unnest(range(0, 4)) AS BIGINT) AS epoch) e ON e.epoch <= l.extend_count""",
     "dead_letters": """SELECT lane, group_id, msg_id, event_id, enqueue_ms, max_attempts, enqueue_ms + 60000 * (1 + event_id % 3) AS dead_at_ms,
         CASE event_id % 4 WHEN 0 THEN 'max_attempts' WHEN 1 THEN 'terminal_nack' WHEN 2 THEN 'max_lease_lifetime' ELSE 'ttl' END AS reason
         FROM messages WHERE fate = 4""",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.commands import TokenBucket, fold_dedup
+from tidemark.operators.sequence import ranged_row_number
 from tidemark.registry import RAW, op
 from tidemark.session import shared_folder
 from tidemark.sources.views import Tables
@@ -71,14 +72,13 @@ def committed_batches(t: Tables) -> DataFrame:
 @op("snk_02", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS repeated FROM events")
 def replayed(t: Tables) -> DataFrame:
     """The same batch delivered twice is applied once."""
-    done: list[int] = []
     out = folder(t.spark, "replay")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("event_id").write.mode("append").parquet(f"{out}/rows")
-        done.append(batch_id)
+        # the folder of a batch is complete once its success mark is there, which also tells what was committed last
+        batch.select("event_id").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
 
-    once = idempotent(write, lambda: max(done, default=-1))
+    once = idempotent(write, lambda: last_committed(t.spark, f"{out}/rows"))
 
     def twice(batch: DataFrame, batch_id: int) -> None:
         once(batch, batch_id)
@@ -89,6 +89,15 @@ def replayed(t: Tables) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("event_id")).alias("repeated"))
 
 
+def last_committed(spark: SparkSession, path: str) -> int:
+    """The largest batch id whose folder is complete, -1 if none: it survives a restart, being in the sink itself."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return max((int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=-1)
+
+
 @op("snk_06", "SELECT event_type AS lane, CAST(count(*) AS BIGINT) AS served, max(event_id) AS last_event_id FROM events WHERE event_id % 10 IN (6, 7, 8) GROUP BY event_type")
 def served_frames(t: Tables) -> DataFrame:
     """The live feed: one frame per lane with its served count and last event."""
@@ -99,11 +108,22 @@ def served_frames(t: Tables) -> DataFrame:
 op("st_11", RAW["snk_06"])(served_frames)
 
 
-@op("st_07", "SELECT event_id, (epoch_us(ts) // 1000) + 1000 * (event_id % 60) AS due_ms FROM events WHERE event_id % 7 = 0")
-def swept_timers(t: Tables) -> DataFrame:
-    """Timers swept per trigger: each micro-batch emits those that are due at its instant, all in the end."""
-    s = event_stream(t).where("event_id % 7 = 0").select("event_id", (F.col("ms") + 1000 * (F.col("event_id") % 60)).alias("due_ms"))
-    return drained(s, "sweep")
+SWEEP = 256
+
+
+@op(
+    "st_07",
+    """SELECT event_id, due_ms, CAST((row_number() OVER (ORDER BY due_ms, event_id) - 1) // 256 AS BIGINT) AS tick FROM (SELECT event_id, (epoch_us(ts) // 1000) + 1000 * (event_id % 60) AS due_ms FROM events WHERE event_id % 7 = 0) WHERE due_ms <= 1706659200000""",
+)
+def swept_timers(t: Tables, batch: int = SWEEP) -> DataFrame:
+    """The sweep of the timer wheel: each tick takes the oldest `batch` timers due at its instant and no others.
+
+    The timers arrive as a stream and are kept; what is due by now comes out in ticks, later ones stay.
+    """
+    due = (F.col("ms") + 1000 * (F.col("event_id") % 60)).alias("due_ms")
+    kept = drained(event_stream(t).where("event_id % 7 = 0").select("event_id", due), "sweep")
+    n = ranged_row_number(kept.where(F.col("due_ms") <= t.asof_ms), [], ["due_ms", "event_id"], "n")
+    return n.select("event_id", "due_ms", F.floor((F.col("n") - 1) / batch).cast("long").alias("tick"))
 
 
 @op("st_10", "SELECT event_id FROM events WHERE event_id % 5 = 0")
@@ -148,7 +168,7 @@ def streamed_dedup(t: Tables, window_ms: int = 86_400_000) -> DataFrame:
     return drained(keyed(s, ["lane", "dedup_key"], fold, "event_id long, accepted boolean", "until long"), "dedup")
 
 
-@op("stream_rate_limit")
+@op("stream_rate_limit", RAW["st_08"])
 def streamed_rate_limit(t: Tables, rate: float = 0.001, burst: float = 2.0) -> DataFrame:
     """st_08 as a stream; one batch folds in time order, the bucket is kept between batches."""
 
@@ -182,22 +202,52 @@ def safe_member(name: str) -> bool:
     return bool(name) and not name.startswith(("/", "\\")) and ".." not in parts and ":" not in parts[0]
 
 
-_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(count(*) AS BIGINT) AS n FROM {v}" for n, v in (("messages", "messages"), ("groups", "groups_t"), ("leases", "leases"), ("dead_letters", "dead_letters"), ("runs", "runs"), ("history", "history")))
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differing FROM {v}" for n, v in (("messages", "messages"), ("groups", "groups_t"), ("leases", "leases"), ("dead_letters", "dead_letters"), ("runs", "runs"), ("history", "history")))
 
 
-def _round_trip(t: Tables, name: str, **options: str) -> DataFrame:
-    path = folder(t.spark, name)
-    save(t, path, **options)
+def compared(t: Tables, tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n, differing: rows of each table, and how many of either side the other lacks."""
     out = None
-    for table, df in restored(t.spark, path).items():
-        one = df.agg(F.lit(table).alias("name"), F.count(F.lit(1)).alias("n"))
+    for name, df in tables.items():
+        was = getattr(t, name)
+        n, differ = df.agg(F.count(F.lit(1)).alias("n")), df.exceptAll(was).union(was.exceptAll(df)).agg(F.count(F.lit(1)).alias("differing"))
+        one = n.join(F.broadcast(differ)).select(F.lit(name).alias("name"), "n", "differing")
         out = one if out is None else out.union(one)
     return out
 
 
+def _round_trip(t: Tables, name: str, **options: str) -> DataFrame:
+    path = folder(t.spark, name)
+    save(t, path, **options)
+    return compared(t, restored(t.spark, path))
+
+
+def restore(spark: SparkSession, source: str, target: str, force: bool = False) -> None:
+    """Replace target's tables by source's. A target that holds anything is refused unless forced."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(root) and len(fs.listStatus(root)) and not force:
+        raise FileExistsError(f"{target} is not empty")
+    for name, df in restored(spark, source).items():
+        df.write.mode("overwrite").parquet(f"{target}/{name}")
+
+
+def _restored_over(t: Tables) -> DataFrame:
+    """A snapshot restored over another state: what was there before is gone."""
+    source, target = folder(t.spark, "snapshot"), folder(t.spark, "state")
+    save(t, source)
+    t.messages.limit(3).write.parquet(f"{target}/messages")
+    try:
+        restore(t.spark, source, target)
+    except FileExistsError:
+        restore(t.spark, source, target, force=True)
+    return compared(t, restored(t.spark, target))
+
+
 op("snk_03", _COUNTS)(lambda t: _round_trip(t, "snapshot"))
 op("snk_04", _COUNTS)(lambda t: _round_trip(t, "backup", compression="gzip"))
-op("src_10", _COUNTS)(lambda t: _round_trip(t, "restore"))
+op("src_10", _COUNTS)(_restored_over)
 
 
 @op("src_11", "SELECT * FROM (VALUES ('messages/part-0.parquet', TRUE), ('../etc/passwd', FALSE), ('/abs', FALSE), ('a/../../b', FALSE), ('', FALSE)) v(member, safe)")
