@@ -35,12 +35,12 @@ def test_equal_weights_share_equally():
 
 
 def test_strict_priority_serves_the_heavy_group_first():
-    out = served({"A": 20, "B": 20}, {"A": 1.0, "B": 5.0}, 40, score=lambda g, w, b, i, vt, t: w * 1e6 - vt)
+    out = served({"A": 20, "B": 20}, {"A": 1.0, "B": 5.0}, 40, score=lambda g, w, b, i, vt, t, d: w * 1e6 - vt)
     assert [g for _, g, *_ in out[:20]] == ["B"] * 20
 
 
 def test_shortest_queue_first():
-    out = served({"A": 30, "B": 5}, {"A": 1.0, "B": 1.0}, 35, score=lambda g, w, b, i, vt, t: -b)
+    out = served({"A": 30, "B": 5}, {"A": 1.0, "B": 1.0}, 35, score=lambda g, w, b, i, vt, t, d: -b)
     assert [g for _, g, *_ in out[:5]] == ["B"] * 5
 
 
@@ -51,11 +51,38 @@ def test_held_leases_cost_their_group():
 
 def test_a_score_that_is_not_finite_falls_back():
     out = served({"A": 5, "B": 5}, {"A": 1.0, "B": 1.0}, 10, score=lambda *x: float("nan"))
-    assert len(out) == 10 and all(f for *_, f in out)
+    assert len(out) == 10 and [f for *_, f in out] == [True] * 5 + [False] * 5  # the fifth fault quarantines the policy
+
+
+def test_a_faulty_policy_is_quarantined_and_charged_plainly():
+    n = []
+    out = served({"A": 9, "B": 9}, {"A": 1.0, "B": 1.0}, 12, score=lambda *x: n.append(1) or float("nan"), hold=("A",))
+    assert [f for *_, f in out] == [True] * 5 + [False] * 7 and [g for _, g, *_ in out] == ["A", "B"] * 6
+    assert len(n) == 10  # both groups in each of five turns
+    out = served({"A": 30}, {"A": 1.0}, 20, score=lambda *x: 1 / 0, tick_ms=3000)
+    assert all(f for *_, f in out)  # four faults in each window of ten seconds
+
+
+def test_arrivals_after_an_idle_turn_are_served():
+    queues = {"A": [(1, 0), (2, 5)], "B": [(1, 5), (2, 9)]}
+    assert [(t, g, m) for t, g, m, _ in simulate(queues, {"A": 1.0, "B": 1.0}, 12)] == [(1, "A", 1), (6, "A", 2), (7, "B", 1), (10, "B", 2)]
+
+
+def test_weights_and_pauses_change_between_turns():
+    out = list(simulate({"A": queue(40), "B": queue(40)}, {"A": 1.0, "B": 1.0}, 40, changes={10: [("B", None, True)], 20: [("B", 4.0, False)]}))
+    n = [Counter(g for t, g, *_ in out if a < t <= a + 10) for a in (0, 10, 20, 30)]
+    assert n[0] == {"A": 5, "B": 5} and n[1] == {"A": 10} and n[2] == {"B": 10} and n[3]["B"] > 4 * n[3].get("A", 0)
+
+
+def test_deficit_is_a_variable_of_the_simulator():
+    from tidemark.plans.scheduling import compiled
+
+    wfq = [g for _, g, *_ in served({"A": 9, "B": 30}, {"A": 1.0, "B": 3.0}, 30)]
+    assert [g for _, g, *_ in served({"A": 9, "B": 30}, {"A": 1.0, "B": 3.0}, 30, score=compiled("deficit + age_ms"))] == wfq
 
 
 def test_paused_groups_wait():
-    out = served({"A": 5, "B": 5}, {"A": 1.0, "B": 1.0}, 10, paused=frozenset("B"), score=lambda g, w, b, i, vt, t: -vt)
+    out = served({"A": 5, "B": 5}, {"A": 1.0, "B": 1.0}, 10, paused=frozenset("B"), score=lambda g, w, b, i, vt, t, d: -vt)
     assert [g for _, g, *_ in out] == ["A"] * 5
 
 
@@ -70,10 +97,10 @@ def test_closed_forms_are_the_greedy_order(sizes, data):
     total = len(rows)
     forms = {
         "wfq": (lambda r: ((r[1] - 1) / w[r[0]], r[0]), {}),
-        "strict": (lambda r: (-w[r[0]], (r[1] - 1) / w[r[0]], r[0]), {"score": lambda g, x, b, i, vt, t: x * 1e6 - vt}),
+        "strict": (lambda r: (-w[r[0]], (r[1] - 1) / w[r[0]], r[0]), {"score": lambda g, x, b, i, vt, t, d: x * 1e6 - vt}),
         "held": (lambda r: (r[1] * (r[1] - 1) / (2 * w[r[0]]), r[0]), {"hold": tuple(sizes)}),
-        "shortest": (lambda r: (r[2], r[0], r[1]), {"score": lambda g, x, b, i, vt, t: -b}),
-        "longest": (lambda r: (r[1] - r[2] - 1, r[0]), {"score": lambda g, x, b, i, vt, t: b}),
+        "shortest": (lambda r: (r[2], r[0], r[1]), {"score": lambda g, x, b, i, vt, t, d: -b}),
+        "longest": (lambda r: (r[1] - r[2] - 1, r[0]), {"score": lambda g, x, b, i, vt, t, d: b}),
     }
     for name, (key, kw) in forms.items():
         want = [(g, k) for g, k, _ in sorted(rows, key=key)]
@@ -86,7 +113,7 @@ def test_closed_forms_are_the_greedy_order(sizes, data):
 def test_running_minimum_is_the_greedy_order(scores):
     rows = [(min(x[: k + 1]), g, k) for g, x in scores.items() for k in range(len(x))]
     want = [(g, k + 1) for _, g, k in sorted(rows, key=lambda r: (-r[0], r[1], r[2]))]
-    score = lambda g, w, b, i, vt, t: scores[g][len(scores[g]) - b]
+    score = lambda g, w, b, i, vt, t, d: scores[g][len(scores[g]) - b]
     got = [(g, m) for _, g, m, _ in served({g: len(x) for g, x in scores.items()}, dict.fromkeys(scores, 1.0), len(rows), score=score)]
     assert got == want
 

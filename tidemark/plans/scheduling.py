@@ -9,6 +9,7 @@ lane is not one task.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -82,7 +83,8 @@ def longest_queue(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- expressions
-VARIABLES = {"weight", "backlog", "inflight", "virtual_time"}
+VARIABLES = {"weight", "backlog", "inflight", "virtual_time", "deficit", "age_ms"}
+FAULT_WINDOW_MS, FAULT_LIMIT = 10_000, 5
 FUNCTIONS = {"abs", "least", "greatest", "sqrt", "ln", "exp", "pow", "floor", "ceil", "if", "coalesce"}
 MAX_EXPRESSION = 500
 
@@ -107,6 +109,9 @@ def scored(t: Tables, text: str, cost: str | None = None) -> DataFrame:
         each = F.greatest(each, F.expr(check_expression(cost)).cast("double"))
     before = Window.partitionBy("lane", "group_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("virtual_time", vt_key() if cost is None else F.coalesce(F.sum(each).over(before), F.lit(0.0)))
+    rows = rows.withColumn("age_ms", F.lit(0).cast("long"))  # no group carries an age
+    if re.search(r"\bdeficit\b", text + (cost or ""), re.I):
+        raise ValueError("deficit looks at other groups: use the simulator")
     return rows.withColumn("score", F.expr(check_expression(text)).cast("double"))
 
 
@@ -152,52 +157,89 @@ def lottery(group: str, weight: float, turn: int) -> float:
     return weight * (1 + fnv64a(group.encode() + turn.to_bytes(8, "little")) % 1000 / 1000)
 
 
-def simulate(queues: dict[str, list[tuple[int, int]]], weights: dict[str, float], turns: int, score=None, hold=(), paused=frozenset(), arrivals=None):
+def simulate(queues, weights, turns, score=None, hold=(), paused=frozenset(), changes=None, tick_ms: int = 1, cost=None):
     """Serve one message a turn; a pure fold shared by batch and streaming.
 
-    queues: group -> [(msg_id, arrival turn)]. score(group, weight, backlog, inflight, vt, turn) or None for WFQ. Groups in
-    hold keep their leases, which costs them (1 + inflight) / weight. Groups join at the least virtual time of
-    the active ones. A score that is not finite falls back to WFQ for the turn. Yields (turn, group, msg_id, fallback).
+    queues: group -> [(msg_id, arrival turn)], by arrival. score(group, weight, backlog, inflight, vt, turn, deficit), or None for
+    WFQ; deficit is how far a group's virtual time lags behind the largest. cost(same) is what a serve costs, if that
+    is more than 1 / weight; groups in hold keep their leases, which costs them (1 + inflight) / weight. changes:
+    turn -> [(group, weight or None, paused or None)], made before that turn. Groups join at the least virtual time of
+    the active ones. A score that raises or is not finite is a fault: the turn goes by WFQ at the plain cost, and after
+    FAULT_LIMIT faults within FAULT_WINDOW_MS (tick_ms a turn) the policy is quarantined for good. A turn without an
+    active group is idle. Yields (turn, group, msg_id, fallback).
     """
     vt: dict[str, float] = {}
-    inflight = dict.fromkeys(queues, 0)
-    heads = dict.fromkeys(queues, 0)
-    heap: list[tuple[float, str]] = []
+    weights, paused = dict(weights), set(paused)
+    inflight, heads, here = dict.fromkeys(queues, 0), dict.fromkeys(queues, 0), dict.fromkeys(queues, 0)
+    faults, since, quarantined = 0, None, False
     for turn in range(turns):
-        active = [g for g in queues if g not in paused and heads[g] < len(queues[g]) and queues[g][heads[g]][1] <= turn] if score or arrivals is None or turn == 0 or not heap else None
-        if active is not None:
-            if not active:
-                return
-            least = min((vt[g] for g in active if g in vt), default=0.0)
-            for g in active:
-                vt.setdefault(g, least)
-        fallback = False
-        if score is None:
-            pick = min(active, key=lambda g: (vt[g], g))
-        else:
-            values = {g: score(g, weights[g], len(queues[g]) - heads[g], inflight[g], vt[g], turn) for g in active}
-            fallback = any(v != v or abs(v) == float("inf") for v in values.values())
-            pick = min(active, key=lambda g: (vt[g], g)) if fallback else min(active, key=lambda g: (-values[g], g))
-        msg = queues[pick][heads[pick]][0]
-        heads[pick] += 1
+        for group, weight, pause in (changes or {}).get(turn, ()):
+            if weight is not None:
+                weights[group] = weight or 1.0
+            if pause is not None:
+                (paused.add if pause else paused.discard)(group)
+        for g, q in queues.items():
+            while here[g] < len(q) and q[here[g]][1] <= turn:
+                here[g] += 1
+        active = [g for g in queues if g not in paused and heads[g] < here[g]]
+        if not active:
+            continue
+        least = min((vt[g] for g in active if g in vt), default=0.0)
+        for g in active:
+            vt.setdefault(g, least)
+        most = max(vt[g] for g in active)
+        view = {g: (g, weights[g], here[g] - heads[g], inflight[g], vt[g], turn, most - vt[g]) for g in active}
+        fallback, values = False, {g: -vt[g] for g in active}
+        if score is not None and not quarantined:
+            try:
+                scores = {g: score(*v) for g, v in view.items()}
+                fallback = any(v != v or abs(v) == float("inf") for v in scores.values())
+            except (ArithmeticError, ValueError, TypeError):
+                fallback = True
+            if fallback:
+                now = turn * tick_ms
+                if since is None or now - since > FAULT_WINDOW_MS:
+                    since, faults = now, 0
+                faults += 1
+                quarantined = faults >= FAULT_LIMIT
+            else:
+                values = scores
+        pick = min(active, key=lambda g: (-values[g], g))
         w = weights[pick] if weights[pick] > 0 else 1.0
-        if pick in hold:
-            vt[pick] += max(1 / w, (1 + inflight[pick]) / w)
-            inflight[pick] += 1
-        else:
-            vt[pick] += 1 / w
-        yield turn + 1, pick, msg, fallback
+        charge = 1 / w
+        if not fallback and not quarantined:
+            charge = max(charge, (1 + inflight[pick]) / w if pick in hold else 0.0, cost(*view[pick]) if cost else 0.0)
+        vt[pick] += charge
+        inflight[pick] += pick in hold
+        yield turn + 1, pick, queues[pick][heads[pick]][0], fallback
+        heads[pick] += 1
+
+
+def compiled(text: str):
+    """A checked expression as a function of one group's view, for the simulator. CASE has no form here."""
+    names = {"abs": abs, "least": min, "greatest": max, "sqrt": math.sqrt, "ln": math.log, "exp": math.exp, "pow": pow, "floor": math.floor, "ceil": math.ceil, "if_": lambda c, a, b: a if c else b}
+    code = compile(re.sub(r"\bif\s*\(", "if_(", check_expression(text).replace("<>", "!=")), "policy", "eval")
+
+    def score(group, weight, backlog, inflight, virtual_time, turn, deficit):
+        return float(eval(code, {"__builtins__": {}}, names | {"weight": weight, "backlog": backlog, "inflight": inflight, "virtual_time": virtual_time, "deficit": deficit, "age_ms": 0}))
 
+    return score
 
-def simulated(t: Tables, turns: int, score=None, hold=(), paused=frozenset()) -> DataFrame:
-    """The first turns of each lane under any policy, by the simulator; a lane sends only the heads of its queues."""
+
+def simulated(t: Tables, turns: int, score=None, hold=(), paused=frozenset(), changes=None, arrives=None) -> DataFrame:
+    """The first turns of each lane under any policy, by the simulator; a lane sends only the heads of its queues.
+
+    arrives(group, k) is the turn at which a group's k-th message comes, 0 where there is none.
+    """
     rows = ready_ranked(t).where(F.col("k") <= turns).select("lane", "group_id", "msg_id", "weight", "k")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         queues, weights = {}, {}
         for g, part in pdf.sort_values(["group_id", "k"]).groupby("group_id"):
-            queues[g], weights[g] = [(int(m), 0) for m in part["msg_id"]], float(part["weight"].iloc[0])
-        out = list(simulate(queues, weights, turns, score, hold, paused))
+            queues[g] = [(int(m), arrives(g, int(k)) if arrives else 0) for m, k in zip(part["msg_id"], part["k"], strict=True)]
+            weights[g] = float(part["weight"].iloc[0])
+        known = {turn: [c for c in some if c[0] in queues] for turn, some in (changes or {}).items()}
+        out = list(simulate(queues, weights, turns, score, hold, paused, known))
         return pd.DataFrame({"lane": pdf["lane"].iloc[0], "turn": [x[0] for x in out], "group_id": [x[1] for x in out], "msg_id": [x[2] for x in out]}).astype({"turn": "int64", "msg_id": "int64"})
 
     return rows.groupBy("lane").applyInPandas(run, "lane string, turn long, group_id string, msg_id long")
@@ -205,13 +247,28 @@ def simulated(t: Tables, turns: int, score=None, hold=(), paused=frozenset()) ->
 
 @op("sch_03")
 def lottery_order(t: Tables, turns: int = 200) -> DataFrame:
-    return simulated(t, turns, lambda g, w, backlog, inflight, vt, turn: lottery(g, w, turn))
+    return simulated(t, turns, lambda g, w, backlog, inflight, vt, turn, deficit: lottery(g, w, turn))
 
 
-@op("sch_09", f"SELECT * FROM ({_by('CAST(k - 1 AS DOUBLE) / weight, group_id')}) WHERE turn <= 150")
-def simulated_wfq(t: Tables, turns: int = 150) -> DataFrame:
-    """The simulator agrees with the closed form."""
-    return simulated(t, turns)
+_SIM = """WITH RECURSIVE q AS MATERIALIZED (SELECT m.lane, m.group_id, m.msg_id, g.weight, row_number() OVER (PARTITION BY m.lane, m.group_id ORDER BY m.msg_id) AS k FROM messages m
+      JOIN groups_t g ON g.lane = m.lane AND g.group_id = m.group_id WHERE fate = 1 AND NOT paused QUALIFY k <= 150),
+    w AS MATERIALIZED (SELECT lane, list(group_id ORDER BY group_id) AS names, list(weight ORDER BY group_id) AS weights, list(n ORDER BY group_id) AS sizes FROM (SELECT lane, group_id, any_value(weight) AS weight, count(*) AS n FROM q GROUP BY lane, group_id) GROUP BY lane),
+    sim(lane, turn, pick, heads, vts, seen) AS (SELECT lane, 0, 0, list_transform(names, lambda x: 0), list_transform(names, lambda x: CAST(0 AS DOUBLE)), list_transform(names, lambda x: FALSE) FROM w
+    UNION ALL SELECT lane, turn, pick, list_transform(heads, lambda h, i: h + CAST(i = pick AS INTEGER)), list_transform(joined, lambda v, i: CASE WHEN i = pick THEN v + 1 / weights[i] ELSE v END), seen FROM
+     (SELECT *, coalesce(list_position(joined_or_not, list_min(joined_or_not)), 0) AS pick FROM
+      (SELECT *, list_transform(joined, lambda v, i: CASE WHEN active[i] THEN v END) AS joined_or_not, list_transform(seen0, lambda s, i: s OR active[i]) AS seen FROM
+       (SELECT *, list_transform(vts, lambda v, i: CASE WHEN active[i] AND NOT seen0[i] THEN coalesce(list_min(list_transform(vts, lambda u, j: CASE WHEN active[j] AND seen0[j] THEN u END)), 0) ELSE v END) AS joined FROM
+        (SELECT s.lane, s.turn + 1 AS turn, s.heads, s.vts, s.seen AS seen0, list_transform(w.weights, lambda x, i: CASE WHEN s.turn >= 60 AND w.names[i] = 'g1' THEN CAST(8 AS DOUBLE) ELSE x END) AS weights,
+         list_transform(s.heads, lambda h, i: NOT (w.names[i] = 'g3' AND s.turn BETWEEN 20 AND 39) AND h < least(w.sizes[i], CASE WHEN w.names[i] IN ('g2', 'g5') THEN greatest(0, s.turn // 2 - 14) ELSE 150 END)) AS active FROM sim s JOIN w ON w.lane = s.lane WHERE s.turn < 150)))))
+    SELECT s.lane, CAST(s.turn AS BIGINT) AS turn, w.names[s.pick] AS group_id, q.msg_id FROM sim s JOIN w ON w.lane = s.lane JOIN q ON q.lane = s.lane AND q.group_id = w.names[s.pick] AND q.k = s.heads[s.pick] WHERE s.pick > 0"""
+
+
+@op("sch_09", _SIM)
+def simulated_changes(t: Tables, turns: int = 150) -> DataFrame:
+    """The simulator where no closed form holds: groups g2 and g5 receive a message every other turn from turn 30 on,
+    g3 is paused from turn 20 to 39, and g1's weight becomes 8 at turn 60."""
+    changes = {20: [("g3", None, True)], 40: [("g3", None, False)], 60: [("g1", 8.0, None)]}
+    return simulated(t, turns, changes=changes, arrives=lambda g, k: 2 * (k + 14) if g in ("g2", "g5") else 0)
 
 
 @op("agg_20", f"SELECT lane, group_id, CAST(count(*) AS BIGINT) AS served_n FROM ({_by("CASE WHEN group_id < 'g4' THEN CAST(k * (k - 1) AS DOUBLE) / (2.0E0 * weight) ELSE CAST(k - 1 AS DOUBLE) / weight END, group_id")}) WHERE turn <= 150 GROUP BY lane, group_id")
@@ -250,7 +307,6 @@ def validated_policies(t: Tables) -> DataFrame:
 
 
 _FAULTS = "SELECT event_type AS lane, event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_id % 3 = 0"
-FAULT_WINDOW_MS, FAULT_LIMIT = 10_000, 5
 
 
 @op(
@@ -326,5 +382,7 @@ def plan(t: Tables, policy: str, turns: int | None = None) -> DataFrame:
         return out if turns is None else out.where(F.col("turn") <= turns)
     if policy == "lottery":
         return lottery_order(t, turns or 1000)
+    if re.search(r"\bdeficit\b", policy, re.I):
+        return simulated(t, turns or 1000, compiled(policy))
     out = by_expression(t, policy)
     return out if turns is None else out.where(F.col("turn") <= turns)
