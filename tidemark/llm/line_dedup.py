@@ -97,7 +97,7 @@ def _general(kinds: DataFrame, held: DataFrame, depth: int, min_docs: int, simil
     often = (F.col("n") >= min_docs) & (F.col("n") >= share * F.col("all"))
     places = counts.join(whole, "leaf").groupBy("leaf", "pos").agg(F.collect_list(F.when(often, F.col("token"))).alias("some"))  # at most 1 / share
     places = places.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "some"))).alias("places"))  # every position of the leaf's lines
-    fixed = small_or_shuffled(checkpoint(places.select("leaf", F.transform("places", lambda x: x["some"]).alias("fixed"))))
+    fixed = small_or_shuffled(checkpoint(places.select("leaf", F.transform("places", lambda x: x["some"]).alias("fixed"))), most=10_000)  # some KB a leaf
     mask = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.get("fixed", i), t), t).otherwise(0))
     made = kinds.join(fixed, "leaf").select("leaf", "template", mask.alias("mask"), F.size(F.filter("tokens", lambda t: t.isNotNull())).alias("words"))
     n = F.size(F.filter("mask", lambda t: t != 0))
