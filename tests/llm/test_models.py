@@ -389,3 +389,18 @@ def test_pipeline_stage_by_stage(spark, sf, docs, rows, tmp_path):
     for d, r in kept["pii"].items():
         assert not base_pii(r["text"]) and r["n_chars"] == len(r["text"])
     assert corpus_pipeline.run(spark, sf).count() == len(kept["packing"])
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
+    import corpus_pipeline
+
+    for i, now in enumerate((awkward, nothing)):
+        first = now
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, now, "").write.parquet(str(tmp_path / f"{i}{name}"))
+            now = spark.read.parquet(str(tmp_path / f"{i}{name}"))
+            assert name == "packing" or now.columns == first.columns
+            if name == "exact_dedup" and not i:
+                ids = [r["doc_id"] for r in now.collect()]
+                assert ids.count(1) == 1 and 2 not in ids and not {3, 4, 7, 8} & set(ids)
+        assert i == 0 or now.count() == 0

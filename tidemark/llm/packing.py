@@ -85,7 +85,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     offsets = counts.select("bucket", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("n_tokens", "doc_id"))
     numbered = placed.withColumn("_at", at).join(offsets, ["bucket", "_shard"])
-    padded = F.element_at(edges, F.col("bucket") + 1)
+    padded = F.try_element_at(edges, F.col("bucket") + 1)  # an empty table has no edge
     numbered = numbered.withColumn("padded_to", padded).withColumn("_place", F.col("_before") + F.col("_at") - 1)
     cap = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.greatest(F.col("padded_to"), F.lit(1))).cast("long"))
     return numbered.select(
