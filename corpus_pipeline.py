@@ -1,7 +1,11 @@
 """A training corpus from documents: identify, deduplicate exactly and nearly, redact, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept, written as Parquet and
-read again. All stages but the last return the columns of documents.
+read again. All stages but the last return the columns of documents. A stage's files go once its successor's are there.
+
+Edge cases, each as its operator states it: rows whose text is null or has no letter are rejected by language ID, so
+the later stages see letters; repeated ids and null ids are told apart by id and text; whole rows that repeat keep one; an empty
+table gives an empty result; columns beside those of documents pass through unchanged until packing, which drops them.
 """
 
 from __future__ import annotations
@@ -52,11 +56,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)  # its successor is written, so nothing reads it again
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
