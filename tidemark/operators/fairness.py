@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sequence import ranged_row_number
 from tidemark.registry import op
-from tidemark.sources.views import ASOF_MS, LEASED, READY, REASONS, Tables
+from tidemark.sources.views import ASOF_MS, LEASED, READY, REASONS, Tables, ms
 
 RING, RIBBON = 512, 200
 _RING_SQL = "SELECT lane, group_id, CAST(count(*) AS BIGINT) AS served FROM served WHERE seq > (SELECT max(seq) FROM served) - 512 GROUP BY lane, group_id"
@@ -236,15 +236,60 @@ def canonical_tags(t: Tables) -> DataFrame:
     return tags.select("user_id", F.array_join(F.array_sort(F.array_distinct(F.transform(raw, lambda v: F.lower(F.trim(v))))), ",").alias("tags"))
 
 
+# What a tick (an hour here, events being sparse) counts of each lane, as conditions on its events.
+SIGNALS = {
+    "up": "TRUE", "leaders": "event_id % 2 = 0", "split": "event_id % 17 = 0", "dead_letters": "event_id % 10 = 9", "retry_nacks": "event_id % 10 = 5",
+    "task_rejections": "event_id % 13 = 0", "redirects": "event_id % 4 = 1", "policy_faults": "event_id % 3 = 0",
+}
+# alert, severity, condition, ticks it must hold. Range functions look back over whole ticks, the present one included.
+_INCREASE = "sum({0}) OVER (PARTITION BY lane ORDER BY tick ROWS BETWEEN {1} PRECEDING AND CURRENT ROW)"
+ALERTS = (
+    ("target_down", "critical", "up = 0", 1),
+    ("no_leader", "critical", "sum(CASE WHEN leaders > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY tick) = 0", 1),
+    ("no_quorum", "critical", "min(CASE WHEN split > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY tick) = 0", 1),
+    ("dead_letters_rising", "warning", _INCREASE.format("dead_letters", 9) + " > 0", 5),
+    ("retry_pressure_high", "warning", _INCREASE.format("retry_nacks", 4) + " > 1 * 5", 10),
+    ("task_rejected", "warning", _INCREASE.format("task_rejections", 4) + " > 0", 1),
+    ("redirects_high", "warning", _INCREASE.format("redirects", 4) + " > 5 * 5", 10),
+    ("policy_faults", "warning", _INCREASE.format("policy_faults", 4) + " > 0", 1),
+)
+WHOLE = ("no_leader", "no_quorum")  # one alert for all lanes together
+_SIGNALS_SQL = (
+    "SELECT s.lane, s.tick, " + ", ".join(f"CAST(coalesce(q.{n}, 0) AS BIGINT) AS {n}" for n in SIGNALS)
+    + " FROM samples s LEFT JOIN (SELECT event_type AS lane, (epoch_us(ts) // 1000) // 3600000 AS h, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in SIGNALS.items())
+    + " FROM events GROUP BY 1, 2) q ON q.lane = s.lane AND q.h = s.tick + (SELECT min(h) FROM hourly)"
+)
+_STATES_SQL = " UNION ALL ".join(
+    f"SELECT {'DISTINCT ' if a in WHOLE else ''}'{a}' AS alert, '{sev}' AS severity, {chr(39) + '*' + chr(39) if a in WHOLE else 'lane'} AS instance, tick, {hold} AS hold FROM (SELECT *, {cond} AS hit FROM signals) WHERE hit"
+    for a, sev, cond, hold in ALERTS
+)
+
+
 @op(
     "agg_22",
-    """SELECT lane, CAST(day AS BIGINT) AS day, CAST(sum(n) AS BIGINT) AS increase, CAST(sum(n) AS DOUBLE) / 86400.0E0 AS rate, CAST(min(n) AS BIGINT) AS least FROM
-    (SELECT lane, tick // 24 AS day, n FROM samples) GROUP BY lane, day""",
+    f"""WITH signals AS ({_SIGNALS_SQL}), states AS ({_STATES_SQL}) SELECT alert, severity, instance, min(tick) AS since, CAST(count(*) AS BIGINT) AS ticks, count(*) > hold AS firing FROM
+    (SELECT *, tick - row_number() OVER (PARTITION BY alert, instance ORDER BY tick) AS island FROM states) GROUP BY alert, severity, instance, hold, island""",
 )
-def range_vectors(t: Tables) -> DataFrame:
-    """increase, rate and min over day-long windows of a counter sampled hourly."""
-    s = t.samples.withColumn("day", F.floor(F.col("tick") / 24))
-    return s.groupBy("lane", "day").agg(F.sum("n").alias("increase"), (F.sum("n").cast("double") / 86400.0).alias("rate"), F.min("n").alias("least"))
+def alert_rules(t: Tables) -> DataFrame:
+    """Eight alert rules over counters sampled by tick: three instant ones (a lane, a sum and a minimum over lanes) and five
+    over increase or rate in a window. Each row is a spell in which a condition held without a break, pending until it has held
+    for the rule's ticks and firing from then on. One scan, one partial aggregate; what follows has one row per lane and tick.
+    """
+    counts = [F.count_if(F.expr(c)).alias(n) for n, c in SIGNALS.items()]
+    hours = t.events.groupBy(F.col("event_type").alias("lane"), F.floor(ms("ts") / 3600000).alias("h")).agg(*counts)
+    span = hours.agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    grid = span.select("lo", F.explode(F.sequence("lo", "hi")).alias("h")).join(F.broadcast(hours.select("lane").distinct()))  # lanes are configuration
+    tick = (F.col("h") - F.col("lo")).alias("tick")
+    s = grid.join(hours, ["lane", "h"], "left").select("lane", tick, *[F.coalesce(n, F.lit(0)).alias(n) for n in SIGNALS])
+    rules = [
+        F.struct(F.lit(a).alias("alert"), F.lit(sev).alias("severity"), (F.lit("*") if a in WHOLE else F.col("lane")).alias("instance"), F.lit(hold).alias("hold"), F.expr(cond).alias("hit"))
+        for a, sev, cond, hold in ALERTS
+    ]
+    hits = s.select("tick", *[r.alias(f"r{i}") for i, r in enumerate(rules)]).select("tick", F.inline(F.array(*[f"r{i}" for i in range(len(rules))]))).where("hit")
+    hits = hits.drop("hit").distinct()  # the rules over all lanes say the same in each
+    island = F.col("tick") - F.row_number().over(Window.partitionBy("alert", "instance").orderBy("tick"))
+    spells = hits.withColumn("island", island).groupBy("alert", "severity", "instance", "hold", "island")
+    return spells.agg(F.min("tick").alias("since"), F.count(F.lit(1)).alias("ticks")).select("alert", "severity", "instance", "since", "ticks", (F.col("ticks") > F.col("hold")).alias("firing"))
 
 
 # ---------------------------------------------------------------- order, top-k, pages
