@@ -11,7 +11,7 @@ from tidemark.operators.commands import TokenBucket, fold_appends, fold_dedup, f
 from tidemark.operators.sequence import by_cuts, by_ranges, cut_points, keyed_row_number, ranged_row_number
 from tidemark.plans.scheduling import fnv64a
 from tidemark.sources.views import Tables
-from tidemark.streaming.live import idempotent, safe_member
+from tidemark.streaming.live import fold_work, idempotent, safe_member
 
 
 def test_singleton_fence_rises():
@@ -33,6 +33,12 @@ def test_token_bucket():
     assert b.allow(100) and not b.allow(100) and TokenBucket(0, 1).allow(0)
 
 
+def test_credit_bounds_leases_in_flight():
+    frames = [("ack", 0), ("lease_request", 1), ("extend", 0), ("ack", 0), ("lease_request", 2), ("complete", 0), ("nack", 0)]
+    # credit, inflight, delivered, work: one credit is strictly serial, and no work leaves credit idle
+    assert list(fold_work(frames, 4)) == [(0, 0, 0, 4), (1, 1, 1, 3), (1, 1, 0, 3), (1, 1, 1, 2), (3, 3, 2, 0), (3, 2, 0, 0), (3, 1, 0, 0)]
+
+
 def test_counter_identity_and_ids(spark, sf):
     t = Tables(spark, sf)
     bad = t.groups.where("ready + delayed_n + inflight > next_seq - 1").count()

@@ -95,18 +95,6 @@ def cron_source(t: Tables) -> DataFrame:
     return out.select("cron_id", (F.col("slot") + 1).cast("long").alias("slot"), "fire_ms")
 
 
-@op(
-    "src_09",
-    """SELECT lane, CAST(count(*) FILTER (WHERE event_id % 5 = 0) AS BIGINT) AS lease_requests, CAST(count(*) FILTER (WHERE event_id % 5 = 1) AS BIGINT) AS acks,
-    CAST(count(*) FILTER (WHERE event_id % 5 = 2) AS BIGINT) AS nacks, CAST(count(*) FILTER (WHERE event_id % 5 = 3) AS BIGINT) AS extends,
-    CAST(count(*) FILTER (WHERE event_id % 5 = 4) AS BIGINT) AS completes FROM messages GROUP BY lane""",
-)
-def work_frames(t: Tables) -> DataFrame:
-    """Typed client frames of the work stream, counted by lane."""
-    kinds = ("lease_requests", "acks", "nacks", "extends", "completes")
-    return t.fates.groupBy("lane").agg(*[F.count_if(F.col("event_id") % 5 == i).alias(k) for i, k in enumerate(kinds)])
-
-
 @op("src_12", "SELECT CAST(i AS BIGINT) AS i, concat('g-', CAST(i % 10 AS VARCHAR)) AS group_id, concat('lane-', CAST((i + 3) % 4 AS VARCHAR)) AS lane FROM (SELECT unnest(range(1000)) AS i)")
 def synthetic_workload(t: Tables, n: int = 1000, groups: int = 10, lanes: int = 4) -> DataFrame:
     i = F.col("id")

@@ -8,7 +8,7 @@ stream can be compared.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from tidemark.operators.commands import TokenBucket, fold_dedup
 from tidemark.operators.sequence import ranged_row_number
 from tidemark.registry import RAW, op
 from tidemark.session import shared_folder
-from tidemark.sources.views import Tables
+from tidemark.sources.views import READY, Tables
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -126,14 +126,6 @@ def swept_timers(t: Tables, batch: int = SWEEP) -> DataFrame:
     return n.select("event_id", "due_ms", F.floor((F.col("n") - 1) / batch).cast("long").alias("tick"))
 
 
-@op("st_10", "SELECT event_id FROM events WHERE event_id % 5 = 0")
-def credited(t: Tables, credit_files: int = 1) -> DataFrame:
-    """Credit flow control: a trigger takes no more than its credit of input files."""
-    schema = t.events.schema
-    s = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", credit_files).parquet(t.sf_dir)
-    return drained(s.where("event_id % 5 = 0").select("event_id"), "credit")
-
-
 @op("st_16", "SELECT event_type AS lane, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS day_ms, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING (epoch_us(max(ts)) // 1000) // 86400000 < (SELECT (epoch_us(max(ts)) // 1000) // 86400000 FROM events)")
 def daily_windows(t: Tables) -> DataFrame:
     """Event-time windows under a watermark; the window that is still open is not compared."""
@@ -148,6 +140,78 @@ def keyed(stream: DataFrame, key: list[str], fold, out_schema: str, state_schema
     return stream.groupBy(*key).applyInPandasWithState(fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+# ---------------------------------------------------------------- work streams
+FRAMES = ("lease_request", "ack", "nack", "extend", "complete")
+CONSUMERS = 4
+
+
+def fold_work(frames: Iterable[tuple[str, int]], work: int, credit: int = 0, inflight: int = 0):
+    """(kind, credit asked) in order -> (credit, inflight, delivered, work left) after each frame of one consumer.
+
+    Credit adds up. A settled lease frees its place, an extend does not. Then leases go out while fewer are in flight
+    than there is credit, and while there is work.
+    """
+    for kind, asked in frames:
+        if kind == "lease_request":
+            credit += asked
+        elif kind != "extend":
+            inflight = max(0, inflight - 1)
+        delivered = max(0, min(work, credit - inflight))
+        inflight, work = inflight + delivered, work - delivered
+        yield credit, inflight, delivered, work
+
+
+_FRAME = f"""SELECT event_type AS lane, concat('c', CAST(event_id % {CONSUMERS} AS VARCHAR)) AS consumer_id, event_id, event_id % 5 AS kind, 1 + event_id % 3 AS asked,
+      row_number() OVER (PARTITION BY event_type, event_id % {CONSUMERS} ORDER BY event_id) AS k FROM events"""
+
+
+@op(
+    "src_09",
+    f"""WITH RECURSIVE frames AS MATERIALIZED ({_FRAME}),
+    run(lane, consumer_id, event_id, kind, k, credit, inflight, delivered, work) AS (SELECT f.lane, consumer_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), work
+      FROM (SELECT DISTINCT lane, consumer_id FROM frames) f JOIN (SELECT lane, CAST(sum(ready) AS BIGINT) // {CONSUMERS} AS work FROM groups_t GROUP BY lane) w ON w.lane = f.lane
+    UNION ALL SELECT lane, consumer_id, event_id, kind, k, credit, busy + give, give, work - give FROM (SELECT *, greatest(0, least(work, credit - busy)) AS give FROM
+      (SELECT f.lane, f.consumer_id, f.event_id, f.kind, f.k, r.work, r.credit + CASE WHEN f.kind = 0 THEN asked ELSE 0 END AS credit, CASE WHEN f.kind IN (0, 3) THEN r.inflight ELSE greatest(0, r.inflight - 1) END AS busy
+      FROM run r JOIN frames f ON f.lane = r.lane AND f.consumer_id = r.consumer_id AND f.k = r.k + 1)))
+    SELECT lane, consumer_id, event_id, CASE kind WHEN 0 THEN 'lease_request' WHEN 1 THEN 'ack' WHEN 2 THEN 'nack' WHEN 3 THEN 'extend' ELSE 'complete' END AS kind, credit, inflight, delivered FROM run WHERE k > 0""",
+)
+def work_stream(t: Tables) -> DataFrame:
+    """Typed client frames as a stream, each with the credit and the leases in flight after it, and how many leases it set free.
+
+    A consumer's credit, leases and share of its lane's ready messages are kept between triggers.
+    """
+
+    def fold(key, batches, state: GroupState):
+        rows = pd.concat(list(batches)).sort_values("event_id")
+        work, credit, inflight = state.get if state.exists else (int(rows["work"].iloc[0]), 0, 0)
+        out = list(fold_work(zip(rows["kind"], rows["asked"].tolist(), strict=True), work, credit, inflight))
+        credit, inflight, _, work = out[-1]
+        state.update((work, credit, inflight))
+        after = pd.DataFrame(out, columns=["credit", "inflight", "delivered", "work"]).drop(columns="work")
+        yield pd.concat([rows[["lane", "consumer_id", "event_id", "kind"]].reset_index(drop=True), after], axis=1)
+
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, FRAMES)), (e % 5).cast("int") + 1)
+    work = t.fates.groupBy("lane").agg(F.floor(F.count_if(F.col("fate") == READY) / CONSUMERS).alias("work"))  # one row per lane
+    s = event_stream(t).select(F.col("event_type").alias("lane"), F.concat(F.lit("c"), (e % CONSUMERS).cast("string")).alias("consumer_id"), "event_id", kind.alias("kind"), (1 + e % 3).alias("asked"))
+    s = s.join(F.broadcast(work), "lane")
+    out = "lane string, consumer_id string, event_id long, kind string, credit long, inflight long, delivered long"
+    return drained(keyed(s, ["lane", "consumer_id"], fold, out, "work long, credit long, inflight long"), "work")
+
+
+@op(
+    "st_10",
+    f"""SELECT lane, consumer_id, max(credit) AS credit, CAST(sum(delivered) AS BIGINT) AS delivered, max(inflight) AS most_inflight, CAST(count(*) FILTER (WHERE inflight < credit) AS BIGINT) AS idle,
+    max(inflight - credit) <= 0 AS held FROM ({RAW["src_09"]}) GROUP BY lane, consumer_id""",
+)
+def credit_flow(t: Tables) -> DataFrame:
+    """Credit control of each consumer: what was granted and delivered, the most in flight, frames that left credit idle for
+    want of work, and whether leases in flight never passed the credit."""
+    c = work_stream(t).groupBy("lane", "consumer_id")
+    held = (F.max(F.col("inflight") - F.col("credit")) <= 0).alias("held")
+    return c.agg(F.max("credit").alias("credit"), F.sum("delivered").alias("delivered"), F.max("inflight").alias("most_inflight"), F.count_if(F.col("inflight") < F.col("credit")).alias("idle"), held)
+
+
 @op("stream_dedup", RAW["st_05"])
 def streamed_dedup(t: Tables, window_ms: int = 86_400_000) -> DataFrame:
     """st_05 as a stream: the state is the end of the window of the last accepted publish."""
