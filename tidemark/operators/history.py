@@ -10,6 +10,7 @@ from tidemark.operators.fairness import page
 from tidemark.operators.joins import _FIFO, paired_activities, run_chains, stuck_runs
 from tidemark.registry import RAW, op
 from tidemark.sources.views import Tables
+from tidemark.worker import DeadLetter, Requeue, handled
 
 # event types of a run's history: fixed values
 STARTED, TASK_COMPLETED, SCHEDULED, COMPLETED, FAILED, SIGNALLED, WF_COMPLETED, WF_FAILED, WF_CANCELLED = 1, 3, 4, 5, 6, 9, 10, 11, 13
@@ -240,9 +241,17 @@ def python_decider(t: Tables) -> DataFrame:
 @op("udf_04", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'requeue' WHEN 1 THEN 'dead' WHEN 2 THEN 'retry' ELSE 'ack' END AS outcome FROM events")
 def handler_outcomes(t: Tables) -> DataFrame:
     """What a message handler's result or exception means for the lease."""
-    e = F.col("event_id") % 5
-    raised = F.when(e == 0, "Requeue").when(e == 1, "DeadLetter").when(e == 2, "ValueError")
-    return t.events.select("event_id", F.when(raised.isNull(), "ack").when(raised == "Requeue", "requeue").when(raised == "DeadLetter", "dead").otherwise("retry").alias("outcome"))
+
+    def handler(message: dict) -> None:
+        kind = message["event_id"] % 5
+        if kind == 0:
+            raise Requeue
+        if kind == 1:
+            raise DeadLetter
+        if kind == 2:
+            raise ValueError(message["event_id"])
+
+    return handled(t.events.select("event_id"), handler)
 
 
 @op("udf_06", "SELECT event_id, concat(upper(event_type), ':', CAST(user_id AS VARCHAR)) AS result FROM events WHERE event_id % 3 = 0")

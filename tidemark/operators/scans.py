@@ -250,10 +250,10 @@ def derived_checks(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- projections
-@op("prj_01", "SELECT lane, group_id, ready, delayed_n AS delayed, inflight, ready + delayed_n + inflight AS total, weight, paused, next_seq, last_activity_ms, 0.0E0 AS virtual_time FROM groups_t")
+@op("prj_01", "SELECT lane, group_id, ready, delayed_n AS delayed, inflight, ready + delayed_n + inflight AS total, weight, paused, next_seq, last_activity_ms, virtual_time FROM groups_t")
 def group_stats(t: Tables) -> DataFrame:
     total = (F.col("ready") + F.col("delayed_n") + F.col("inflight")).alias("total")
-    return t.groups.select("lane", "group_id", "ready", F.col("delayed_n").alias("delayed"), "inflight", total, "weight", "paused", "next_seq", "last_activity_ms", F.lit(0.0).alias("virtual_time"))
+    return t.groups.select("lane", "group_id", "ready", F.col("delayed_n").alias("delayed"), "inflight", total, "weight", "paused", "next_seq", "last_activity_ms", "virtual_time")
 
 
 @op("prj_02", "SELECT lane, group_id, msg_id, enqueue_ms, max_attempts, dead_at_ms, reason FROM dead_letters")

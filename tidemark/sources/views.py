@@ -78,18 +78,21 @@ class Tables:
 
     @cached_property
     def groups(self) -> DataFrame:
-        """One row per group, with counters recomputed from its messages; weights are powers of two."""
+        """One row per group, with counters recomputed from its messages; weights are powers of two, so that virtual time
+        (what has been served, by weight) is exact."""
         n = lambda k: F.count_if(F.col("fate") == k)
         out = self.fates.groupBy("lane", "group_id").agg(
             n(READY).alias("ready"),
             n(DELAYED).alias("delayed_n"),
             n(LEASED).alias("inflight"),
+            F.count_if(F.col("fate").isin(LEASED, ACKED)).alias("_served"),
             (F.count(F.lit(1)) + 1).alias("next_seq"),  # ids have no gaps
             F.max("enqueue_ms").alias("last_activity_ms"),
         )
         weight = F.when(F.col("group_id").isin("g0", "g4"), 1.0).when(F.col("group_id").isin("g1", "g5"), 2.0)
         weight = weight.when(F.col("group_id").isin("g2", "g6"), 4.0).otherwise(8.0)
-        return out.withColumn("weight", weight).withColumn("paused", (F.col("group_id") == "g6") & (F.col("lane") == "error"))
+        out = out.withColumn("weight", weight).withColumn("virtual_time", F.col("_served").cast("double") / F.col("weight")).drop("_served")
+        return out.withColumn("paused", (F.col("group_id") == "g6") & (F.col("lane") == "error"))
 
     @cached_property
     def leases(self) -> DataFrame:
@@ -232,11 +235,11 @@ CTES: dict[str, str] = {
         CAST(CASE WHEN event_id % 10 < 5 THEN 1 WHEN event_id % 10 = 5 THEN 2 WHEN event_id % 10 < 8 THEN 3
              WHEN event_id % 10 = 8 THEN 5 ELSE 4 END AS BIGINT) AS fate FROM events""",
     "live": "SELECT * FROM messages WHERE fate <= 3",
-    "groups_t": """SELECT lane, group_id, CASE group_id WHEN 'g0' THEN 1.0E0 WHEN 'g1' THEN 2.0E0 WHEN 'g2' THEN 4.0E0 WHEN 'g3' THEN 8.0E0
+    "groups_t": """SELECT *, CAST(served_n AS DOUBLE) / weight AS virtual_time FROM (SELECT lane, group_id, CASE group_id WHEN 'g0' THEN 1.0E0 WHEN 'g1' THEN 2.0E0 WHEN 'g2' THEN 4.0E0 WHEN 'g3' THEN 8.0E0
         WHEN 'g4' THEN 1.0E0 WHEN 'g5' THEN 2.0E0 WHEN 'g6' THEN 4.0E0 ELSE 8.0E0 END AS weight,
         (group_id = 'g6' AND lane = 'error') AS paused, CAST(count(*) FILTER (WHERE fate = 1) AS BIGINT) AS ready,
         CAST(count(*) FILTER (WHERE fate = 2) AS BIGINT) AS delayed_n, CAST(count(*) FILTER (WHERE fate = 3) AS BIGINT) AS inflight,
-        max(msg_id) + 1 AS next_seq, max(enqueue_ms) AS last_activity_ms FROM messages GROUP BY lane, group_id""",
+        count(*) FILTER (WHERE fate IN (3, 5)) AS served_n, max(msg_id) + 1 AS next_seq, max(enqueue_ms) AS last_activity_ms FROM messages GROUP BY lane, group_id)""",
     "lease0": """SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS lease_id, lane, group_id, msg_id, event_id,
         concat('c', CAST(event_id % 4 AS VARCHAR)) AS consumer_id, 1706659200000 + (event_id % 21 - 10) * 1000 AS deadline_ms,
         CAST(30000 AS BIGINT) AS visibility_ms, event_id % 3 AS attempt_at_lease, event_id % 4 AS extend_count FROM messages WHERE fate = 3""",
