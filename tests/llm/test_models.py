@@ -192,6 +192,18 @@ def test_threshold_algorithm_is_exact(seed):
     assert [(-s, i) for s, i in got] == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_known_score_only_leaves_out_rows_below_it(seed):
+    rng = np.random.default_rng(seed)
+    m, ids = rng.integers(-20, 20, (300, 6)), rng.permutation(300)
+    orders = np.argsort(m, axis=0, kind="stable").T
+    for own in range(0, 300, 30):
+        q = m[np.flatnonzero(ids == own)[0]]
+        whole = sorted(((int(s), int(i)) for s, i in zip(m @ q, ids, strict=True) if i != own), key=lambda x: (-x[0], x[1]))
+        for least in (whole[3][0], whole[12][0], whole[0][0] + 1):
+            assert topk.threshold_top_k(m, ids, orders, q, own, 10, least) == [x for x in whole if x[0] >= least][:10]
+
+
 def test_top_k_in_blocks_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vecs = [(i, [math.sin(i * (d + 1)) for d in range(8)]) for i in range(300)]

@@ -4,8 +4,9 @@ Vectors are cut into blocks by a hash of their id. In each block every dimension
 For a query the lists are read from the end that helps it, round by round; each vector met is scored in
 full (random access), and the round's frontier values bound what no list has shown yet. Reading stops
 when that bound is below the k-th score, which is exact, ties included. Queries form blocks too, so a
-task holds BLOCK vectors and QUERY_BLOCK queries at any input size. Each block yields at most k rows a
-query; a window keeps the best k.
+task holds BLOCK vectors and QUERY_BLOCK queries at any input size. The first block is searched before the
+others: a query's k-th score there is at most its k-th score overall, so that every other block stops at a
+bound below it and yields no row below it. A window keeps the best k.
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component, and rows without an
 id, take no part; vectors of different length count missing components as 0; rows that repeat a query's
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpoint
 
 SCALE, BLOCK, QUERY_BLOCK = 1024, 4096, 2048
+LEAST = -(1 << 63)
 
 
-def threshold_top_k(matrix: np.ndarray, ids: np.ndarray, orders: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """(score, id) of the k best rows of matrix for query, best first, without rows of id own.
+def threshold_top_k(matrix: np.ndarray, ids: np.ndarray, orders: np.ndarray, query: np.ndarray, own: int, k: int, least: int = LEAST) -> list[tuple[int, int]]:
+    """(score, id) of the k best rows of matrix for query, best first, without rows of id own and rows below least.
 
     orders[d] lists the rows by ascending component d.
     """
@@ -49,6 +51,8 @@ def threshold_top_k(matrix: np.ndarray, ids: np.ndarray, orders: np.ndarray, que
         fresh = np.flatnonzero(fresh & ~seen)
         seen[fresh] = True
         rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, matrix[fresh] @ query])
+        if least > LEAST:
+            rows, scores = rows[scores >= least], scores[scores >= least]
         if len(rows) > k:
             best = np.lexsort((ids[rows], -scores))[:k]
             rows, scores = rows[best], scores[best]
@@ -56,7 +60,7 @@ def threshold_top_k(matrix: np.ndarray, ids: np.ndarray, orders: np.ndarray, que
             break
         depth, step = until, step * 2
         bound = sum(query[d] * (matrix[orders[d, n - until - 1], d] if query[d] > 0 else matrix[orders[d, until], d]) for d in live)
-        if len(rows) == k and scores.min() > bound:
+        if bound < least or len(rows) == k and scores.min() > bound:
             break
     best = np.lexsort((ids[rows], -scores))
     return [(int(scores[i]), int(ids[rows[i]])) for i in best]
@@ -76,7 +80,8 @@ def _search(k: int):
         width = max(candidates["v"].map(len).max(), queries["v"].map(len).max())
         m, q, ids = _matrix(candidates["v"], width), _matrix(queries["v"], width), candidates["vec_id"].to_numpy(np.int64)
         orders = np.argsort(m, axis=0, kind="stable").T.copy()
-        out = [(own, no, v, s) for own, no, x in zip(queries["vec_id"], queries["query"], q, strict=True) for s, v in threshold_top_k(m, ids, orders, x, own, k)]
+        asked = zip(queries["vec_id"], queries["query"], queries["least"].tolist(), q, strict=True)
+        out = [(own, no, v, s) for own, no, least, x in asked for s, v in threshold_top_k(m, ids, orders, x, own, k, least)]
         return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"]).astype("int64")
 
     return search
@@ -96,8 +101,17 @@ def top_k(
     candidates = rows.select("vec_id", "v", spread(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))).alias("qb"))
     # hashed apart from the candidates' blocks; rows that repeat both id and vector are one query
     queries = rows.where("ask").dropDuplicates(["vec_id", "v"]).withColumn("query", F.monotonically_increasing_id())
-    queries = checkpoint(queries)
-    queries = queries.select("vec_id", "query", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), spread(ask_blocks).alias("qb"))
-    found = candidates.groupBy("b", "qb").cogroup(queries.groupBy("b", "qb")).applyInPandas(_search(k), "query_id long, query long, vec_id long, score long")
+    queries = checkpoint(queries.withColumn("qb", spread(ask_blocks)))
+
+    def searched(some: DataFrame, asks: DataFrame) -> DataFrame:
+        asks = asks.toDF(*asks.columns)  # both sides come from the same rows: columns of its own
+        return some.groupBy("b", "qb").cogroup(asks.groupBy("b", "qb")).applyInPandas(_search(k), "query_id long, query long, vec_id long, score long")
+
+    found = searched(candidates.where("b = 0"), queries.select("*", F.lit(0).alias("b"), F.lit(LEAST).alias("least")))
+    if blocks > 1:
+        found = checkpoint(found)
+        kth = found.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+        asks = queries.join(kth, "query", "left").select(*queries.columns, F.coalesce("kth", F.lit(LEAST)).alias("least"), F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))).alias("b"))
+        found = found.union(searched(candidates.where("b > 0"), asks))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
