@@ -204,13 +204,14 @@ def test_a_known_score_only_leaves_out_rows_below_it(seed):
             assert topk.threshold_top_k(m, ids, orders, q, own, 10, least) == [x for x in whole if x[0] >= least][:10]
 
 
-def test_top_k_in_blocks_and_odd_vectors(spark):
+@pytest.mark.parametrize("block", [20, 64])
+def test_top_k_in_blocks_and_odd_vectors(spark, block):
     nan, inf = float("nan"), float("inf")
     vecs = [(i, [math.sin(i * (d + 1)) for d in range(8)]) for i in range(300)]
     bad = [(1000, None), (1001, [1.0, None]), (1002, [nan] * 8), (1003, [inf] * 8), (1004, []), (None, [1.0] * 8)]
     df = spark.createDataFrame(vecs + bad, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("score", F.lit("x"))
     got = defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, block=64, query_block=2).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, block=block, query_block=2).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     x = {i: [math.floor(1024 * float(np.float32(c))) for c in v] for i, v in vecs}
     for q in (0, 100, 200):

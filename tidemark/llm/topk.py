@@ -4,9 +4,10 @@ Vectors are cut into blocks by a hash of their id. In each block every dimension
 For a query the lists are read from the end that helps it, round by round; each vector met is scored in
 full (random access), and the round's frontier values bound what no list has shown yet. Reading stops
 when that bound is below the k-th score, which is exact, ties included. Queries form blocks too, so a
-task holds BLOCK vectors and QUERY_BLOCK queries at any input size. The first block is searched before the
-others: a query's k-th score there is at most its k-th score overall, so that every other block stops at a
-bound below it and yields no row below it. A window keeps the best k.
+task holds BLOCK vectors and QUERY_BLOCK queries at any input size. Blocks are searched in rounds, the first one, then
+WIDEN times as many in all, and so on: a query's k-th score so far is at most its k-th score overall, so that later
+blocks stop at a bound below it and yield no row below it. On evenly mixed blocks a round yields some WIDEN * k rows a
+query, where blocks by themselves would yield k each. A window keeps the best k.
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component, and rows without an
 id, take no part; vectors of different length count missing components as 0; rows that repeat a query's
@@ -27,6 +28,7 @@ from tidemark.llm.common import checkpoint
 
 SCALE, BLOCK, QUERY_BLOCK = 1024, 4096, 2048
 LEAST = -(1 << 63)
+WIDEN = 8  # blocks searched by the end of a round, against those by the end of the one before
 
 
 def threshold_top_k(matrix: np.ndarray, ids: np.ndarray, orders: np.ndarray, query: np.ndarray, own: int, k: int, least: int = LEAST) -> list[tuple[int, int]]:
@@ -107,11 +109,18 @@ def top_k(
         asks = asks.toDF(*asks.columns)  # both sides come from the same rows: columns of its own
         return some.groupBy("b", "qb").cogroup(asks.groupBy("b", "qb")).applyInPandas(_search(k), "query_id long, query long, vec_id long, score long")
 
-    found = searched(candidates.where("b = 0"), queries.select("*", F.lit(0).alias("b"), F.lit(LEAST).alias("least")))
-    if blocks > 1:
-        found = checkpoint(found)
-        kth = found.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
-        asks = queries.join(kth, "query", "left").select(*queries.columns, F.coalesce("kth", F.lit(LEAST)).alias("least"), F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))).alias("b"))
-        found = found.union(searched(candidates.where("b > 0"), asks))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, done = None, 0
+    while done < blocks:
+        until = min(blocks, max(1, done * WIDEN))
+        asks = queries.withColumn("least", F.lit(LEAST))
+        if found is not None:
+            kth = found.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+            asks = queries.join(kth, "query", "left").withColumn("least", F.coalesce("kth", F.lit(LEAST))).drop("kth")
+        asks = asks.withColumn("b", F.explode(F.sequence(F.lit(done), F.lit(until - 1))))
+        more = searched(candidates.where(F.col("b").between(done, until - 1)), asks)
+        ranked = (more if found is None else found.union(more)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        done = until
+        if done < blocks:
+            found = checkpoint(ranked.drop("rank"))
+    return ranked.select("query_id", "rank", "vec_id", "score")
