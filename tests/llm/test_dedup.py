@@ -102,6 +102,32 @@ def test_chains_of_near_copies(spark, short):
     assert got == want and len({c for _, c in got.values()}) > 1
 
 
+def test_a_frequent_shingle_does_not_bring_near_copies_together(spark, monkeypatch):
+    """Near copies whose texts differ but for one phrase, beside longer ones that link by longer lists and short ones together."""
+    rng = np.random.default_rng(5)
+    phrase, items = "it may well be that", []
+    for i in range(30):
+        own = [f"w{i}-{k}" for k in range(60)]
+        for j in range(2):
+            items.append((2 * i + j, " ".join([*own[:30], phrase, *own[30:-1], f"end{j}"])))
+    passage = [f"p{k}" for k in range(40)]
+    for i in range(24):  # a common passage and a tail that pairs share, with edits in either
+        tail = [f"t{i // 2}-{k}" for k in range(40)]
+        for _ in range(int(rng.integers(3))):
+            tail[rng.integers(40)] = f"x{i}"
+        items.append((100 + i, " ".join(passage + tail)))
+    want = reference_components(items, 4, 85)
+    seen, chosen = [], ngram_join._chosen
+    monkeypatch.setattr(ngram_join, "_chosen", lambda *a: seen.append(chosen(*a)) or seen[-1])
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    for short in (2, 4, 8):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df, short=short, block=8).collect()}
+        assert got == want
+        pairs, lists = seen[-1]
+        assert lists.select("node").distinct().count() <= 24  # those with the passage; the others meet by their own shingles
+        assert pairs.count() >= 30
+
+
 def test_ngram_awkward(awkward, nothing):
     got = ngram_join.ngram_components(awkward).collect()
     assert len(got) == 16

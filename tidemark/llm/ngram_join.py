@@ -7,9 +7,11 @@ with l = 1 + n // 10, two linked sets share at least the smaller l, so only thes
 shingle.
 
 Round 1 forms groups of similar documents. A shingle's list of at most SHORT classes counts every pair;
-a pair is compared when its count reaches l. In a longer list, in bands of compatible size, every class
-is compared with the band's first one only. Linked classes become a group. Round 2 is for pairs with a
-longer list in common: classes that such lists connect are partitioned into blocks of about BLOCK, by
+a pair is compared when its count reaches l, less what its classes may share of longer lists (what the one
+with fewer entries there has). In a longer list, in bands of compatible size, every class
+is compared with the band's first one only. Linked classes become a group. Round 2 is for pairs that longer
+lists alone may bring to l, so only for classes with l entries there; what a frequent shingle adds
+to near copies connects no others. Classes that such lists connect are partitioned into blocks of about BLOCK, by
 group where a group is large and by size where the partition is, and the token-group matrix of two
 blocks is their token unions: |query & union| bounds the overlap with any member of the other block, and
 only what reaches t * |query| is opened. Opened sets meet through postings, and a task keeps the links
@@ -219,9 +221,8 @@ def _dealt(docs: DataFrame, common: np.ndarray, buckets: int, width: int, percen
 
 def candidates_of(tokens: np.ndarray, node: np.ndarray, n: np.ndarray, name: np.ndarray, percent: int, limit: int = SHORT):
     """From distinct (token, node) entries: counted pairs of short lists (a, b, count), pairs of longer
-    lists (leader, follower, count), members of longer lists (list, node, count), and nodes' entries in
-    short lists that they share (node, count). n and name are by node; a pair's first node is the smaller
-    by (size, name).
+    lists (leader, follower, count), and members of longer lists (list, node, count). n and name are by node; a
+    pair's first node is the smaller by (size, name).
     """
     order = np.lexsort((name[node], n[node], tokens))
     tokens, node = tokens[order], node[order]
@@ -239,7 +240,6 @@ def candidates_of(tokens: np.ndarray, node: np.ndarray, n: np.ndarray, name: np.
         fit = 100 * n[a] >= percent * n[b]
         found.append(a[fit].astype(np.uint64) << np.uint64(32) | b[fit].astype(np.uint64))
     pairs = _counted(np.concatenate(found) if found else np.zeros(0, np.uint64))
-    few = np.stack(np.unique(node[short & np.repeat(size > 1, size)], return_counts=True))
     # longer lists: bands of compatible size, each with a leader; equal lists are one, with a count
     lists: dict[int, list] = {}
     for a, k in zip(start[size > limit], size[size > limit], strict=True):
@@ -254,7 +254,7 @@ def candidates_of(tokens: np.ndarray, node: np.ndarray, n: np.ndarray, name: np.
             leads.append(np.repeat(band, times))
             i = last
         held.append(np.stack([np.full(k, stamp, np.uint64).view(np.int64), own, np.full(k, times)]))
-    return pairs, _counted(np.concatenate(leads)), np.concatenate(held, 1), few
+    return pairs, _counted(np.concatenate(leads)), np.concatenate(held, 1)
 
 
 def _counted(keys: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def _counted(keys: np.ndarray) -> np.ndarray:
 
 
 def _candidates(dealt: DataFrame, percent: int, limit: int) -> DataFrame:
-    """kind 0: counted pairs; 1: leaders and followers; 2: members of lists for round 2; 3: entries in short lists."""
+    """kind 0: counted pairs; 1: leaders and followers; 2: members of longer lists."""
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         s1, s2 = np.concatenate([_get(x) for x in rows["s1"]]), np.concatenate([_get(x) for x in rows["s2"]])
@@ -282,15 +282,15 @@ def _candidates(dealt: DataFrame, percent: int, limit: int) -> DataFrame:
         once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])])
         tokens, node = tokens[once], node[once]
         u1, u2, n = u["a"].view(np.int64), u["b"].view(np.int64), n[first]
-        pairs, led, held, few = candidates_of(tokens, node, n, u["a"], percent, limit)
-        kinds = [pairs.shape[1], led.shape[1], held.shape[1], few.shape[1]]
-        a = np.concatenate([pairs[0], led[0], held[1], few[0]])
-        b = np.concatenate([pairs[1], led[1], held[1], few[0]])
+        pairs, led, held = candidates_of(tokens, node, n, u["a"], percent, limit)
+        kinds = [pairs.shape[1], led.shape[1], held.shape[1]]
+        a = np.concatenate([pairs[0], led[0], held[1]])
+        b = np.concatenate([pairs[1], led[1], held[1]])
         # what two linked sets share at least; a class may link with one a little smaller than itself
         least = common_least(np.minimum(n[a], np.where(a == b, least_overlap(n[a], percent), n[b])))
-        times = np.concatenate([pairs[2], led[2], held[2], few[1]])
-        stamp = np.concatenate([np.zeros(kinds[0] + kinds[1], np.int64), held[0], np.zeros(kinds[3], np.int64)])
-        return pd.DataFrame({"kind": np.repeat(np.arange(4, dtype=np.int32), kinds), "a1": u1[a], "a2": u2[a], "b1": u1[b], "b2": u2[b], "list": stamp, "times": times, "least": least.astype(np.int32)})
+        times = np.concatenate([pairs[2], led[2], held[2]])
+        stamp = np.concatenate([np.zeros(kinds[0] + kinds[1], np.int64), held[0]])
+        return pd.DataFrame({"kind": np.repeat(np.arange(3, dtype=np.int32), kinds), "a1": u1[a], "a2": u2[a], "b1": u1[b], "b2": u2[b], "list": stamp, "times": times, "least": least.astype(np.int32)})
 
     return dealt.groupBy("bucket").applyInPandas(find, PAIRS)
 
@@ -397,6 +397,32 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
     return cut.withColumn("blk", F.xxhash64("part", "own", "band", "piece"))
 
 
+def _chosen(found: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare at once (a, b), and members of the longer lists of round 2 (list, node).
+
+    Two linked classes share l prefix shingles, some in short lists, all of which count, and some in longer
+    ones, of which each class has a known number of entries (times counts shingles that have the same list).
+    So with fewer than l such entries in either class, the short lists hold the rest, and the pair is met here.
+    """
+    named = classes.select("s1", "s2", "node")
+    left, right = named.toDF("a1", "a2", "a"), named.toDF("b1", "b2", "b")
+    ids = ["a1", "a2", "b1", "b2"]
+    entries = checkpoint(found.where("kind = 2").groupBy("a1", "a2").agg(F.sum("times").alias("long"), F.first("least").alias("least")))
+    summed = found.where("kind < 2").groupBy("kind", *ids).agg(F.sum("times").alias("times"), F.first("least").alias("least"))
+    # leaders only form groups, so weak ones may go; round 2 covers what they would have found
+    enough = F.when(F.col("kind") == 0, F.col("times") >= F.col("least")).otherwise(2 * F.col("times") >= F.col("least"))
+    weak = summed.where((F.col("kind") == 0) & (F.col("times") < F.col("least")))
+    known = small_or_shuffled(entries)
+    for side in "ab":
+        weak = weak.join(known.select(F.col("a1").alias(f"{side}1"), F.col("a2").alias(f"{side}2"), F.col("long").alias(f"long_{side}")), [f"{side}1", f"{side}2"])
+        weak = weak.where(F.col("times") + F.col(f"long_{side}") >= F.col("least"))
+    pairs = summed.where(enough).select(*ids).union(weak.select(*ids)).distinct()
+    pairs = checkpoint(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b"))
+    lists = found.where("kind = 2").select("list", "a1", "a2").distinct()
+    lists = lists.join(entries.where("long >= least").select("a1", "a2"), ["a1", "a2"]).join(left, ["a1", "a2"])
+    return pairs, checkpoint(lists.select("list", F.col("a").alias("node")))
+
+
 def _block(of: DataFrame, key: str) -> DataFrame:
     """of with blks: in how many blocks of about 256 rows its key's rows are dealt."""
     sizes = of.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("blks"))
@@ -442,21 +468,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(32, -(-total * (110 - percent) // (100 * BUCKET_TOKENS)))
     found = checkpoint(_candidates(_dealt(docs, _common(sets), buckets, width, percent), percent, short))
-    named = classes.select("s1", "s2", "node")
-    left, right = named.toDF("a1", "a2", "a"), named.toDF("b1", "b2", "b")
-    ids = ["a1", "a2", "b1", "b2"]
-    summed = found.where("kind < 2").groupBy("kind", *ids).agg(F.sum("times").alias("times"), F.first("least").alias("least"))
-    # leaders only form groups, so weak ones may go; round 2 covers what they would have found
-    enough = F.when(F.col("kind") == 0, F.col("times") >= F.col("least")).otherwise(2 * F.col("times") >= F.col("least"))
-    pairs = summed.where(enough).select(*ids).distinct()
-    pairs = checkpoint(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b"))
-    # classes whose lists hold enough shingles for any link; times counts shingles that have the same list
-    sums = found.where("kind > 1").groupBy("a1", "a2").agg(
-        F.sum("times").alias("most"), F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("times"))), F.lit(0)).alias("few"), F.first("least").alias("least")
-    )
-    lists = found.where("kind = 2").groupBy("list", "a1", "a2").agg(F.sum("times").alias("times"))
-    lists = lists.join(sums.where("most >= least"), ["a1", "a2"]).join(left, ["a1", "a2"])
-    lists = checkpoint(lists.select("list", F.col("a").alias("node"), "times", "few", "least"))
+    pairs, lists = _chosen(found, classes)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(lists.select("node")).distinct()
     wanted = small_or_shuffled(checkpoint(needed.join(classes.select("node", "key"), "node")))
     texts = docs.withColumn("key", _key()).join(wanted, "key").select("node", "text").mapInArrow(_squeezed, "node long, text binary")
