@@ -128,6 +128,21 @@ def test_a_frequent_shingle_does_not_bring_near_copies_together(spark, monkeypat
         assert pairs.count() >= 30
 
 
+def test_prefixes_leave_out_shingles_of_frequent_words():
+    """Where no shingle is frequent enough to count as common, those of frequent words still come last."""
+    words = ngram_join._Words()
+    often = [f"f{k}" for k in range(20)]
+    ranks = np.zeros(1 << ngram_join.WORD_BITS, np.uint8)
+    ranks[(ngram_join.word_hashes(" ".join(often), words) >> np.uint64(64 - ngram_join.WORD_BITS)).astype(np.int64)] = 80
+    common = np.zeros(1 << ngram_join.SLOT_BITS, bool)
+    text = " ".join(often + [f"r{k}" for k in range(20)])
+    s, rank = ngram_join.ranked(ngram_join.word_hashes(text, words), ranks)
+    assert s.tolist() == ngram_join.shingles(text, words).tolist()
+    first = ngram_join.prefix(s, rank, common)
+    assert len(first) == len(s) - ngram_join.least_overlap(len(s)) + ngram_join.common_least(len(s))
+    assert not set(first.tolist()) & set(ngram_join.shingles(" ".join(often), words).tolist())
+
+
 def test_ngram_awkward(awkward, nothing):
     got = ngram_join.ngram_components(awkward).collect()
     assert len(got) == 16

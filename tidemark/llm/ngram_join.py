@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by a token-group matrix, up to connected components.
 
 A document is its set of distinct word shingles, as 64-bit hashes. Equal sets form one class, and the
-join runs over classes. Shingles have a global order, common ones last (commonness from a count sketch
-of fixed size; the order affects cost, never results). Of the first n - ceil(t * n) + l shingles of each,
+join runs over classes. Shingles have a global order: common ones last (commonness from a count sketch
+of fixed size), the others by how often their words would meet by chance (from a count sketch of words), so that
+shingles of frequent words stay out of prefixes at any input size; the order affects cost, never results. Of the first n - ceil(t * n) + l shingles of each,
 with l = 1 + n // 10, two linked sets share at least the smaller l, so only these prefixes are dealt by
 shingle.
 
@@ -41,7 +42,8 @@ from tidemark.llm.common import checkpoint, small_or_shuffled
 from tidemark.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
-SLOT_BITS, BLOCK, SHORT, CHUNK_TOKENS, BUCKET_TOKENS = 22, 1024, 32, 600_000, 1_200_000
+SLOT_BITS, WORD_BITS, BLOCK, SHORT, CHUNK_TOKENS, BUCKET_TOKENS = 22, 20, 1024, 32, 600_000, 1_200_000
+SLICE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,20 +53,39 @@ class _Words(dict):
         return h
 
 
-def shingles(text: str | None, words: _Words, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; words memoises word hashes."""
+def word_hashes(text: str | None, words: _Words) -> np.ndarray:
+    """The text's words as 64-bit hashes; words memoises them."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
     if len(words) > 150_000:
         words.clear()
-    h = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
+
+
+def shingled(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of all shingles of word hashes."""
+    if not len(h):
+        return h
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         out = (out ^ h[k : len(h) - n + 1 + k]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str | None, words: _Words, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    return np.unique(shingled(word_hashes(text, words), width))
+
+
+def ranked(h: np.ndarray, ranks: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of word hashes, and the sum of the words' ranks in each."""
+    s, first = np.unique(shingled(h, width), return_index=True)
+    of = ranks[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.uint64)
+    rank = np.zeros(len(s), np.uint64)
+    for k in range(min(width, len(h))):
+        rank += of[first + k]
+    return s, rank
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
@@ -105,34 +126,41 @@ SETS = "kind int, row long, doc_id long, key long, n int, s1 long, s2 long, sket
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: size and signature of each document's set; kind 1: slices of the task's count sketch."""
+    """kind 0: size and signature of each document's set; kind 1: slices of the task's count sketches, of shingles and then of words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, slots = _Words(), np.zeros(1 << SLOT_BITS, np.uint32)
+        words, slots, often = _Words(), np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << WORD_BITS, np.uint32)
+
+        def add(some, seen):
+            at, c = np.unique((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_counts=True)
+            slots[at] += c.astype(np.uint32)
+            at = (np.concatenate(seen) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+            np.add.at(often, at, np.uint32(1))
 
         def out(*columns):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
 
         for batch in batches:
-            n, s1, s2, some = [], [], [], []
+            n, s1, s2, some, seen, size = [], [], [], [], [], 0
             for text in batch.column(3):
-                s = shingles(text.as_py(), words, width)
+                h = word_hashes(text.as_py(), words)
+                s = np.unique(shingled(h, width))
                 a, b = signature(s)
                 n.append(len(s))
                 s1.append(_signed(a))
                 s2.append(_signed(b))
                 some.append(s)
-                if sum(map(len, some[-64:])) > 200_000 or len(some) > 500:
-                    at, c = np.unique((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_counts=True)
-                    slots[at] += c.astype(np.uint32)
-                    some = []
+                seen.append(h)
+                size += len(h)
+                if size > 400_000:
+                    add(some, seen)
+                    some, seen, size = [], [], 0
             if some:
-                at, c = np.unique((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_counts=True)
-                slots[at] += c.astype(np.uint32)
+                add(some, seen)
             k = len(n)
             yield out([0] * k, batch.column(0), batch.column(1), batch.column(2), n, s1, s2, [None] * k)
-        for i, part in enumerate(np.split(slots, 16)):
+        for i, part in enumerate(np.concatenate([slots, often]).reshape(-1, SLICE)):
             if part.any():
                 yield out([1], [i], [None], [None], [0], [0], [0], [_pack(part, "<u4")])
 
@@ -144,11 +172,12 @@ def _key():
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
 
 
-def _common(sets: DataFrame) -> np.ndarray:
-    """Bit per sketch slot: whether its shingles count as common. 512 KB at any input size."""
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bit per slot of shingles: whether they count as common; byte per slot of words: four times the binary logarithm
+    of its count. 1.5 MB at any input size."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SLOT_BITS) // 16, np.uint64)
+        total = np.zeros(SLICE, np.uint64)
         for b in rows["sketch"]:
             part = _get(b, "<u8" if "sub" not in rows else "<u4")
             total += part.astype(np.uint64)
@@ -156,18 +185,18 @@ def _common(sets: DataFrame) -> np.ndarray:
 
     slices = sets.where("kind = 1").select("row", "sketch", F.pmod(F.xxhash64("sketch"), F.lit(256)).alias("sub"))
     merged = slices.groupBy("row", "sub").applyInPandas(add, "row long, sketch binary").groupBy("row").applyInPandas(add, "row long, sketch binary")
-    total = np.zeros((16, (1 << SLOT_BITS) // 16))
+    total = np.zeros((((1 << SLOT_BITS) + (1 << WORD_BITS)) // SLICE, SLICE))
     for r in merged.collect():
         total[r["row"]] = _get(r["sketch"])
-    total = total.reshape(-1)
-    return total > total.mean() + 6 * np.sqrt(total.mean()) + 16
+    total, often = np.split(total.reshape(-1), [1 << SLOT_BITS])
+    return total > total.mean() + 6 * np.sqrt(total.mean()) + 16, np.round(4 * np.log2(1 + often)).astype(np.uint8)
 
 
-def prefix(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first shingles in the global order (common last, then by hash), enough to meet every link."""
+def prefix(s: np.ndarray, rank: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles in the global order (common last, then by rank, then by hash), enough to meet every link."""
     k = len(s) - least_overlap(len(s), percent) + common_least(len(s))
     late = common[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-    return np.concatenate([s[~late], s[late]])[:k].copy()  # not a view that keeps the whole set
+    return s[np.argsort(rank + (late.astype(np.uint64) << np.uint64(32)), kind="stable")[:k]]
 
 
 # ---------------------------------------------------------------- candidates
@@ -176,12 +205,12 @@ LISTS = "bucket int, tokens binary, docs binary, n binary, s1 binary, s2 binary"
 PAIRS = "kind int, a1 long, a2 long, b1 long, b2 long, list long, times long, least int"
 
 
-def _dealt(docs: DataFrame, common: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
+def _dealt(docs: DataFrame, common: np.ndarray, ranks: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
     """Prefix shingles by bucket, in blobs of many documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(common), ranks))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, late = _Words(), np.unpackbits(shared.value).astype(bool)
+        words, late, ranks = _Words(), np.unpackbits(shared.value[0]).astype(bool), shared.value[1]
         held: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
         size = 0
 
@@ -204,11 +233,11 @@ def _dealt(docs: DataFrame, common: np.ndarray, buckets: int, width: int, percen
 
         for batch in batches:
             for text in batch.column(0):
-                s = shingles(text.as_py(), words, width)
+                s, rank = ranked(word_hashes(text.as_py(), words), ranks, width)
                 if len(s):
                     sig = signature(s)
                     if sig not in held:
-                        held[sig] = (prefix(s, late, percent), len(s))
+                        held[sig] = (prefix(s, rank, late, percent), len(s))
                         size += len(held[sig][0])
                 if size > CHUNK_TOKENS:
                     yield flush()
@@ -467,7 +496,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     classes = checkpoint(classes.select("s1", "s2", "n", "least_id", F.col("f.row").alias("node"), F.col("f.key").alias("key")))
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(32, -(-total * (110 - percent) // (100 * BUCKET_TOKENS)))
-    found = checkpoint(_candidates(_dealt(docs, _common(sets), buckets, width, percent), percent, short))
+    found = checkpoint(_candidates(_dealt(docs, *_common(sets), buckets, width, percent), percent, short))
     pairs, lists = _chosen(found, classes)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(lists.select("node")).distinct()
     wanted = small_or_shuffled(checkpoint(needed.join(classes.select("node", "key"), "node")))
